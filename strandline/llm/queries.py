@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +18,30 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+    from .shared import held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit_language_models, identify, training_rows
+    from .shared import held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, fit_language_models(training_rows(docs)))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -31,7 +50,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_cost_balanced_packing": op3_cost_balanced_packing,
+        "op7_language_id": op7_language_id,
         "op10_token_counts": op10_token_counts,
     }
 
