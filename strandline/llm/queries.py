@@ -33,6 +33,12 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit_language_models, identify, training_rows
     from .shared import held_out
@@ -42,6 +48,27 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from .shared import shared_dir
+    from .warc import read_archive, record_fields, write_archive
+
+    archive = write_archive(_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}")
+    return record_fields(read_archive(spark, archive)).withColumnRenamed("record_key", "page_id")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+     d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> keeper THEN keeper END AS refers_to
+FROM f
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -52,10 +79,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_classifier": op2_quality_classifier,
         "op3_cost_balanced_packing": op3_cost_balanced_packing,
+        "op6_entropy_mixing": op6_entropy_mixing,
         "op7_language_id": op7_language_id,
+        "op8_warc_archive": op8_warc_archive,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_archive": OP8_SQL}
