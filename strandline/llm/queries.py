@@ -69,6 +69,31 @@ FROM f
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import Similarity, jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), Similarity(words=3, below=90, above=100))
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
+         ELSE list_transform(range(1, len(a) - 1), lambda i: array_to_string(a[i:i + 2], ' ')) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rare AS MATERIALIZED (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.f, s.g) AS k
+         FROM s JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS f FROM s GROUP BY g) f USING (g)),
+c AS MATERIALIZED (SELECT DISTINCT x.doc_id AS u, y.doc_id AS v, x.n AS nu, y.n AS nv FROM rare x JOIN rare y ON x.g = y.g AND x.doc_id < y.doc_id
+         AND x.k <= x.n - (90 * x.n + 99) // 100 + 1 AND y.k <= y.n - (90 * y.n + 99) // 100 + 1 AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n),
+e AS MATERIALIZED (SELECT u, v FROM (SELECT u, v, nu, nv, (SELECT count(*) FROM s a JOIN s b ON a.g = b.g WHERE a.doc_id = u AND b.doc_id = v) AS i FROM c) WHERE 100 * i >= 90 * (nu + nv - i)),
+b AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(d, t) AS (SELECT u, v FROM b UNION SELECT r.d, b.v FROM r JOIN b ON r.t = b.u)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.t, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d, min(t) AS t FROM r GROUP BY d) m ON m.d = w.doc_id
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -82,9 +107,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_entropy_mixing": op6_entropy_mixing,
         "op7_language_id": op7_language_id,
         "op8_warc_archive": op8_warc_archive,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_archive": OP8_SQL}
+    return {"op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL}
