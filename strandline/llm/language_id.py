@@ -170,11 +170,16 @@ class TextScorer:
         return out
 
 
-def sample_per_language(docs: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows of each language at most, by a hash of the id; languages are taken as they are spelled."""
-    n = docs.groupBy("lang").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) * F.col("_n") < F.lit(1_000_000 * rows)
-    return docs.join(n, "lang").where(draw).select("doc_id", "text", "lang")
+def sample_per_language(docs: DataFrame, rows: int, most_languages: int) -> tuple[DataFrame, list[str]]:
+    """About `rows` rows of each language at most, by a hash of the id, and the languages as they are spelled, sorted."""
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not counts:
+        return docs.select("doc_id", "text", "lang"), []
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000, 1_000_000 * rows // r["n"] + 1))])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.element_at(shares, F.col("lang"))
+    return docs.where(draw).select("doc_id", "text", "lang"), sorted(r["lang"] for r in counts)
 
 
 def fit_language_models(docs: DataFrame, order: int = 4, rows_per_language: int = 3000, most_languages: int = 512, spare: float = 1.3) -> LanguageModels:
@@ -186,11 +191,9 @@ def fit_language_models(docs: DataFrame, order: int = 4, rows_per_language: int
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sample_per_language(labelled, rows_per_language).cache()
+    sample, names = sample_per_language(labelled, rows_per_language, most_languages)
+    sample = sample.cache()
     try:
-        names = sorted(r[0] for r in sample.select("lang").distinct().limit(most_languages + 1).collect())
-        if len(names) > most_languages:
-            raise ValueError(f"more than {most_languages} languages")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

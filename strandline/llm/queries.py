@@ -18,6 +18,26 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("row.doc_id", "text", "n_chunks", "n_removed")
+
+
+OP1_SQL = """
+WITH l AS (SELECT doc_id, pos, line, len(line) - len(replace(line, ' ', '')) + 1 AS words, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+c AS (SELECT *, coalesce(lag(cut) OVER w, 0) AS starts FROM (
+        SELECT *, CASE WHEN words >= 24 OR lead(words) OVER w >= 24 OR (coalesce(lag(h) OVER w, 0) * 31 + h) % 2 = 0 THEN 1 ELSE 0 END AS cut
+        FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY pos) AS chunk, sum(words) AS words, count(*) AS n
+      FROM (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM c) GROUP BY doc_id, k),
+f AS (SELECT *, ((n >= 2 AND words >= 12) OR words >= 24) AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM g)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, coalesce(x.n_chunks, 0)::BIGINT AS n_chunks, coalesce(x.n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone) AS text, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed FROM f GROUP BY doc_id) x USING (doc_id)
+"""
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
     from .shared import held_out
@@ -33,6 +53,12 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import search
+
+    return search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -102,8 +128,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_cost_balanced_packing": op3_cost_balanced_packing,
+        "op5_vector_search": op5_vector_search,
         "op6_entropy_mixing": op6_entropy_mixing,
         "op7_language_id": op7_language_id,
         "op8_warc_archive": op8_warc_archive,
@@ -113,4 +141,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL}
