@@ -53,6 +53,14 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import align, fingerprint, sonify
+    from .shared import stage
+
+    prints = stage(fingerprint(sonify(_table(spark, sf_dir, "embeddings"))), "fingerprints")
+    return align(prints, "recording_id % 20 = 0")
+
+
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_search import search
 
@@ -131,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_cost_balanced_packing": op3_cost_balanced_packing,
+        "op4_audio_fingerprints": op4_audio_fingerprints,
         "op5_vector_search": op5_vector_search,
         "op6_entropy_mixing": op6_entropy_mixing,
         "op7_language_id": op7_language_id,
