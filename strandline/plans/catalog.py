@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sequence_queries
+from . import check_queries, sequence_queries
 
-_GROUPS = (sequence_queries,)
+_GROUPS = (sequence_queries, check_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
