@@ -15,13 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_column, distinct, slices, split_words, stage
+from .shared import WordIndex, byte_column, distinct, slices, split_words, stage
 
-#: Words whose ids a worker remembers between batches; when full, the memory starts anew.
-REMEMBERED = 250_000
+#: A run of letters, and at most one run of marks after it, without what could begin a contraction, a special token or a composition.
+_PLAIN = regex.compile(r"\p{L}+([^\s\p{L}\p{N}\p{M}'<]*)")
 
 
 class WordIds:
@@ -31,27 +32,43 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.flat, self.ends = {}, [np.zeros(0, np.uint32)], [0]
+        self.tokenizer, self.index = Tokenizer.from_file(path), WordIndex()
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def __call__(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids known, and where those of each word begin and end."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            base = len(self.ends)
-            self.known.update(zip(new, range(base - 1, base - 1 + len(new)), strict=True))
-            self.ends += (np.cumsum([len(x) for x in ids]) + self.ends[-1]).tolist()
-            self.flat = [np.concatenate([*self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])]
-        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        ends = np.array(self.ends, np.int64)
-        return self.flat[0], ends[at], ends[at + 1]
+        if (kept := self.index.make_room()) is not None:
+            begin, end = self.ends[kept], self.ends[kept + 1]
+            self.flat, self.ends = gather(self.flat, begin, end), np.r_[0, np.cumsum(end - begin)]
+        if new := self.index.unknown(words):
+            # plain words go to the library many at a time; how many end marks each has tells their ids apart
+            parts: list[list[tuple[bytes, str]]] = [[], [], []]
+            for w in new:
+                text = w.decode("utf-8", "replace")
+                plain = _PLAIN.fullmatch(text)
+                parts[0 if not plain else 2 if plain[1] else 1].append((w, text))
+            for marks, part in enumerate(parts):
+                step = 1024 if marks else max(1, len(part))
+                for k in range(0, len(part), step):
+                    self._learn(part[k : k + step], marks)
+        at = self.index.at(words)
+        return self.flat, self.ends[at], self.ends[at + 1]
+
+    def _learn(self, part: list[tuple[bytes, str]], marks: int) -> None:
+        """Adds the ids of words, each of `marks` pre-tokens if that isn't 0."""
+        texts = [text for _, text in part]
+        if marks:
+            flat = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[flat])[marks - 1 :: marks] + 1
+        if not marks or self.last[flat].sum() != marks * len(part):
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat, ends = np.fromiter((i for x in each for i in x), np.uint32), np.cumsum([len(x) for x in each])
+        self.index.add([w for w, _ in part])
+        self.ends = np.append(self.ends, self.ends[-1] + ends)
+        self.flat = np.append(self.flat, flat)
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -73,7 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, stop_id: int
         for batch in batches:
             texts = byte_column(batch.column(1))
             for first, last in slices(texts):
-                words, per_text = split_words(texts.slice(first, last - first))
+                words, per_text = split_words(texts.slice(first, last - first), lower=True)
                 codes, names = distinct(words)
                 flat, begin, end = ids_of(names)
                 ids = gather(flat, begin[codes], end[codes]) if words else np.zeros(0, np.uint32)

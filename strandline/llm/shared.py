@@ -117,12 +117,15 @@ def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """All words (runs of bytes other than space and 0x09-0x0D) in order, and how many each text has."""
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray]:
+    """All words (runs of bytes other than space and 0x09-0x0D) in order, and how many each text has.
+
+    With `lower`, A-Z become a-z, for users that lower them anyway; texts with `<|` stay, as special tokens keep case.
+    """
     words: list[bytes] = []
     counts = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts.to_pylist()):
-        own = text.split()  # for bytes: exactly space and 0x09-0x0D
+        own = (text.lower() if lower and b"<|" not in text else text).split()  # for bytes: exactly space and 0x09-0x0D
         counts[k] = len(own)
         words += own
     return words, counts
@@ -135,3 +138,34 @@ def distinct(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     array = np.empty(len(words), object)
     array[:] = words
     return pd.factorize(array)
+
+
+class WordIndex:
+    """Row numbers of words, kept between slices within a bound; when it is full, words met in one slice only are forgotten first."""
+
+    def __init__(self, most: int = 300_000):
+        self.most, self.rows, self.hits = most, {}, np.zeros(0, np.int64)
+
+    def make_room(self) -> np.ndarray | None:
+        """The old rows that stay, in their new order, if rows had to go."""
+        if len(self.rows) <= self.most:
+            return None
+        order = np.argsort(-self.hits, kind="stable")[: self.most // 2]
+        kept = order[self.hits[order] > 1]
+        place = np.full(len(self.hits), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        self.rows = {w: int(place[k]) for w, k in self.rows.items() if place[k] >= 0}
+        self.hits = self.hits[kept] // 2 + 1
+        return kept
+
+    def unknown(self, words: np.ndarray) -> list[bytes]:
+        return [w for w in words if w not in self.rows]
+
+    def add(self, words: list[bytes]) -> None:
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.hits = np.append(self.hits, np.zeros(len(words), np.int64))
+
+    def at(self, words: np.ndarray) -> np.ndarray:
+        found = np.fromiter((self.rows[w] for w in words), np.int64, len(words))
+        self.hits[found] += 1
+        return found

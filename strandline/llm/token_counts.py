@@ -16,11 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import byte_column, distinct, slices, split_words
-
-#: Distinct words whose counts a worker remembers between batches; when full, the memory starts anew.
-REMEMBERED = 300_000
-
+from .shared import WordIndex, byte_column, distinct, slices, split_words
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -106,27 +102,21 @@ class WordCounter:
     """Token counts of words, remembered between batches within a bound."""
 
     def __init__(self, path: str):
-        self.table, self.known = MergeTable(path), {}
+        self.table, self.index, self.counts = MergeTable(path), WordIndex(), np.zeros(0, np.int64)
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
-        found = [self.known.get(w) for w in words]
-        new = [k for k, n in enumerate(found) if n is None]
-        if new:
-            pieces = [self.table.pre_tokens(words[k]) for k in new]
+        if (kept := self.index.make_room()) is not None:
+            self.counts = self.counts[kept]
+        if new := self.index.unknown(words):
+            pieces = [self.table.pre_tokens(w) for w in new]
             flat = [t for own, _ in pieces for t in own]
             codes, tokens = distinct(flat)
-            each = self.table.count(list(tokens))[codes] if len(flat) else np.zeros(0, np.int64)
+            each = self.table.count(list(tokens))[codes] if flat else np.zeros(0, np.int64)
             sums = np.r_[0, np.cumsum(each)]
             ends = np.cumsum([len(own) for own, _ in pieces])
-            begin = np.r_[0, ends[:-1]]
-            totals = sums[ends] - sums[begin] + np.array([special for _, special in pieces])
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for k, n in zip(new, totals.tolist(), strict=True):
-                found[k] = n
-                if len(words[k]) <= 64:
-                    self.known[words[k]] = n
-        return np.array(found, np.int64)
+            self.index.add(new)
+            self.counts = np.append(self.counts, sums[ends] - sums[np.r_[0, ends[:-1]]] + np.array([special for _, special in pieces]))
+        return self.counts[self.index.at(words)]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -143,7 +133,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
             texts = byte_column(batch.column(1))
             for start, stop in slices(texts):
                 part = texts.slice(start, stop - start)
-                words, per_text = split_words(part)
+                words, per_text = split_words(part, lower=True)
                 codes, names = distinct(words)
                 each = counter(names)[codes] if words else np.zeros(0, np.int64)
                 sums = np.r_[0, np.cumsum(each)]
