@@ -15,9 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_column, distinct, held_out, mix64, slices, split_words
+from .shared import WordIndex, byte_column, distinct, held_out, mix64, slices, split_words
 
-REMEMBERED = 250_000
 _LETTERS = regex.compile(r"\p{L}+")
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -150,18 +149,17 @@ class TextScorer:
     """Rows of LanguageModels.words summed over texts; words are remembered between batches within a bound."""
 
     def __init__(self, models: LanguageModels):
-        self.models, self.known, self.rows = models, {}, np.zeros((0, len(models.names) + 1))
+        self.models, self.index, self.rows = models, WordIndex(), np.zeros((0, len(models.names) + 1))
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        words, per_text = split_words(texts)
+        words, per_text = split_words(texts, lower=True)
         codes, names = distinct(words)
-        if len(self.known) > REMEMBERED:
-            self.known, self.rows = {}, self.rows[:0]
-        new = [w for w in names if w not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        if (kept := self.index.make_room()) is not None:
+            self.rows = self.rows[kept]
+        if new := self.index.unknown(names):
+            self.index.add(new)
             self.rows = np.concatenate([self.rows, self.models.words(new)])
-        at = np.fromiter((self.known[w] for w in names), np.int64, len(names))
+        at = self.index.at(names)
         out = np.zeros((len(texts), len(self.models.names) + 1))
         if words:
             rows, owner = self.rows[at[codes]], np.repeat(np.arange(len(texts)), per_text)
@@ -228,7 +226,7 @@ def fit_language_models(docs: DataFrame, order: int = 4, rows_per_language: int
             by_order = {n: (g["gram"].to_numpy().view(np.uint64), g["context"].to_numpy().view(np.uint64), g["suffix"].to_numpy().view(np.uint64), g["times"].to_numpy(float)) for n, g in own.groupby("n")}
             models.append(KneserNey(by_order, order, letters))
         found = LanguageModels(names, models, order)
-        entropy = sample.select("doc_id", "text").mapInArrow(_scorer(found, "doc_id", kind), _schema("doc_id", kind))
+        entropy = sample.select("doc_id", "text").mapInArrow(_scorer(found, "doc_id"), _schema("doc_id", kind))
         limits = entropy.where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile("cross_entropy", 0.99).alias("limit")).collect()
         for row in limits:
             found.limits[names.index(row["lang_pred"])] = spare * row["limit"]
@@ -241,9 +239,9 @@ def _schema(id_col: str, kind: str) -> str:
     return f"`{id_col}` {kind}, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
-def _scorer(models: LanguageModels, id_col: str, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = TextScorer(models)
+def _scorer(models: LanguageModels, id_col: str, scorer: TextScorer | None = None):
+    def run(batches: Iterator[pa.RecordBatch], scorer: TextScorer | None = scorer) -> Iterator[pa.RecordBatch]:
+        scorer = scorer or TextScorer(models)
         names = np.array([*models.names, "und"], object)
         for batch in batches:
             texts = byte_column(batch.column(1))
@@ -271,7 +269,21 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text", id_col
     Whole texts are read; equal rows get equal results; other columns are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(_scorer(models, id_col, kind), _schema(id_col, kind))
+    return docs.select(id_col, text).mapInArrow(_scorer(models, id_col), _schema(id_col, kind))
+
+
+def keep_identified(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:
+    """The rows of docs that aren't rejected, with all their columns; nothing is shuffled."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(models, "row", TextScorer(models))
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["row", "text"])
+            rejected = np.concatenate([part.column(4).to_numpy(zero_copy_only=False) for part in score(iter([numbered]))] or [np.zeros(0, bool)])
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ def _diffuse(rows: pd.DataFrame, cap: float) -> pd.DataFrame:
     return rows.assign(copies=copies)[["source", "size", "n", "copies"]]
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, bucket_rows: int = 1000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row of docs: id, source, size, source_size, target (of its source), copies and taken (= copies * size).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, bucket_rows: int = 1000, text: str = "text", id_col: str = "doc_id", row_hash: bool = False) -> DataFrame:
+    """Per row of docs: id, source, size, source_size, target (of its source), copies and taken (= copies * size); with row_hash also xxhash64(id, text).
 
     `cap` is the most copies of a document. Within a source and size the extra copies go to the rows with the smallest
     hash of (id, text), ranked inside hash buckets of about bucket_rows rows whose counts are summed before, so a size
@@ -137,6 +137,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     key = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_bucket") == F.col("_b"))
     rank = F.row_number().over(Window.partitionBy("_source", "_size", "_bucket").orderBy("_hash", id_col))
     extra = dealt.where("_more > 0").withColumn("_rank", rank).join(before, key).withColumn("copies", F.col("_each") + (F.col("_before") + F.col("_rank") <= F.col("_more")).cast("bigint"))
-    out = [id_col, "source", "size", "source_size", "target", "copies"]
+    out = [id_col, "source", "size", "source_size", "target", "copies", *[F.col("_hash").alias("row_hash")] * row_hash]
     done = extra.select(*out).unionByName(dealt.where("_more = 0").withColumn("copies", F.col("_each")).select(*out))
     return done.withColumn("taken", F.col("copies") * F.col("size"))
