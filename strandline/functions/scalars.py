@@ -15,7 +15,7 @@ def _col(x: Column | str | int | float) -> Column:
 def div(a: Column, b: Column | int) -> Column:
     """Integer quotient, truncated towards zero; NULL for a zero divisor."""
     a, b = _col(a), _col(b)
-    return F.call_function("try_divide", a - F.try_mod(a, b), b).cast("bigint")
+    return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
 def ratio_half_up(n: Column, d: Column) -> Column:

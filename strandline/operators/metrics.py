@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import temperature_softmax
+from ..functions.scalars import ratio_half_away, temperature_softmax
 
 
 def inventory_digest(df: DataFrame, key: str, item: str, bucket: int = 4096) -> DataFrame:
@@ -205,8 +205,7 @@ def apply_statistics(features: DataFrame, statistics: DataFrame, vector: str, sc
     def z(v: Column, k: Column) -> Column:
         st = F.get("_s", k)
         n = (v - st["mean"]) * F.lit(scale).cast("bigint")
-        up = lambda x: F.call_function("try_divide", 2 * x + st["sd"] - F.try_mod(2 * x + st["sd"], 2 * st["sd"]), 2 * st["sd"]).cast("bigint")
-        return F.when(n < 0, -up(-n)).otherwise(up(n))
+        return ratio_half_away(n, st["sd"])
 
     return features.crossJoin(F.broadcast(one)).withColumn(vector, F.transform(vector, z)).drop("_s")
 
