@@ -56,8 +56,9 @@ def dedup_lines(docs: DataFrame, every: int = 2, long_words: int = 24, least_lin
     of all rows has is one combined row in the count, and a key that adaptive execution splits in the joins.
     """
     # the row key tells rows apart that share an id
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_key"))
-    chunked = with_chunks(rows.select("_id", "_key", "_text"), "_text", every, long_words)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_key"))
+    whole = F.col(f"row.`{text}`").alias("_text")
+    chunked = with_chunks(rows.select("_id", "_key", whole), "_text", every, long_words)
     # the arrays are never empty; an inner explode would have their size computed in a pushed filter, once per line
     each = chunked.select("_id", "_key", F.explode_outer("_chunks").alias("c")).select("_id", "_key", "c.*")
     words = spaces(F.col("chunk")) + F.col("n_lines")
@@ -72,6 +73,6 @@ def dedup_lines(docs: DataFrame, every: int = 2, long_words: int = 24, least_lin
     gone = repeated.join(firsts, same).where((F.col("chunk").cast("binary") == F.col("first.chunk").cast("binary")) & ~F.coalesce(at_first, F.lit(False)))
     by_row = gone.groupBy(F.col("_id").alias("g_id"), F.col("_key").alias("g_key")).agg(F.collect_set("pos").alias("gone"))
     joined = rows.join(by_row, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left")
-    back = with_chunks(joined, "_text", every, long_words)
+    back = with_chunks(joined.select("row", "gone", whole), "_text", every, long_words)
     kept = F.array_join(F.transform(F.filter("_chunks", lambda c: ~F.array_contains("gone", c["pos"])), lambda c: c["chunk"]), "\n")
     return back.select("row", F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept).alias("text"), F.when(F.col("_text").isNull(), 0).otherwise(F.size("_chunks")).cast("bigint").alias("n_chunks"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
