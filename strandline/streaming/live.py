@@ -122,7 +122,9 @@ def intake_packages(packages: DataFrame, fields: tuple[str, ...], text: str = "p
     """
     parsed = packages.withColumn("_keys", F.json_object_keys(text)).withColumn("digest", F.sha2(F.col(text).cast("binary"), 256))
     known = F.array(*map(F.lit, fields))
-    bad = F.try_parse_json(text).isNull() | F.col("_keys").isNull()
+    # inside brackets, text after the object makes the whole invalid or a second element
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col(text), F.lit("]"))) == 1, F.lit(False))
+    bad = F.try_parse_json(text).isNull() | F.col("_keys").isNull() | ~alone
     status = F.when(bad, "malformed").when(F.size(F.array_except("_keys", known)) > 0, "unknown_field").when(F.size(F.array_except(known, "_keys")) > 0, "missing_field").otherwise("accepted")
     return parsed.select("*", status.alias("status"), F.lit(False).alias("eligible_for_training")).drop("_keys")
 
