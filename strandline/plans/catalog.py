@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import check_queries, event_queries, governance_queries, metric_queries, sequence_queries
+from . import check_queries, event_queries, feature_queries, governance_queries, metric_queries, sequence_queries
 
-_GROUPS = (sequence_queries, check_queries, metric_queries, event_queries, governance_queries)
+_GROUPS = (sequence_queries, check_queries, metric_queries, event_queries, governance_queries, feature_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
