@@ -40,7 +40,7 @@ def test_short_gap_is_bridged():
 
 def test_pre_roll_begins_before_motion():
     _, found = events([(10, True, 0), (20, True, 900_000), (20, True, 0)])
-    assert found[0][0] == 8 and found[0][2] == 8 * 33_333  # frame 10 smooths to 450,000; the pre-roll reaches back 100 ms at most
+    assert found[0][0] == 7 and found[0][2] == 7 * 33_333  # frame 10 smooths to 450,000; 99,999 µs before it is frame 7
 
 
 def test_time_must_rise():
