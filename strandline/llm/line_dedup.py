@@ -7,7 +7,7 @@ but for their first place, after their bytes were compared with it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -18,18 +18,19 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
-def spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+def words(line: Column) -> Column:
+    """Spaces and one more; an empty line has none."""
+    return F.when(F.length(line) == 0, 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def with_chunks(rows: DataFrame, text: str, every: int, long_words: int) -> DataFrame:
-    """Adds `_chunks`: an array of (pos, n_lines, chunk), each the lines up to the next boundary; joined by newlines they are the text.
+    """Adds `_chunks`: an array of (pos, n_lines, n_words, chunk), each the lines up to the next boundary; joined by newlines they are the text.
 
-    A boundary follows a line if the rolling hash of it and the line before is divisible by `every`, or it or the
-    next has long_words words (spaces + 1) or more.
+    A boundary follows a line if the rolling hash of it and the line before is divisible by `every`, and stands on both
+    sides of a line of long_words words or more.
     """
     lines = rows.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    marks = lines.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_long", F.transform("_lines", lambda x: spaces(x) + 1 >= long_words))
+    marks = lines.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_long", F.transform("_lines", lambda x: words(x) >= long_words))
 
     def ends(i: Column) -> Column:
         before = F.when(i > 0, F.get("_hashes", i - 1)).otherwise(F.lit(0))
@@ -40,17 +41,20 @@ def with_chunks(rows: DataFrame, text: str, every: int, long_words: int) -> Data
 
     def chunk(end: Column, k: Column) -> Column:
         start = F.when(k > 0, F.get("_cuts", k - 1) + 1).otherwise(F.lit(0))
-        return F.struct(k.cast("int").alias("pos"), (end - start + 1).alias("n_lines"), F.array_join(F.slice("_lines", start + 1, end - start + 1), "\n").alias("chunk"))
+        own = F.slice("_lines", start + 1, end - start + 1)
+        n_words = F.aggregate(own, F.lit(0), lambda a, x: a + words(x))
+        return F.struct(k.cast("int").alias("pos"), (end - start + 1).alias("n_lines"), n_words.alias("n_words"), F.array_join(own, "\n").alias("chunk"))
 
     return cuts.withColumn("_chunks", F.transform("_cuts", chunk)).drop("_lines", "_hashes", "_long", "_cuts")
 
 
-def dedup_lines(docs: DataFrame, every: int = 2, long_words: int = 24, least_lines: int = 2, least_words: int = 12, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, every: int = 2, long_words: int = 16, least_lines: int = 2, least_words: int = 12, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(row, text, n_chunks, n_removed): row is a struct of all columns of docs as they were, text what is left.
 
-    Removed are chunks that occur before, in a row of smaller id or earlier in the same row, if they have least_lines lines and
-    least_words words, or long_words words. The first place always stays. A null text stays null, an empty one empty; if every chunk goes the
-    text is empty. Null ids come last and give no first place; rows that repeat id and text share their decision.
+    A chunk is met again if it occurs before, in a row of smaller id or earlier in the same row. Of such chunks, runs that
+    follow one another are removed if together they have least_lines lines and least_words words, or long_words words;
+    single short lines stay. The first place always stays. A null text stays null, an empty one empty; if every chunk
+    goes the text is empty. Null ids come last and give no first place; rows that repeat id and text share their decision.
 
     Chunks are counted by two 64-bit hashes without their text; only repeated ones are shuffled with it. A chunk that a third
     of all rows has is one combined row in the count, and a key that adaptive execution splits in the joins.
@@ -61,18 +65,26 @@ def dedup_lines(docs: DataFrame, every: int = 2, long_words: int = 24, least_lin
     chunked = with_chunks(rows.select("_id", "_key", whole), "_text", every, long_words)
     # the arrays are never empty; an inner explode would have their size computed in a pushed filter, once per line
     each = chunked.select("_id", "_key", F.explode_outer("_chunks").alias("c")).select("_id", "_key", "c.*")
-    words = spaces(F.col("chunk")) + F.col("n_lines")
-    counts = each.where(((F.col("n_lines") >= least_lines) & (words >= least_words)) | (words >= long_words))
-    counts = counts.withColumn("h1", F.xxhash64("chunk")).withColumn("h2", F.xxhash64(F.lit(0x51ED27), F.col("chunk")))
+    counts = each.withColumn("h1", F.xxhash64("chunk")).withColumn("h2", F.xxhash64(F.lit(0x51ED27), F.col("chunk")))
     again = counts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_id").alias("first_id")).where("n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_id")
     same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
-    repeated = stage(counts.join(again, same).select("_id", "_key", "pos", "chunk", "h1", "h2", "first_id"), "repeated-chunks")
+    repeated = stage(counts.join(again, same).select("_id", "_key", "pos", "n_lines", "n_words", "chunk", "h1", "h2", "first_id"), "repeated-chunks")
     place = F.min(F.struct("pos", "_key", "chunk")).alias("first")
     firsts = repeated.where(F.col("_id") == F.col("first_id")).groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(place)
     at_first = (F.col("_id") == F.col("first_id")) & (F.col("pos") == F.col("first.pos")) & (F.col("_key") == F.col("first._key"))
     gone = repeated.join(firsts, same).where((F.col("chunk").cast("binary") == F.col("first.chunk").cast("binary")) & ~F.coalesce(at_first, F.lit(False)))
-    by_row = gone.groupBy(F.col("_id").alias("g_id"), F.col("_key").alias("g_key")).agg(F.collect_set("pos").alias("gone"))
+    # runs of consecutive chunks; equal rows count a place once
+    places = gone.select("_id", "_key", "pos", "n_lines", "n_words").distinct()
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("_id", "_key").orderBy("pos"))
+    whole_run = Window.partitionBy("_id", "_key", "_run")
+    sized = places.withColumn("_run", run).withColumn("_l", F.sum("n_lines").over(whole_run)).withColumn("_w", F.sum("n_words").over(whole_run))
+    enough = ((F.col("_l") >= least_lines) & (F.col("_w") >= least_words)) | (F.col("_w") >= long_words)
+    by_row = sized.where(enough).groupBy(F.col("_id").alias("g_id"), F.col("_key").alias("g_key")).agg(F.collect_set("pos").alias("gone"))
     joined = rows.join(by_row, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left")
     back = with_chunks(joined.select("row", "gone", whole), "_text", every, long_words)
     kept = F.array_join(F.transform(F.filter("_chunks", lambda c: ~F.array_contains("gone", c["pos"])), lambda c: c["chunk"]), "\n")
-    return back.select("row", F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept).alias("text"), F.when(F.col("_text").isNull(), 0).otherwise(F.size("_chunks")).cast("bigint").alias("n_chunks"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    text_left = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept)
+    n_chunks = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_chunks")).cast("bigint")
+    done = F.struct(text_left.alias("text"), n_chunks.alias("n_chunks"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    # a generator, so that filters on the result aren't pushed down with the chunking copied into them
+    return back.select("row", F.explode_outer(F.array(done)).alias("_done")).select("row", "_done.*")

@@ -25,16 +25,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH l AS (SELECT doc_id, pos, line, len(line) - len(replace(line, ' ', '')) + 1 AS words, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+WITH l AS (SELECT doc_id, pos, line, CASE WHEN line = '' THEN 0 ELSE len(line) - len(replace(line, ' ', '')) + 1 END AS words, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 c AS (SELECT *, coalesce(lag(cut) OVER w, 0) AS starts FROM (
-        SELECT *, CASE WHEN words >= 24 OR lead(words) OVER w >= 24 OR (coalesce(lag(h) OVER w, 0) * 31 + h) % 2 = 0 THEN 1 ELSE 0 END AS cut
+        SELECT *, CASE WHEN words >= 16 OR lead(words) OVER w >= 16 OR (coalesce(lag(h) OVER w, 0) * 31 + h) % 2 = 0 THEN 1 ELSE 0 END AS cut
         FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 g AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY pos) AS chunk, sum(words) AS words, count(*) AS n
       FROM (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM c) GROUP BY doc_id, k),
-f AS (SELECT *, ((n >= 2 AND words >= 12) OR words >= 24) AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM g)
+f AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS again FROM g),
+r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, again ORDER BY k) AS run FROM f),
+z AS (SELECT *, again AND ((sum(n) OVER w >= 2 AND sum(words) OVER w >= 12) OR sum(words) OVER w >= 16) AS gone FROM r WINDOW w AS (PARTITION BY doc_id, again, run))
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, coalesce(x.n_chunks, 0)::BIGINT AS n_chunks, coalesce(x.n_removed, 0)::BIGINT AS n_removed
-FROM documents d LEFT JOIN (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone) AS text, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed FROM f GROUP BY doc_id) x USING (doc_id)
+FROM documents d LEFT JOIN (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone) AS text, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed FROM z GROUP BY doc_id) x USING (doc_id)
 """
 
 
@@ -54,11 +56,11 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import align, fingerprint, sonify
+    from .media import WIDEST, align, fingerprint, sonify
     from .shared import stage
 
     prints = stage(fingerprint(sonify(_table(spark, sf_dir, "embeddings"))), "fingerprints")
-    return align(prints, "recording_id % 20 = 0")
+    return align(prints, "recording_id % 20 = 0", gap=WIDEST)
 
 
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

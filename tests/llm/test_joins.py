@@ -228,6 +228,8 @@ def test_audio_alignment(spark):
     assert set(got) == {0, 1}
     assert got[0]["bit_error"] == 0 and got[1]["bit_error"] < 0.15
     assert abs(got[1]["offset"] - 4 * 0.15 * 2000 / 128) <= 2  # the lead's length in frames
+    strict = {r["match_id"]: r for r in media.align(prints, "recording_id = 0", gap=2, least_votes=1).collect()}
+    assert strict[0]["bit_error"] == 0 and set(strict) <= {0, 1}
     assert media.align(prints.limit(0), "recording_id = 0").count() == 0
 
 
