@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import byte_column, mix64, raw_bytes, slices, span_hashes, stage, word_spans
+from .shared import byte_column, free_shuffles, mix64, raw_bytes, slices, span_hashes, stage, word_spans
 
 
 @dataclass(frozen=True)
@@ -213,12 +213,20 @@ def common_grams(docs: DataFrame, rule: Similarity, sample: int = 20_000, least:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(texts.slice(start, stop - start), rule.words)[1].view(np.int64))], names=["gram"])
 
     rows = max(1, docs.count())
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / rows)) + 1)
+    chosen = min(sample, max(1000, rows // 20))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, chosen / rows)) + 1)
     grams = drawn.select("text").mapInArrow(run, "gram bigint").groupBy("gram").count().where(F.col("count") >= least)
     found = grams.orderBy(F.desc("count"), "gram").limit(most).select("gram").toPandas()["gram"].to_numpy(np.int64)
     return np.sort(found.view(np.uint64))
 
 
+def _signed_together(known: DataFrame) -> DataFrame:
+    """Edges (u, v) from each document to the smallest that shares one of its signatures."""
+    signed = known.select("doc_id", F.explode("signed").alias("s"))
+    hubs = signed.groupBy("s").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select(F.col("s").alias("k"), "hub")
+    return signed.join(hubs, F.col("s") == F.col("k")).where("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
+
+
 def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row of docs: its id, n_shingles and component_id, the smallest id that links lead to (its own included).
 
@@ -246,10 +254,9 @@ def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, tex
 
     base = stage(docs.mapInArrow(sets, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, signed array<bigint>"), "sets")
     known = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    signed = known.select("doc_id", F.explode("signed").alias("s"))
-    hubs = signed.groupBy("s").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select(F.col("s").alias("k"), "hub")
-    near = signed.join(hubs, F.col("s") == F.col("k")).where("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
-    candidates = connected_components(near)
+    near = stage(_signed_together(known), "near")
+    free_shuffles(docs.sparkSession)
+    candidates = stage(connected_components(near), "candidates")
 
     # one row for each distinct set of a block: its smallest document
     member = known.drop("signed").join(candidates, F.col("doc_id") == F.col("node"))
@@ -287,5 +294,7 @@ def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, tex
     links = tiles.groupBy("bucket").applyInPandas(verify, "u bigint, v bigint")
     copies = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     same = known.select("doc_id", "n_shingles", "f1", "f2").alias("d").join(copies.alias("c"), ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    links = stage(links, "links")
+    free_shuffles(docs.sparkSession)
     reached = connected_components(links.unionByName(same))
     return base.join(reached, base["doc_id"] == reached["node"], "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
