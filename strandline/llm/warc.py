@@ -44,13 +44,13 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", id_col: st
 
     A null payload is empty and a null url is `about:blank`. A row with a null id gets a record whose id text is
     empty; among equal payloads such rows come last. Rows that repeat an id with the same payload are
-    each a response if their id is the smallest. Payload bytes are shuffled once, by row id; only digests are grouped.
+    each a response if their id is the smallest. Payload bytes are shuffled once, by digest; records are marked on digests alone.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     keyed = pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url), F.lit("about:blank")).alias("_url"), body.alias("_body"))
     keyed = keyed.withColumn("payload_digest", F.sha2("_body", 256)).withColumn("payload_bytes", F.octet_length("_body").cast("bigint"))
     small = keyed.select("_id", "_url", "payload_digest", "payload_bytes")
-    first = small.groupBy("payload_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_same"))
+    first = small.groupBy("payload_digest").agg(F.min("_id").alias("_first"))
     marked = small.join(first, "payload_digest")
     revisit = (F.col("payload_bytes") >= least) & F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     marked = marked.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first")))
@@ -70,18 +70,16 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", id_col: st
         ("Content-Length", (F.octet_length(http) + sent).cast("string")),
         F.lit(CRLF),
     )
-    headers = marked.select(F.col("_id").alias("record_key"), "record_type", "refers_to", "payload_digest", "payload_bytes", F.concat(warc, http).cast("binary").alias("header"), F.col("_id").eqNullSafe(F.col("_first")).alias("keeps_payload"))
+    headers = marked.select(F.col("_id").alias("record_key"), "record_type", "refers_to", "payload_digest", "payload_bytes", F.concat(warc, http).cast("binary").alias("header"))
     archive = Archive(path)
-    headers.write.parquet(archive.headers)
-    spark = pages.sparkSession
-    keepers = spark.read.schema(headers.schema).parquet(archive.headers).where("keeps_payload").select(F.col("record_key").alias("_key"), F.col("payload_digest").alias("_digest")).distinct()
-    kept = keyed.join(keepers, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("payload_digest") == F.col("_digest")), "left_semi")
-    once = kept.groupBy("_id", "payload_digest").agg(F.first("_body").alias("payload"))
-    once.select("payload_digest", "payload").write.parquet(archive.payloads)
+    headers.write.option("compression", "zstd").parquet(archive.headers)
+    # equal payloads are combined before the one shuffle, so a payload that a third of all rows has moves once per task
+    once = keyed.groupBy("payload_digest").agg(F.first("_body").alias("payload"))
+    once.write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
 
-def read_archive(spark: SparkSession, archive: Archive, least: int = 100) -> DataFrame:
+def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """The original records: record_key, record_type, refers_to, payload_digest, payload_bytes, record (the exact bytes) and payload.
 
     A payload that is missing, or whose length or SHA-256 isn't the header's, fails the read.
