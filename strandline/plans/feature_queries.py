@@ -216,9 +216,23 @@ def h2_interpolated(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("rec", "i", F.round(S.lerp(F.col("q"), F.col("q") + 500, F.lit(10), F.lit(10) + F.col("i"), F.lit(12)), 6).alias("v"))
 
 
+def j4_sql_time_grid(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.sql import register_time_grid
+
+    register_time_grid(spark)
+    span = frames(spark, sf).groupBy("rec").agg((F.max("t") % 2_000_000).alias("span"))
+    return spark.sql("SELECT s.rec, g.grid_us FROM {s} s, LATERAL time_grid(s.span, 30, 1) g", s=span)
+
+
+def _j4() -> str:
+    from .sequence_queries import H13
+
+    return f"SELECT rec, grid_us FROM ({H13})"
+
+
 H2 = f"WITH {FRAMES} SELECT rec, i, round(CASE WHEN i >= 2 THEN q + 500 * (2.0::DOUBLE / i) END, 6) AS v FROM frames"
 
 QUERIES = {
     "m10_features": (m10_features, None), "m11_feature_violations": (m11_feature_violations, M11), "m12_training_violations": (m12_training_violations, M12), "h5_hand_local": (h5_hand_local, H5), "h9_body_relative": (h9_body_relative, H9), "m6_transition_fragments": (m6_transition_fragments, M6), "m9_corpus": (m9_corpus, None), "m3_sealed_partitions": (m3_sealed_partitions, M3),
-    "a1_a2_table_round_trip": (a1_a2_table_round_trip, A1), "a3_a4_frames_round_trip": (a3_a4_frames_round_trip, A3), "a5_file_inventory": (a5_file_inventory, A5), "a7_media_table": (a7_media_table, A7), "a8_predictions": (a8_predictions, _a8()), "a10_reuse": (a10_reuse, A10), "a11_run_ledger": (a11_run_ledger, A11), "a12_normalized_runs": (a12_normalized_runs, A12), "a13_resolved_artifacts": (a13_resolved_artifacts, A13), "h2_interpolated": (h2_interpolated, H2),
+    "a1_a2_table_round_trip": (a1_a2_table_round_trip, A1), "a3_a4_frames_round_trip": (a3_a4_frames_round_trip, A3), "a5_file_inventory": (a5_file_inventory, A5), "a7_media_table": (a7_media_table, A7), "a8_predictions": (a8_predictions, _a8()), "a10_reuse": (a10_reuse, A10), "a11_run_ledger": (a11_run_ledger, A11), "a12_normalized_runs": (a12_normalized_runs, A12), "a13_resolved_artifacts": (a13_resolved_artifacts, A13), "h2_interpolated": (h2_interpolated, H2), "j4_sql_time_grid": (j4_sql_time_grid, _j4()),
 }
