@@ -7,6 +7,7 @@ alike in cost.
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import zlib
@@ -32,7 +33,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.index = Tokenizer.from_file(path), WordIndex()
+        self.tokenizer, self.index = Tokenizer.from_file(path), WordIndex(800_000)
         names = self.tokenizer.get_vocab()
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -50,25 +51,32 @@ class WordIds:
                 text = w.decode("utf-8", "replace")
                 plain = _PLAIN.fullmatch(text)
                 parts[0 if not plain else 2 if plain[1] else 1].append((w, text))
+            learnt = []
             for marks, part in enumerate(parts):
                 step = 1024 if marks else max(1, len(part))
-                for k in range(0, len(part), step):
-                    self._learn(part[k : k + step], marks)
+                learnt += [self._ids([text for _, text in part[k : k + step]], marks) for k in range(0, len(part), step)]
+            self.index.add([w for part in parts for w, _ in part])
+            sizes = np.concatenate([size for _, size in learnt])
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(sizes))
+            self.flat = np.concatenate([self.flat, *(flat for flat, _ in learnt)])
         at = self.index.at(words)
         return self.flat, self.ends[at], self.ends[at + 1]
 
-    def _learn(self, part: list[tuple[bytes, str]], marks: int) -> None:
-        """Adds the ids of words, each of `marks` pre-tokens if that isn't 0."""
-        texts = [text for _, text in part]
+    def _ids(self, texts: list[str], marks: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words and how many each has; each is of `marks` pre-tokens if that isn't 0."""
         if marks:
             flat = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[flat])[marks - 1 :: marks] + 1
-        if not marks or self.last[flat].sum() != marks * len(part):
-            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            flat, ends = np.fromiter((i for x in each for i in x), np.uint32), np.cumsum([len(x) for x in each])
-        self.index.add([w for w, _ in part])
-        self.ends = np.append(self.ends, self.ends[-1] + ends)
-        self.flat = np.append(self.flat, flat)
+            ends = np.flatnonzero(self.last[flat])
+            if len(ends) == marks * len(texts):
+                return flat, np.diff(np.r_[0, ends[marks - 1 :: marks] + 1])
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in each for i in x), np.uint32), np.array([len(x) for x in each], np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process: the tasks it runs one after the other share what was learnt."""
+    return WordIds(path)
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -86,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, stop_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         for batch in batches:
             texts = byte_column(batch.column(1))
             for first, last in slices(texts):

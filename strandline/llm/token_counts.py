@@ -7,6 +7,7 @@ without such a pair is finished and leaves. What counts is how many symbols surv
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -119,6 +120,12 @@ class WordCounter:
         return self.counts[self.index.at(words)]
 
 
+@functools.lru_cache(maxsize=1)
+def word_counter(path: str) -> WordCounter:
+    """One per worker process: the tasks it runs one after the other share what was learnt."""
+    return WordCounter(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row of docs: its id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
@@ -128,7 +135,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = WordCounter(tokenizer)
+        counter = word_counter(tokenizer)
         for batch in batches:
             texts = byte_column(batch.column(1))
             for start, stop in slices(texts):
