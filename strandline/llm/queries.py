@@ -56,11 +56,13 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import WIDEST, align, fingerprint, sonify
+    from .media import align, fingerprint, sonify
     from .shared import stage
 
-    prints = stage(fingerprint(sonify(_table(spark, sf_dir, "embeddings"))), "fingerprints")
-    return align(prints, "recording_id % 20 = 0", gap=WIDEST)
+    vectors, asked, hop = _table(spark, sf_dir, "embeddings"), "recording_id % 20 = 0", 128
+    prints = stage(fingerprint(sonify(vectors), hop=hop), "fingerprints")
+    shifted = fingerprint(sonify(vectors.where("vec_id % 20 = 0")), hop=hop, skip=hop // 2)
+    return align(prints, asked, shifted=shifted)
 
 
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,6 +233,26 @@ def test_audio_alignment(spark):
     assert media.align(prints.limit(0), "recording_id = 0").count() == 0
 
 
+def test_audio_query_finds_shifted_and_changed_recordings(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows, wanted = [], []
+    for k in range(24):
+        x = rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        y = x.copy()
+        y[rng.choice(64, 1 + k % 8, False)] = rng.normal(size=1 + k % 8) * 0.125
+        rows += [(20 * k, x.tolist()), (20 * k + 1, y.tolist())]
+        lead = [hashlib.md5(v.tobytes()).digest()[0] % 5 for v in (x, y)]
+        wanted.append((20 * k, 20 * k + 1, (lead[0] - lead[1]) % 2))
+    assert {0, 1} == {odd for *_, odd in wanted}  # whole hops and half hops
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = queries.op4_audio_fingerprints(spark, str(tmp_path)).collect()
+    got = {(r["query_id"], r["match_id"]): r["half"] for r in out}
+    assert {(q, m) for q, m, _ in wanted} | {(q, q) for q, *_ in wanted} <= set(got)
+    assert [got[q, m] for q, m, _ in wanted] == [odd for *_, odd in wanted]
+    assert {(q, m) for q, m in got if q // 20 != m // 20} == set()
+
+
 def test_integral_image_filters_equal_plain_sums():
     rng = np.random.default_rng(1)
     image = rng.random((20, 12))
