@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.jaccard_join import Similarity, jaccard_components
 from strandline.llm.language_id import fit_language_models, keep_identified, training_rows
-from strandline.llm.line_dedup import dedup_lines
+from strandline.llm.line_dedup import dedup_passages
 from strandline.llm.mixing import mix
 from strandline.llm.packing import pack_documents
 from strandline.llm.queries import _tokenizer
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without chunks met before; a document of which nothing is left goes, one that was empty before stays."""
-    done = dedup_lines(docs)
+    """Texts without passages met before; a document of which nothing is left goes, one that was empty before stays."""
+    done = dedup_passages(docs)
     left = done.where((F.col("n_removed") == 0) | (F.length("text") > 0))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))}
     return left.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -23,21 +23,27 @@ def words(line: Column) -> Column:
     return F.when(F.length(line) == 0, 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
+def _marked(rows: DataFrame, text: str, long_words: int) -> DataFrame:
+    """Adds `_lines`, their `_hashes` and whether each is `_long`."""
+    lines = rows.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    return lines.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_long", F.transform("_lines", lambda x: words(x) >= long_words))
+
+
+def _ends(i: Column, every: int) -> Column:
+    """Whether a boundary follows line i of `_marked`."""
+    before = F.when(i > 0, F.get("_hashes", i - 1)).otherwise(F.lit(0))
+    rolled = (before * 31 + F.get("_hashes", i)) % every
+    return (i == F.size("_long") - 1) | F.get("_long", i) | F.get("_long", i + 1) | (rolled == 0)
+
+
 def with_chunks(rows: DataFrame, text: str, every: int, long_words: int) -> DataFrame:
     """Adds `_chunks`: an array of (pos, n_lines, n_words, chunk), each the lines up to the next boundary; joined by newlines they are the text.
 
     A boundary follows a line if the rolling hash of it and the line before is divisible by `every`, and stands on both
     sides of a line of long_words words or more.
     """
-    lines = rows.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    marks = lines.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_long", F.transform("_lines", lambda x: words(x) >= long_words))
-
-    def ends(i: Column) -> Column:
-        before = F.when(i > 0, F.get("_hashes", i - 1)).otherwise(F.lit(0))
-        rolled = (before * 31 + F.get("_hashes", i)) % every
-        return (i == F.size("_long") - 1) | F.get("_long", i) | F.get("_long", i + 1) | (rolled == 0)
-
-    cuts = marks.withColumn("_cuts", F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), ends))
+    marks = _marked(rows, text, long_words)
+    cuts = marks.withColumn("_cuts", F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), lambda i: _ends(i, every)))
 
     def chunk(end: Column, k: Column) -> Column:
         start = F.when(k > 0, F.get("_cuts", k - 1) + 1).otherwise(F.lit(0))
@@ -48,6 +54,49 @@ def with_chunks(rows: DataFrame, text: str, every: int, long_words: int) -> Data
     return cuts.withColumn("_chunks", F.transform("_cuts", chunk)).drop("_lines", "_hashes", "_long", "_cuts")
 
 
+def _met_before(each: DataFrame, name: str) -> DataFrame:
+    """The rows of each (_id, _key, pos, chunk and more) whose chunk occurs before, with an equal text: in a row of smaller id or earlier in the same row."""
+    counts = each.withColumn("h1", F.xxhash64("chunk")).withColumn("h2", F.xxhash64(F.lit(0x51ED27), F.col("chunk")))
+    again = counts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_id").alias("first_id")).where("n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_id")
+    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+    repeated = stage(counts.join(again, same).select(*counts.columns, "first_id"), name)
+    place = F.min(F.struct("pos", "_key", "chunk")).alias("first")
+    firsts = repeated.where(F.col("_id") == F.col("first_id")).groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(place)
+    at_first = (F.col("_id") == F.col("first_id")) & (F.col("pos") == F.col("first.pos")) & (F.col("_key") == F.col("first._key"))
+    return repeated.join(firsts, same).where((F.col("chunk").cast("binary") == F.col("first.chunk").cast("binary")) & ~F.coalesce(at_first, F.lit(False)))
+
+
+def dedup_passages(docs: DataFrame, every: int = 2, long_words: int = 16, least_lines: int = 2, least_words: int = 12, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(row, text, n_lines, n_removed): as dedup_lines, but what is counted are all pairs of neighbouring lines, and chunks of one line.
+
+    Pairs overlap and depend on no neighbour, so a repeated passage goes up to its first and last line wherever it stands; whatever
+    dedup_lines removes goes too, as the pairs of a chunk that is met again are. Runs of such lines that follow one another are
+    removed under the same limits. The first place of each line stays. n_lines and n_removed count lines.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_key"))
+    marks = _marked(rows.select("_id", "_key", F.col(f"row.`{text}`").alias("_text")), "_text", long_words)
+    at = F.sequence(F.lit(0), F.size("_lines") - 1)
+    item = lambda i, n: F.struct(i.alias("pos"), F.transform(F.slice("_lines", i + 1, n), words).alias("sizes"), F.array_join(F.slice("_lines", i + 1, n), "\n").alias("chunk"))
+    pairs = F.transform(F.filter(at, lambda i: i < F.size("_lines") - 1), lambda i: item(i, 2))
+    alone = F.transform(F.filter(at, lambda i: _ends(i, every) & ((i == 0) | _ends(i - 1, every))), lambda i: item(i, 1))
+    each = marks.select("_id", "_key", F.explode_outer(F.concat(pairs, alone)).alias("c")).select("_id", "_key", "c.*")
+    gone = _met_before(each, "repeated-lines")
+    # several items cover a line; equal rows count a place once
+    lines = gone.select("_id", "_key", "pos", F.posexplode("sizes").alias("k", "n_words")).select("_id", "_key", (F.col("pos") + F.col("k")).alias("pos"), "n_words").distinct()
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("_id", "_key").orderBy("pos"))
+    whole_run = Window.partitionBy("_id", "_key", "_run")
+    sized = lines.withColumn("_run", run).withColumn("_l", F.count("*").over(whole_run)).withColumn("_w", F.sum("n_words").over(whole_run))
+    enough = ((F.col("_l") >= least_lines) & (F.col("_w") >= least_words)) | (F.col("_w") >= long_words)
+    by_row = sized.where(enough).groupBy(F.col("_id").alias("g_id"), F.col("_key").alias("g_key")).agg(F.collect_set("pos").alias("gone"))
+    joined = rows.join(by_row, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left")
+    before = F.col(f"row.`{text}`")
+    split = F.split(before, "\n", -1)
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    done = F.struct(F.when(F.col("gone").isNull(), before).otherwise(kept).alias("text"), F.coalesce(F.size(split), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    # a generator, as in dedup_lines
+    return joined.select("row", F.explode_outer(F.array(done)).alias("_done")).select("row", "_done.*")
+
+
 def dedup_lines(docs: DataFrame, every: int = 2, long_words: int = 16, least_lines: int = 2, least_words: int = 12, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(row, text, n_chunks, n_removed): row is a struct of all columns of docs as they were, text what is left.
 
@@ -65,14 +114,7 @@ def dedup_lines(docs: DataFrame, every: int = 2, long_words: int = 16, least_lin
     chunked = with_chunks(rows.select("_id", "_key", whole), "_text", every, long_words)
     # the arrays are never empty; an inner explode would have their size computed in a pushed filter, once per line
     each = chunked.select("_id", "_key", F.explode_outer("_chunks").alias("c")).select("_id", "_key", "c.*")
-    counts = each.withColumn("h1", F.xxhash64("chunk")).withColumn("h2", F.xxhash64(F.lit(0x51ED27), F.col("chunk")))
-    again = counts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_id").alias("first_id")).where("n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_id")
-    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
-    repeated = stage(counts.join(again, same).select("_id", "_key", "pos", "n_lines", "n_words", "chunk", "h1", "h2", "first_id"), "repeated-chunks")
-    place = F.min(F.struct("pos", "_key", "chunk")).alias("first")
-    firsts = repeated.where(F.col("_id") == F.col("first_id")).groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(place)
-    at_first = (F.col("_id") == F.col("first_id")) & (F.col("pos") == F.col("first.pos")) & (F.col("_key") == F.col("first._key"))
-    gone = repeated.join(firsts, same).where((F.col("chunk").cast("binary") == F.col("first.chunk").cast("binary")) & ~F.coalesce(at_first, F.lit(False)))
+    gone = _met_before(each, "repeated-chunks")
     # runs of consecutive chunks; equal rows count a place once
     places = gone.select("_id", "_key", "pos", "n_lines", "n_words").distinct()
     run = F.col("pos") - F.row_number().over(Window.partitionBy("_id", "_key").orderBy("pos"))

@@ -129,6 +129,37 @@ def test_line_dedup_of_copies_and_repeats(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n_lines", "n_words"), [(2, 26), (4, 13), (6, 10), (10, 10), (7, 15)])
+def test_passages_go_to_their_last_line_wherever_they_stand(spark, n_lines, n_words):
+    rng = random.Random(n_lines)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, wanted = [], {}
+    for k in range(40):
+        passage = [line(n_words) for _ in range(n_lines)]
+        own = [[line(10) for _ in range(2)] for _ in range(4)]
+        rows += [(k, "\n".join(own[0] + passage + own[1])), (100 + k, "\n".join(own[2] + passage + own[3]))]
+        wanted |= {k: rows[-2][1], 100 + k: "\n".join(own[2] + own[3])}
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_passages(docs_of(spark, rows)).select("row.doc_id", "text", "n_removed").collect()}
+    assert {k: t for k, (t, _) in got.items()} == wanted
+    assert all(n == (n_lines if k >= 100 else 0) for k, (_, n) in got.items())
+
+
+def test_passages_edges(spark):
+    rows = [(1, None), (2, ""), (3, "short\nshort\nshort"), (4, PASSAGE), (5, f"head\n{PASSAGE}\ntail"), (6, PASSAGE), (None, PASSAGE)]
+    df = line_dedup.dedup_passages(docs_of(spark, rows))
+    got = {r["doc_id"]: (r["text"], r["n_lines"]) for r in df.select("row.doc_id", "text", "n_lines").collect()}
+    assert got == {1: (None, 0), 2: ("", 1), 3: (rows[2][1], 3), 4: (PASSAGE, 9), 5: ("head\ntail", 11), 6: ("", 9), None: ("", 9)}
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pipeline_stage_removes_whole_passages(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, f"a first\n{PASSAGE}\nb"), (2, f"c other\n{PASSAGE}\nd")], "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got[2] == ("c other\nd", 9) and PASSAGE in got[1][0]
+
+
 def test_line_dedup_plan_is_native(spark):
     plan = line_dedup.dedup_lines(docs_of(spark, [(1, PASSAGE)]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
