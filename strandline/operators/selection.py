@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import written
+
 
 def alias(df: DataFrame, column: str, prefix: str, width: int = 3) -> DataFrame:
-    """(column, alias): a stable name by the rank among the distinct identities. The distinct list is the only thing sorted as a whole."""
-    ids = df.select(column).where(F.col(column).isNotNull()).distinct()
-    k = F.row_number().over(Window.orderBy(column))
-    return ids.select(column, F.concat(F.lit(prefix), F.lpad(k.cast("string"), width, "0")).alias("alias"))
+    """(column, alias): a stable name by the rank among the distinct identities, padded to width; longer ranks stay whole.
+
+    Ranks are taken inside ranges of identities, and each range starts after the counts of those before it; only these counts are sorted as a whole.
+    """
+    ids = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column)
+    ranged = written(ids.select(column, F.spark_partition_id().alias("_range")), "alias-ranges")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    k = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    ranked = ranged.withColumn("_k", k).join(F.broadcast(starts), "_range").select(column, (F.col("_k") + F.col("_start")).cast("string").alias("_rank"))
+    return ranked.select(column, F.concat(F.lit(prefix), F.lpad("_rank", F.greatest(F.lit(width), F.length("_rank")), F.lit("0"))).alias("alias"))
 
 
 def interleave(df: DataFrame, group: str, *order: str) -> DataFrame:
