@@ -81,6 +81,12 @@ def pad(values: Column, m: int, neutral: Column) -> Column:
     return F.concat(values, F.array_repeat(neutral, F.greatest(F.lit(m) - F.size(values), F.lit(0))))
 
 
+def fixed_length(values: Column, m: int, neutral: Column) -> Column:
+    """m values: those at the uniform_indices of the whole sequence, padded if it has fewer."""
+    values = _col(values)
+    return pad(F.transform(uniform_indices(F.size(values), m), lambda i: F.get(values, i.cast("int"))), m, neutral)
+
+
 def temperature_softmax(p: Column, temperature: float | Column, floor: float = 1e-12) -> Column:
     """Probabilities sharpened (temperature < 1) or flattened: softmax of their logarithms over the temperature."""
     t = _col(temperature)

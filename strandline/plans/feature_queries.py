@@ -44,7 +44,7 @@ M11 = "SELECT '' AS rule_id, NULL::BIGINT AS rec WHERE FALSE"
 
 def m12_training_violations(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
-    features = f.groupBy("rec").agg(F.array(F.transform(F.sort_array(F.collect_list("i")), lambda x: x)).alias("values_q")).withColumn("values_q", F.transform("values_q", lambda r: F.slice(r, 1, 40)))
+    features = f.groupBy("rec").agg(F.sort_array(F.collect_list("i")).alias("values")).select("rec", F.array(S.fixed_length(F.col("values"), 64, F.lit(0).cast("bigint"))).alias("values_q"))
     again = features.where("rec % 30 = 0")
     split = f.select("rec").distinct().where("rec % 11 <> 4").withColumn("partition", F.when(F.col("rec") % 5 == 0, "test").otherwise("train"))
     return X.training_violations(features.unionByName(again), split)
