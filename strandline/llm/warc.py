@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 CRLF = "\r\n"
 
 
@@ -42,12 +44,12 @@ def _lines(*fields: tuple[str, Column] | Column) -> Column:
 def write_archive(pages: DataFrame, path: str, payload: str = "html", id_col: str = "page_id", url: str = "url", least: int = 100, date: str = "2020-01-01T00:00:00Z") -> Archive:
     """Writes a WARC record per row: response, or revisit of the record with the smallest id among equal payloads of `least` bytes or more.
 
-    A null payload is empty and a null url is `about:blank`. A row with a null id gets a record whose id text is
+    A null payload is empty and a null url is `about:blank`; line ends in a url are percent-encoded. A row with a null id gets a record whose id text is
     empty; among equal payloads such rows come last. Rows that repeat an id with the same payload are
     each a response if their id is the smallest. Payload bytes are shuffled once, by digest; records are marked on digests alone.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
-    keyed = pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url), F.lit("about:blank")).alias("_url"), body.alias("_body"))
+    keyed = pages.select(F.col(id_col).alias("_id"), F.replace(F.replace(F.coalesce(F.col(url), F.lit("about:blank")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("_url"), body.alias("_body"))
     keyed = keyed.withColumn("payload_digest", F.sha2("_body", 256)).withColumn("payload_bytes", F.octet_length("_body").cast("bigint"))
     small = keyed.select("_id", "_url", "payload_digest", "payload_bytes")
     first = small.groupBy("payload_digest").agg(F.min("_id").alias("_first"))
@@ -62,6 +64,7 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", id_col: st
         F.lit("WARC/1.1" + CRLF),
         ("WARC-Type", F.col("record_type")),
         ("WARC-Record-ID", F.concat(F.lit("<"), _uuid(id_text), F.lit(">"))),
+        F.when(F.col("_id").isNull(), F.lit("")).otherwise(_lines(("X-Record-Key", id_text))),
         ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", F.col("_url")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
@@ -95,5 +98,26 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
 
 
 def record_fields(records: DataFrame) -> DataFrame:
-    """record_key, record_type, refers_to, and payload_bytes and payload_digest taken anew from the payloads read back."""
-    return records.select("record_key", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    """record_key, payload_bytes, payload_digest, record_type and refers_to, all parsed from the bytes of `record`.
+
+    A revisit's payload is that of the record it names. A record whose lengths or digest don't agree with its bytes, or a
+    revisit that names no record with its digest, fails the read.
+    """
+    blank = CRLF + CRLF
+    head_of = lambda c: F.substring_index(F.col(c).cast("string"), blank, 1)
+    after = lambda c, head: F.expr(f"substring({c}, octet_length({head}) + {len(blank) + 1})")
+    field = lambda head, name: F.regexp_extract(head, f"(?m)^{name}: ([^\r\n]*)", 1)
+    fail = lambda text: F.raise_error(F.lit(text))
+    split = records.select("record", head_of("record").alias("warc")).withColumn("rest", after("record", "warc"))
+    split = split.withColumn("block", F.expr(f"substring(rest, 1, octet_length(rest) - {len(blank)})")).withColumn("http", head_of("block")).withColumn("body", after("block", "http"))
+    response, sent = field("warc", "WARC-Type") == "response", field("http", "Content-Length").cast("bigint")
+    told = F.substring(field("warc", "WARC-Payload-Digest"), len("sha256:") + 1, 64)
+    whole = (field("warc", "Content-Length").cast("bigint") == F.octet_length("block")) & (F.octet_length("body") == F.when(response, sent).otherwise(0))
+    digest = F.when(~F.coalesce(whole, F.lit(False)), fail("a record's length isn't its header's").cast("string")).when(response & (F.sha2("body", 256) != told), fail("a record's payload doesn't have its header's digest").cast("string")).otherwise(told)
+    key = F.when(F.col("warc").contains(CRLF + "X-Record-Key: "), field("warc", "X-Record-Key")).cast(records.schema["record_key"].dataType)
+    parsed = stage(split.select(key.alias("record_key"), sent.alias("payload_bytes"), digest.alias("payload_digest"), field("warc", "WARC-Type").alias("record_type"), field("warc", "WARC-Record-ID").alias("_rid"), field("warc", "WARC-Refers-To").alias("_ref")), "record-fields")
+    named = parsed.where("record_type = 'response'").groupBy(F.col("_rid").alias("_to"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(F.min("record_key").alias("_key"))
+    joined = parsed.join(named, (F.col("record_type") == "revisit") & (F.col("_ref") == F.col("_to")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    kind = records.schema["record_key"].dataType
+    refers_to = F.when(F.col("record_type") == "response", F.lit(None).cast(kind)).when(F.col("_key").isNull(), fail("a revisit names no record with its digest").cast(kind)).otherwise(F.col("_key"))
+    return joined.select("record_key", "payload_bytes", "payload_digest", "record_type", refers_to.alias("refers_to"))

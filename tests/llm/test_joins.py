@@ -208,6 +208,21 @@ def test_archive_round_trip(spark):
         assert rest[length:] == b"\r\n\r\n" and (rest[:length].endswith(body) if by[key]["record_type"] == "response" else body not in rest[:length] or not body)
 
 
+def test_record_fields_come_from_the_record_bytes(spark):
+    long = "<html>é\r\n\r\n" + "x" * 200
+    rows = [(3, "http://a", long), (1, "b\r\nWARC-Type: revisit\r\n\r\n", long), (2, None, "<p>"), (5, "u", None), (None, "n", long)]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"{shared.shared_dir(spark)}/archive-test-{random.random()}")
+    records = warc.read_archive(spark, archive)
+    blind = records.select(F.lit(None).cast("bigint").alias("record_key"), "record")  # nothing but the bytes
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    wanted = {(k, len((t or "").encode()), digest(t), "revisit" if k in (3, None) else "response", 1 if k in (3, None) else None) for k, _, t in rows}
+    assert {tuple(r) for r in warc.record_fields(blind).collect()} == wanted
+    for old, new in ((b"sha256:", b"sha256:0"), (b"Content-Length: 2", b"Content-Length: 3"), (b"WARC-Refers-To: <urn:uuid:", b"WARC-Refers-To: <urn:uuid:0")):
+        damaged = [(None, bytearray(bytes(r["record"]).replace(old, new))) for r in records.collect()]
+        with pytest.raises(Exception, match="header's|names no record"):
+            warc.record_fields(spark.createDataFrame(damaged, "record_key bigint, record binary")).collect()
+
+
 def test_archive_refuses_a_changed_payload(spark):
     pages = spark.createDataFrame([(1, "u", "x" * 150)], "page_id bigint, url string, html string")
     archive = warc.write_archive(pages, f"{shared.shared_dir(spark)}/archive-test-{random.random()}")
