@@ -4,10 +4,13 @@ A document is its set of word n-grams. Hashed into groups, the set becomes a vec
 overlap of two sets is at most the sum of the smaller counts. An R-tree over these points prunes whole
 boxes by that bound (with the box's largest counts); pairs that survive are verified on the sets themselves.
 
-So that no task needs all points, documents first meet by exact signatures: the set is parted by hash into k parts,
-k exceeding the largest possible symmetric difference of a linked pair, so linked sets agree in a part.
-Sizes are parted into levels and a document also signs for the next level if its partners reach there. Documents that share a
-signature, directly or by others, form one candidate block; each block has its own R-tree.
+So that no task needs all points, sets meet by their n-grams. In one order of all n-grams (those that a sample found common last,
+otherwise by hash) the first n - ceil(t n) + 1 of a set of n, its prefix, hold one of the first n-grams that it shares with any set
+it is linked with, so linked sets meet in a bucket of some prefix n-gram. Only what meets is compared: a bucket is searched by an
+R-tree over its own points, and unlinked sets that meet by a shared passage never bring their other partners together.
+
+Two passes keep large groups of near copies cheap. The first takes each set's four least hashes, compares neighbours in sorted order
+and labels what it verifies; it may miss links. The second is complete: it takes all prefixes, but only buckets with several labels.
 """
 
 from __future__ import annotations
@@ -16,13 +19,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import byte_column, free_shuffles, mix64, raw_bytes, slices, span_hashes, stage, word_spans
+from .shared import byte_column, mix64, raw_bytes, slices, span_hashes, stage, word_spans
+
+#: Groups of a count vector; sets of FINE n-grams or more also have one of four times as many, which fold onto these.
+GROUPS, FINE = 128, 2048
 
 
 @dataclass(frozen=True)
@@ -33,27 +39,16 @@ class Similarity:
     below: int = 80
     above: int = 100
 
-    @property
-    def spread(self) -> tuple[int, int]:
-        """A linked pair's symmetric difference is at most this ratio of the sum of both sizes."""
-        return self.above - self.below, self.above + self.below
-
-    def partner(self, n: np.ndarray) -> np.ndarray:
-        """The largest size that a set of size n can be linked with."""
-        return n * self.above // self.below
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """How many n-grams of a set of n must be asked for: a partner shares at least ceil(below n / above) of them."""
+        return np.where(n > 0, n + (-self.below * n) // self.above + 1, 0)
 
-    def levels(self, most: int) -> np.ndarray:
-        """First size of each level; a partner is in the same level or the next."""
-        out = [1]
-        while out[-1] <= most:
-            out.append(max(int(self.partner(np.int64(out[-1]))) + 1, out[-1] * 7 // 5))
-        return np.array(out, np.int64)
+    def sizes_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.above * np.minimum(a, b)) >= (self.below * np.maximum(a, b))
 
-    def parts(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By level the largest symmetric difference of a linked pair of it, and how many parts it has."""
-        over, under = self.spread
-        far = (levels[1:] - 1) * 2 * over // under
-        return far, far + 1 + np.minimum(far, 2)
+    def enough(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets of a and b n-grams with this overlap, or a bound of it, are linked."""
+        return (self.above + self.below) * overlap >= self.below * (a + b)
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,66 +78,88 @@ def _sums(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, heads) if len(heads) else np.zeros(0, np.uint64)
 
 
-def signatures(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray, rule: Similarity, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and signature of each part of each set, at the set's level and, where its partners reach there, the next.
+def prefixes(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray, rule: Similarity, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams are in their set's prefix, and which of all are in the sorted array `common`."""
+    often = np.zeros(len(grams), bool)
+    if len(common) and len(grams):
+        often = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+    heads = np.cumsum(sizes) - sizes
+    seen = np.cumsum(~often)
+    rare_before = seen - ~often - (seen[heads] - ~often[heads] if len(grams) else 0)[owner] if len(grams) else seen
+    place = np.arange(len(grams)) - heads[owner]
+    rare = np.bincount(owner[~often], minlength=len(sizes))
+    rank = np.where(often, rare[owner] + place - rare_before, rare_before)
+    return rank < rule.prefix(sizes)[owner], often
 
-    Parts that hold no n-gram but common ones (those in the sorted array `common`), or none, would bring unlike sets together. At
-    least k - (largest difference) parts of a linked pair agree; so they are left out of a set that has fewer of
-    them than that, and signed otherwise.
-    """
-    if not len(grams):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    levels = rule.levels(int(sizes.max()))
-    far, many = rule.parts(levels)
-    own = np.searchsorted(levels, sizes, side="right") - 1
-    rare = np.ones(len(grams), bool)
-    if len(common):
-        rare = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
-    sets, found = [], []
-    for up in (0, 1):
-        level = own + up
-        takes = (sizes > 0) & ((rule.partner(sizes) >= levels[np.minimum(level, len(levels) - 1)]) if up else True)
-        # the last level that is needed may be one beyond those of these sizes
-        if up and (level[takes] >= len(many)).any():
-            levels = rule.levels(int(levels[-1]) * 2)
-            far, many = rule.parts(levels)
-        chosen = takes[owner]
-        o, g, r = owner[chosen], grams[chosen], rare[chosen]
-        if not len(o):
-            continue
-        part = (mix64(g ^ np.uint64(0x5851F42D4C957F2D)) % many[level[o]].astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((part, o))
-        o, g, r, part = o[order], g[order], r[order], part[order]
-        heads = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (part[1:] != part[:-1])])
-        total, telling = _sums(mix64(g), heads), np.add.reduceat(r.astype(np.int64), heads) > 0
-        o, part = o[heads], part[heads]
-        weak = np.where(takes, many[level * takes], 0) - np.bincount(o[telling], minlength=len(sizes))
-        needs = takes & (weak >= (many - far)[level * takes])
-        keep = telling | needs[o]
-        # parts without any n-gram of the sets that sign all
-        for k in np.flatnonzero(needs):
-            none = np.setdiff1d(np.arange(many[level[k]]), part[o == k])
-            o, part, total, keep = np.r_[o, np.full(len(none), k)], np.r_[part, none], np.r_[total, np.zeros(len(none), np.uint64)], np.r_[keep, np.ones(len(none), bool)]
-        sets.append(o[keep])
-        found.append(mix64(total[keep] + mix64((part[keep] * 1_000_003 + level[o[keep]]).astype(np.uint64))))
-    return np.concatenate(sets), np.concatenate(found)
+
+def group_counts(owner: np.ndarray, grams: np.ndarray, sets: int, groups: int) -> np.ndarray:
+    """Counts of each set's n-grams by hash group; `groups` is a power of two, and a coarser vector is the finer one folded."""
+    cell = owner * groups + (mix64(grams + np.uint64(99)) & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(cell, minlength=sets * groups).reshape(sets, groups).astype(np.int32)
+
+
+class Points:
+    """Count vectors of sets: coarse ones of all, fine ones of the large."""
+
+    def __init__(self, sizes: np.ndarray, coarse: np.ndarray, fine: np.ndarray):
+        self.sizes, self.coarse, self.fine = sizes, coarse, fine
+        self.fine_row = np.where(sizes >= FINE, np.cumsum(sizes >= FINE) - 1, -1)
+
+    @classmethod
+    def of_sets(cls, owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> Points:
+        large = sizes >= FINE
+        row = np.cumsum(large) - 1
+        own = large[owner]
+        return cls(sizes, group_counts(owner, grams, len(sizes), GROUPS), group_counts(row[owner[own]], grams[own], int(large.sum()), 4 * GROUPS))
+
+    def packed(self) -> list[bytes]:
+        coarse = self.coarse.astype("<u2")
+        return [self.fine[f].astype("<u4").tobytes() if f >= 0 else c.tobytes() for f, c in zip(self.fine_row.tolist(), coarse)]
+
+    @classmethod
+    def unpacked(cls, sizes: np.ndarray, data: list[bytes]) -> Points:
+        large = sizes >= FINE
+        coarse = np.zeros((len(sizes), GROUPS), np.int32)
+        fine = np.frombuffer(b"".join(d for d, x in zip(data, large) if x), "<u4").astype(np.int32).reshape(-1, 4 * GROUPS)
+        coarse[~large] = np.frombuffer(b"".join(d for d, x in zip(data, large) if not x), "<u2").reshape(-1, GROUPS)
+        coarse[large] = fine.reshape(-1, 4, GROUPS).sum(1)
+        return cls(sizes, coarse, fine)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, rule: Similarity) -> np.ndarray:
+        """Whether the bounds by the coarse and, where both have one, the fine vectors allow pairs (a, b)."""
+        out = rule.sizes_fit(self.sizes[a], self.sizes[b])
+        for s in range(0, len(a), 1 << 15):
+            part = slice(s, s + (1 << 15))
+            bound = np.minimum(self.coarse[a[part]], self.coarse[b[part]]).sum(1, dtype=np.int64)
+            out[part] &= rule.enough(bound, self.sizes[a[part]], self.sizes[b[part]])
+        both = np.flatnonzero(out & (self.fine_row[a] >= 0) & (self.fine_row[b] >= 0))
+        for s in range(0, len(both), 1 << 13):
+            k = both[s : s + (1 << 13)]
+            bound = np.minimum(self.fine[self.fine_row[a[k]]], self.fine[self.fine_row[b[k]]]).sum(1, dtype=np.int64)
+            out[k] = rule.enough(bound, self.sizes[a[k]], self.sizes[b[k]])
+        return out
 
 
 class CountTree:
-    """A packed R-tree over count vectors: per node the largest count of each group and the smallest set size."""
+    """A packed R-tree over count vectors: per node the largest count of each group, the range of set sizes, and the range of blocks.
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, fan: int = 16):
-        order = np.lexsort((*counts[:, :4].T, sizes)) if len(sizes) else np.zeros(0, int)
+    Points of different blocks are never paired; they share a tree so that many small blocks are searched at once.
+    """
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, block: np.ndarray | None = None, fan: int = 16):
+        block = np.zeros(len(sizes), np.int64) if block is None else block
+        order = np.lexsort((*counts[:, :4].T, sizes, block)) if len(sizes) else np.zeros(0, int)
         self.order, self.fan, self.levels = order, fan, []
-        top, least = counts[order], sizes[order]
-        self.levels.append((top, least))
-        while len(top) > 1:
-            heads = np.arange(0, len(top), fan)
-            top, least = np.maximum.reduceat(top, heads), np.minimum.reduceat(least, heads)
-            self.levels.append((top, least))
-
-    def search(self, counts: np.ndarray, sizes: np.ndarray, rule: Similarity, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node = [counts[order], sizes[order], sizes[order], block[order], block[order]]
+        self.levels.append(node)
+        while len(node[0]) > 1:
+            heads = np.arange(0, len(node[0]), fan)
+            node = [f.reduceat(x, heads) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), node)]
+            self.levels.append(node)
+
+    def search(self, counts: np.ndarray, sizes: np.ndarray, rule: Similarity, block: np.ndarray | None = None, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, point) whose bound allows a link, a bounded number of open boxes at a time."""
+        block = np.zeros(len(sizes), np.int64) if block is None else block
         work = [(len(self.levels) - 1, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))] if len(self.order) else []
         while work:
             level, query, node = work.pop()
@@ -150,10 +167,13 @@ class CountTree:
                 half = len(query) // 2
                 work += [(level, query[half:], node[half:]), (level, query[:half], node[:half])]
                 continue
-            top, least = self.levels[level]
-            bound = np.minimum(counts[query], top[node]).sum(1, dtype=np.int64)
-            # above * i >= below * (a + b - i), with b the least size in the box
-            ok = (rule.above + rule.below) * bound >= rule.below * (sizes[query] + least[node])
+            top, least, largest, first, last = self.levels[level]
+            # by block and size first, as they cost little
+            ok = (first[node] <= block[query]) & (last[node] >= block[query])
+            ok &= (rule.above * largest[node] >= rule.below * sizes[query]) & (rule.above * sizes[query] >= rule.below * least[node])
+            query, node = query[ok], node[ok]
+            # with b the least size in the box: (above + below) * i >= below * (a + b)
+            ok = rule.enough(np.minimum(counts[query], top[node]).sum(1, dtype=np.int64), sizes[query], least[node])
             query, node = query[ok], node[ok]
             if level == 0:
                 yield query, self.order[node]
@@ -164,47 +184,115 @@ class CountTree:
                 work.append((level - 1, query[there], child[there]))
 
 
-def group_counts(owner: np.ndarray, grams: np.ndarray, sets: int, groups: int) -> np.ndarray:
-    cell = owner * groups + (mix64(grams + np.uint64(99)) % np.uint64(groups)).astype(np.int64)
-    return np.bincount(cell, minlength=sets * groups).reshape(sets, groups).astype(np.int32)
+class Forest:
+    """Which nodes are connected so far."""
+
+    def __init__(self, nodes: int):
+        self.root = np.arange(nodes)
+
+    def find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = self.root[self.root[k]]
+            k = self.root[k]
+        return int(k)
+
+    def unite(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+
+    def roots(self) -> np.ndarray:
+        while (self.root[self.root] != self.root).any():
+            self.root = self.root[self.root]
+        return self.root
+
+
+def _number(*columns: np.ndarray) -> np.ndarray:
+    """Equal rows of the columns get equal numbers from 0, in their order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), np.int64)
+    if len(order):
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _outside_main(block: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows that haven't their block's most frequent label: a pair of unlike labels has at least one of them."""
+    if not len(block):
+        return np.zeros(0, np.int64)
+    both = _number(block, label)
+    often = np.bincount(both)
+    order = np.argsort(often[both], kind="stable")
+    main = np.zeros(block.max() + 1, np.int64)
+    main[block[order]] = both[order]
+    return np.flatnonzero(both != main[block])
+
+
+def near_pairs(points: Points, block: np.ndarray, label: np.ndarray, side: np.ndarray, rule: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one block with different labels whose bounds allow a link. side: rows of side 0 and 1 meet the other side only, those of 2 all."""
+    asked = _outside_main(block, label)
+    if not len(asked):
+        return
+    tree = CountTree(points.coarse, points.sizes, block)
+    for a, b in tree.search(points.coarse[asked], points.sizes[asked], rule, block[asked]):
+        a = asked[a]
+        ok = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == 2))
+        a, b = a[ok], b[ok]
+        ok = points.may_link(a, b, rule)
+        if ok.any():
+            yield a[ok], b[ok]
+
+
+def candidate_forest(points: Points, block: np.ndarray, ids: np.ndarray, label: np.ndarray, side: np.ndarray, rule: Similarity) -> list[tuple[int, int]]:
+    """Edges that connect the ends of every surviving pair (ids by row)."""
+    known, node = np.unique(ids, return_inverse=True)
+    forest, found = Forest(len(known)), []
+    for a, b in near_pairs(points, block, label, side, rule):
+        root = forest.roots()
+        x, y = root[node[a]], root[node[b]]
+        apart = np.unique(np.sort(np.stack([x, y])[:, x != y], axis=0), axis=1)
+        for i, j in apart.T.tolist():
+            if forest.find(i) != forest.find(j):
+                forest.unite(i, j)
+                found.append((int(known[i]), int(known[j])))
+    return found
 
 
-def links_within(grams: list[np.ndarray], side: np.ndarray, rule: Similarity, groups: int = 32) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a block: a spanning forest of them.
+def verified_forest(offsets: np.ndarray, grams: np.ndarray, block: np.ndarray, seed: np.ndarray, side: np.ndarray, rule: Similarity) -> tuple[Forest, list[tuple[int, int]]]:
+    """Links (rows) that with the seeds connect all linked sets of each block, and the forest. offsets: of each set in grams; sets of one seed are connected.
 
-    side: 0 and 1 are two halves that are compared with each other, 2 is compared with itself. Pairs that
-    links found before already connect aren't verified again.
+    Sorted neighbours are tried first; what they leave outside a block's largest group is searched for in the R-tree.
     """
-    n = len(grams)
-    sizes = np.fromiter(map(len, grams), np.int64, n)
-    counts = group_counts(np.repeat(np.arange(n), sizes), np.concatenate(grams) if n else np.zeros(0, np.uint64), n, groups)
-    root = np.arange(n)
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    found = []
-    points = np.flatnonzero(side != 0)
-    tree = CountTree(counts[points], sizes[points])
-    asked = np.flatnonzero(side != 1)
-    for a, b in tree.search(counts[asked], sizes[asked], rule):
-        a, b = asked[a], points[b]
-        ok = (a < b) | (side[a] != 2)
-        order = np.lexsort((a[ok], b[ok]))
-        for i, j in zip(a[ok][order].tolist(), b[ok][order].tolist(), strict=True):
-            if i != j and find(i) != find(j):
-                same = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
-                if rule.above * same >= rule.below * (sizes[i] + sizes[j] - same):
-                    root[find(i)] = find(j)
-                    found.append((i, j))
-    return found
+    sizes = np.diff(offsets)
+    node = _number(seed)
+    forest, found = Forest(int(node.max(initial=-1)) + 1), []
+
+    def verify(i: int, j: int) -> None:
+        if forest.find(node[i]) != forest.find(node[j]):
+            same = len(np.intersect1d(grams[offsets[i] : offsets[i + 1]], grams[offsets[j] : offsets[j + 1]], assume_unique=True))
+            if rule.enough(same, sizes[i], sizes[j]):
+                forest.unite(int(node[i]), int(node[j]))
+                found.append((i, j))
+
+    points = Points.of_sets(np.repeat(np.arange(len(sizes)), sizes), grams, sizes)
+    order = np.lexsort((seed, sizes, block))
+    a, b = order[:-1], order[1:]
+    ok = (block[a] == block[b]) & ((side[a] != side[b]) | (side[a] == 2))
+    a, b = a[ok], b[ok]
+    ok = points.may_link(a, b, rule)
+    for i, j in zip(a[ok].tolist(), b[ok].tolist()):
+        verify(i, j)
+    for a, b in near_pairs(points, block, forest.roots()[node].copy(), side, rule):
+        root = forest.roots()
+        ok = root[node[a]] != root[node[b]]
+        for i, j in zip(a[ok].tolist(), b[ok].tolist()):
+            verify(i, j)
+    return forest, found
 
 
 def common_grams(docs: DataFrame, rule: Similarity, sample: int = 20_000, least: int = 4, most: int = 100_000) -> np.ndarray:
-    """Hashes of n-grams that several texts of a bounded sample share, sorted: a hint for signatures that no result depends on."""
+    """Hashes of n-grams that several texts of a bounded sample share, sorted: a hint for the order of prefixes that no result depends on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,81 +308,190 @@ def common_grams(docs: DataFrame, rule: Similarity, sample: int = 20_000, least:
     return np.sort(found.view(np.uint64))
 
 
-def _signed_together(known: DataFrame) -> DataFrame:
-    """Edges (u, v) from each document to the smallest that shares one of its signatures."""
-    signed = known.select("doc_id", F.explode("signed").alias("s"))
-    hubs = signed.groupBy("s").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select(F.col("s").alias("k"), "hub")
-    return signed.join(hubs, F.col("s") == F.col("k")).where("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
+def _lists(owner: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+    ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=rows))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _of(df: DataFrame, id_col: str, points: DataFrame, tag: str) -> DataFrame:
+    """df with the size and count vector of the set whose id is in id_col, as n<tag> and c<tag>."""
+    own = points.select(F.col("rep").alias(f"_{tag}"), F.col("n_shingles").alias(f"n{tag}"), F.col("counts").alias(f"c{tag}"))
+    return df.join(own, F.col(id_col) == F.col(f"_{tag}")).drop(f"_{tag}")
+
+
+def _neighbours(rows: DataFrame, rule: Similarity, reach: int) -> DataFrame:
+    """Edges (u, v) between rows (g, n_shingles, rep) and the `reach` before them that have the same g, in the order of all three. No g is gathered in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            g, n, rep = (np.concatenate([x, c.to_numpy()]) for x, c in zip(last, batch.columns))
+            u, v = [], []
+            for d in range(1, reach + 1):
+                ok = (g[d:] == g[:-d]) & (rep[d:] != rep[:-d]) & rule.sizes_fit(n[d:], n[:-d])
+                u.append(rep[d:][ok])
+                v.append(rep[:-d][ok])
+            u, v = np.concatenate(u), np.concatenate(v)
+            last = [x[-reach:] for x in (g, n, rep)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    dealt = rows.repartitionByRange("g", "n_shingles", "rep").sortWithinPartitions("g", "n_shingles", "rep")
+    return dealt.select("g", "n_shingles", "rep").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _with_grams(docs: DataFrame, placed: DataFrame, rule: Similarity, most: int = 8_000_000) -> DataFrame:
+    """placed (rep and more) with the n-grams of the text of doc_id = rep; without the other texts moving, if at most `most` ids (about 30 bytes each) are broadcast."""
+    more = [c for c in placed.columns if c != "rep"]
+    ids = placed.select("rep").distinct()
+    if ids.count() <= most:
+        docs = docs.join(F.broadcast(ids.withColumnRenamed("rep", "_rep")), F.col("doc_id") == F.col("_rep"), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_column(batch.column(0))
+            for start, stop in slices(texts):
+                owner, grams = shingles(texts.slice(start, stop - start), rule.words)
+                own = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*own.columns[1:], _lists(owner, grams, stop - start)], names=["rep", *more, "grams"])
+
+    kinds = "".join(f", `{c}` {placed.schema[c].dataType.simpleString()}" for c in more)
+    return docs.join(placed, F.col("doc_id") == F.col("rep")).select("text", "rep", *more).mapInArrow(run, f"rep bigint{kinds}, grams array<bigint>")
+
+
+def _sized(clusters: DataFrame, single: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """(rep, component, subs, sub): clusters are cut into sub-blocks of about `block` sets and block_grams n-grams at most."""
+    member = clusters.join(single.select("rep", "n_shingles"), F.col("node") == F.col("rep"))
+    size = member.groupBy(F.col("component").alias("k")).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_grams)).alias("subs"))
+    return member.join(size, F.col("component") == F.col("k")).select("rep", "component", "subs", F.pmod(F.xxhash64("rep"), F.col("subs")).alias("sub"), "n_shingles")
 
 
-def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _dealt(subs: Column, own: Column, shared: Column) -> Column:
+    """Cut blocks have a group of their own, the small ones share."""
+    return F.when(subs > 1, own).otherwise(shared)
+
+
+def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sizes = pc.list_value_length(table.column("grams")).to_numpy()
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pc.list_flatten(table.column("grams")).to_numpy().view(np.uint64)
+
+
+def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, text: str = "text", id_col: str = "doc_id", block_grams: int = 1_000_000) -> DataFrame:
     """Per row of docs: its id, n_shingles and component_id, the smallest id that links lead to (its own included).
 
-    No link is lost: signatures miss no linked pair, and blocks beyond `block` sets are compared in pairs of sub-blocks. Rows without
-    words, and those with a null id, are linked with nothing; rows that repeat an id are one document of the links.
-    Exact copies are compared once. Other columns are left out.
+    No link is lost: prefixes miss no linked pair, and blocks beyond `block` sets or block_grams n-grams are compared in pairs of
+    sub-blocks. Rows without words (null and empty texts too), and those with a null id, are linked with nothing; rows that repeat an
+    id are one document of the links. Exact copies are compared once, as their smallest id. Texts of any length are one set. An
+    empty table gives none. Other columns are left out.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     common = common_grams(docs, rule)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_column(batch.column(1))
             for start, stop in slices(texts):
-                owner, grams = shingles(texts.slice(start, stop - start), rule.words)
-                n = np.bincount(owner, minlength=stop - start)
+                rows = stop - start
+                owner, grams = shingles(texts.slice(start, rows), rule.words)
+                n = np.bincount(owner, minlength=rows)
                 heads = (np.cumsum(n) - n)[n > 0]
-                prints = [np.zeros(stop - start, np.uint64) for _ in range(2)]
+                prints = [np.zeros(rows, np.uint64) for _ in range(2)]
                 for k, p in enumerate(prints):
                     p[n > 0] = _sums(mix64(grams + np.uint64(k * 7919 + 1)), heads)
-                whose, signed = signatures(owner, grams, n, rule, common)
-                order = np.argsort(whose, kind="stable")
-                ends = np.r_[0, np.cumsum(np.bincount(whose, minlength=stop - start))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(n.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed[order].view(np.int64)))], names=["doc_id", "n_shingles", "f1", "f2", "signed"])
-
-    base = stage(docs.mapInArrow(sets, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, signed array<bigint>"), "sets")
-    known = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    near = stage(_signed_together(known), "near")
-    free_shuffles(docs.sparkSession)
-    candidates = stage(connected_components(near), "candidates")
-
-    # one row for each distinct set of a block: its smallest document
-    member = known.drop("signed").join(candidates, F.col("doc_id") == F.col("node"))
-    distinct_sets = stage(member.groupBy("component", "n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "distinct-sets")
-    sized = distinct_sets.groupBy("component").agg(F.count("*").alias("many")).where("many > 1").select(F.col("component").alias("k"), F.ceil(F.col("many") / block).alias("subs"))
-    placed = distinct_sets.join(sized, F.col("component") == F.col("k")).withColumn("sub", F.pmod(F.xxhash64("f1", "f2"), F.col("subs")))
-    placed = placed.select("rep", "component", "subs", "sub")
-
-    def gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                ahead, often = prefixes(owner, grams, n, rule, common)
+                place = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+                lists = [_lists(owner[x], grams[x], rows) for x in (place < 4, ahead & ~often, ahead & often)]
+                counts = Points.of_sets(owner, grams, n).packed()
+                fields = [batch.column(0).slice(start, rows), pa.array(n.astype(np.int64)), *(pa.array(p.view(np.int64)) for p in prints), *lists, pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(fields, names=["doc_id", "n_shingles", "f1", "f2", "lead", "rare", "often", "counts"])
+
+    sets = stage(docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, lead array<bigint>, rare array<bigint>, often array<bigint>, counts binary"), "sets")
+    key = ["n_shingles", "f1", "f2"]
+    known = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    single = stage(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("lead").alias("lead"), F.first("counts").alias("counts")), "distinct-sets")
+    points = single.select("rep", "n_shingles", "counts")
+
+    # first pass: labels of what a few hashes and sorted neighbours bring together
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_column(batch.column(1))
-            for start, stop in slices(texts):
-                owner, grams = shingles(texts.slice(start, stop - start), rule.words)
-                ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=stop - start))].astype(np.int32)
-                own = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), own.column(4), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))], names=["rep", "component", "subs", "sub", "grams"])
-
-    texts = docs.join(placed, F.col("doc_id") == F.col("rep"))
-    texts = texts.select("doc_id", "text", "component", "subs", "sub").mapInArrow(gram_lists, "rep bigint, component bigint, subs bigint, sub bigint, grams array<bigint>")
+            sizes = np.concatenate([batch.column(c).to_numpy() for c in ("nu", "nv")])
+            both = Points.unpacked(sizes, batch.column("cu").to_pylist() + batch.column("cv").to_pylist())
+            at = np.arange(batch.num_rows)
+            yield batch.select(["u", "v"]).filter(pa.array(both.may_link(at, at + batch.num_rows, rule)))
+
+    near = _neighbours(single.select("rep", "n_shingles", F.explode("lead").alias("g")), rule, 2)
+    close = _of(_of(near, "u", points, "u"), "v", points, "v").mapInArrow(bounded, "u bigint, v bigint")
+    placed = stage(_sized(connected_components(close), single, block, block_grams), "first-blocks")
+    # a cut cluster's smallest set is in each of its sub-blocks
+    every = F.when(F.col("rep") == F.col("component"), F.sequence(F.lit(0).cast("bigint"), F.col("subs") - 1)).otherwise(F.array("sub"))
+    calls = int((placed.agg(F.sum("n_shingles")).first()[0] or 0) // block_grams) + 1
+    mine = F.xxhash64("component", "sub")
+    tiles = _with_grams(docs, placed, rule).withColumn("sub", F.explode(every)).withColumn("call", _dealt(F.col("subs"), mine, F.pmod(mine, F.lit(calls))))
+
+    def settle(table: pa.Table) -> pa.Table:
+        rep, component = _column(table, "rep"), _column(table, "component")
+        offsets, grams = _grams(table)
+        at = _number(component, _column(table, "sub"))
+        # ids are seeds: rows that repeat one are one document, but in different sub-blocks apart
+        seed = _number(at, rep)
+        forest, _ = verified_forest(offsets, grams, at, seed, np.full(len(rep), 2), rule)
+        root = forest.roots()[seed]
+        label = np.full(len(forest.root), np.iinfo(np.int64).max)
+        np.minimum.at(label, root, rep)
+        return pa.table({"rep": rep, "label": label[root]})
+
+    labels = tiles.groupBy("call", "subs").applyInArrow(settle, "rep bigint, label bigint").groupBy(F.col("rep").alias("of")).agg(F.min("label").alias("label"))
+    marks = stage(single.join(labels, F.col("rep") == F.col("of"), "left").select(*key, "rep", F.coalesce("label", "rep").alias("label")), "labels")
+
+    # second pass: whole prefixes, in buckets that hold several labels
+    renamed = marks.select(*[F.col(c).alias(f"m_{c}") for c in key], "rep", "label")
+    own = [F.col(c) == F.col(f"m_{c}") for c in key] + [F.col("doc_id") == F.col("rep")]
+    rows = lambda c: known.select("doc_id", *key, c).join(renamed, own).select(F.explode(c).alias("g"), "rep", "label")
+    several = Window.partitionBy("g")
+    # a rare n-gram's bucket is small by the sample; those of common ones are counted before anything is gathered
+    rare = rows("rare").select("*", F.min("label").over(several).alias("lo"), F.max("label").over(several).alias("hi"), F.count("*").over(several).alias("many")).where("lo < hi")
+    mixed = rows("often").groupBy(F.col("g").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+    often = rows("often").join(mixed, F.col("g") == F.col("k"))
+    fields = ["g", "rep", "label", F.ceil(F.col("many") / block).alias("subs")]
+    met = stage(rare.select(*fields).unionByName(often.select(*fields)), "met")
+    calls2 = met.count() // 20_000 + 1
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("subs") - 1), lambda x: F.struct(F.least("sub", x).alias("a"), F.greatest("sub", x).alias("b")))
-    tiles = texts.withColumn("tile", F.explode(pairs)).select("rep", "component", "subs", F.col("tile.a").alias("a"), F.col("tile.b").alias("b"), "sub", "grams")
-    # small blocks share a task's call: many of them to a bucket
-    tiles = tiles.withColumn("bucket", F.pmod(F.xxhash64("component", "a", "b"), F.when(F.col("subs") > 1, 1 << 20).otherwise(1 << 12)) * F.when(F.col("subs") > 1, -1).otherwise(1))
-
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, a, b), own in rows.groupby(["component", "a", "b"], sort=True):
-            own = own.sort_values("rep")
-            sets = [np.asarray(g).view(np.uint64) if isinstance(g, np.ndarray) else np.array(g, np.int64).view(np.uint64) for g in own["grams"]]
-            side = np.full(len(own), 2) if a == b else (own["sub"].to_numpy() == b).astype(int)
-            rep = own["rep"].to_numpy()
-            out += [(rep[i], rep[j]) for i, j in links_within(sets, side, rule)]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    links = tiles.groupBy("bucket").applyInPandas(verify, "u bigint, v bigint")
-    copies = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    same = known.select("doc_id", "n_shingles", "f1", "f2").alias("d").join(copies.alias("c"), ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links = stage(links, "links")
-    free_shuffles(docs.sparkSession)
-    reached = connected_components(links.unionByName(same))
-    return base.join(reached, base["doc_id"] == reached["node"], "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+    def paired(df: DataFrame, key: Column, calls: int) -> DataFrame:
+        tile = df.withColumn("tile", F.explode(pairs)).select(*df.columns, "tile.a", "tile.b")
+        return tile.withColumn("call", _dealt(F.col("subs"), F.xxhash64(key, "a", "b"), F.pmod(F.xxhash64(key), F.lit(calls))))
+
+    def sides(table: pa.Table) -> np.ndarray:
+        a, b, sub = (_column(table, c) for c in ("a", "b", "sub"))
+        return np.where(a == b, 2, (sub == b).astype(np.int64))
+
+    def compare(table: pa.Table) -> pa.Table:
+        both = Points.unpacked(_column(table, "n"), table.column("c").to_pylist())
+        found = candidate_forest(both, _number(_column(table, "g"), _column(table, "a"), _column(table, "b")), _column(table, "rep"), _column(table, "label"), sides(table), rule)
+        return pa.table({"u": pa.array([i for i, _ in found], pa.int64()), "v": pa.array([j for _, j in found], pa.int64())})
+
+    buckets = paired(_of(met.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))), "rep", points, ""), F.col("g"), calls2)
+    candidates = buckets.groupBy("call", "subs").applyInArrow(compare, "u bigint, v bigint")
+    placed2 = _sized(connected_components(candidates), single, block, block_grams)
+    placed2 = stage(placed2.join(marks.select(F.col("rep").alias("of"), "label"), F.col("rep") == F.col("of")).drop("of"), "second-blocks")
+    calls3 = int((placed2.agg(F.sum("n_shingles")).first()[0] or 0) // block_grams) + 1
+
+    def verify(table: pa.Table) -> pa.Table:
+        offsets, grams = _grams(table)
+        label = _column(table, "label")
+        _, found = verified_forest(offsets, grams, _number(*(_column(table, c) for c in ("component", "a", "b"))), label, sides(table), rule)
+        return pa.table({"u": label[[i for i, _ in found]].astype(np.int64), "v": label[[j for _, j in found]].astype(np.int64)})
+
+    links = paired(_with_grams(docs, placed2, rule), F.col("component"), calls3).groupBy("call", "subs").applyInArrow(verify, "u bigint, v bigint")
+
+    # labels are joined by these links, and by ids that have several sets
+    whose = known.select("doc_id", *key).join(renamed.drop("rep"), own[:-1]).select("doc_id", "label")
+    least = whose.groupBy(F.col("doc_id").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    again = whose.join(least, F.col("doc_id") == F.col("k")).select(F.col("label").alias("u"), F.col("lo").alias("v"))
+    reached = connected_components(links.unionByName(again))
+    final = marks.join(reached, F.col("label") == F.col("node"), "left").select(*[F.col(c).alias(f"m_{c}") for c in key], F.coalesce("component", "label").alias("component"))
+    back = sets.select("doc_id", *key).join(final, own[:-1], "left")
+    return back.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

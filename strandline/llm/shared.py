@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,12 +35,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of frames that nothing refers to any more; it does so when the driver's garbage is collected, which a quiet driver seldom does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the held-out fifth: crc32 of its id as text is divisible by 5. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
