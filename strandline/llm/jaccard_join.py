@@ -449,10 +449,13 @@ def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, tex
     # second pass: whole prefixes, in buckets that hold several labels
     renamed = marks.select(*[F.col(c).alias(f"m_{c}") for c in key], "rep", "label")
     own = [F.col(c) == F.col(f"m_{c}") for c in key] + [F.col("doc_id") == F.col("rep")]
-    rows = lambda c: known.select("doc_id", *key, c).join(renamed, own).select(F.explode(c).alias("g"), "rep", "label")
-    several = Window.partitionBy("g")
-    # a rare n-gram's bucket is small by the sample; those of common ones are counted before anything is gathered
-    rare = rows("rare").select("*", F.min("label").over(several).alias("lo"), F.max("label").over(several).alias("hi"), F.count("*").over(several).alias("many")).where("lo < hi")
+    rows = lambda c: known.select("doc_id", *key, c).join(renamed, own).select(F.explode(c).alias("g"), "rep", "label", "n_shingles")
+    several, by_size = Window.partitionBy("g"), Window.partitionBy("g").orderBy("n_shingles", "rep")
+    # a rare n-gram's bucket is small by the sample; those of common ones are counted before anything is gathered. Who has a partner
+    # of fitting size in the bucket has a neighbour of fitting size
+    beside = [f(F.col("n_shingles")).over(by_size).alias(c) for f, c in ((F.lag, "before"), (F.lead, "after"))]
+    rare = rows("rare").select("*", F.min("label").over(several).alias("lo"), F.max("label").over(several).alias("hi"), F.count("*").over(several).alias("many"), *beside).where("lo < hi")
+    rare = rare.where((rule.above * F.col("before") >= rule.below * F.col("n_shingles")) | (rule.above * F.col("n_shingles") >= rule.below * F.col("after")))
     mixed = rows("often").groupBy(F.col("g").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo < hi")
     often = rows("often").join(mixed, F.col("g") == F.col("k"))
     fields = ["g", "rep", "label", F.ceil(F.col("many") / block).alias("subs")]
