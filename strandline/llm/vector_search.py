@@ -13,8 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,36 +89,70 @@ def fit_index(rows: DataFrame, k: int, sample_rows: int = 20_000, most_lists: in
     return index
 
 
-def scan(index: Index, query: np.ndarray, least: float, ids: np.ndarray, original: np.ndarray, columns: list[np.ndarray], own: int, lifted_query: np.ndarray, k: int, first: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block for one query, none below `least`; columns: the lifted vectors in column blocks."""
-    keep_s, keep_i = np.zeros(0), np.zeros(0, np.int64)
-    width = sum(c.shape[1] for c in columns)
-    reach = (query**2).sum() + index.longest**2
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy().astype(float).reshape(-1, width)
+
+
+def survivors(index: Index, asked: np.ndarray, lifted: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that the tests on partial distances don't abandon; limit: each query's squared distance to beat.
+
+    The first column blocks are matrix products for all pairs; once few are left they are followed as a list.
+    """
+    width, pairs = lifted.shape[1], None
+    partial, alive = np.zeros((len(asked), len(lifted))), np.ones((len(asked), len(lifted)), bool)
+    for start in range(0, width - index.column_block, index.column_block):
+        seen = start + index.column_block
+        # abandon if the scaled partial distance passes the limit by more than chance allows
+        most = limit * (1 + index.slack / math.sqrt(seen)) ** 2 * (seen / width)
+        q, b = asked[:, start:seen], lifted[:, start:seen]
+        if pairs is None:
+            partial += (q**2).sum(1)[:, None] + (b**2).sum(1) - 2 * q @ b.T
+            alive &= partial <= most[:, None]
+            if alive.mean() < 0.1:
+                pairs = np.nonzero(alive)
+                partial = partial[pairs]
+        else:
+            partial += ((q[pairs[0]] - b[pairs[1]]) ** 2).sum(1)
+            stay = partial <= most[pairs[0]]
+            pairs, partial = (pairs[0][stay], pairs[1][stay]), partial[stay]
+    return pairs if pairs is not None else np.nonzero(alive)
+
+
+def scan(index: Index, queries: np.ndarray, least: np.ndarray, own: np.ndarray, ids: np.ndarray, original: np.ndarray, k: int, first: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, id and score of the k best of a tile for each query, none below its `least` (-inf: no bound yet); own: each query's id."""
+    asked, lifted = index.lift_query(queries), index.lift(original)
+    reach, least = (queries**2).sum(1) + index.longest**2, least.copy()
+    best_q, best_i, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     start = 0
     while start < len(ids):
-        stop = min(len(ids), start + (first if start == 0 else 4096))
-        alive = np.arange(start, stop)
-        limit = reach - 2 * least
-        if math.isfinite(limit):
-            partial, seen = np.zeros(len(alive)), 0
-            for c in columns[:-1]:
-                part = c[alive] - lifted_query[seen : seen + c.shape[1]]
-                partial += np.einsum("ij,ij->i", part, part)
-                seen += c.shape[1]
-                # abandon if the scaled partial distance passes the limit by more than chance allows
-                stay = partial * (width / seen) <= limit * (1 + index.slack / math.sqrt(seen)) ** 2
-                alive, partial = alive[stay], partial[stay]
-        alive = alive[ids[alive] != own]
-        score = (original[alive] * query).sum(1)
-        s, i = np.r_[keep_s, score], np.r_[keep_i, ids[alive]]
-        ok = s >= least
-        s, i = s[ok], i[ok]
-        order = np.lexsort((i, -s))[:k]
-        keep_s, keep_i = s[order], i[order]
-        if len(keep_s) == k:
-            least = max(least, keep_s[-1])
+        open_ = np.isneginf(least)
+        stop = min(len(ids), start + (first if open_.any() else 4096))
+        hits = []
+        if open_.any():
+            # without a bound all are scored, and those about the k-th best kept
+            score = queries[open_] @ original[start:stop].T
+            score[own[open_][:, None] == ids[start:stop]] = -np.inf
+            at = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+            q, b = np.nonzero(score >= (at - 1e-9 * (1 + np.abs(at)))[:, None] if score.shape[1] > k else np.isfinite(score))
+            hits.append((np.flatnonzero(open_)[q], b + start))
+        if not open_.all():
+            bound = np.flatnonzero(~open_)
+            q, b = survivors(index, asked[bound], lifted[start:stop], reach[bound] - 2 * least[bound])
+            hits.append((bound[q], b + start))
+        q, b = (np.concatenate(x) for x in zip(*hits))
+        ok = ids[b] != own[q]
+        q, b = q[ok], b[ok]
+        score = np.concatenate([(original[b[x : x + (1 << 16)]] * queries[q[x : x + (1 << 16)]]).sum(1) for x in range(0, len(q), 1 << 16)] or [np.zeros(0)])
+        ok = score >= least[q]
+        best_q, best_i, best_s = np.r_[best_q, q[ok]], np.r_[best_i, ids[b[ok]]], np.r_[best_s, score[ok]]
+        order = np.lexsort((best_i, -best_s, best_q))
+        best_q, best_i, best_s = best_q[order], best_i[order], best_s[order]
+        rank = np.arange(len(best_q)) - np.searchsorted(best_q, best_q)
+        kth = rank == k - 1
+        least[best_q[kth]] = np.maximum(least[best_q[kth]], best_s[kth])
+        best_q, best_i, best_s = (x[rank < k] for x in (best_q, best_i, best_s))
         start = stop
-    return keep_s, keep_i
+    return best_q, best_i, best_s
 
 
 def _tiles(base: DataFrame, queries: DataFrame, base_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +170,8 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, index: Index | None =
     """(query_id, rank, vec_id, score) of each query's k nearest found, itself left out; ties go to the smaller vec_id.
 
     is_query: an SQL condition on vec_id. Unusable vectors (see usable) take no part; rows that repeat an id count once, with
-    the least vector; fewer candidates than k give them all if all lists are visited. First a query's nearest list is scanned; its
+    the least vector; ties of scores go to the smaller id. Queries that find fewer than k in their lists go on through all others, so fewer
+    candidates than k give them all. An empty table gives none. First a query's nearest list is scanned; its
     k-th best score there then prunes the scan of the others from the start. Lists and their queries are cut into tiles,
     so neither a list that holds a third of all rows nor one that most queries visit meets in one task.
     """
@@ -161,28 +196,37 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, index: Index | None =
     base = stage(rows.mapInArrow(assign, "vec_id bigint, v array<double>, list bigint"), "lists")
     asked = stage(rows.where(is_query).mapInArrow(visit, "query_id bigint, qv array<double>, lists array<bigint>"), "queries")
 
-    def in_tile(base_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+    width = len(index.rotation) - 1
+
+    def in_tile(base_part: pa.Table, query_part: pa.Table) -> pa.Table:
+        base_part = base_part.sort_by("vec_id")
+        own = query_part.column("query_id").to_numpy()
+        q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(base_part) and len(query_part):
-            base_part = base_part.sort_values("vec_id", ignore_index=True)
-            original = np.stack(base_part["v"].to_numpy()).astype(float)
-            lifted, ids = index.lift(original), base_part["vec_id"].to_numpy()
-            columns = [np.ascontiguousarray(lifted[:, s : s + index.column_block]) for s in range(0, lifted.shape[1], index.column_block)]
-            vectors_q = np.stack(query_part["qv"].to_numpy()).astype(float)
-            for own, q, lq, least in zip(query_part["query_id"].tolist(), vectors_q, index.lift_query(vectors_q), query_part["least"].fillna(-np.inf).to_numpy(float), strict=True):
-                s, i = scan(index, q, least, ids, original, columns, own, lq, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": i, "score": s}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            least = pc.fill_null(query_part.column("least"), -math.inf).to_numpy()
+            q, i, s = scan(index, _matrix(query_part.column("qv"), width), least, own, base_part.column("vec_id").to_numpy(), _matrix(base_part.column("v"), width), k)
+        return pa.table({"query_id": own[q], "vec_id": i, "score": s})
 
     def scanned(queries: DataFrame) -> DataFrame:
         b, q = _tiles(base, queries, base_rows, query_rows)
         keys = ("list", "b", "q")
-        return b.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(lambda x, y: in_tile(x, y), "query_id bigint, vec_id bigint, score double")
+        return b.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(in_tile, "query_id bigint, vec_id bigint, score double")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     home = asked.select("query_id", "qv", F.get("lists", F.lit(0)).alias("list"), F.lit(None).cast("double").alias("least"))
-    near = stage(scanned(home).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "home")
+    near = stage(top(scanned(home)), "home")
     limit = near.where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("least"))
     rest = asked.join(limit, F.col("query_id") == F.col("of"), "left").select("query_id", "qv", F.explode(F.slice("lists", 2, index.probes)).alias("list"), "least")
-    found = near.select("query_id", "vec_id", "score").unionByName(scanned(rest))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = near.select("query_id", "vec_id", "score").unionByName(scanned(rest))
+    if index.probes >= len(index.centroids):
+        return top(pairs).select("query_id", "rank", "vec_id", "score")
+    found = stage(top(pairs).select("query_id", "rank", "vec_id", "score"), "found")
+    # who has fewer than k goes on through the lists that aren't visited yet
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("of"))
+    short = stage(asked.join(full, F.col("query_id") == F.col("of"), "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    others = F.array_except(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1)).cast("array<bigint>"), "lists")
+    more = scanned(short.select("query_id", "qv", F.explode(others).alias("list"), F.lit(None).cast("double").alias("least")))
+    return top(found.drop("rank").unionByName(more)).select("query_id", "rank", "vec_id", "score")
