@@ -56,13 +56,10 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import align, fingerprint, sonify
-    from .shared import stage
+    from .media import covers, find_alike, sonify
 
-    vectors, asked, hop = _table(spark, sf_dir, "embeddings"), "recording_id % 20 = 0", 128
-    prints = stage(fingerprint(sonify(vectors), hop=hop), "fingerprints")
-    shifted = fingerprint(sonify(vectors.where("vec_id % 20 = 0")), hop=hop, skip=hop // 2)
-    return align(prints, asked, shifted=shifted)
+    vectors = covers(_table(spark, sf_dir, "embeddings"))
+    return find_alike(sonify(vectors), sonify(vectors.where("vec_id % 20 = 0")), "recording_id % 20 = 0")
 
 
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,7 +279,7 @@ def test_audio_alignment(spark):
     assert media.align(prints.limit(0), "recording_id = 0").count() == 0
 
 
-def test_audio_query_finds_shifted_and_changed_recordings(spark, tmp_path):
+def test_audio_search_finds_shifted_and_changed_recordings(spark):
     rng = np.random.default_rng(11)
     rows, wanted = [], []
     for k in range(24):
@@ -291,14 +291,63 @@ def test_audio_query_finds_shifted_and_changed_recordings(spark, tmp_path):
         lead = [hashlib.md5(v.tobytes()).digest()[0] % 5 for v in (x, y)]
         wanted.append((20 * k, 20 * k + 1, (lead[0] - lead[1]) % 2))
     assert {0, 1} == {odd for *_, odd in wanted}  # whole hops and half hops
-    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    out = queries.op4_audio_fingerprints(spark, str(tmp_path)).collect()
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = media.find_alike(media.sonify(vectors), media.sonify(vectors.where("vec_id % 20 = 0")), "recording_id % 20 = 0").collect()
     got = {(r["query_id"], r["match_id"]): r["half"] for r in out}
     assert {(q, m) for q, m, _ in wanted} | {(q, q) for q, *_ in wanted} <= set(got)
     assert [got[q, m] for q, m, _ in wanted] == [odd for *_, odd in wanted]
     assert {(q, m) for q, m in got if q // 20 != m // 20} == set()
 
 
+def brute_alignment(asking, base, least_votes=3, most_errors=0.25, least_overlap=16, least_share=0.5):
+    """The best of all offsets of two fingerprints (asking: at whole and at half hops), by counting equal integers pair by pair, or None."""
+
+    def voters(print_):
+        return [(k, v) for k, v in enumerate(print_) if not k or print_[k - 1] != v]
+
+    votes: dict = {}
+    for half, own in enumerate(asking):
+        for (i, a), (j, b) in itertools.product(voters(own), voters(base)):
+            if a == b:
+                votes[(j - i, half)] = votes.get((j - i, half), 0) + 1
+    ranked = sorted((-n, abs(o), o, half) for (o, half), n in votes.items() if n >= least_votes)
+    if not ranked:
+        return None
+    n, _, offset, half = ranked[0]
+    pairs = [(a, base[k + offset]) for k, a in enumerate(asking[half]) if 0 <= k + offset < len(base)]
+    error = sum((a ^ b).bit_count() for a, b in pairs) / (32 * max(len(pairs), 1))
+    whole = min(len(asking[half]), len(base))
+    return (offset, half, -n, len(pairs), round(error, 6)) if len(pairs) >= max(least_overlap, least_share * whole) and error <= most_errors else None
+
+
+def test_audio_query_against_brute_force(spark):
+    vectors = media.covers(spark.read.parquet(f"{SF}/embeddings.parquet"))
+    whole = {r["recording_id"]: r["fingerprint"] for r in media.fingerprint(media.sonify(vectors)).collect()}
+    later = {r["recording_id"]: r["fingerprint"] for r in media.fingerprint(media.sonify(vectors), skip=64).collect()}
+    wanted, same = set(), 0
+    for q in sorted(k for k in whole if k % 20 == 0):
+        for m in sorted(whole):
+            if whole[q] == whole[m]:
+                if m == min(k for k in whole if whole[k] == whole[q]):
+                    wanted.add((q, m, 0, 0, len(whole[q]), len(whole[q]), 0.0))
+            elif (found := brute_alignment((whole[q], later[q]), whole[m])) is not None:
+                wanted.add((q, m, *found))
+                same += q // 4 == m // 4
+    out = queries.op4_audio_fingerprints(spark, SF).select("query_id", "match_id", "offset", "half", "votes", "overlap", "bit_error").collect()
+    assert {tuple(r) for r in out} == wanted and len(out) == len(wanted)
+    # most rows are matches between different recordings, and nearly all versions of a melody are found
+    asked = len({q for q, *_ in wanted})
+    assert same >= 0.9 * 3 * asked and len(wanted) - asked - same <= 0.1 * len(wanted)
+
+
+def test_covers_edges(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, None), (None, [5.0]), (5, [None, 7.0]), (5, [None, 7.0]), (6, [1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("_g", F.lit(1))
+    got = media.covers(table, own=10**9).collect()
+    assert len(got) == len(rows) and {(r[0], tuple(r[1]) if r[1] is not None else None) for r in got} == {(0, (1.0, 2.0)), (1, (1.0, 2.0)), (2, None), (None, (5.0,)), (5, (None, 7.0)), (6, (1.0, 7.0, 1.0))}
+    assert media.covers(table.limit(0)).count() == 0
+
+
 def test_integral_image_filters_equal_plain_sums():
     rng = np.random.default_rng(1)
     image = rng.random((20, 12))
