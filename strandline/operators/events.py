@@ -156,12 +156,17 @@ def run(rows: pd.DataFrame, state: State, limits: Limits) -> Iterator[tuple]:
             yield event
 
 
+def one_per_time(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows in order of time; of several at one time the least of (hand_present, quality_ok, motion_q) stands, however they arrive."""
+    return rows.sort_values(["t", "hand_present", "quality_ok", "motion_q"]).drop_duplicates("t")
+
+
 def detect_events(observations: DataFrame, limits: Limits = Limits(), entity: str = "rec") -> DataFrame:
-    """(rec, first_index, last_index, first_t, last_t, reason) of every sequence; a sequence fits one task, sequences are unlimited."""
+    """(rec, first_index, last_index, first_t, last_t, reason) of every sequence; a sequence fits one task, sequences are unlimited. Rows that repeat a time: see one_per_time."""
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         state, key = State(), int(rows[entity].iloc[0])
-        found = list(run(rows.drop_duplicates("t"), state, limits))
+        found = list(run(one_per_time(rows), state, limits))
         last = finish(state, limits)
         return pd.DataFrame([(key, *e) for e in [*found, *([last] if last else [])]], columns=[x.split()[0] for x in EVENT_SCHEMA.split(", ")])
 

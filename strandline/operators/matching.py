@@ -2,54 +2,54 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou_ppm
 
 
-def candidate_pairs(truths: DataFrame, decisions: DataFrame, session: str, least_iou_ppm: int) -> DataFrame:
-    """(session, truth_id, t_start, decision_id, d_start, iou): overlapping pairs of a session with that overlap; an equi-join with a range."""
+def candidate_pairs(truths: DataFrame, decisions: DataFrame, session: str, least_iou_ppm: int, bin_us: int | None = None) -> DataFrame:
+    """(session, truth_id, t_start, t_end, decision_id, d_start, d_end, iou): overlapping pairs of a session with that overlap.
+
+    With bin_us both sides are dealt to bins of time, so that a hot session is spread too; a pair is taken in the first bin that
+    both reach. Without it the join is by session, with the range as its condition.
+    """
     t = truths.select(F.col(session).alias("s"), "truth_id", F.col("start_us").alias("t_start"), F.col("end_us").alias("t_end"))
     d = decisions.select(F.col(session).alias("_s"), "decision_id", F.col("start_us").alias("d_start"), F.col("end_us").alias("d_end"))
-    joined = t.join(d, (F.col("s") == F.col("_s")) & (F.col("t_start") < F.col("d_end")) & (F.col("d_start") < F.col("t_end")))
-    scored = joined.withColumn("iou", iou_ppm("t_start", "t_end", "d_start", "d_end")).where(F.col("iou") >= least_iou_ppm)
-    return scored.select(F.col("s").alias(session), "truth_id", "t_start", "decision_id", "d_start", "iou")
-
-
-def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """In time order each truth takes the free decision of the largest overlap (ties: earliest, then id)."""
-    rows = rows.sort_values(["t_start", "truth_id", "iou", "d_start", "decision_id"], ascending=[True, True, False, True, True])
-    taken: set = set()
-    done: set = set()
-    keep = []
-    for k, (truth, decision) in enumerate(zip(rows["truth_id"], rows["decision_id"], strict=True)):
-        if truth not in done and decision not in taken:
-            done.add(truth), taken.add(decision), keep.append(k)
-    return rows.iloc[keep]
+    on = (F.col("s") == F.col("_s")) & (F.col("t_start") < F.col("d_end")) & (F.col("d_start") < F.col("t_end"))
+    if bin_us:
+        bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bin_us), F.floor(F.col(hi) / bin_us)))
+        t, d = t.withColumn("_tb", bins("t_start", "t_end")), d.withColumn("_db", bins("d_start", "d_end"))
+        on = on & (F.col("_tb") == F.col("_db")) & (F.col("_tb") == F.floor(F.greatest("t_start", "d_start") / bin_us))
+    scored = t.join(d, on).withColumn("iou", iou_ppm("t_start", "t_end", "d_start", "d_end")).where(F.col("iou") >= least_iou_ppm)
+    return scored.select(F.col("s").alias(session), "truth_id", "t_start", "t_end", "decision_id", "d_start", "d_end", "iou")
 
 
-def match_intervals(truths: DataFrame, decisions: DataFrame, session: str = "session", least_iou_ppm: int = 200_000) -> DataFrame:
-    """One-to-one (session, truth_id, decision_id, iou). Only candidate edges are grouped, in runs of a session.
+def match_intervals(truths: DataFrame, decisions: DataFrame, session: str = "session", least_iou_ppm: int = 200_000, bin_us: int | None = None, calls: int = 256) -> DataFrame:
+    """One-to-one (session, truth_id, decision_id, iou): in time order each truth takes the free decision of the largest overlap (ties: earliest, then id).
 
-    A run is a set of edges whose truths and decisions touch no others in time, so a session of any length is cut where nothing
-    overlaps, and one group holds one cluster of overlapping intervals.
+    Only candidate edges are grouped, in runs of a session: edges whose truths and decisions touch no others in time, so a session of any
+    length is cut where nothing overlaps. Many runs share a call; one run is a cluster of overlapping intervals.
     """
-    edges = candidate_pairs(truths, decisions, session, least_iou_ppm)
-    spans = edges.withColumn("_lo", F.least("t_start", "d_start"))
-    ends = truths.select(F.col(session).alias("_s"), F.col("truth_id").alias("_t"), F.col("end_us").alias("_te"))
-    d_ends = decisions.select(F.col(session).alias("_s2"), F.col("decision_id").alias("_d"), F.col("end_us").alias("_de"))
-    spans = spans.join(ends, (F.col(session) == F.col("_s")) & (F.col("truth_id") == F.col("_t"))).join(d_ends, (F.col(session) == F.col("_s2")) & (F.col("decision_id") == F.col("_d")))
-    spans = spans.withColumn("_hi", F.greatest("_te", "_de"))
+    edges = candidate_pairs(truths, decisions, session, least_iou_ppm, bin_us)
+    spans = edges.withColumn("_lo", F.least("t_start", "d_start")).withColumn("_hi", F.greatest("t_end", "d_end"))
     w = Window.partitionBy(session).orderBy("_lo", "_hi", "truth_id", "decision_id")
     opens = F.col("_lo") >= F.coalesce(F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_lo"))
     run = F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    columns = [session, "truth_id", "t_start", "decision_id", "d_start", "iou"]
-    marked = spans.withColumn("_run", run).select(*columns, "_run")
-    schema = ", ".join(f"`{c}` {marked.schema[c].dataType.simpleString()}" for c in columns)
-    found = marked.groupBy(session, "_run").applyInPandas(lambda rows: greedy(rows)[columns], schema)
-    return found.select(session, "truth_id", "decision_id", "iou")
+    marked = spans.withColumn("_run", run).withColumn("_call", F.pmod(F.xxhash64(session, "_run"), F.lit(calls)))
+    marked = marked.select(session, "truth_id", "decision_id", "iou", "t_start", "d_start", "_run", "_call")
+
+    def greedy(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(session, "ascending"), ("_run", "ascending"), ("t_start", "ascending"), ("truth_id", "ascending"), ("iou", "descending"), ("d_start", "ascending"), ("decision_id", "ascending")])
+        taken, done, keep = set(), set(), []
+        for k, (s, truth, decision) in enumerate(zip(*(table.column(c).to_pylist() for c in (session, "truth_id", "decision_id")))):
+            if (s, truth) not in done and (s, decision) not in taken:
+                done.add((s, truth)), taken.add((s, decision)), keep.append(k)
+        return table.take(pa.array(keep, pa.int64())).select([session, "truth_id", "decision_id", "iou"])
+
+    schema = ", ".join(f"`{c}` {marked.schema[c].dataType.simpleString()}" for c in (session, "truth_id", "decision_id", "iou"))
+    return marked.groupBy("_call").applyInArrow(greedy, schema)
 
 
 def ordered_match(truths: DataFrame, events: DataFrame, session: str = "session") -> DataFrame:

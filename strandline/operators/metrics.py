@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio_half_away, temperature_softmax
+from ..sources.staging import written
 
 
 def inventory_digest(df: DataFrame, key: str, item: str, bucket: int = 4096) -> DataFrame:
@@ -95,28 +99,34 @@ def choose_threshold(curve: DataFrame) -> DataFrame:
     return curve.agg(best.alias("percent"), cover.alias("coverage")).select(F.when(F.col("percent").isNull(), "no_viable_operating_point").otherwise("selected").alias("status"), "percent", "coverage")
 
 
-def fit_temperature(df: DataFrame, low: int = 50, high: int = 10_000, coarse: int = 50, probs: str = "p", label: str = "label", floor: float = 1e-12) -> DataFrame:
-    """(temperature_milli, log_loss): the least mean log loss over low..high thousandths; ties to the nearest 1, then the smaller.
+def fit_temperature(df: DataFrame, low: int = 50, high: int = 10_000, probs: str = "p", label: str = "label", floor: float = 1e-12) -> DataFrame:
+    """(temperature_milli, log_loss): the least mean log loss over every thousandth from low to high; ties to the nearest 1, then the smaller.
 
-    The loss is convex in 1/temperature, so a coarse grid and then every thousandth around its best are enough. The grid is an
-    array that each row evaluates; sums leave the partitions, one per grid value.
+    The loss is cut at -ln(floor), so it needn't be convex, and the whole grid is evaluated: each partition sums the
+    losses of its rows for all grid values in one pass, and those sums, one row per grid value, are added. No rows give none.
     """
-    logits = F.transform(probs, lambda x: F.log(F.greatest(x, F.lit(floor))))
-    rows = df.select(logits.alias("z"), F.col(label).alias("y"), F.array_max(logits).alias("m"))
-
-    def losses(grid: list[int]) -> DataFrame:
-        each = rows.select(F.explode(F.array(*map(F.lit, grid))).alias("g"), "z", "y", "m")
-        t = F.col("g") / 1000
-        scaled = F.aggregate(F.transform("z", lambda x: F.exp((x - F.col("m")) / t)), F.lit(0.0), lambda a, x: a + x)
-        loss = F.log(scaled) - (F.get("z", F.col("y")) - F.col("m")) / t
-        return each.groupBy("g").agg(F.avg(F.least(loss, F.lit(-math.log(floor)))).alias("log_loss"))
-
-    rank = F.struct(F.col("log_loss"), F.abs(F.col("g") - 1000), F.col("g"))
-    first = losses(sorted({*range(low, high + 1, coarse), high, 1000})).agg(F.min_by("g", rank).alias("g")).first()["g"]
-    if first is None:
-        return df.sparkSession.createDataFrame([], "temperature_milli int, log_loss double")
-    fine = losses(list(range(max(low, first - coarse), min(high, first + coarse) + 1)))
-    return fine.agg(F.min(rank).alias("b")).select(F.col("b.g").alias("temperature_milli"), F.col("b.log_loss").alias("log_loss"))
+    grid = np.arange(low, high + 1)
+    sharp, most = 1000.0 / grid, -math.log(floor)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(len(grid)), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                z = np.log(np.maximum(np.array(part.column(0).to_pylist(), float), floor))
+                z -= z.max(1, keepdims=True)
+                own = z[np.arange(len(z)), part.column(1).to_numpy()]
+                loss = np.zeros((len(z), len(grid)))
+                for c in range(z.shape[1]):
+                    loss += np.exp(z[:, c, None] * sharp)
+                total += np.minimum(np.log(loss) - own[:, None] * sharp, most).sum(0)
+                rows += len(z)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(grid), pa.array(total), pa.array(np.full(len(grid), rows))], names=["g", "total", "n"])
+
+    added = df.select(probs, F.col(label).cast("int")).mapInArrow(sums, "g bigint, total double, n bigint").groupBy("g").agg((F.sum("total") / F.sum("n")).alias("log_loss"))
+    best = added.agg(F.min(F.struct(F.col("log_loss"), F.abs(F.col("g") - 1000), F.col("g"))).alias("b")).where("b IS NOT NULL")
+    return best.select(F.col("b.g").cast("int").alias("temperature_milli"), F.col("b.log_loss").alias("log_loss"))
 
 
 def apply_temperature(df: DataFrame, temperature: float, probs: str = "p") -> DataFrame:
@@ -132,17 +142,24 @@ def nearest_rank(df: DataFrame, column: str, percents: tuple[int, ...], *by: str
 def group_bootstrap(counts: DataFrame, group: str, hits: str, total: str, rounds: int, seed: int) -> DataFrame:
     """(groups, low, high): 2.5 and 97.5 % nearest ranks of hits/total over rounds that draw groups with replacement.
 
-    Rows of counts are summed by group first, so the draws work on as many rows as there are groups; a draw is a hash of (seed,
-    round, place) that other engines can take too. Fewer than two groups give NULL bounds.
+    Rows of counts are summed by group first and written, so the draws work on as many rows as there are groups; a draw is a hash of
+    (seed, round, place) that other engines can take too. Groups are numbered inside ranges, each starting after those before it.
+    Fewer than two groups give NULL bounds.
     """
-    summed = counts.groupBy(group).agg(F.sum(hits).alias("_h"), F.sum(total).alias("_t"))
-    numbered = summed.withColumn("_k", F.row_number().over(Window.orderBy(group)) - 1)
-    n = numbered.count()
+    summed = counts.groupBy(group).agg(F.sum(hits).alias("_h"), F.sum(total).alias("_t")).repartitionByRange(group)
+    ranged = written(summed.withColumn("_range", F.spark_partition_id()), "bootstrap-groups")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    n = ranged.count()
     if n < 2:
         return counts.sparkSession.createDataFrame([(n, None, None)], "groups bigint, low double, high double")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(group))
+    numbered = ranged.withColumn("_p", place).join(F.broadcast(starts), "_range").select((F.col("_p") + F.col("_start") - 1).alias("_k"), "_h", "_t")
     draws = counts.sparkSession.range(rounds * n).select(F.floor(F.col("id") / n).alias("_r"), (F.col("id") % n).alias("_j"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("_r").cast("string"), F.col("_j").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") % n
-    rounds_ = draws.withColumn("_p", pick).join(numbered, F.col("_p") == F.col("_k")).groupBy("_r").agg((F.sum("_h") / F.sum("_t")).alias("_v"))
+    # how often a round draws a group, combined before the join
+    drawn = draws.select("_r", pick.alias("_p")).groupBy("_r", "_p").agg(F.count("*").alias("_c"))
+    rounds_ = drawn.join(numbered, F.col("_p") == F.col("_k")).groupBy("_r").agg((F.sum(F.col("_h") * F.col("_c")) / F.sum(F.col("_t") * F.col("_c"))).alias("_v"))
     return rounds_.agg(F.lit(n).cast("bigint").alias("groups"), F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY _v)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY _v)").alias("high"))
 
 
@@ -234,7 +251,14 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, probs: str, absolute: flo
     return joined.select(key, gap.alias("max_difference"), within.alias("within"), (arg(probs) == arg("_q")).alias("same_class"))
 
 
-def throughput(events: DataFrame, at: str, width: str, processed: Column, dropped: Column, long_ms: str | None = None) -> DataFrame:
-    """(start, processed, dropped, drop_ppm) per tumbling window; batch and streaming alike."""
-    w = events.groupBy(F.window(at, width).alias("w")).agg(F.count_if(processed).alias("processed"), F.count_if(dropped).alias("dropped"))
-    return w.select(F.col("w.start").alias("start"), "processed", "dropped", F.floor(F.col("dropped") * 1_000_000 / (F.col("processed") + F.col("dropped")) + 0.5).cast("bigint").alias("drop_ppm"))
+def throughput(events: DataFrame, at: str, width: str, processed: Column, dropped: Column, task_ms: Column | None = None, long_ms: int = 50) -> DataFrame:
+    """(start, processed, dropped, drop_ppm) per tumbling window, and with task_ms the number, sum and maximum of tasks longer than long_ms; batch and streaming alike."""
+    aggs = [F.count_if(processed).alias("processed"), F.count_if(dropped).alias("dropped")]
+    more = []
+    if task_ms is not None:
+        late = F.when(task_ms > long_ms, task_ms)
+        zero = F.lit(0).cast("bigint")
+        aggs += [F.count(late).alias("long_tasks"), F.sum(late).alias("_sum"), F.max(late).alias("_max")]
+        more = ["long_tasks", F.coalesce("_sum", zero).alias("long_ms"), F.coalesce("_max", zero).alias("longest_ms")]
+    w = events.groupBy(F.window(at, width).alias("w")).agg(*aggs)
+    return w.select(F.col("w.start").alias("start"), "processed", "dropped", F.floor(F.col("dropped") * 1_000_000 / (F.col("processed") + F.col("dropped")) + 0.5).cast("bigint").alias("drop_ppm"), *more)

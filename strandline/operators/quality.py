@@ -71,6 +71,22 @@ def disposition(metrics: DataFrame, findings: DataFrame, entity: str = "rec") ->
     return joined.select(entity, F.when((F.col("valid") == 0) | (F.col("any_hand") == 0), "reject").otherwise(named).alias("disposition"), F.coalesce("findings", F.lit(0).cast("bigint")).alias("findings"))
 
 
+def with_disposition(metrics: DataFrame, rules: list[tuple[str, bool, int, int, int]]) -> DataFrame:
+    """Adds disposition and the number of findings to each metrics row, as apply_thresholds and disposition give them, without another pass over the metrics."""
+
+    def rank(metric: str, higher: bool, *limits: int | None) -> Column:
+        out = F.lit(0)
+        for k, limit in enumerate(limits, 1):
+            if limit is not None:
+                out = F.when(F.col(metric) > limit if higher else F.col(metric) < limit, k).otherwise(out)
+        return out
+
+    ranks = F.array(*(rank(*r) for r in rules))
+    named = F.element_at(F.array(F.lit("pass"), *map(F.lit, SEVERITIES)), F.col("_worst") + 1)
+    rated = metrics.withColumn("_worst", F.array_max(ranks)).withColumn("findings", F.size(F.filter(ranks, lambda x: x > 0)).cast("bigint"))
+    return rated.withColumn("disposition", F.when((F.col("valid") == 0) | (F.col("any_hand") == 0), "reject").otherwise(named)).drop("_worst")
+
+
 def dataset_quality(reports: DataFrame) -> DataFrame:
     """One row over all reports: sums, extremes, weighted ppm and whether the data are ready."""
     n = lambda d: F.count_if(F.col("disposition") == d)

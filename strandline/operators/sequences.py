@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import div, lerp
+from ..functions.scalars import lerp
 
 
 @dataclass(frozen=True)
@@ -174,18 +175,20 @@ def monotone_ms(frames: DataFrame, seq: Sequence = Sequence()) -> DataFrame:
 def smooth(frames: DataFrame, value: str, usable: Column, alpha_ppm: int = 500_000, seq: Sequence = Sequence()) -> DataFrame:
     """(entity, order, smoothed): integer exponential smoothing over usable rows; a sequence's first usable value starts it.
 
-    The recurrence rounds at each step, so it is folded over the sequence's sorted array.
+    The recurrence rounds at each step, so no window expresses it: one loop runs over a sequence's sorted values.
     """
-    rows = frames.where(usable).groupBy(seq.entity).agg(F.sort_array(F.collect_list(F.struct(F.col(seq.order).alias("o"), F.col(value).cast("bigint").alias("v")))).alias("a"))
-    empty = F.array().cast("array<struct<o:bigint,s:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)["s"]
-        s = F.when(F.size(acc) == 0, x["v"]).otherwise(div(F.lit(alpha_ppm).cast("bigint") * x["v"] + F.lit(1_000_000 - alpha_ppm).cast("bigint") * last + 500_000, F.lit(1_000_000)))
-        return F.concat(acc, F.array(F.struct(x["o"].cast("bigint").alias("o"), s.alias("s"))))
-
-    folded = rows.select(seq.entity, F.explode(F.aggregate("a", empty, step)).alias("x"))
-    return folded.select(seq.entity, F.col("x.o").alias(seq.order), F.col("x.s").alias("smoothed"))
+    rows = frames.where(usable).select(seq.entity, F.col(seq.order).cast("bigint").alias(seq.order), F.col(value).cast("bigint").alias("smoothed"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(seq.order)
+        out, last = [], None
+        for v in table.column("smoothed").to_pylist():
+            last = v if last is None else (alpha_ppm * v + (1_000_000 - alpha_ppm) * last + 500_000) // 1_000_000
+            out.append(last)
+        return table.set_column(table.schema.get_field_index("smoothed"), "smoothed", pa.array(out, pa.int64()))
+
+    kind = rows.schema[seq.entity].dataType.simpleString()
+    return rows.groupBy(seq.entity).applyInArrow(run, f"`{seq.entity}` {kind}, `{seq.order}` bigint, smoothed bigint")
 
 
 def bracket_join(grid: DataFrame, samples: DataFrame, value: str, by: tuple[str, ...] = ("rec",), t: str = "t") -> DataFrame:

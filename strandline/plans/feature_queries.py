@@ -36,10 +36,16 @@ def m10_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m11_feature_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return X.feature_violations(X.derive_features(landmark_frames(spark, sf), FAST, PLAN), PLAN)
+    """Features of all recordings, some with their times turned round and some with padding at the front."""
+    made = X.derive_features(landmark_frames(spark, sf), FAST, PLAN)
+    kind = F.pmod("rec", F.lit(5))
+    seeded = made.withColumn("timestamps_us", F.when(kind == 2, F.reverse("timestamps_us")).otherwise(F.col("timestamps_us")))
+    front = F.transform("padding_mask", lambda x, k: k == 0)
+    return X.feature_violations(seeded.withColumn("padding_mask", F.when(kind == 3, front).otherwise(F.col("padding_mask"))), PLAN)
 
 
-M11 = "SELECT '' AS rule_id, NULL::BIGINT AS rec WHERE FALSE"
+M11 = f"""WITH {FRAMES}, r AS (SELECT DISTINCT rec FROM frames)
+SELECT 'times_not_rising' AS rule_id, rec FROM r WHERE rec % 5 = 2 UNION ALL SELECT 'padding_not_suffix', rec FROM r WHERE rec % 5 = 3"""
 
 
 def m12_training_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,12 +146,20 @@ A3 = f"WITH {FRAMES} SELECT rec::VARCHAR AS source_recording_id, count(*) AS fra
 
 
 def a5_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    inventory = T.hash_inventory(spark, f"{sf}/nation.parquet")
-    declared = inventory.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "sha256")
-    return T.verify_artifacts(declared, inventory).groupBy("status").agg((F.count("*") > 0).alias("any"))
-
-
-A5 = "SELECT 'verified' AS status, TRUE AS any FROM nation LIMIT 1"
+    """Every document as a file, against a declaration with some names missing, some lost, and some other sizes and digests."""
+    path = staging.new_path(spark, "files")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("doc_id").text(path)
+    inventory = T.hash_inventory(spark, path, "*.txt").withColumn("path", F.regexp_extract("path", r"doc_id=\d+", 0))
+    kind, body = F.col("doc_id") % 7, F.concat("text", F.lit("\n"))
+    size = F.octet_length(body) + F.when(kind == 1, 1).otherwise(0)
+    digest = F.when(kind == 2, F.sha2("text", 256)).otherwise(F.sha2(body, 256))
+    declared = docs.where(kind != 3).select(F.concat(F.when(kind == 4, "lost=").otherwise("doc_id="), F.col("doc_id").cast("string")).alias("name"), size.cast("bigint").alias("size_bytes"), digest.alias("sha256"))
+    return T.verify_artifacts(declared, inventory)
+
+
+A5 = """SELECT 'doc_id=' || doc_id AS name, CASE doc_id % 7 WHEN 1 THEN 'size_differs' WHEN 2 THEN 'digest_differs' WHEN 3 THEN 'undeclared' WHEN 4 THEN 'undeclared' ELSE 'verified' END AS status FROM documents
+UNION ALL SELECT 'lost=' || doc_id, 'missing' FROM documents WHERE doc_id % 7 = 4"""
 
 
 def a7_media_table(spark: SparkSession, sf: str) -> DataFrame:

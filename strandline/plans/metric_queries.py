@@ -78,11 +78,11 @@ F6 = f"""WITH {CURVE}, o AS (SELECT * FROM curve WHERE errors = 0 AND accepted >
 
 
 def f7_temperature(spark, sf):
-    return _rounded(M.fit_temperature(scored(spark, sf), 200, 2000), "log_loss")
+    return _rounded(M.fit_temperature(scored(spark, sf)), "log_loss")
 
 
-F7 = f"""WITH {SCORED}, g AS (SELECT unnest(range(200, 2001))::INTEGER AS g), z AS (SELECT label, list_transform(p, lambda x: ln(x)) AS z FROM scored),
-l AS (SELECT g, avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / (g / 1000.0::DOUBLE))))) - (z[label + 1] - list_max(z)) / (g / 1000.0::DOUBLE)) AS log_loss FROM z, g GROUP BY g)
+F7 = f"""WITH {SCORED}, g AS (SELECT unnest(range(50, 10001))::INTEGER AS g), z AS (SELECT label, list_transform(p, lambda x: ln(x)) AS z FROM scored),
+l AS (SELECT g, avg(least(-ln(1e-12::DOUBLE), ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / (g / 1000.0::DOUBLE))))) - (z[label + 1] - list_max(z)) / (g / 1000.0::DOUBLE))) AS log_loss FROM z, g GROUP BY g)
 SELECT g AS temperature_milli, round(log_loss, 6) AS log_loss FROM l ORDER BY log_loss.log_loss IS NULL, l.log_loss, abs(g - 1000), g LIMIT 1""".replace("log_loss.log_loss IS NULL, ", "")
 
 
@@ -268,11 +268,11 @@ v AS (SELECT bool_and(d > 0) FILTER (fold IS NOT NULL) AS better, bool_and(d < 0
 
 def d22_throughput(spark, sf):
     e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    found = M.throughput(e, "at", "6 hours", F.col("event_type") != "error", F.col("event_type") == "error")
+    found = M.throughput(e, "at", "6 hours", F.col("event_type") != "error", F.col("event_type") == "error", F.floor("value").cast("bigint"), 50)
     return found.withColumn("start", F.unix_micros("start"))
 
 
-D22 = "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS start, count(*) FILTER (event_type <> 'error') AS processed, count(*) FILTER (event_type = 'error') AS dropped, CAST(floor(count(*) FILTER (event_type = 'error') * 1000000 / count(*) + 0.5) AS BIGINT) AS drop_ppm FROM events GROUP BY 1"
+D22 = "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS start, count(*) FILTER (event_type <> 'error') AS processed, count(*) FILTER (event_type = 'error') AS dropped, CAST(floor(count(*) FILTER (event_type = 'error') * 1000000 / count(*) + 0.5) AS BIGINT) AS drop_ppm, count(*) FILTER (floor(value) > 50) AS long_tasks, coalesce(sum(floor(value)::BIGINT) FILTER (floor(value) > 50), 0)::BIGINT AS long_ms, coalesce(max(floor(value)::BIGINT) FILTER (floor(value) > 50), 0) AS longest_ms FROM events GROUP BY 1"
 
 
 def d23_centroids(spark, sf):

@@ -185,13 +185,14 @@ SELECT rec, n, CAST(k AS INTEGER) AS k, CASE WHEN n <= 64 THEN k ELSE (2 * k * (
 
 
 def h12_padded(spark: SparkSession, sf: str) -> DataFrame:
-    seq = frames(spark, sf).where("i < 70").groupBy("rec").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("v"))
-    padded = seq.select("rec", S.pad(F.col("v"), 70, F.lit(0).cast("bigint")).alias("p"), F.size("v").alias("n"))
+    """64 values of each whole recording: those at the uniform indices, padded where it has fewer frames."""
+    seq = frames(spark, sf).groupBy("rec").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("v"))
+    padded = seq.select("rec", S.fixed_length(F.col("v"), 64, F.lit(0).cast("bigint")).alias("p"), F.size("v").alias("n"))
     return padded.select("rec", F.col("n").cast("bigint").alias("n"), F.posexplode("p").alias("k", "v"))
 
 
-H12 = f"""WITH {FRAMES}, n AS (SELECT rec, least(count(*), 70) AS n FROM frames GROUP BY rec)
-SELECT n.rec, n, CAST(k AS INTEGER) AS k, coalesce(q, 0) AS v FROM n CROSS JOIN generate_series(0, 69) g(k) LEFT JOIN frames f ON f.rec = n.rec AND f.i = k"""
+H12 = f"""WITH {FRAMES}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec), g AS (SELECT rec, n, k, CASE WHEN n <= 64 THEN k ELSE (2 * k * (n - 1) + 63) // 126 END AS picked FROM n CROSS JOIN generate_series(0, 63) x(k))
+SELECT g.rec, n, CAST(k AS INTEGER) AS k, coalesce(q, 0) AS v FROM g LEFT JOIN frames f ON f.rec = g.rec AND f.i = picked"""
 
 
 def b5_observation_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,8 +224,7 @@ def c11_threshold_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d2_dispositions(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = d1_quality_metrics(spark, sf)
-    return Q.disposition(metrics, Q.apply_thresholds(metrics, THRESHOLDS))
+    return Q.with_disposition(d1_quality_metrics(spark, sf), THRESHOLDS).select("rec", "disposition", "findings")
 
 
 D2 = f"""WITH {METRICS}, {RULES} SELECT m.rec, CASE WHEN m.valid = 0 OR m.any_hand = 0 THEN 'reject' ELSE ['pass', 'warning', 'quarantine', 'reject'][coalesce(max(severity), 0) + 1] END AS disposition, count(severity) AS findings
@@ -232,8 +232,7 @@ FROM metrics m LEFT JOIN findings f USING (rec) GROUP BY m.rec, m.valid, m.any_h
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = d1_quality_metrics(spark, sf)
-    return metrics.join(Q.disposition(metrics, Q.apply_thresholds(metrics, THRESHOLDS)), "rec")
+    return Q.with_disposition(d1_quality_metrics(spark, sf), THRESHOLDS)
 
 
 FLAGSHIP = f"""WITH {METRICS}, {RULES}, d AS (SELECT m.rec, CASE WHEN m.valid = 0 OR m.any_hand = 0 THEN 'reject' ELSE ['pass', 'warning', 'quarantine', 'reject'][coalesce(max(severity), 0) + 1] END AS disposition, count(severity) AS findings
@@ -290,7 +289,7 @@ SELECT 'count_differs' AS rule_id, rec, i FROM s WHERE c <> h0::INT + h1::INT UN
 
 
 def b7_observations(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf).where("i < 50")
+    f = frames(spark, sf)
     slots = {"hand_0": (F.col("h0"), point(k=0), point(k=0, axis=1)), "hand_1": (F.col("h1"), point(k=30), point(k=30, axis=1))}
     return Q.project_observations(f.withColumn("t", F.col("t") / F.lit(1_000_000)).withColumn("t", F.col("t").cast("bigint")), slots)
 
@@ -300,7 +299,7 @@ def _motion(k: int, h: str) -> str:
     return f"CASE WHEN {h} AND lag({h}) OVER v AND t > lag(t) OVER v THEN CAST(floor({l1} * 1e6 / ((t - lag(t) OVER v) / 1e6) + 0.5) AS BIGINT) END"
 
 
-B7 = f"""WITH {FRAMES}, s AS (SELECT * REPLACE (CAST(trunc(t / 1000000) AS BIGINT) AS t) FROM frames WHERE i < 50),
+B7 = f"""WITH {FRAMES}, s AS (SELECT * REPLACE (CAST(trunc(t / 1000000) AS BIGINT) AS t) FROM frames),
 m AS (SELECT rec, i, greatest(coalesce({_motion(0, 'h0')}, 0), coalesce({_motion(30, 'h1')}, 0)) AS motion_q FROM s WHERE NOT invalid WINDOW v AS (PARTITION BY rec ORDER BY i))
 SELECT s.rec, s.i, s.t, NOT invalid AND (h0 OR h1) AS hand_present, NOT invalid AS quality_ok, coalesce(motion_q, 0) AS motion_q FROM s LEFT JOIN m USING (rec, i)"""
 

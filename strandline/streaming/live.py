@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.checks import attempt_chain_violations
 from ..operators.events import EVENT_SCHEMA, Limits, State, finish, step
 
 
@@ -30,7 +29,7 @@ def detect_events_stream(observations: DataFrame, limits: Limits = Limits(), idl
             held.remove()
             out += [(key[0], *last)] if last else []
         else:
-            rows = pd.concat(list(batches), ignore_index=True).sort_values("t")
+            rows = pd.concat(list(batches), ignore_index=True).sort_values(["t", "hand_present", "quality_ok", "motion_q"])
             for t, hand, ok, motion in rows[["t", "hand_present", "quality_ok", "motion_q"]].itertuples(index=False):
                 if state.t is not None and t <= state.t:
                     if late == "side":
@@ -128,5 +127,3 @@ def intake_packages(packages: DataFrame, fields: tuple[str, ...], text: str = "p
     status = F.when(bad, "malformed").when(F.size(F.array_except("_keys", known)) > 0, "unknown_field").when(F.size(F.array_except(known, "_keys")) > 0, "missing_field").otherwise("accepted")
     return parsed.select("*", status.alias("status"), F.lit(False).alias("eligible_for_training")).drop("_keys")
 
-
-__all__ = ["append_attempts", "attempt_chain_violations", "detect_events_stream", "intake_packages", "project_observations_stream", "quality_windows", "split_attempts"]
