@@ -18,12 +18,12 @@ from strandline.llm.shared import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the models of the known languages don't reject."""
+    """Keeps what the models of the known languages don't reject: null texts and those without letters go, rows with null ids or languages are judged by their text."""
     return keep_identified(docs, fit_language_models(training_rows(docs)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages met before; a document of which nothing is left goes, one that was empty before stays."""
+    """Texts without passages met before; a document of which nothing is left goes, one that was empty or null before stays. Null ids come last; rows that repeat id and text share their fate."""
     done = dedup_passages(docs)
     left = done.where((F.col("n_removed") == 0) | (F.length("text") > 0))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))}
@@ -31,14 +31,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), that with the smallest id."""
+    """One document of each group of near duplicates (five words, 0.8), that with the smallest id. Rows with a null id or without words stay, and so do rows that repeat the kept id."""
     found = jaccard_components(docs, Similarity(words=5, below=80, above=100))
     copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
     return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that repeat id and text get the fewest copies of theirs."""
+    """Each document as often as the mix takes it; rows that repeat id and text get the fewest copies of theirs. Null and empty texts are kept once, and a null source is a source of its own."""
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), key.alias("_key"))
     taken = mix(docs, row_hash=True).groupBy(F.col("doc_id").alias("t_id"), F.col("row_hash").alias("t_key")).agg(F.min("copies").alias("copies"))
@@ -47,8 +47,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
-    return pack_documents(docs, _tokenizer())
+    """Sequences of at most 4096 tokens. Null ids and texts are packed too (a null text as the stop id); an empty table gives none.
+
+    Executors are still full of the stages before, so workers keep fewer words than they would alone.
+    """
+    return pack_documents(docs, _tokenizer(), known_words=100_000, slice_bytes=1 << 19)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("mixing", mixing), ("packing", packing)]

@@ -128,13 +128,13 @@ class Points:
     def may_link(self, a: np.ndarray, b: np.ndarray, rule: Similarity) -> np.ndarray:
         """Whether the bounds by the coarse and, where both have one, the fine vectors allow pairs (a, b)."""
         out = rule.sizes_fit(self.sizes[a], self.sizes[b])
-        for s in range(0, len(a), 1 << 15):
-            part = slice(s, s + (1 << 15))
+        for s in range(0, len(a), 1 << 13):
+            part = slice(s, s + (1 << 13))
             bound = np.minimum(self.coarse[a[part]], self.coarse[b[part]]).sum(1, dtype=np.int64)
             out[part] &= rule.enough(bound, self.sizes[a[part]], self.sizes[b[part]])
         both = np.flatnonzero(out & (self.fine_row[a] >= 0) & (self.fine_row[b] >= 0))
-        for s in range(0, len(both), 1 << 13):
-            k = both[s : s + (1 << 13)]
+        for s in range(0, len(both), 1 << 11):
+            k = both[s : s + (1 << 11)]
             bound = np.minimum(self.fine[self.fine_row[a[k]]], self.fine[self.fine_row[b[k]]]).sum(1, dtype=np.int64)
             out[k] = rule.enough(bound, self.sizes[a[k]], self.sizes[b[k]])
         return out
@@ -157,7 +157,7 @@ class CountTree:
             node = [f.reduceat(x, heads) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), node)]
             self.levels.append(node)
 
-    def search(self, counts: np.ndarray, sizes: np.ndarray, rule: Similarity, block: np.ndarray | None = None, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, counts: np.ndarray, sizes: np.ndarray, rule: Similarity, block: np.ndarray | None = None, most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, point) whose bound allows a link, a bounded number of open boxes at a time."""
         block = np.zeros(len(sizes), np.int64) if block is None else block
         work = [(len(self.levels) - 1, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))] if len(self.order) else []

@@ -185,7 +185,8 @@ def fit_language_models(docs: DataFrame, order: int = 4, rows_per_language: int
 
     N-grams are counted by Spark over that sample; what reaches the driver is bounded by it. Rejection: a
     language's limit is `spare` times the 99th percentile of the cross-entropies (nats a character) of its sample's
-    own texts. Raises ValueError beyond most_languages languages.
+    own texts. Repeated rows count each; null ids are drawn by their hash like others; long texts count whole. Without rows there are no
+    languages, and everything is `und`. Raises ValueError beyond most_languages languages.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())

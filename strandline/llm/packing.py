@@ -29,11 +29,11 @@ _PLAIN = regex.compile(r"\p{L}+([^\s\p{L}\p{N}\p{M}'<]*)")
 class WordIds:
     """Token ids of words as one flat array, by the library; white space parts tokens, so a text's ids are those of its words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.index = Tokenizer.from_file(path), WordIndex(800_000)
+        self.tokenizer, self.index = Tokenizer.from_file(path), WordIndex(known)
         names = self.tokenizer.get_vocab()
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -74,9 +74,9 @@ class WordIds:
 
 
 @functools.lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, known: int) -> WordIds:
     """One per worker process: the tasks it runs one after the other share what was learnt."""
-    return WordIds(path)
+    return WordIds(path, known)
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -86,18 +86,18 @@ def gather(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return flat[np.repeat(begin - skip, size) + np.arange(size.sum())]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, stop_id: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, stop_id: int = 2, text: str = "text", id_col: str = "doc_id", known_words: int = 800_000, slice_bytes: int = 2 << 20) -> DataFrame:
     """Each document's ids, with stop_id after them, cut into pieces of `room` ids and a rest.
 
     Returns doc_id, start, length, ids_crc32 (of little-endian unsigned 32-bit ids), doc_tokens. A null or empty text is
-    the stop id alone.
+    the stop id alone. A worker remembers known_words words and works on slice_bytes of text at a time: these bound its memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
+        ids_of = word_ids(tokenizer, known_words)
         for batch in batches:
             texts = byte_column(batch.column(1))
-            for first, last in slices(texts):
+            for first, last in slices(texts, slice_bytes):
                 words, per_text = split_words(texts.slice(first, last - first), lower=True)
                 codes, names = distinct(words)
                 flat, begin, end = ids_of(names)
@@ -151,9 +151,10 @@ def pack(pieces: DataFrame, room: int = 4096, linear: float = 1.0, quadratic: fl
     return dealt.groupBy("_shard").applyInPandas(fill, f"{fields}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, room: int = 4096, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, room: int = 4096, text: str = "text", id_col: str = "doc_id", known_words: int = 800_000, slice_bytes: int = 2 << 20) -> DataFrame:
     """Pieces of all documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null texts are empty; repeated rows are packed each; columns other than id and text are left out.
+    Null texts are empty; repeated rows are packed each, and equal lengths go by id; a very long text is many pieces; columns other than id and
+    text are left out. known_words and slice_bytes bound a worker's memory (see token_pieces).
     """
-    return pack(stage(token_pieces(docs, tokenizer, room, text=text, id_col=id_col), "pieces"), room, id_col=id_col)
+    return pack(stage(token_pieces(docs, tokenizer, room, text=text, id_col=id_col, known_words=known_words, slice_bytes=slice_bytes), "pieces"), room, id_col=id_col)

@@ -58,8 +58,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
     last = kind[ends - 1] if len(ends) else kind[:0]
     first = kind[starts] if len(starts) else kind[:0]
     breaks = np.flatnonzero(flat == 10)
-    line_starts = np.sort(np.concatenate([offsets[:-1][size > 0], breaks + 1]))
-    line_starts = line_starts[line_starts < len(flat)]
+    # a break at a text's end opens no line
+    inner = breaks + 1 < offsets[np.searchsorted(offsets, breaks, side="right")]
+    line_starts = np.sort(np.concatenate([offsets[:-1][size > 0], breaks[inner] + 1]))
     line_owner = np.searchsorted(offsets, line_starts, side="right") - 1
     next_break = np.append(breaks, len(flat))[np.searchsorted(breaks, line_starts)]
     line_ends = np.maximum(np.minimum(next_break, offsets[line_owner + 1]), line_starts)
@@ -158,7 +159,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, lab
 
 
 def score_quality(docs: DataFrame, forest: Forest, threshold: float = 0.3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, score (probability of label 1) and predicted (1 if score >= threshold). Null and empty texts are scored alike; other columns are left out."""
+    """Per row: id, score (probability of label 1) and predicted (1 if score >= threshold). Null and empty texts are scored alike, equal rows equally, and texts of any length whole; an empty table gives none; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
