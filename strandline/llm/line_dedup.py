@@ -58,12 +58,15 @@ def _met_before(each: DataFrame, name: str) -> DataFrame:
     """The rows of each (_id, _key, pos, chunk and more) whose chunk occurs before, with an equal text: in a row of smaller id or earlier in the same row."""
     counts = each.withColumn("h1", F.xxhash64("chunk")).withColumn("h2", F.xxhash64(F.lit(0x51ED27), F.col("chunk")))
     again = counts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_id").alias("first_id")).where("n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_id")
-    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
-    repeated = stage(counts.join(again, same).select(*counts.columns, "first_id"), name)
+    return _copies_of_first(stage(counts.join(again, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select(*counts.columns, "first_id"), name))
+
+
+def _copies_of_first(repeated: DataFrame) -> DataFrame:
+    """Rows (_id, _key, pos, chunk, h1, h2, first_id and more) that have the text of the first place of their hashes and aren't that place."""
     place = F.min(F.struct("pos", "_key", "chunk")).alias("first")
     firsts = repeated.where(F.col("_id") == F.col("first_id")).groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(place)
     at_first = (F.col("_id") == F.col("first_id")) & (F.col("pos") == F.col("first.pos")) & (F.col("_key") == F.col("first._key"))
-    return repeated.join(firsts, same).where((F.col("chunk").cast("binary") == F.col("first.chunk").cast("binary")) & ~F.coalesce(at_first, F.lit(False)))
+    return repeated.join(firsts, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where((F.col("chunk").cast("binary") == F.col("first.chunk").cast("binary")) & ~F.coalesce(at_first, F.lit(False)))
 
 
 def dedup_passages(docs: DataFrame, every: int = 2, long_words: int = 16, least_lines: int = 2, least_words: int = 12, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -74,13 +77,26 @@ def dedup_passages(docs: DataFrame, every: int = 2, long_words: int = 16, least_
     removed under the same limits. The first place of each line stays. n_lines and n_removed count lines.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_key"))
-    marks = _marked(rows.select("_id", "_key", F.col(f"row.`{text}`").alias("_text")), "_text", long_words)
+    plain = rows.select("_id", "_key", F.col(f"row.`{text}`").alias("_text"))
+    marks = _marked(plain, "_text", long_words)
     at = F.sequence(F.lit(0), F.size("_lines") - 1)
-    item = lambda i, n: F.struct(i.alias("pos"), F.transform(F.slice("_lines", i + 1, n), words).alias("sizes"), F.array_join(F.slice("_lines", i + 1, n), "\n").alias("chunk"))
+
+    def item(i: Column, n: int) -> Column:
+        chunk = F.array_join(F.slice("_lines", i + 1, n), "\n")
+        return F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(chunk).alias("h1"), F.xxhash64(F.lit(0x51ED27), chunk).alias("h2"))
+
     pairs = F.transform(F.filter(at, lambda i: i < F.size("_lines") - 1), lambda i: item(i, 2))
     alone = F.transform(F.filter(at, lambda i: _ends(i, every) & ((i == 0) | _ends(i - 1, every))), lambda i: item(i, 1))
     each = marks.select("_id", "_key", F.explode_outer(F.concat(pairs, alone)).alias("c")).select("_id", "_key", "c.*")
-    gone = _met_before(each, "repeated-lines")
+    # hashes alone say what is met again; then the texts of those places are fetched from their rows, and compared
+    again = each.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.min("_id").alias("first_id")).where("_n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_id")
+    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+    places = each.join(again, same).groupBy(F.col("_id").alias("p_id"), F.col("_key").alias("p_key")).agg(F.collect_set(F.struct("pos", "n", "h1", "h2", "first_id")).alias("_places"))
+    found = plain.join(places, F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key"))).withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), "\n", -1))
+    found = found.select("_id", "_key", "_lines", F.explode_outer("_places").alias("c"))
+    own = F.slice("_lines", F.col("c.pos") + 1, F.col("c.n"))
+    repeated = stage(found.select("_id", "_key", "c.pos", "c.h1", "c.h2", "c.first_id", F.transform(own, words).alias("sizes"), F.array_join(own, "\n").alias("chunk")), "repeated-lines")
+    gone = _copies_of_first(repeated)
     # several items cover a line; equal rows count a place once
     lines = gone.select("_id", "_key", "pos", F.posexplode("sizes").alias("k", "n_words")).select("_id", "_key", (F.col("pos") + F.col("k")).alias("pos"), "n_words").distinct()
     run = F.col("pos") - F.row_number().over(Window.partitionBy("_id", "_key").orderBy("pos"))
