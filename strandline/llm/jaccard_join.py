@@ -379,7 +379,7 @@ def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pc.list_flatten(table.column("grams")).to_numpy().view(np.uint64)
 
 
-def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, text: str = "text", id_col: str = "doc_id", block_grams: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, text: str = "text", id_col: str = "doc_id", block_grams: int = 400_000) -> DataFrame:
     """Per row of docs: its id, n_shingles and component_id, the smallest id that links lead to (its own included).
 
     No link is lost: prefixes miss no linked pair, and blocks beyond `block` sets or block_grams n-grams are compared in pairs of
@@ -460,7 +460,7 @@ def jaccard_components(docs: DataFrame, rule: Similarity, block: int = 2000, tex
     often = rows("often").join(mixed, F.col("g") == F.col("k"))
     fields = ["g", "rep", "label", F.ceil(F.col("many") / block).alias("subs")]
     met = stage(rare.select(*fields).unionByName(often.select(*fields)), "met")
-    calls2 = met.count() // 20_000 + 1
+    calls2 = met.count() // 5_000 + 1
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("subs") - 1), lambda x: F.struct(F.least("sub", x).alias("a"), F.greatest("sub", x).alias("b")))
 
     def paired(df: DataFrame, key: Column, calls: int) -> DataFrame:
