@@ -216,7 +216,7 @@ def fit_language_models(docs: DataFrame, order: int = 4, rows_per_language: int
                             there = hashes[n - 1] != 0
                             keys, first, code = np.unique(hashes[n - 1][there], return_index=True, return_inverse=True)
                             suffix = hashes[n - 2][there][first] if n > 1 else np.zeros(len(keys), np.uint64)
-                            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(np.full(len(keys), n)), pa.array(keys.view(np.int64)), pa.array(contexts[n - 1][there][first].view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(np.bincount(code, weight[there]).astype(np.int64))], names=["lang", "n", "gram", "context", "suffix", "times"])
+                            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), n)), pa.array(keys.view(np.int64)), pa.array(contexts[n - 1][there][first].view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(np.bincount(code, weight[there]).astype(np.int64))], names=["lang", "n", "gram", "context", "suffix", "times"])
 
         rows = sample.select("text", "lang").mapInArrow(count, "lang string, n bigint, gram bigint, context bigint, suffix bigint, times bigint")
         table = rows.groupBy("lang", "n", "gram", "context", "suffix").agg(F.sum("times").alias("times")).toPandas()

@@ -133,7 +133,8 @@ def test_mixing_solves_the_dual(spark):
                 mid = (low + high) / 2
                 low, high = (mid, high) if words(mid) < row.target else (low, mid)
             assert abs(words(row.tilt) - row.target) <= 1e-6 * row.target + 1e-5 and abs(row.tilt - low) < 1e-4
-        assert abs(taken[row.source] - row.target) <= max(2, 0.002 * row.target, own["size"][own["size"] > 0].min())
+        # whole copies of a source of ten documents miss by half of one at most
+        assert abs(taken[row.source] - row.target) <= own["size"].max() / 2 + 1
 
 
 def test_vector_search_recall_at_scale(spark):
