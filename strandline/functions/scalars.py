@@ -96,11 +96,19 @@ def temperature_softmax(p: Column, temperature: float | Column, floor: float = 1
     return F.transform(powers, lambda x: x / total)
 
 
-def angle(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    """Angle at b between a and c in radians; NULL if a side has no length."""
-    ux, uy, vx, vy = _col(ax) - _col(bx), _col(ay) - _col(by), _col(cx) - _col(bx), _col(cy) - _col(by)
-    norm = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
-    return F.when(norm > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ux * vx + uy * vy) / norm))))
+def _minus(a: Column, b: Column) -> tuple[Column, ...]:
+    return tuple(a[c] - b[c] for c in "xyz")
+
+
+def _length(v: tuple[Column, ...]) -> Column:
+    return F.sqrt(sum((x * x for x in v[1:]), v[0] * v[0]))
+
+
+def angle(a: Column, b: Column, c: Column) -> Column:
+    """Angle at point b between points a and c (x, y, z) in radians; NULL if a side has no length."""
+    u, v = _minus(_col(a), _col(b)), _minus(_col(c), _col(b))
+    norm = _length(u) * _length(v)
+    return F.when(norm > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (u[0] * v[0] + u[1] * v[1] + u[2] * v[2]) / norm))))
 
 
 def unmirror(points: Column, mirrored: Column, image: bool = True) -> Column:
@@ -109,25 +117,32 @@ def unmirror(points: Column, mirrored: Column, image: bool = True) -> Column:
     return F.transform(_col(points), lambda p: p.withField("x", F.when(mirrored, 1 - p["x"] if image else -p["x"]).otherwise(p["x"])))
 
 
-def centroid(points: Column, indices: tuple[int, ...]) -> Column:
-    """Mean of selected points, as a struct."""
+def centroid(points: Column, indices: tuple[int, ...], axes: str = "xy") -> Column:
+    """Mean of selected points along the axes, as a struct."""
     points = _col(points)
     mean = lambda c: sum((F.get(points, F.lit(k))[c] for k in indices), F.lit(0.0)) / len(indices)
-    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+    return F.struct(*(mean(c).alias(c) for c in axes))
+
 
+def hand_local(points: Column, left: Column, mirrored: Column, origin: int = 0, reach: int = 9) -> Column:
+    """World points (x, y, z) relative to the origin point, scaled by its distance to the reach point; NULL if that distance is 0.
 
-def hand_local(points: Column, mirror_hand: Column, origin: int = 0, reach: int = 9) -> Column:
-    """Points relative to the origin point, scaled by its distance to the reach point, x reflected if mirror_hand; NULL if that distance is 0."""
-    points, flip = _col(points), F.when(_col(mirror_hand), F.lit(-1.0)).otherwise(F.lit(1.0))
-    o, r = F.get(points, F.lit(origin)), F.get(points, F.lit(reach))
-    scale = F.sqrt(F.pow(r["x"] - o["x"], 2) + F.pow(r["y"] - o["y"], 2))
-    return F.when(scale > 0, F.transform(points, lambda p: F.struct((flip * (p["x"] - o["x"]) / scale).alias("x"), ((p["y"] - o["y"]) / scale).alias("y"))))
+    The mirror is undone first. A hand is told as left or right as if the camera were mirrored, so it is the other one where it
+    wasn't; x of left hands is reflected.
+    """
+    left, mirrored = _col(left), _col(mirrored)
+    points = unmirror(points, mirrored, image=False)
+    sign = F.when(left == mirrored, F.lit(-1.0)).otherwise(F.lit(1.0))
+    o = F.get(points, F.lit(origin))
+    scale = _length(_minus(F.get(points, F.lit(reach)), o))
+    local = F.transform(points, lambda p: F.struct((sign * (p["x"] - o["x"]) / scale).alias("x"), ((p["y"] - o["y"]) / scale).alias("y"), ((p["z"] - o["z"]) / scale).alias("z")))
+    return F.when(scale > 0, local)
 
 
 def tip_distances(local: Column, tips: tuple[int, ...] = (4, 8, 12, 16, 20)) -> Column:
     """Distances of the fingertips from the origin of hand-local points."""
     local = _col(local)
-    return F.array(*(F.sqrt(F.pow(F.get(local, F.lit(k))["x"], 2) + F.pow(F.get(local, F.lit(k))["y"], 2)) for k in tips))
+    return F.array(*(_length(tuple(F.get(local, F.lit(k))[c] for c in "xyz")) for k in tips))
 
 
 def body_relative(x: Column, y: Column, left_x: Column, left_y: Column, right_x: Column, right_y: Column) -> Column:

@@ -20,8 +20,9 @@ PALM = (0, 5, 9, 17)
 
 @dataclass(frozen=True)
 class FeaturePlan:
-    """What features a frame has and the shape of a sequence."""
+    """What features a frame has and the shape of a sequence. representation: hand_local, body_relative or combined; differences are of positions only."""
 
+    representation: str = "combined"
     points: int = 21
     angles: bool = False
     tips: bool = False
@@ -29,21 +30,35 @@ class FeaturePlan:
     frames: int = 64
     rate: int = 30
 
+    @property
+    def local(self) -> bool:
+        return self.representation in ("hand_local", "combined")
+
+    @property
+    def body(self) -> bool:
+        return self.representation in ("body_relative", "combined")
+
+    @property
+    def positions(self) -> int:
+        return len(HANDS) * (3 * self.points * self.local + 4 * self.body)
+
     @property
     def width(self) -> int:
-        base = 2 * (2 * self.points + 4 + (len(ANGLES) if self.angles else 0) + (len(TIPS) if self.tips else 0))
-        return base * (1 + self.differences)
+        return self.positions * (1 + self.differences) + len(HANDS) * (len(ANGLES) * self.angles + len(TIPS) * self.tips)
 
 
 def _mix(left: Column, right: Column, share: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: F.struct((a["x"] + (b["x"] - a["x"]) * share).alias("x"), (a["y"] + (b["y"] - a["y"]) * share).alias("y")))
+    """The signal at a share of the way; NULL where the hand isn't told as the same one at both ends."""
+    between = lambda name, axes: F.zip_with(left[name], right[name], lambda a, b: F.struct(*((a[c] + (b[c] - a[c]) * share).alias(c) for c in axes))).alias(name)
+    return F.when(left["left"].eqNullSafe(right["left"]), F.struct(between("world", "xyz"), between("image", "xy"), left["left"].alias("left")))
 
 
 def resample(frames: DataFrame, policy: GapPolicy, rate: int = 30, seq: Sequence = Sequence()) -> DataFrame:
     """(rec, t, hand_0, hand_1, body and evidence of each) on the elapsed-time grid.
 
     A signal is the sample at that very time (observed), or lies between two adjacent samples or inside an approved gap
-    (interpolated), or is NULL. Signals are arrays of (x, y): the points of two hands, and left and right shoulder.
+    (interpolated), or is NULL. A signal is a struct of world points (x, y, z), image points (x, y) and whether the hand was told as
+    a left one; of the body, the image points are the left and right shoulder and the rest is NULL.
     """
     signals = {s: F.col(s).isNotNull() for s in (*HANDS, "body")}
     gaps = gap_barriers(missing_intervals(frames, signals, F.col("invalid"), seq), timestamp_discontinuities(frames, policy, seq), "jumped", seq)
@@ -64,60 +79,62 @@ def resample(frames: DataFrame, policy: GapPolicy, rate: int = 30, seq: Sequence
     return marked.groupBy("rec", "t").agg(*(one(s, "p").alias(s) for s in signals), *(one(s, "evidence").alias(f"{s}_evidence") for s in signals))
 
 
-def frame_features(grid: DataFrame, plan: FeaturePlan, mirrored: Column, left_hand: dict[str, Column]) -> DataFrame:
+def frame_features(grid: DataFrame, plan: FeaturePlan, mirrored: Column) -> DataFrame:
     """Adds f: an array of (v, e) per frame, value and evidence, both NULL where a feature can't be had.
 
-    Local points are centered on the wrist, scaled and reflected for left hands; wrist and palm are also given relative to the
-    shoulders. A hand without scale or frame without shoulders only lacks its own features.
+    World points are made hand-local; wrist and palm of the image are given relative to the shoulders. A hand without scale or a frame
+    without shoulders only lacks its own features. Differences of the positions come last, order by order.
     """
-    parts: list[Column] = []
     item = lambda v, e: F.struct(v.alias("v"), F.when(v.isNotNull(), e).alias("e"))
+    positions: list[Column] = []
+    more: list[Column] = []
+    for h in HANDS:
+        grid = grid.withColumn(f"_{h}", S.hand_local(F.col(h)["world"], F.col(h)["left"], mirrored)).withColumn(f"_i{h}", S.unmirror(F.col(h)["image"], mirrored))
+    body = S.unmirror(F.col("body")["image"], mirrored)
+    grid = grid.withColumn("_l", F.get(body, F.lit(0))).withColumn("_r", F.get(body, F.lit(1)))
+    relative = lambda x, y: S.body_relative(x, y, F.col("_l.x"), F.col("_l.y"), F.col("_r.x"), F.col("_r.y"))
 
     def local(h: str) -> Column:
+        # the points by a lambda, so that the expression doesn't grow with them; a hand without scale has NULLs
         at = lambda k: F.get(f"_{h}", k)
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(plan.points - 1)), lambda k: F.array(item(at(k)["x"], F.col(f"{h}_evidence")), item(at(k)["y"], F.col(f"{h}_evidence")))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(plan.points - 1)), lambda k: F.array(*(item(at(k)[c], F.col(f"{h}_evidence")) for c in "xyz"))))
 
     def tips(h: str) -> Column:
         return F.transform(S.tip_distances(F.col(f"_{h}"), TIPS), lambda v: item(v, F.col(f"{h}_evidence")))
 
-    for h in HANDS:
-        grid = grid.withColumn(f"_{h}", S.hand_local(F.col(h), mirrored != left_hand[h]))
-        parts.append(local(h))
-    body = S.unmirror(F.col("body"), mirrored)
-    grid = grid.withColumn("_l", F.get(body, F.lit(0))).withColumn("_r", F.get(body, F.lit(1)))
-    for h in HANDS:
-        grid = grid.withColumn(f"_i{h}", S.unmirror(F.col(h), mirrored))
+    for h in HANDS if plan.local else ():
+        positions.append(local(h))
+    for h in HANDS if plan.body else ():
         evidence = F.when((F.col(f"{h}_evidence") == "observed") & (F.col("body_evidence") == "observed"), "observed").otherwise("interpolated")
         for p in (F.get(f"_i{h}", F.lit(0)), S.centroid(F.col(f"_i{h}"), PALM)):
-            rel = S.body_relative(p["x"], p["y"], F.col("_l.x"), F.col("_l.y"), F.col("_r.x"), F.col("_r.y"))
-            parts.append(F.array(item(rel["x"], evidence), item(rel["y"], evidence)))
+            rel = relative(p["x"], p["y"])
+            positions.append(F.array(item(rel["x"], evidence), item(rel["y"], evidence)))
     for h in HANDS if plan.angles else ():
         at = lambda k, h=h: F.get(f"_{h}", F.lit(k))
-        parts.append(F.array(*(item(S.angle(at(a)["x"], at(a)["y"], at(b)["x"], at(b)["y"], at(c)["x"], at(c)["y"]), F.col(f"{h}_evidence")) for a, b, c in ANGLES)))
+        more.append(F.array(*(item(S.angle(at(a), at(b), at(c)), F.col(f"{h}_evidence")) for a, b, c in ANGLES)))
     for h in HANDS if plan.tips else ():
-        parts.append(tips(h))
-    made = grid.withColumn("f", F.concat(*parts))
-    for order in range(plan.differences):
-        w = Window.partitionBy("rec").orderBy("t")
-        size = plan.width // (1 + plan.differences)
-        seconds = (F.col("t") - F.lag("t").over(w)) / 1e6
-        made = made.withColumn("_s", seconds).withColumn("_last", F.lag("f").over(w))
-        now, last = F.slice("f", order * size + 1, size), F.slice("_last", order * size + 1, size)
-        both = lambda a, b: item(F.when(F.col("_s") > 0, (a["v"] - b["v"]) / F.col("_s")), F.when((a["e"] == "observed") & (b["e"] == "observed"), "observed").otherwise("interpolated"))
-        none = F.array_repeat(F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("string").alias("e")), size)
-        made = made.withColumn("f", F.concat("f", F.when(F.col("_last").isNull(), none).otherwise(F.zip_with(now, last, both))))
-    return made.select("rec", "t", "f", *(F.col(h).isNotNull().alias(f"{h}_present") for h in HANDS), (F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("body_available"))
-
-
-def derive_features(frames: DataFrame, policy: GapPolicy, plan: FeaturePlan = FeaturePlan(), mirrored: Column | None = None, left_hand: dict[str, Column] | None = None) -> DataFrame:
+        more.append(tips(h))
+    made = grid.withColumn("_d0", F.concat(*positions)).withColumn("_more", F.concat(*more) if more else F.slice("_d0", 1, 0))
+    w = Window.partitionBy("rec").orderBy("t")
+    seconds = (F.col("t") - F.lag("t").over(w)) / 1e6
+    both = lambda a, b: item(F.when(F.col("_s") > 0, (a["v"] - b["v"]) / F.col("_s")), F.when((a["e"] == "observed") & (b["e"] == "observed"), "observed").otherwise("interpolated"))
+    none = F.array_repeat(F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("string").alias("e")), plan.positions)
+    for k in range(plan.differences):
+        made = made.withColumn("_s", seconds).withColumn("_last", F.lag(f"_d{k}").over(w)).withColumn(f"_d{k + 1}", F.when(F.col("_last").isNull(), none).otherwise(F.zip_with(f"_d{k}", "_last", both)))
+    f = F.concat("_d0", "_more", *(f"_d{k + 1}" for k in range(plan.differences)))
+    return made.select("rec", "t", f.alias("f"), *(F.col(h).isNotNull().alias(f"{h}_present") for h in HANDS), relative(F.lit(0.0), F.lit(0.0)).isNotNull().alias("body_available"))
+
+
+def derive_features(frames: DataFrame, policy: GapPolicy, plan: FeaturePlan = FeaturePlan(), mirrored: Column | None = None) -> DataFrame:
     """One row per recording: timestamps_us, values_q (frames x features, millionths), valid, observed and interpolated masks, hand_present, body_available and padding masks, source_grid_frame_count.
 
-    Recordings with a timestamp discontinuity are refused (left out). frames: rec, i, t, invalid, hand_0, hand_1, body.
+    Recordings with a timestamp discontinuity are refused (left out). frames: rec, i, t, invalid, and the signals hand_0, hand_1 and
+    body as `resample` takes them; mirrored: whether the camera of a recording (rec) was mirrored.
     """
     bad = timestamp_discontinuities(frames, policy).select("rec").distinct()
     good = frames.join(bad, "rec", "left_anti")
     grid = resample(good, policy, plan.rate)
-    made = frame_features(grid, plan, mirrored if mirrored is not None else F.lit(False), left_hand or {h: F.lit(False) for h in HANDS})
+    made = frame_features(grid, plan, mirrored if mirrored is not None else F.lit(False))
     seq = made.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("t", "f", F.array(*(f"{h}_present" for h in HANDS)).alias("hands"), "body_available"))).alias("s"))
     picked = seq.withColumn("source_grid_frame_count", F.size("s").cast("bigint")).withColumn("s", F.transform(S.uniform_indices(F.size("s"), plan.frames), lambda i: F.get("s", i.cast("int"))))
     per = lambda fn: F.transform("s", lambda x: F.transform(x["f"], fn))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -21,12 +21,17 @@ FAST = E.GapPolicy(most_frames=2, most_bridge_us=100_000, most_step_us=100_000,
 
 
 def landmark_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """rec, i, t, invalid, hand_0, hand_1 (21 points each) and body (2 shoulders): the order of events, 33,333 µs apart."""
+    """rec, i, t, invalid, hand_0, hand_1 (21 points each) and body (2 shoulders) as signals: the order of events, 33,333 µs apart."""
     f = frames(spark, sf).withColumn("t", F.col("i") * 33_333)
-    # points by a lambda over indexes, as coordinates are integer arithmetic
-    at = lambda base: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.struct(((F.col("event_id") * 7 + 13 * (k + base)) % 1000 / 1000.0).alias("x"), ((F.col("event_id") * 8 + 13 * (k + base) + 5) % 1000 / 1000.0).alias("y")))
-    body = F.array(F.struct(F.lit(0.3).alias("x"), F.lit(0.5).alias("y")), F.struct(F.lit(0.7).alias("x"), F.lit(0.5).alias("y")))
-    return f.select("rec", "i", "t", "invalid", F.when(F.col("h0"), at(0)).alias("hand_0"), F.when(F.col("h1"), at(30)).alias("hand_1"), F.when(F.col("event_id") % 13 != 0, body).alias("body"))
+
+    def points(base: int, axes: str) -> Column:
+        # by a lambda over indexes, as coordinates are integer arithmetic
+        return F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.struct(*(((F.col("event_id") * (7 + a) + 13 * (k + base) + 5 * a) % 1000 / 1000.0).alias(c) for a, c in enumerate(axes))))
+
+    hand = lambda base, left: F.struct(points(base, "xyz").alias("world"), points(base, "xy").alias("image"), left.alias("left"))
+    at = lambda x: F.struct(F.lit(x).alias("x"), F.lit(0.5).alias("y"))
+    body = F.struct(F.lit(None).cast("array<struct<x: double, y: double, z: double>>").alias("world"), F.array(at(0.3), at(0.7)).alias("image"), F.lit(None).cast("boolean").alias("left"))
+    return f.select("rec", "i", "t", "invalid", F.when(F.col("h0"), hand(0, F.lit(True))).alias("hand_0"), F.when(F.col("h1"), hand(30, F.col("event_id") % 17 == 0)).alias("hand_1"), F.when(F.col("event_id") % 13 != 0, body).alias("body"))
 
 
 def m10_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,26 +66,32 @@ SELECT 'unassigned' AS rule_id, rec FROM a WHERE rec % 11 = 4 UNION ALL SELECT '
 
 
 def h5_hand_local(spark: SparkSession, sf: str) -> DataFrame:
-    f = landmark_frames(spark, sf).where("hand_0 IS NOT NULL").select("rec", "i", S.hand_local(F.col("hand_0"), F.col("i") % 2 == 0).alias("p"))
-    return f.select("rec", "i", *(F.round(x, 6).alias(n) for n, x in {"x4": F.get("p", F.lit(4))["x"], "y4": F.get("p", F.lit(4))["y"], "d8": F.get(S.tip_distances(F.col("p")), F.lit(1)), "angle": S.angle(*(F.get("p", F.lit(k))[c] for k in (0, 5, 6) for c in ("x", "y")))}.items()))
+    """Local point 4, the tip of finger 8 and an angle of hand 0, told as left in two of three frames, by a camera mirrored in every second."""
+    f = landmark_frames(spark, sf).where("hand_0 IS NOT NULL").select("rec", "i", S.hand_local(F.col("hand_0.world"), F.col("i") % 3 != 0, F.col("i") % 2 == 0).alias("p"))
+    at = lambda k: F.get("p", F.lit(k))
+    found = {"x4": at(4)["x"], "y4": at(4)["y"], "z4": at(4)["z"], "d8": F.get(S.tip_distances(F.col("p")), F.lit(1)), "angle": S.angle(at(0), at(5), at(6))}
+    return f.select("rec", "i", *(F.round(x, 6).alias(n) for n, x in found.items()))
 
 
-def _p(k: int) -> tuple[str, str]:
-    return f"((event_id * 7 + {13 * k}) % 1000 / 1000.0)::DOUBLE", f"((event_id * 8 + {13 * k + 5}) % 1000 / 1000.0)::DOUBLE"
+def _p(k: int) -> tuple[str, str, str]:
+    return tuple(f"((event_id * {7 + a} + {13 * k + 5 * a}) % 1000 / 1000.0)::DOUBLE" for a in range(3))
 
 
-H5 = f"""WITH {FRAMES}, p AS (SELECT rec, i, CASE WHEN i % 2 = 0 THEN -1 ELSE 1 END AS f, {', '.join(f'{c} AS {n}{k}' for k in (0, 4, 5, 6, 8, 9) for n, c in zip('xy', _p(k)))} FROM frames WHERE h0),
-s AS (SELECT *, sqrt(power(x9 - x0, 2) + power(y9 - y0, 2)) AS s FROM p),
-l AS (SELECT rec, i, CASE WHEN s > 0 THEN f * (x4 - x0) / s END AS x4, CASE WHEN s > 0 THEN (y4 - y0) / s END AS y4, CASE WHEN s > 0 THEN sqrt(power(f * (x8 - x0) / s, 2) + power((y8 - y0) / s, 2)) END AS d8,
-  f * (x0 - x5) / s AS ux, (y0 - y5) / s AS uy, f * (x6 - x5) / s AS vx, (y6 - y5) / s AS vy FROM s),
-n AS (SELECT *, sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy) AS n FROM l)
-SELECT rec, i, round(x4, 6) AS x4, round(y4, 6) AS y4, round(d8, 6) AS d8, round(CASE WHEN n > 0 THEN acos(greatest(-1, least(1, (ux * vx + uy * vy) / n))) END, 6) AS angle FROM n"""
+#: The mirror turns x, and reflects it anew where the true hand is a left one: told as left in a mirrored frame, or as right in another.
+H5 = f"""WITH {FRAMES}, p AS (SELECT rec, i, CASE WHEN i % 2 = 0 THEN -1 ELSE 1 END * CASE WHEN i % 2 = 0 AND i % 3 <> 0 OR i % 2 <> 0 AND i % 3 = 0 THEN -1 ELSE 1 END AS f,
+  {', '.join(f'{c} AS {n}{k}' for k in (0, 4, 5, 6, 8, 9) for n, c in zip('xyz', _p(k)))} FROM frames WHERE h0),
+s AS (SELECT *, sqrt(power(x9 - x0, 2) + power(y9 - y0, 2) + power(z9 - z0, 2)) AS s FROM p),
+l AS (SELECT rec, i, CASE WHEN s > 0 THEN f * (x4 - x0) / s END AS x4, CASE WHEN s > 0 THEN (y4 - y0) / s END AS y4, CASE WHEN s > 0 THEN (z4 - z0) / s END AS z4,
+  CASE WHEN s > 0 THEN sqrt(power(x8 - x0, 2) + power(y8 - y0, 2) + power(z8 - z0, 2)) / s END AS d8,
+  x0 - x5 AS ux, y0 - y5 AS uy, z0 - z5 AS uz, x6 - x5 AS vx, y6 - y5 AS vy, z6 - z5 AS vz FROM s),
+n AS (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) * sqrt(vx * vx + vy * vy + vz * vz) AS n FROM l)
+SELECT rec, i, round(x4, 6) AS x4, round(y4, 6) AS y4, round(z4, 6) AS z4, round(d8, 6) AS d8, round(CASE WHEN n > 0 THEN acos(greatest(-1, least(1, (ux * vx + uy * vy + uz * vz) / n))) END, 6) AS angle FROM n"""
 
 
 def h9_body_relative(spark: SparkSession, sf: str) -> DataFrame:
-    f = landmark_frames(spark, sf).where("hand_0 IS NOT NULL AND body IS NOT NULL").withColumn("m", S.unmirror(F.col("hand_0"), F.col("i") % 3 == 0))
+    f = landmark_frames(spark, sf).where("hand_0 IS NOT NULL AND body IS NOT NULL").withColumn("m", S.unmirror(F.col("hand_0.image"), F.col("i") % 3 == 0))
     palm = S.centroid(F.col("m"), X.PALM)
-    rel = S.body_relative(palm["x"], palm["y"], F.get("body", F.lit(0))["x"], F.get("body", F.lit(0))["y"], F.get("body", F.lit(1))["x"], F.get("body", F.lit(1))["y"])
+    rel = S.body_relative(palm["x"], palm["y"], *(F.get(F.col("body.image"), F.lit(k))[c] for k in (0, 1) for c in "xy"))
     return f.select("rec", "i", F.round(rel["x"], 6).alias("x"), F.round(rel["y"], 6).alias("y"))
 
 
