@@ -69,12 +69,29 @@ def _copies_of_first(repeated: DataFrame) -> DataFrame:
     return repeated.join(firsts, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where((F.col("chunk").cast("binary") == F.col("first.chunk").cast("binary")) & ~F.coalesce(at_first, F.lit(False)))
 
 
-def dedup_passages(docs: DataFrame, every: int = 2, long_words: int = 16, least_lines: int = 2, least_words: int = 12, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _of_rows(rows: DataFrame, found: DataFrame, most: int, others: bool) -> DataFrame:
+    """rows (_id, _key and more) with the columns of found (p_id, p_key and more, unique); with `others` also the rest, with NULLs.
+
+    If found has at most `most` rows its keys are broadcast, and only the rows that have one are shuffled; else all are.
+    """
+    at = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key"))
+    more = [c for c in found.columns if c not in ("p_id", "p_key")]
+    if found.count() > most:
+        return rows.join(found, at, "left" if others else "inner").select(*rows.columns, *more)
+    keys = F.broadcast(found.select("p_id", "p_key"))
+    own = rows.join(keys, at, "left_semi").join(found, at).select(*rows.columns, *more)
+    if not others:
+        return own
+    return own.unionByName(rows.join(keys, at, "left_anti").select(*rows.columns, *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more)))
+
+
+def dedup_passages(docs: DataFrame, every: int = 2, long_words: int = 16, least_lines: int = 2, least_words: int = 12, text: str = "text", id_col: str = "doc_id", most: int = 4_000_000) -> DataFrame:
     """(row, text, n_lines, n_removed): as dedup_lines, but what is counted are all pairs of neighbouring lines, and chunks of one line.
 
     Pairs overlap and depend on no neighbour, so a repeated passage goes up to its first and last line wherever it stands; whatever
     dedup_lines removes goes too, as the pairs of a chunk that is met again are. Runs of such lines that follow one another are
-    removed under the same limits. The first place of each line stays. n_lines and n_removed count lines.
+    removed under the same limits. The first place of each line stays. n_lines and n_removed count lines. Where at most `most` rows
+    have repeated lines (about 40 bytes each are broadcast), texts without any are not shuffled.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_key"))
     plain = rows.select("_id", "_key", F.col(f"row.`{text}`").alias("_text"))
@@ -92,7 +109,7 @@ def dedup_passages(docs: DataFrame, every: int = 2, long_words: int = 16, least_
     again = each.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.min("_id").alias("first_id")).where("_n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_id")
     same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
     places = each.join(again, same).groupBy(F.col("_id").alias("p_id"), F.col("_key").alias("p_key")).agg(F.collect_set(F.struct("pos", "n", "h1", "h2", "first_id")).alias("_places"))
-    found = plain.join(places, F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key"))).withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), "\n", -1))
+    found = _of_rows(plain, stage(places, "repeated-places"), most, False).withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), "\n", -1))
     found = found.select("_id", "_key", "_lines", F.explode_outer("_places").alias("c"))
     own = F.slice("_lines", F.col("c.pos") + 1, F.col("c.n"))
     repeated = stage(found.select("_id", "_key", "c.pos", "c.h1", "c.h2", "c.first_id", F.transform(own, words).alias("sizes"), F.array_join(own, "\n").alias("chunk")), "repeated-lines")
@@ -103,8 +120,8 @@ def dedup_passages(docs: DataFrame, every: int = 2, long_words: int = 16, least_
     whole_run = Window.partitionBy("_id", "_key", "_run")
     sized = lines.withColumn("_run", run).withColumn("_l", F.count("*").over(whole_run)).withColumn("_w", F.sum("n_words").over(whole_run))
     enough = ((F.col("_l") >= least_lines) & (F.col("_w") >= least_words)) | (F.col("_w") >= long_words)
-    by_row = sized.where(enough).groupBy(F.col("_id").alias("g_id"), F.col("_key").alias("g_key")).agg(F.collect_set("pos").alias("gone"))
-    joined = rows.join(by_row, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left")
+    by_row = sized.where(enough).groupBy(F.col("_id").alias("p_id"), F.col("_key").alias("p_key")).agg(F.collect_set("pos").alias("gone"))
+    joined = _of_rows(rows, stage(by_row, "removed-lines"), most, True)
     before = F.col(f"row.`{text}`")
     split = F.split(before, "\n", -1)
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
