@@ -144,9 +144,11 @@ def test_passages_go_to_their_last_line_wherever_they_stand(spark, n_lines, n_wo
     assert all(n == (n_lines if k >= 100 else 0) for k, (_, n) in got.items())
 
 
-def test_passages_edges(spark):
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_passages_edges(spark, most):
     rows = [(1, None), (2, ""), (3, "short\nshort\nshort"), (4, PASSAGE), (5, f"head\n{PASSAGE}\ntail"), (6, PASSAGE), (None, PASSAGE)]
-    df = line_dedup.dedup_passages(docs_of(spark, rows))
+    df = line_dedup.dedup_passages(docs_of(spark, rows), most=most)
+    assert line_dedup.dedup_passages(docs_of(spark, rows).limit(0), most=most).count() == 0
     got = {r["doc_id"]: (r["text"], r["n_lines"]) for r in df.select("row.doc_id", "text", "n_lines").collect()}
     assert got == {1: (None, 0), 2: ("", 1), 3: (rows[2][1], 3), 4: (PASSAGE, 9), 5: ("head\ntail", 11), 6: ("", 9), None: ("", 9)}
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
