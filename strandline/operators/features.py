@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .checks import violations
-from .sequences import GapPolicy, Sequence, bracket_join, decide_gaps, gap_at, gap_barriers, missing_intervals, timestamp_discontinuities
+from .sequences import GapPolicy, Sequence, bracket_join, decided_gaps, gap_at, timestamp_discontinuities
 
 HANDS = ("hand_0", "hand_1")
 #: Joints whose angle is taken (before, at, after), finger tips, and the palm's points.
@@ -61,8 +61,7 @@ def resample(frames: DataFrame, policy: GapPolicy, rate: int = 30, seq: Sequence
     a left one; of the body, the image points are the left and right shoulder and the rest is NULL.
     """
     signals = {s: F.col(s).isNotNull() for s in (*HANDS, "body")}
-    gaps = gap_barriers(missing_intervals(frames, signals, F.col("invalid"), seq), timestamp_discontinuities(frames, policy, seq), "jumped", seq)
-    approved = decide_gaps(gaps, policy, {"jumped": "timestamp_discontinuity"}).where("decision = 'interpolate_linear'")
+    approved = decided_gaps(frames, signals, policy, F.col("invalid"), seq=seq).where("decision = 'interpolate_linear'")
     span = frames.groupBy("rec").agg(F.max("t").alias("_span"))
     grid = span.select("rec", F.explode(S.grid_times("_span", rate)).alias("t"))
     each = grid.select("rec", "t", F.explode(F.array(*map(F.lit, signals))).alias("signal"))

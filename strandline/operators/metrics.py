@@ -76,27 +76,46 @@ def reliability(df: DataFrame, bins: int = 10, label: str = "label") -> DataFram
     return joined.select("bin", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "confidence", "accuracy", F.abs(F.col("confidence") - F.col("accuracy")).alias("gap"))
 
 
-def risk_coverage(df: DataFrame, label: str = "label") -> DataFrame:
-    """(percent, accepted, errors, coverage, risk) for thresholds 0..100 %: rows with confidence >= percent are accepted.
+def risk_coverage(df: DataFrame, label: str = "label", target: Column | None = None, said_target: Column | None = None) -> DataFrame:
+    """(percent, accepted, errors, coverage, risk) for thresholds 0..100 %: rows with confidence >= percent / 100 are accepted.
 
-    Facts are combined into 101 integer buckets first, and suffix sums over those give all thresholds.
+    With target (the row's class is one) and said_target (the predicted one is): accepted and correct targets over all targets, the accepted targets'
+    accuracy and errors; of the other rows the share abstained from, the share not accepted as a target, and that accepted as one. Shares of nothing
+    are NULL. Facts are combined into 101 integer buckets first, and suffix sums over those give all thresholds.
     """
-    bucket = F.least(F.floor(F.col("confidence") * 100), F.lit(100)).cast("int")
-    got = df.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"), F.count_if(F.col("predicted") != F.col(label)).alias("_e"))
-    every = df.sparkSession.range(101).select(F.col("id").cast("int").alias("percent")).join(got, F.col("percent") == F.col("_b"), "left")
+    near = F.greatest(F.lit(0), F.least(F.floor(F.col("confidence") * 100), F.lit(100))).cast("int")
+    # the product can fall on the other side of a threshold than the quotient does
+    bucket = near + F.when((near < 100) & (F.col("confidence") >= (near + 1) / 100), 1).when(F.col("confidence") < near / 100, -1).otherwise(0)
+    t, said, right = (target if target is not None else F.lit(True)), (said_target if said_target is not None else F.lit(True)), F.col("predicted") == F.col(label)
+    counts = {"n": F.lit(True), "errors": ~right, "t": t, "t_right": t & right, "t_wrong": t & ~right, "f": ~t, "f_said": ~t & said}
+    got = df.groupBy(bucket.alias("_b")).agg(*(F.count_if(c).alias(f"_{k}") for k, c in counts.items()))
+    every = df.sparkSession.range(-1, 101).select(F.col("id").cast("int").alias("percent")).join(got, F.col("percent") == F.col("_b"), "left")
     after = Window.orderBy("percent").rowsBetween(0, Window.unboundedFollowing)
     whole = Window.orderBy("percent").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = F.lit(0).cast("bigint")
-    summed = every.select("percent", F.sum(F.coalesce("_n", zero)).over(after).alias("accepted"), F.sum(F.coalesce("_e", zero)).over(after).alias("errors"), F.sum(F.coalesce("_n", zero)).over(whole).alias("_all"))
-    return summed.select("percent", "accepted", "errors", _safe(F.col("accepted"), F.col("_all")).alias("coverage"), F.when(F.col("accepted") > 0, F.col("errors") / F.col("accepted")).alias("risk"))
+    own = {k: F.coalesce(F.col(f"_{k}"), F.lit(0).cast("bigint")) for k in counts}
+    summed = every.select("percent", *(F.sum(c).over(after).alias(k) for k, c in own.items()), *(F.sum(own[k]).over(whole).alias(f"all_{k}") for k in ("n", "t", "f"))).where("percent >= 0")
+    share = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d))
+    basic = ["percent", F.col("n").alias("accepted"), "errors", _safe(F.col("n"), F.col("all_n")).alias("coverage"), share("errors", "n").alias("risk")]
+    if target is None or said_target is None:
+        return summed.select(*basic)
+    return summed.select(
+        *basic, share("t", "all_t").alias("target_coverage"), share("t_right", "all_t").alias("correct_target_coverage"), share("t_right", "t").alias("target_accuracy"), F.col("t_wrong").alias("target_errors"),
+        (1 - share("f", "all_f")).alias("abstention_rate"), (1 - share("f_said", "all_f")).alias("non_target_rate"), share("f_said", "all_f").alias("false_acceptance"),
+    )
 
 
 def choose_threshold(curve: DataFrame) -> DataFrame:
-    """(status, percent, coverage): of thresholds without an error and with coverage, that of most coverage, ties to the smallest."""
+    """(status, percent, coverage): of thresholds without an error and with coverage, that of most coverage, ties to the smallest.
+
+    On a curve with targets (status, percent, coverage, correct_target_coverage): correct targets have to be covered, and their coverage counts first.
+    """
+    first = ["correct_target_coverage"] if "correct_target_coverage" in curve.columns else []
     ok = (F.col("errors") == 0) & (F.col("accepted") > 0)
-    best = F.min_by("percent", F.when(ok, F.struct(-F.col("coverage"), F.col("percent"))))
-    cover = F.max(F.when(ok, F.col("coverage")))
-    return curve.agg(best.alias("percent"), cover.alias("coverage")).select(F.when(F.col("percent").isNull(), "no_viable_operating_point").otherwise("selected").alias("status"), "percent", "coverage")
+    for c in first:
+        ok = ok & (F.col(c) > 0)
+    rank = F.struct(*(-F.col(c) for c in first), -F.col("coverage"), F.col("percent"))
+    best = curve.agg(F.min_by(F.struct("percent", "coverage", *first), F.when(ok, rank)).alias("b")).select("b.*")
+    return best.select(F.when(F.col("percent").isNull(), "no_viable_operating_point").otherwise("selected").alias("status"), "percent", "coverage", *first)
 
 
 def fit_temperature(df: DataFrame, low: int = 50, high: int = 10_000, probs: str = "p", label: str = "label", floor: float = 1e-12) -> DataFrame:

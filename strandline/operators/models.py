@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,9 +93,22 @@ def predict_logistic(model, df: DataFrame, vector: str) -> DataFrame:
     return scored.withColumn("p", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def choose_model(scores: list[tuple[float, float]]) -> float:
-    """Of (c, macro F1) the best F1, ties to the smaller c."""
-    return min(scores, key=lambda s: (-s[1], s[0]))[0]
+def choose_model(scores: DataFrame, c: str = "c", score: str = "macro_f1") -> DataFrame:
+    """(c, score) of the best score, ties to the smaller c; NULLs if there are none."""
+    return scores.agg(F.min_by(F.struct(c, score), F.struct(-F.col(score), F.col(c))).alias("b")).select("b.*")
+
+
+def validation_scores(predictions: dict[float, DataFrame], label: str, labels: list) -> DataFrame:
+    """(c, macro_f1): one row per candidate from its predictions (label, predicted); the grid is the model's, not the data's."""
+    each = [M.overall_metrics(M.class_metrics(M.confusion(df, label, "predicted", labels))).select(F.lit(float(c)).alias("c"), "macro_f1") for c, df in predictions.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def fit_logistic_grid(train: DataFrame, validation: DataFrame, vector: str, label: str, labels: list, grid: tuple[float, ...] = (0.1, 1.0, 10.0), iterations: int = 100):
+    """(model, scores): a fit for each c, scored by macro F1 on validation rows; the model is that of choose_model."""
+    models = {c: fit_logistic(train, vector, label, c, iterations) for c in grid}
+    scores = validation_scores({c: M.top(predict_logistic(m, validation, vector)) for c, m in models.items()}, label, labels).persist()
+    return models[choose_model(scores).first()["c"]], scores
 
 
 def score(df: DataFrame, model: Callable[[list], list], vector: str, classes: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio_ppm, round_half_up
 from .checks import violations
-from .sequences import GapPolicy, Sequence, decide_gaps, gap_barriers, missing_intervals, timestamp_discontinuities
+from .sequences import GapPolicy, Hand, Sequence, decided_gaps, with_jumps, with_speed, with_swaps
 
 SEVERITIES = ("warning", "quarantine", "reject")
 
@@ -25,24 +25,49 @@ def observation_counts(frames: DataFrame, signals: dict[str, Column], invalid: s
     )
 
 
-def quality_metrics(frames: DataFrame, signals: dict[str, Column], policy: GapPolicy, expected: Column, invalid: str = "invalid", seq: Sequence = Sequence()) -> DataFrame:
-    """One row per entity of integer counts and ppm: coverage is the sum of min(present, expected) over frames * expected."""
-    wanted = frames.withColumn("_expected", expected)
+def quality_metrics(
+    frames: DataFrame, signals: dict[str, Column], policy: GapPolicy, expected: Column, invalid: str = "invalid", seq: Sequence = Sequence(), hands: dict[str, Hand] | None = None,
+    reasons: dict[str, Column] | None = None, anchors: dict[str, tuple[Column, Column]] | None = None, least_score_ppm: int = 500_000, motion: tuple[dict[str, tuple[Column, tuple[Column, ...]]], float] | None = None,
+) -> DataFrame:
+    """One row per entity of integer counts and ppm: coverage is the sum of min(present, expected) over frames * expected.
+
+    With hands: scores of handedness, low ones and their share (NULL without scores), and suspected swaps. With reasons: invalid frames of each.
+    With anchors (presence and score in millionths): presence and coverage of each as arrays in their order, the least coverage, scores and low
+    ones. With motion (slots and limit): rows that moved faster. All of it is windows over one partitioning by entity and one aggregate; gaps join it.
+    """
+    total = lambda parts: sum(parts, F.lit(0).cast("bigint"))
+    wanted = with_jumps(frames.withColumn("_expected", expected), policy, seq)
+    more, shown = [F.count_if(c).alias(f"invalid_{k}") for k, c in (reasons or {}).items()], [f"invalid_{k}" for k in reasons or {}]
+    if hands:
+        wanted = with_swaps(wanted, tuple(hands.values()), policy, seq)
+        scored = [h.present & h.label.isNotNull() & h.confidence.isNotNull() for h in hands.values()]
+        more += [total(F.count_if(c) for c in scored).alias("hand_scores"), F.count("swap_from").alias("swaps")]
+        more += [total(F.count_if(c & (h.confidence < policy.least_confidence_ppm)) for c, h in zip(scored, hands.values(), strict=True)).alias("low_hand_scores")]
+        shown += ["hand_scores", "low_hand_scores", F.when(F.col("hand_scores") > 0, ratio_ppm("low_hand_scores", "hand_scores")).alias("low_hand_ppm"), "swaps"]
+    if anchors:
+        more += [F.array(*(F.count_if(p) for p, _ in anchors.values())).alias("pose_seen"), total(F.count_if(p & s.isNotNull()) for p, s in anchors.values()).alias("pose_scores")]
+        more += [total(F.count_if(p & (s < least_score_ppm)) for p, s in anchors.values()).alias("low_pose_scores")]
+        cover = F.transform("pose_seen", lambda n: ratio_ppm(n, F.col("frames")))
+        shown += ["pose_seen", cover.alias("pose_ppm"), F.array_min(cover).alias("least_pose_ppm"), "pose_scores", "low_pose_scores"]
+    if motion:
+        wanted = with_speed(wanted, motion[0], seq)
+        more.append(F.count_if(F.col("speed") > motion[1]).alias("motion_jumps"))
+        shown.append("motion_jumps")
     base = wanted.groupBy(seq.entity).agg(
-        F.count("*").alias("frames"), F.count_if(F.col(invalid)).alias("_bad"), F.sum(F.least(_hands(signals), F.col("_expected"))).cast("bigint").alias("_hands"),
-        F.count_if(_hands(signals) > 0).alias("any_hand"), F.max("_expected").cast("bigint").alias("_expected"),
+        F.count("*").alias("frames"), F.count_if(F.col(invalid)).alias("_bad"), F.sum(F.least(_hands(signals), F.col("_expected"))).cast("bigint").alias("expected_seen"),
+        F.count_if(_hands(signals) > 0).alias("any_hand"), F.max("_expected").cast("bigint").alias("expected"), F.count_if("jump").alias("jumps"),
+        F.count("step").alias("steps"), F.max("median_step").alias("median_step"), F.max("step").alias("longest_step"), *more,
     )
-    jumps = timestamp_discontinuities(frames, policy, seq)
-    gaps = gap_barriers(missing_intervals(frames, signals, F.col(invalid), seq), jumps, "jumped", seq)
-    decided = decide_gaps(gaps, policy, {"jumped": "timestamp_discontinuity"})
-    open_ = (F.col("decision") != "interpolate_linear") & (F.col("boundary") == "internal")
-    by_gap = decided.groupBy(seq.entity).agg(F.count("*").alias("gaps"), F.count_if(F.col("decision") == "interpolate_linear").alias("filled_gaps"), F.max(F.when(open_, F.col("missing"))).alias("longest_open"), F.max(F.when(open_, F.col("duration"))).alias("longest_open_us"))
-    by_jump = jumps.groupBy(seq.entity).agg(F.count("*").alias("jumps"))
-    joined = base.join(by_gap, seq.entity, "left").join(by_jump, seq.entity, "left")
+    decided = decided_gaps(frames, signals, policy, F.col(invalid), hands, seq)
+    filled = F.col("decision") == "interpolate_linear"
+    open_ = ~filled & (F.col("boundary") == "internal")
+    by_gap = decided.groupBy(seq.entity).agg(F.count("*").alias("gaps"), F.count_if(filled).alias("filled_gaps"), F.max(F.when(open_, F.col("missing"))).alias("longest_open"), F.max(F.when(open_, F.col("duration"))).alias("longest_open_us"))
+    joined = base.join(by_gap, seq.entity, "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     return joined.select(
-        seq.entity, "frames", (F.col("frames") - F.col("_bad")).alias("valid"), ratio_ppm("_bad", "frames").alias("invalid_ppm"), ratio_ppm("_hands", F.col("frames") * F.col("_expected")).alias("coverage_ppm"),
-        "any_hand", *(zero(c) for c in ("gaps", "filled_gaps", "longest_open", "longest_open_us", "jumps")),
+        seq.entity, "frames", (F.col("frames") - F.col("_bad")).alias("valid"), ratio_ppm("_bad", "frames").alias("invalid_ppm"), "expected", "expected_seen",
+        (F.col("frames") * F.col("expected")).alias("expected_places"), ratio_ppm("expected_seen", F.col("frames") * F.col("expected")).alias("coverage_ppm"),
+        "any_hand", *(zero(c) for c in ("gaps", "filled_gaps", "longest_open", "longest_open_us")), "jumps", "steps", "median_step", "longest_step", *shown,
     )
 
 

@@ -34,6 +34,22 @@ class GapPolicy:
     most_bridge_us: int = 100_000
     most_step_us: int = 100_000
     step_multiple: int = 3
+    least_confidence_ppm: int = 500_000
+    swap_margin: float = 0.01
+
+
+@dataclass(frozen=True, eq=False)
+class Hand:
+    """Columns of a hand slot: presence, handedness and its confidence in millionths, and wrist and palm as coordinates."""
+
+    present: Column
+    label: Column
+    confidence: Column
+    wrist: tuple[Column, ...]
+    palm: tuple[Column, ...]
+
+    def sure(self, policy: GapPolicy) -> Column:
+        return F.coalesce(self.present & self.label.isNotNull() & (self.confidence >= policy.least_confidence_ppm), F.lit(False))
 
 
 def time_steps(frames: DataFrame, seq: Sequence = Sequence()) -> DataFrame:
@@ -47,20 +63,23 @@ def median_steps(frames: DataFrame, seq: Sequence = Sequence()) -> DataFrame:
     return steps.groupBy(seq.entity).agg(F.floor(F.percentile("step", 0.5) + 0.5).cast("bigint").alias("median_step"))
 
 
-def timestamp_discontinuities(frames: DataFrame, policy: GapPolicy, seq: Sequence = Sequence()) -> DataFrame:
-    """Rows whose step isn't positive, or beyond both the absolute limit and the multiple of the median."""
-    every = Window.partitionBy(seq.entity)
-    steps = time_steps(frames, seq)
-    median = F.floor(F.percentile("step", 0.5).over(every) + 0.5).cast("bigint")
-    found = steps.withColumn("median_step", median)
+def with_jumps(frames: DataFrame, policy: GapPolicy, seq: Sequence = Sequence()) -> DataFrame:
+    """Adds step, median_step and jump: whether the step isn't positive, or beyond both the absolute limit and the multiple of the median."""
+    median = F.floor(F.percentile("step", 0.5).over(Window.partitionBy(seq.entity)) + 0.5).cast("bigint")
+    found = time_steps(frames, seq).withColumn("median_step", median)
     far = (F.col("step") > policy.most_step_us) & (F.col("step") > F.col("median_step") * policy.step_multiple)
-    return found.where((F.col("step") <= 0) | far)
+    return found.withColumn("jump", F.coalesce((F.col("step") <= 0) | far, F.lit(False)))
 
 
-def motion_discontinuities(frames: DataFrame, slots: dict[str, tuple[Column, tuple[Column, ...]]], limit: float, seq: Sequence = Sequence()) -> DataFrame:
-    """(entity, order, speed): rows where a slot that is present in both neighbours moved faster than limit units a second.
+def timestamp_discontinuities(frames: DataFrame, policy: GapPolicy, seq: Sequence = Sequence()) -> DataFrame:
+    """The rows of with_jumps that are jumps."""
+    return with_jumps(frames, policy, seq).where("jump").drop("jump")
+
 
-    slots: presence and coordinates of each slot; the fastest slot counts. Steps that aren't positive are skipped.
+def with_speed(frames: DataFrame, slots: dict[str, tuple[Column, tuple[Column, ...]]], seq: Sequence = Sequence()) -> DataFrame:
+    """Adds step and speed in units a second, that of the fastest slot present in both neighbours; NULL where there is none or the step isn't positive.
+
+    slots: presence and coordinates of each slot.
     """
     w = seq.window()
     speeds = []
@@ -68,34 +87,48 @@ def motion_discontinuities(frames: DataFrame, slots: dict[str, tuple[Column, tup
         both = present & F.lag(present).over(w)
         square = sum((F.pow(p - F.lag(p).over(w), 2) for p in points), F.lit(0.0))
         speeds.append(F.when(both & (F.col("step") > 0), F.sqrt(square) / (F.col("step") / 1e6)))
-    moved = time_steps(frames, seq).withColumn("speed", F.greatest(*speeds) if len(speeds) > 1 else speeds[0])
-    return moved.where(F.col("speed") > limit).select(seq.entity, seq.order, "speed")
+    return time_steps(frames, seq).withColumn("speed", F.greatest(*speeds) if len(speeds) > 1 else speeds[0])
 
 
-def unpivot_signals(frames: DataFrame, signals: dict[str, Column], *keep: str) -> DataFrame:
-    """One row per frame and signal: keep columns, signal, present."""
-    items = F.array(*(F.struct(F.lit(k).alias("signal"), v.alias("present")) for k, v in signals.items()))
-    return frames.select(*keep, F.explode(items).alias("s")).select(*keep, "s.signal", "s.present")
+def motion_discontinuities(frames: DataFrame, slots: dict[str, tuple[Column, tuple[Column, ...]]], limit: float, seq: Sequence = Sequence()) -> DataFrame:
+    """(entity, order, speed): rows whose speed, as with_speed gives it, is beyond limit."""
+    return with_speed(frames, slots, seq).where(F.col("speed") > limit).select(seq.entity, seq.order, "speed")
 
 
-def missing_intervals(frames: DataFrame, signals: dict[str, Column], invalid: Column | None = None, seq: Sequence = Sequence()) -> DataFrame:
+def missing_intervals(frames: DataFrame, signals: dict[str, Column], invalid: Column | None = None, seq: Sequence = Sequence(), hands: dict[str, Hand] | None = None, policy: GapPolicy = GapPolicy()) -> DataFrame:
     """Maximal runs of absent rows of each signal, with bounds, neighbours, boundary kind and duration.
 
-    A duration runs between the observed neighbours; where one is missing, from or to the run's own end.
+    A duration runs between the observed neighbours; where one is missing, from or to the run's own end. With two hands, a run also
+    tells for signals that are hands whether it lies in a suspected swap (swapped), whether that or different handedness at two
+    confident ends makes its identity ambiguous, and whether an observed end isn't confident (unsure).
     """
     frames = frames.withColumn("_invalid", F.coalesce(invalid, F.lit(False)) if invalid is not None else F.lit(False))
-    long = unpivot_signals(frames, signals, seq.entity, seq.order, seq.t, "_invalid")
+    if hands:
+        frames = with_swaps(frames, tuple(hands.values()), policy, seq)
+    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(True).alias("sure"), F.lit(False).alias("swapped"))
+
+    def item(name: str, present: Column) -> Column:
+        end = F.struct(hands[name].label.cast("string").alias("label"), hands[name].sure(policy).alias("sure"), F.coalesce("in_swap", F.lit(False)).alias("swapped")) if hands and name in hands else none
+        return F.struct(F.lit(name).alias("signal"), present.alias("present"), end.alias("end"))
+
+    long = frames.select(seq.entity, seq.order, seq.t, "_invalid", F.explode(F.array(*(item(k, v) for k, v in signals.items()))).alias("s")).select(seq.entity, seq.order, seq.t, "_invalid", "s.*")
     w = seq.window("signal")
     long = long.withColumn("_before", F.lag(seq.t).over(w)).withColumn("_after", F.lead(seq.t).over(w)).withColumn("_k", F.row_number().over(w))
+    long = long.withColumn("_left", F.lag("end").over(w)).withColumn("_right", F.lead("end").over(w))
     absent = long.where(~F.col("present")).withColumn("_island", F.col("_k") - F.row_number().over(w))
+    ends = [F.min_by("_left", "_k").alias("_left"), F.max_by("_right", "_k").alias("_right"), F.bool_or("end.swapped").alias("swapped")] if hands else []
     runs = absent.groupBy(seq.entity, "signal", "_island").agg(
         F.min(seq.order).alias("first_index"), F.max(seq.order).alias("last_index"), F.min(seq.t).alias("first_t"), F.max(seq.t).alias("last_t"),
-        F.count("*").alias("missing"), F.min_by("_before", "_k").alias("left_t"), F.max_by("_after", "_k").alias("right_t"), F.bool_or("_invalid").alias("has_invalid"),
+        F.count("*").alias("missing"), F.min_by("_before", "_k").alias("left_t"), F.max_by("_after", "_k").alias("right_t"), F.bool_or("_invalid").alias("has_invalid"), *ends,
     )
     no_left, no_right = F.col("left_t").isNull(), F.col("right_t").isNull()
     boundary = F.when(no_left & no_right, "entire_sequence").when(no_left, "leading").when(no_right, "trailing").otherwise("internal")
     duration = F.coalesce("right_t", "last_t") - F.coalesce("left_t", "first_t")
-    return runs.drop("_island").withColumn("boundary", boundary).withColumn("duration", duration)
+    runs = runs.drop("_island").withColumn("boundary", boundary).withColumn("duration", duration)
+    if not hands:
+        return runs
+    differ = F.coalesce(F.col("_left.sure") & F.col("_right.sure") & (F.col("_left.label") != F.col("_right.label")), F.lit(False))
+    return runs.withColumn("ambiguous", F.col("swapped") | differ).withColumn("unsure", ~F.coalesce("_left.sure", F.lit(True)) | ~F.coalesce("_right.sure", F.lit(True))).drop("_left", "_right")
 
 
 def gap_barriers(gaps: DataFrame, points: DataFrame, name: str, seq: Sequence = Sequence()) -> DataFrame:
@@ -121,6 +154,13 @@ def decide_gaps(gaps: DataFrame, policy: GapPolicy, barriers: dict[str, str] | N
     return decided.withColumn("reasons", F.when(F.size("_reasons") == 0, F.array(F.lit("eligible_short_internal_gap"))).otherwise(F.col("_reasons"))).drop("_reasons")
 
 
+def decided_gaps(frames: DataFrame, signals: dict[str, Column], policy: GapPolicy, invalid: Column | None = None, hands: dict[str, Hand] | None = None, seq: Sequence = Sequence()) -> DataFrame:
+    """The missing intervals of all signals with their barriers (time jumps; with hands also identity and confidence) and decisions."""
+    gaps = gap_barriers(missing_intervals(frames, signals, invalid, seq, hands, policy), timestamp_discontinuities(frames, policy, seq), "jumped", seq)
+    more = {"ambiguous": "identity_ambiguity", "unsure": "low_confidence"} if hands else {}
+    return decide_gaps(gaps, policy, {"jumped": "timestamp_discontinuity"} | more)
+
+
 def bridged_presence(frames: DataFrame, present: Column, policy: GapPolicy, seq: Sequence = Sequence()) -> DataFrame:
     """Adds bridged: present, or inside a short absence between two present rows."""
     w = seq.window()
@@ -229,12 +269,31 @@ def differences(frames: DataFrame, value: str, barrier: Column | None = None, ou
     return frames.withColumn(out, F.when(ok, (F.col(value) - F.lag(value).over(w)) / seconds))
 
 
-def suspected_swaps(two_hand_frames: DataFrame, margin: float, seq: Sequence = Sequence()) -> DataFrame:
-    """Spans between consecutive two-hand rows (x0, y0, x1, y1, label0, label1) whose labels cross and whose crossed cost plus margin is below the straight one."""
+def with_swaps(frames: DataFrame, hands: tuple[Hand, Hand], policy: GapPolicy, seq: Sequence = Sequence()) -> DataFrame:
+    """Adds swap_from and in_swap. swap_from: on a row with both hands, the order of the last such row before if the hands seem to have swapped since.
+
+    They have if all four hands are confident, their labels cross, and the crossed cost plus the margin is below the straight one; a cost is the
+    squared distance of wrists plus that of palms. in_swap: the next row with both hands (or the row itself) is the end of such a span.
+    """
     w = seq.window()
-    prev = {c: F.lag(c).over(w) for c in ("x0", "y0", "x1", "y1", "label0", "label1", seq.order)}
-    marked = two_hand_frames.select("*", *(v.alias(f"p_{k}") for k, v in prev.items()))
-    dist = lambda a, b: F.sqrt(F.pow(F.col(f"p_x{a}") - F.col(f"x{b}"), 2) + F.pow(F.col(f"p_y{a}") - F.col(f"y{b}"), 2))
-    crossed = (F.col("p_label0") == F.col("label1")) & (F.col("p_label1") == F.col("label0")) & (F.col("label0") != F.col("label1"))
-    stay, cross = dist(0, 0) + dist(1, 1), dist(0, 1) + dist(1, 0)
-    return marked.where(crossed & (cross + margin < stay)).select(seq.entity, F.col(f"p_{seq.order}").alias("from_index"), F.col(seq.order).alias("to_index"))
+    a, b = hands
+    slot = lambda h: F.struct(h.label.alias("label"), F.array(*h.wrist, *h.palm).alias("at"))
+    both = F.coalesce(a.present & b.present, F.lit(False))
+    found = frames.withColumn("_now", F.when(both, F.struct(F.col(seq.order).alias("order"), (a.sure(policy) & b.sure(policy)).alias("sure"), slot(a).alias("s0"), slot(b).alias("s1"))))
+    found = found.withColumn("_old", F.last("_now", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+    def cost(old: int, new: int) -> Column:
+        steps = [F.get(f"_old.s{old}.at", F.lit(k)) - F.get(f"_now.s{new}.at", F.lit(k)) for k in range(len(a.wrist) + len(a.palm))]
+        return sum((d * d for d in steps), F.lit(0.0))
+
+    label = lambda when, k: F.col(f"{when}.s{k}.label")
+    crossed = (label("_old", 0) != label("_old", 1)) & (label("_old", 0) == label("_now", 1)) & (label("_old", 1) == label("_now", 0))
+    swapped = F.col("_old.sure") & F.col("_now.sure") & crossed & (cost(0, 1) + cost(1, 0) + policy.swap_margin < cost(0, 0) + cost(1, 1))
+    found = found.withColumn("swap_from", F.when(F.coalesce(swapped, F.lit(False)), F.col("_old.order")))
+    ahead = F.first(F.when(F.col("_now").isNotNull(), F.col("swap_from").isNotNull()), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return found.withColumn("in_swap", F.coalesce(ahead, F.lit(False))).drop("_now", "_old")
+
+
+def suspected_swaps(frames: DataFrame, hands: tuple[Hand, Hand], policy: GapPolicy, seq: Sequence = Sequence()) -> DataFrame:
+    """(entity, from_index, to_index): the spans of with_swaps."""
+    return with_swaps(frames, hands, policy, seq).where("swap_from IS NOT NULL").select(seq.entity, F.col("swap_from").alias("from_index"), F.col(seq.order).alias("to_index"))

@@ -63,18 +63,30 @@ D9 = f"""WITH {SCORED}, b AS (SELECT least(floor(confidence * 3 * 10), 9)::INTEG
 SELECT k::INTEGER AS bin, coalesce(n, 0) AS n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy, round(abs(confidence - accuracy), 6) AS gap FROM range(10) r(k) LEFT JOIN b ON bin = k"""
 
 
+def _curve(spark, sf):
+    """The last class stands for what isn't a target."""
+    return M.risk_coverage(scored(spark, sf).withColumn("confidence", F.col("confidence") * 3), target=F.col("label") < 9, said_target=F.col("predicted") < 9)
+
+
 def d10_risk_coverage(spark, sf):
-    return _rounded(M.risk_coverage(scored(spark, sf).withColumn("confidence", F.col("confidence") * 3)), "coverage", "risk")
+    return _rounded(_curve(spark, sf), "coverage", "risk", "target_coverage", "correct_target_coverage", "target_accuracy", "abstention_rate", "non_target_rate", "false_acceptance")
 
 
-CURVE = f"""{SCORED}, curve AS (SELECT k::INTEGER AS percent, count(s.vec_id) AS accepted, count(s.vec_id) FILTER (predicted <> label) AS errors, count(s.vec_id) / (SELECT count(*) FROM scored) AS coverage FROM range(101) r(k) LEFT JOIN scored s ON least(floor(confidence * 3 * 100), 100) >= k GROUP BY 1)"""
+CURVE = f"""{SCORED}, sums AS (SELECT count(*) AS n, count(*) FILTER (label < 9) AS t, count(*) FILTER (label >= 9) AS f FROM scored),
+cut AS (SELECT k::INTEGER AS percent, count(s.vec_id) AS accepted, count(s.vec_id) FILTER (predicted <> label) AS errors, count(s.vec_id) FILTER (label < 9) AS taken_t, count(s.vec_id) FILTER (label < 9 AND predicted = label) AS ct,
+  count(s.vec_id) FILTER (label >= 9) AS af, count(s.vec_id) FILTER (label >= 9 AND predicted < 9) AS sf FROM range(101) r(k) LEFT JOIN scored s ON confidence * 3 >= k / 100 GROUP BY 1),
+curve AS (SELECT percent, accepted, errors, accepted / n AS coverage, CASE WHEN accepted > 0 THEN errors / accepted END AS risk, CASE WHEN t > 0 THEN taken_t / t END AS target_coverage, CASE WHEN t > 0 THEN ct / t END AS correct_target_coverage,
+  CASE WHEN taken_t > 0 THEN ct / taken_t END AS target_accuracy, taken_t - ct AS target_errors, CASE WHEN f > 0 THEN 1 - af / f END AS abstention_rate, CASE WHEN f > 0 THEN 1 - sf / f END AS non_target_rate, CASE WHEN f > 0 THEN sf / f END AS false_acceptance FROM cut, sums)"""
+D10 = f"""WITH {CURVE} SELECT percent, accepted, errors, target_errors, round(coverage, 6) AS coverage, round(risk, 6) AS risk, round(target_coverage, 6) AS target_coverage, round(correct_target_coverage, 6) AS correct_target_coverage,
+  round(target_accuracy, 6) AS target_accuracy, round(abstention_rate, 6) AS abstention_rate, round(non_target_rate, 6) AS non_target_rate, round(false_acceptance, 6) AS false_acceptance FROM curve"""
 
 
 def f6_threshold(spark, sf):
-    return _rounded(M.choose_threshold(M.risk_coverage(scored(spark, sf).withColumn("confidence", F.col("confidence") * 3))), "coverage")
+    return _rounded(M.choose_threshold(_curve(spark, sf)), "coverage", "correct_target_coverage")
 
 
-F6 = f"""WITH {CURVE}, o AS (SELECT * FROM curve WHERE errors = 0 AND accepted > 0 ORDER BY coverage DESC, percent LIMIT 1) SELECT CASE WHEN o.percent IS NULL THEN 'no_viable_operating_point' ELSE 'selected' END AS status, o.percent, round(o.coverage, 6) AS coverage FROM (SELECT 1) LEFT JOIN o ON TRUE"""
+F6 = f"""WITH {CURVE}, o AS (SELECT * FROM curve WHERE errors = 0 AND correct_target_coverage > 0 ORDER BY correct_target_coverage DESC, coverage DESC, percent LIMIT 1)
+SELECT CASE WHEN o.percent IS NULL THEN 'no_viable_operating_point' ELSE 'selected' END AS status, o.percent, round(o.coverage, 6) AS coverage, round(o.correct_target_coverage, 6) AS correct_target_coverage FROM (SELECT 1) LEFT JOIN o ON TRUE"""
 
 
 def f7_temperature(spark, sf):
@@ -321,10 +333,27 @@ SELECT vec_id, label, (SELECT min(s.label) FROM s WHERE upto > d.d) AS predicted
 
 def m5_logistic(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
-    model = J.fit_logistic(e.where("vec_id % 5 > 1"), "e", "label", 10.0, 30)
+    model, _ = J.fit_logistic_grid(e.where("vec_id % 5 > 1"), e.where("vec_id % 5 = 1"), "e", "label", CLASSES, iterations=30)
     return M.top(J.predict_logistic(model, e.where("vec_id % 5 = 0"), "e")).groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 
+#: Candidates c and how often each is wrong, by integer arithmetic on vec_id; two are equal.
+CANDIDATES = {0.1: 3, 1.0: 7, 10.0: 7, 100.0: 5}
+
+
+def f8_model_choice(spark, sf):
+    rows = table(spark, sf, "embeddings").where("vec_id % 5 = 1").select("vec_id", "label")
+    said = {c: rows.withColumn("predicted", F.when(F.col("vec_id") % n == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))) for c, n in CANDIDATES.items()}
+    return _rounded(J.choose_model(J.validation_scores(said, "label", CLASSES)), "macro_f1")
+
+
+F8 = f"""WITH g(c, n) AS (VALUES {', '.join(f'({c}::DOUBLE, {n})' for c, n in CANDIDATES.items())}),
+r AS (SELECT c, label, CASE WHEN vec_id % n = 0 THEN (label + 1) % 10 ELSE label END AS predicted FROM g, embeddings WHERE vec_id % 5 = 1),
+k AS (SELECT c, l, count(*) FILTER (label = l AND predicted = l) AS hits, count(*) FILTER (label = l) AS support, count(*) FILTER (predicted = l) AS said FROM r, (SELECT unnest(range(10)) AS l) GROUP BY c, l),
+s AS (SELECT c, avg(CASE WHEN hits > 0 THEN 2 * (hits / said) * (hits / support) / (hits / said + hits / support) ELSE 0 END) AS macro_f1 FROM k GROUP BY c)
+SELECT c, round(macro_f1, 6) AS macro_f1 FROM s ORDER BY s.macro_f1 DESC, c LIMIT 1"""
+
+
 def m7_calibration(spark, sf):
     return _rounded(J.calibrate(scored(spark, sf)), "log_loss_before", "brier_before", "log_loss_after", "brier_after", "coverage")
 
@@ -376,7 +405,7 @@ QUERIES = {
     "d7_class_metrics": (d7_class_metrics, f"WITH {CELLS} SELECT label, support, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM full_"),
     "d7_overall_metrics": (d7_overall_metrics, f"WITH {CELLS} SELECT sum(support)::BIGINT AS n, round(sum(hits) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(avg(recall) FILTER (support > 0), 6) AS balanced_accuracy FROM full_"),
     "d8_probability_scores": (d8_probability_scores, D8), "d9_reliability": (d9_reliability, D9),
-    "d10_risk_coverage": (d10_risk_coverage, f"WITH {CURVE} SELECT percent, accepted, errors, round(coverage, 6) AS coverage, CASE WHEN accepted > 0 THEN round(errors / accepted, 6) END AS risk FROM curve"),
+    "d10_risk_coverage": (d10_risk_coverage, D10), "f8_model_choice": (f8_model_choice, F8),
     "f6_threshold": (f6_threshold, F6), "f7_temperature": (f7_temperature, F7), "h11_softmax": (h11_softmax, H11), "b11_decisions": (b11_decisions, B11), "b13_probability_violations": (b13_probability_violations, B13), "b8_feature_view": (b8_feature_view, B8), "b9_vectorized": (b9_vectorized, B9),
     "d4_feature_statistics": (d4_feature_statistics, f"WITH {STATS} SELECT * FROM st"), "d5_standardized": (d5_standardized, D5), "d12_nearest_rank": (d12_nearest_rank, D12),
     "c6_interval_matches": (c6_interval_matches, f"WITH RECURSIVE {MATCHED} SELECT * FROM matches"), "d11_replay_counts": (d11_replay_counts, f"WITH RECURSIVE {COUNTS} SELECT * FROM counts"), "d11_replay_metrics": (d11_replay_metrics, D11B), "c16_ordered_match": (c16_ordered_match, C16), "d13_bootstrap": (d13_bootstrap, D13),

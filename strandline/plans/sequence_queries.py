@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import quality as Q
 from ..operators import sequences as X
-from .bindings import DECIDED, FRAMES, GAPS, HOUR, POLICY, STEPS, frames, point, point_sql
+from .bindings import DECIDED, FRAMES, GAPS, HOUR, POLICY, STEPS, SWAPS, frames, hands, point, point_sql
 
 def _signals():
     return {"hand_0": F.col("h0"), "hand_1": F.col("h1")}
@@ -26,9 +26,12 @@ def e2_timestamp_discontinuities(spark: SparkSession, sf: str) -> DataFrame:
     return X.timestamp_discontinuities(frames(spark, sf), POLICY).select("rec", "i", "step", "median_step")
 
 
+def _slots():
+    return {f"hand_{h}": (F.col(f"h{h}"), tuple(point(k=30 * h + k, axis=x) for k in (0, 9) for x in (0, 1))) for h in (0, 1)}
+
+
 def e3_motion_discontinuities(spark: SparkSession, sf: str) -> DataFrame:
-    slots = {"hand_0": (F.col("h0"), (point(k=0), point(k=0, axis=1), point(k=9), point(k=9, axis=1))), "hand_1": (F.col("h1"), (point(k=30), point(k=30, axis=1), point(k=39), point(k=39, axis=1)))}
-    return X.motion_discontinuities(frames(spark, sf), slots, 1 / 36_000).select("rec", "i", F.round("speed", 9).alias("speed"))
+    return X.motion_discontinuities(frames(spark, sf), _slots(), 1 / 36_000).select("rec", "i", F.round("speed", 9).alias("speed"))
 
 
 def _speed(a: int, b: int, h: str) -> str:
@@ -45,9 +48,7 @@ def e4_missing_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf)
-    gaps = X.gap_barriers(X.missing_intervals(f, _signals(), F.col("invalid")), X.timestamp_discontinuities(f, POLICY), "jumped")
-    return X.decide_gaps(gaps, POLICY, {"jumped": "timestamp_discontinuity"})
+    return X.decided_gaps(frames(spark, sf), _signals(), POLICY, F.col("invalid"), hands())
 
 
 def e5_gap_decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,21 +56,14 @@ def e5_gap_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c9_gap_barriers(spark: SparkSession, sf: str) -> DataFrame:
-    return _decided(spark, sf).groupBy("rec").agg(F.count("*").alias("gaps"), F.count_if("jumped").alias("jumped"), F.count_if("has_invalid").alias("with_invalid"))
+    return _decided(spark, sf).groupBy("rec").agg(F.count("*").alias("gaps"), F.count_if("jumped").alias("jumped"), F.count_if("has_invalid").alias("with_invalid"), F.count_if("swapped").alias("swapped"), F.count_if("ambiguous").alias("ambiguous"), F.count_if("unsure").alias("unsure"))
 
 
 def e6_suspected_swaps(spark: SparkSession, sf: str) -> DataFrame:
-    both = frames(spark, sf).where("h0 AND h1").select("rec", "i", point(k=0).alias("x0"), point(k=0, axis=1).alias("y0"), point(k=50).alias("x1"), point(k=50, axis=1).alias("y1"), F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("label0"), F.when(F.col("event_id") % 2 == 0, "right").otherwise("left").alias("label1"))
-    return X.suspected_swaps(both, 0.01)
-
-
-def _swap_distance(a: int, b: int) -> str:
-    return f"sqrt(power(lag({point_sql(a, 0)}) OVER w - {point_sql(b, 0)}, 2) + power(lag({point_sql(a, 1)}) OVER w - {point_sql(b, 1)}, 2))"
+    return X.suspected_swaps(frames(spark, sf), tuple(hands().values()), POLICY)
 
 
-E6 = f"""WITH {FRAMES}, v AS (SELECT rec, lag(i) OVER w AS from_index, i AS to_index, event_id % 2 <> lag(event_id % 2) OVER w AS crossed,
-  {_swap_distance(0, 0)} + {_swap_distance(50, 50)} AS stay, {_swap_distance(0, 50)} + {_swap_distance(50, 0)} AS cross_cost FROM frames WHERE h0 AND h1 WINDOW w AS (PARTITION BY rec ORDER BY i))
-SELECT rec, from_index, to_index FROM v WHERE crossed AND cross_cost + 0.01 < stay"""
+E6 = f"WITH {FRAMES}, {SWAPS} SELECT * FROM swaps"
 
 
 def _episodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,15 +198,28 @@ B5 = f"""WITH {FRAMES} SELECT rec, count(*) AS frames, count(*) FILTER (NOT inva
 
 
 def d1_quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.quality_metrics(frames(spark, sf), _signals(), POLICY, expected=F.when(F.col("rec") % 2 == 0, 2).otherwise(1))
+    e = F.col("event_id")
+    anchors = {name: (~F.col("invalid") & (e % (5 + k) != 0), e * (17 + k) % 1000 * 1000) for k, name in enumerate(("nose", "left_shoulder", "right_shoulder"))}
+    reasons = {"source": F.col("invalid") & (e % 2 == 0), "task": F.col("invalid") & (e % 2 != 0)}
+    found = Q.quality_metrics(frames(spark, sf), _signals(), POLICY, F.when(F.col("rec") % 2 == 0, 2).otherwise(1), hands=hands(), reasons=reasons, anchors=anchors, least_score_ppm=300_000, motion=(_slots(), 1 / 36_000))
+    return found.withColumns({c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",") for c in ("pose_seen", "pose_ppm")})
 
 
-METRICS = f"""{DECIDED},
+_ANCHORS = [(f"(NOT invalid AND event_id % {5 + k} <> 0)", f"(event_id * {17 + k} % 1000 * 1000 < 300000)") for k in range(3)]
+METRICS = f"""{DECIDED}, v AS (SELECT rec, greatest({_speed(0, 9, 'h0')}, {_speed(30, 39, 'h1')}) AS speed FROM steps WINDOW w AS (PARTITION BY rec ORDER BY i)),
 g AS (SELECT rec, count(*) AS gaps, count(*) FILTER (decision = 'interpolate_linear') AS filled, max(missing) FILTER (decision <> 'interpolate_linear' AND boundary = 'internal') AS longest_open, max(duration) FILTER (decision <> 'interpolate_linear' AND boundary = 'internal') AS longest_open_us FROM decided GROUP BY rec),
 j AS (SELECT rec, count(*) AS jumps FROM jumps GROUP BY rec),
-base AS (SELECT rec, count(*) AS n, count(*) FILTER (invalid) AS bad, sum(least(h0::INT + h1::INT, CASE WHEN rec % 2 = 0 THEN 2 ELSE 1 END))::BIGINT AS hands, count(*) FILTER (h0 OR h1) AS any_hand, CASE WHEN rec % 2 = 0 THEN 2 ELSE 1 END AS expected FROM frames GROUP BY rec),
-metrics AS (SELECT rec, n AS frames, n - bad AS valid, (2 * bad * 1000000 + n) // (2 * n) AS invalid_ppm, (2 * hands * 1000000 + n * expected) // (2 * n * expected) AS coverage_ppm, any_hand, coalesce(gaps, 0) AS gaps, coalesce(filled, 0) AS filled_gaps,
-  coalesce(longest_open, 0) AS longest_open, coalesce(longest_open_us, 0) AS longest_open_us, coalesce(jumps, 0) AS jumps FROM base LEFT JOIN g USING (rec) LEFT JOIN j USING (rec))"""
+st AS (SELECT rec, count(step) AS steps, max(step) AS longest_step FROM steps GROUP BY rec),
+mj AS (SELECT rec, count(*) FILTER (speed > 1 / 36000.0) AS motion_jumps FROM v GROUP BY rec), sw AS (SELECT rec, count(*) AS swaps FROM swaps GROUP BY rec),
+base AS (SELECT rec, count(*) AS n, count(*) FILTER (invalid) AS bad, count(*) FILTER (invalid AND event_id % 2 = 0) AS invalid_source, count(*) FILTER (invalid AND event_id % 2 <> 0) AS invalid_task,
+  sum(least(h0::INT + h1::INT, CASE WHEN rec % 2 = 0 THEN 2 ELSE 1 END))::BIGINT AS hands, count(*) FILTER (h0 OR h1) AS any_hand, (CASE WHEN rec % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS expected,
+  count(*) FILTER (h0) + count(*) FILTER (h1) AS hand_scores, count(*) FILTER (h0 AND event_id * 11 % 1000 * 1000 < 200000) + count(*) FILTER (h1 AND event_id * 13 % 1000 * 1000 < 200000) AS low_hand_scores,
+  [{', '.join(f'count(*) FILTER ({p})' for p, _ in _ANCHORS)}] AS seen, {' + '.join(f'count(*) FILTER ({p} AND {low})' for p, low in _ANCHORS)} AS low_pose_scores FROM frames GROUP BY rec),
+metrics AS (SELECT rec, n AS frames, n - bad AS valid, (2 * bad * 1000000 + n) // (2 * n) AS invalid_ppm, expected, hands AS expected_seen, n * expected AS expected_places, (2 * hands * 1000000 + n * expected) // (2 * n * expected) AS coverage_ppm, any_hand, coalesce(gaps, 0) AS gaps, coalesce(filled, 0) AS filled_gaps,
+  coalesce(longest_open, 0) AS longest_open, coalesce(longest_open_us, 0) AS longest_open_us, coalesce(jumps, 0) AS jumps, steps, median_step, longest_step, invalid_source, invalid_task, hand_scores, low_hand_scores,
+  CASE WHEN hand_scores > 0 THEN (2 * low_hand_scores * 1000000 + hand_scores) // (2 * hand_scores) END AS low_hand_ppm, coalesce(swaps, 0) AS swaps, array_to_string(seen, ',') AS pose_seen,
+  array_to_string(list_transform(seen, lambda x: (2 * x * 1000000 + n) // (2 * n)), ',') AS pose_ppm, (2 * list_min(seen) * 1000000 + n) // (2 * n) AS least_pose_ppm, list_sum(seen)::BIGINT AS pose_scores, low_pose_scores, motion_jumps
+  FROM base LEFT JOIN g USING (rec) LEFT JOIN j USING (rec) LEFT JOIN st USING (rec) LEFT JOIN medians USING (rec) LEFT JOIN mj USING (rec) LEFT JOIN sw USING (rec))"""
 RULES = """rules(metric, higher_is_worse, warning, quarantine, reject) AS (VALUES ('invalid_ppm', TRUE, 20000, 60000, 300000), ('coverage_ppm', FALSE, 800000, 650000, 300000), ('jumps', TRUE, 0, 2, 8), ('longest_open', TRUE, 3, 6, 20)),
 findings AS (SELECT rec, metric, value, CASE WHEN higher_is_worse THEN CASE WHEN value > reject THEN 3 WHEN value > quarantine THEN 2 WHEN value > warning THEN 1 END ELSE CASE WHEN value < reject THEN 3 WHEN value < quarantine THEN 2 WHEN value < warning THEN 1 END END AS severity
   FROM (SELECT rec, unnest(['invalid_ppm', 'coverage_ppm', 'jumps', 'longest_open']) AS metric, unnest([invalid_ppm, coverage_ppm, jumps, longest_open]) AS value FROM metrics) JOIN rules USING (metric))"""
@@ -311,7 +318,7 @@ QUERIES = {
     "e3_motion_discontinuities": (e3_motion_discontinuities, E3),
     "e4_missing_intervals": (e4_missing_intervals, f"WITH {GAPS} SELECT * FROM kinds"),
     "e5_gap_decisions": (e5_gap_decisions, f"WITH {DECIDED} SELECT rec, signal, first_index, last_index, missing, duration, decision, array_to_string(reasons, ',') AS reasons FROM decided"),
-    "c9_gap_barriers": (c9_gap_barriers, f"WITH {DECIDED} SELECT rec, count(*) AS gaps, count(*) FILTER (jumped) AS jumped, count(*) FILTER (has_invalid) AS with_invalid FROM decided GROUP BY rec"),
+    "c9_gap_barriers": (c9_gap_barriers, f"WITH {DECIDED} SELECT rec, count(*) AS gaps, count(*) FILTER (jumped) AS jumped, count(*) FILTER (has_invalid) AS with_invalid, count(*) FILTER (swapped) AS swapped, count(*) FILTER (ambiguous) AS ambiguous, count(*) FILTER (unsure) AS unsure FROM decided GROUP BY rec"),
     "e6_suspected_swaps": (e6_suspected_swaps, E6),
     "e7_episodes": (e7_episodes, f"WITH {EPISODES} SELECT * FROM episodes"),
     "f1_best_episodes": (f1_best_episodes, f"WITH {BEST} SELECT * FROM best"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars as S
 from strandline.operators import metrics as M
+from strandline.operators import models as J
 from strandline.operators import sequences as X
 
 
@@ -90,3 +91,38 @@ def test_one_shuffle_by_entity(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("rec"), F.col("id").alias("i"), F.col("id").alias("t"), (F.col("id") % 3 > 0).alias("p"))
     plan = X.episodes(df, F.col("p"), X.GapPolicy())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_swapped_and_unsure_hands(spark):
+    """rec 0 swaps over a gap, rec 1 does so without confidence, rec 2 keeps its hands, rec 3 only changes labels."""
+    rows = []
+    for rec in range(4):
+        swapped, moved, last = rec in (0, 1, 3), rec in (0, 1), 400_000 if rec == 1 else 900_000
+        rows += [(rec, 0, 0, True, True, 0.0, 1.0, "left", "right", 900_000), (rec, 1, 40_000, True, False, 0.0, None, "left", None, 900_000)]
+        rows.append((rec, 2, 80_000, True, True, *((1.0, 0.0) if moved else (0.0, 1.0)), *(("right", "left") if swapped else ("left", "right")), last))
+    df = spark.createDataFrame(rows[::-1], "rec bigint, i bigint, t bigint, p0 boolean, p1 boolean, x0 double, x1 double, l0 string, l1 string, c bigint").repartition(3)
+    at = lambda x: (F.col(x), F.lit(0.0), F.lit(0.0))
+    hands = {f"hand_{k}": X.Hand(F.col(f"p{k}"), F.col(f"l{k}"), F.col("c"), at(f"x{k}"), at(f"x{k}")) for k in (0, 1)}
+    policy = X.GapPolicy()
+    assert [tuple(r) for r in X.suspected_swaps(df, tuple(hands.values()), policy).collect()] == [(0, 0, 2)]
+    gaps = X.decided_gaps(df, {"hand_0": F.col("p0"), "hand_1": F.col("p1")}, policy, hands=hands).orderBy("rec").collect()
+    assert [(g["signal"], g["decision"], g["reasons"], g["swapped"]) for g in gaps] == [
+        ("hand_1", "preserve_missing", ["identity_ambiguity"], True), ("hand_1", "preserve_missing", ["low_confidence"], False),
+        ("hand_1", "interpolate_linear", ["eligible_short_internal_gap"], False), ("hand_1", "preserve_missing", ["identity_ambiguity"], False),
+    ]
+
+
+def test_thresholds_of_targets(spark):
+    """0.29 * 100 is below 29 in floating point; class 2 isn't a target."""
+    df = spark.createDataFrame([(0, 0, 0.29), (0, 1, 0.2), (1, 1, 0.5), (2, 0, 0.4), (2, 2, 0.1)], "label int, predicted int, confidence double")
+    curve = M.risk_coverage(df, target=F.col("label") < 2, said_target=F.col("predicted") < 2)
+    at = {r["percent"]: r.asDict() for r in curve.collect()}
+    assert [at[29]["accepted"], at[30]["accepted"], at[29]["errors"], at[29]["correct_target_coverage"]] == [3, 2, 1, 2 / 3]
+    assert [at[40]["false_acceptance"], at[41]["false_acceptance"], at[41]["abstention_rate"], at[0]["abstention_rate"]] == [0.5, 0.0, 1.0, 0.0]
+    assert [M.choose_threshold(curve).first()[c] for c in ("status", "percent", "correct_target_coverage")] == ["selected", 41, 1 / 3]
+
+
+def test_model_choice(spark):
+    scores = spark.createDataFrame([(1.0, 0.5), (0.1, 0.5), (10.0, 0.4)], "c double, macro_f1 double")
+    assert tuple(J.choose_model(scores).first()) == (0.1, 0.5)
+    assert tuple(J.choose_model(scores.where("false")).first()) == (None, None)
