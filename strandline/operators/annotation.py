@@ -62,6 +62,13 @@ def run_violations(runs: DataFrame, key: str) -> DataFrame:
     return violations(runs, {"success_without_output": ~ok | (F.col("outputs") > 0), "success_with_failure": ~ok | F.col("failure").isNull(), "failure_without_code": ok | F.col("failure").isNotNull(), "ends_early": F.col("finished") >= F.col("started")}, key)
 
 
+def metric_key_violations(metrics: DataFrame, run: str, order: str, key: str) -> DataFrame:
+    """(rule_id, run, order): metrics of a run whose key repeats the one before or sorts before it; NULL keys are left out, rows that share a place are taken by their keys."""
+    marked = metrics.where(F.col(key).isNotNull()).withColumn("_before", F.lag(key).over(Window.partitionBy(run).orderBy(order, key)))
+    first = F.col("_before").isNull()
+    return violations(marked, {"key_repeated": first | (F.col(key) != F.col("_before")), "key_unsorted": first | (F.col(key) >= F.col("_before"))}, run, order)
+
+
 def reconcile(left: DataFrame, right: DataFrame, on: str, identity: dict[str, str]) -> DataFrame:
     """(on, status, differs): rows of left matched to right, missing there, or with the names of the columns that disagree."""
     r = right.select(F.col(on).alias("_on"), *(F.col(b).alias(f"_r_{b}") for b in identity.values()))

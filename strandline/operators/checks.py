@@ -53,6 +53,12 @@ def identity_collisions(*tables: tuple[str, DataFrame, str, Column]) -> DataFram
     return found.where("rows > 1").select("identity", "kinds", "rows", "contents")
 
 
+def path_collisions(df: DataFrame, path: str, content: str) -> DataFrame:
+    """(path, rows, contents) of paths that, letter case aside, hold different contents; NULL paths are left out, a NULL content is one of its own."""
+    each = df.where(F.col(path).isNotNull()).groupBy(F.lower(path).alias("path")).agg(F.count("*").alias("rows"), F.count_distinct(F.struct(content)).alias("contents"))
+    return each.where("contents > 1")
+
+
 def inventory_diff(declared: DataFrame, found: DataFrame, key: str, content: str) -> DataFrame:
     """(key, status): missing, extra, changed or unchanged objects."""
     a = declared.select(F.col(key).alias("_a"), F.col(content).alias("_ca"))

@@ -260,14 +260,15 @@ def score_centroids(df: DataFrame, centroids: DataFrame, vector: str, label: str
     return scored.withColumn("predicted", F.get("_c", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))["l"]).drop("_c")
 
 
-def compare_runs(a: DataFrame, b: DataFrame, key: str, probs: str, absolute: float, relative: float) -> DataFrame:
-    """(key, max_difference, within, same_class) of rows scored by two runtimes."""
+def compare_runs(a: DataFrame, b: DataFrame, key: str, probs: str, absolute: float, relative: float, threshold: float = 0.0) -> DataFrame:
+    """(key, max_difference, within, same_class, same_decision) of rows scored by two runtimes; a decision is the class, or none below the threshold."""
     other = b.select(F.col(key).alias("_k"), F.col(probs).alias("_q"))
     joined = a.join(other, F.col(key) == F.col("_k"))
     gap = F.array_max(F.zip_with(probs, "_q", lambda x, y: F.abs(x - y)))
     within = F.forall(F.zip_with(probs, "_q", lambda x, y: F.abs(x - y) <= absolute + relative * F.abs(y)), lambda ok: ok)
     arg = lambda c: F.array_position(c, F.array_max(c))
-    return joined.select(key, gap.alias("max_difference"), within.alias("within"), (arg(probs) == arg("_q")).alias("same_class"))
+    decided = lambda c: F.when(F.array_max(c) >= threshold, arg(c))
+    return joined.select(key, gap.alias("max_difference"), within.alias("within"), (arg(probs) == arg("_q")).alias("same_class"), decided(probs).eqNullSafe(decided("_q")).alias("same_decision"))
 
 
 def throughput(events: DataFrame, at: str, width: str, processed: Column, dropped: Column, task_ms: Column | None = None, long_ms: int = 50) -> DataFrame:

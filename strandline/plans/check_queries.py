@@ -95,6 +95,14 @@ B15 = """WITH r AS (SELECT o_orderkey, o_orderstatus = 'F' AS ok, coalesce(outpu
 SELECT 'success_without_output' AS rule_id, o_orderkey FROM r WHERE ok AND outputs = 0 UNION ALL SELECT 'failure_without_code', o_orderkey FROM r WHERE NOT ok AND NOT failed UNION ALL SELECT 'ends_early', o_orderkey FROM r WHERE finished < started"""
 
 
+def b15_metric_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return A.metric_key_violations(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_shipdate")
+
+
+B15B = """WITH m AS (SELECT l_orderkey, l_linenumber, l_shipdate, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate) AS before FROM lineitem WHERE l_shipdate IS NOT NULL)
+SELECT CASE WHEN l_shipdate = before THEN 'key_repeated' ELSE 'key_unsorted' END AS rule_id, l_orderkey, l_linenumber FROM m WHERE l_shipdate <= before"""
+
+
 def c1_fk_violations(spark: SparkSession, sf: str) -> DataFrame:
     return C.fk_violations(table(spark, sf, "lineitem"), table(spark, sf, "orders").where("o_orderkey % 13 <> 0"), "l_orderkey", "o_orderkey", "l_orderkey", "l_linenumber")
 
@@ -147,6 +155,17 @@ C12 = """WITH u AS (SELECT 'document' AS kind, sha256(coalesce(text, '')) AS ide
 SELECT identity, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, count(*) AS rows, count(DISTINCT content) AS contents FROM u GROUP BY identity HAVING count(*) > 1"""
 
 
+def c12_path_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as files in folders by customer, every other name in capitals."""
+    o = table(spark, sf, "orders")
+    name = F.concat(F.lit("folder-"), F.col("o_custkey") % 500, F.lit("/"), F.date_format("o_orderdate", "yyyy-MM"))
+    return C.path_collisions(o.withColumn("path", F.when(F.col("o_orderkey") % 2 == 0, F.upper(name)).otherwise(F.lower(name))), "path", "o_orderpriority")
+
+
+C12B = """SELECT 'folder-' || (o_custkey % 500) || '/' || strftime(o_orderdate, '%Y-%m') AS path, count(*) AS rows, count(DISTINCT coalesce(o_orderpriority, 'NULL')) AS contents FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL
+GROUP BY 1 HAVING count(DISTINCT coalesce(o_orderpriority, 'NULL')) > 1"""
+
+
 def c13_inventory_diff(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     found = docs.where("doc_id % 11 <> 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 23 == 0, 1_000_000_000).otherwise(0)).alias("doc_id"), F.when(F.col("doc_id") % 5 == 0, F.sha2("digest", 256)).otherwise(F.col("digest")).alias("digest"))
@@ -414,7 +433,7 @@ A9 = "SELECT doc_id, 'objects/sha256/p-' || substr(h, 1, 2) || '/sha256-' || h |
 QUERIES = {
     "b1_row_rules": (b1_row_rules, B1), "b2_bad_ids": (b2_bad_ids, B2), "b3_projected_annotations": (b3_projected_annotations, B3), "b4_annotation_violations": (b4_annotation_violations, B4), "b10_normalized_labels": (b10_normalized_labels, B10),
     "b12_privacy_violations": (b12_privacy_violations, B12), "b12_redacted": (b12_redacted, B12B), "b15_run_violations": (b15_run_violations, B15), "c1_fk_violations": (c1_fk_violations, C1), "c2_group_violations": (c2_group_violations, C2),
-    "c3_containment_violations": (c3_containment_violations, C3), "c4_used_parents": (c4_used_parents, C4), "c5_reconciled": (c5_reconciled, C5), "c12_identity_collisions": (c12_identity_collisions, C12), "c13_inventory_diff": (c13_inventory_diff, C13),
+    "c3_containment_violations": (c3_containment_violations, C3), "c4_used_parents": (c4_used_parents, C4), "c5_reconciled": (c5_reconciled, C5), "c12_identity_collisions": (c12_identity_collisions, C12), "c12_path_collisions": (c12_path_collisions, C12B), "b15_metric_keys": (b15_metric_keys, B15B), "c13_inventory_diff": (c13_inventory_diff, C13),
     "c14_transition_pairs": (c14_transition_pairs, C14), "c17_archive_violations": (c17_archive_violations, C17), "d16_label_counts": (d16_label_counts, D16), "d19_inventory_digest": (d19_inventory_digest, D19), "d21_partition_closure": (d21_partition_closure, D21),
     "e12_aliases": (e12_aliases, E12), "e13_interleaved": (e13_interleaved, E13), "e14_quota": (e14_quota, E14), "e14_shortfall": (e14_shortfall, E14B), "e15_contiguity": (e15_contiguity, E15), "e16_overlaps": (e16_overlaps, E16),
     "e17_attempt_chains": (e17_attempt_chains, E17), "e19_step_chains": (e19_step_chains, E19), "f3_first_usable": (f3_first_usable, F3), "f4_fair_quota": (f4_fair_quota, F4), "g1_set_difference": (g1_set_difference, G1), "g2_leakage": (g2_leakage, G2),

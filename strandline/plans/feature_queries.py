@@ -173,6 +173,23 @@ A5 = """SELECT 'doc_id=' || doc_id AS name, CASE doc_id % 7 WHEN 1 THEN 'size_di
 UNION ALL SELECT 'lost=' || doc_id, 'missing' FROM documents WHERE doc_id % 7 = 4"""
 
 
+def a6_json_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """A document for each recording, some with a key told twice, a number that isn't one, or a field too many or too few, read back as files."""
+    path = staging.new_path(spark, "packages")
+    each = frames(spark, sf).groupBy("rec").agg(F.count("*").alias("frames"), F.max("q").alias("q"))
+    told = F.to_json(F.struct(F.col("rec").alias("id"), "frames", "q"))
+    r = F.col("rec")
+    text = F.when(r % 5 == 0, F.concat(F.lit('{"id": 1, '), F.substring(told, 2, 1_000_000))).when(r % 7 == 0, F.concat(F.lit('{"id": 1, "frames": NaN, "q": 2}')))
+    text = text.when(r % 11 == 0, F.to_json(F.struct(F.col("rec").alias("id"), "frames", "q", F.lit(1).alias("extra")))).when(r % 13 == 0, F.to_json(F.struct(F.col("rec").alias("id"), "frames"))).otherwise(told)
+    each.select("rec", text.alias("value")).write.partitionBy("rec").text(path)
+    found = T.json_violations(T.scan_json_packages(spark, path), ("id", "frames", "q"))
+    return found.select("rule_id", F.regexp_extract("path", r"rec=(\d+)/", 1).cast("bigint").alias("rec"))
+
+
+A6 = f"""WITH {FRAMES}, r AS (SELECT DISTINCT rec FROM frames) SELECT CASE WHEN rec % 5 = 0 OR rec % 7 = 0 THEN 'not_strict_json' WHEN rec % 11 = 0 THEN 'unknown_field' ELSE 'missing_field' END AS rule_id, rec::BIGINT AS rec
+FROM r WHERE rec % 5 = 0 OR rec % 7 = 0 OR rec % 11 = 0 OR rec % 13 = 0"""
+
+
 def a7_media_table(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("signer"), F.col("l_orderkey").alias("recording"), F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("split"), F.col("l_quantity").cast("bigint").alias("size_bytes"))
     labels = spark.createDataFrame([("A", "again"), ("N", "no")], "category string, label string")
@@ -259,5 +276,5 @@ H2 = f"WITH {FRAMES} SELECT rec, i, round(CASE WHEN i >= 2 THEN q + 500 * (2.0::
 
 QUERIES = {
     "m10_features": (m10_features, None), "m11_feature_violations": (m11_feature_violations, M11), "m12_training_violations": (m12_training_violations, M12), "h5_hand_local": (h5_hand_local, H5), "h9_body_relative": (h9_body_relative, H9), "m6_transition_fragments": (m6_transition_fragments, M6), "m9_corpus": (m9_corpus, None), "m3_sealed_partitions": (m3_sealed_partitions, M3),
-    "a1_a2_table_round_trip": (a1_a2_table_round_trip, A1), "a3_a4_frames_round_trip": (a3_a4_frames_round_trip, A3), "a5_file_inventory": (a5_file_inventory, A5), "a7_media_table": (a7_media_table, A7), "a8_predictions": (a8_predictions, _a8()), "a10_reuse": (a10_reuse, A10), "a11_run_ledger": (a11_run_ledger, A11), "a12_normalized_runs": (a12_normalized_runs, A12), "a13_resolved_artifacts": (a13_resolved_artifacts, A13), "h2_interpolated": (h2_interpolated, H2), "j4_sql_time_grid": (j4_sql_time_grid, _j4()),
+    "a1_a2_table_round_trip": (a1_a2_table_round_trip, A1), "a3_a4_frames_round_trip": (a3_a4_frames_round_trip, A3), "a5_file_inventory": (a5_file_inventory, A5), "a6_json_violations": (a6_json_violations, A6), "a7_media_table": (a7_media_table, A7), "a8_predictions": (a8_predictions, _a8()), "a10_reuse": (a10_reuse, A10), "a11_run_ledger": (a11_run_ledger, A11), "a12_normalized_runs": (a12_normalized_runs, A12), "a13_resolved_artifacts": (a13_resolved_artifacts, A13), "h2_interpolated": (h2_interpolated, H2), "j4_sql_time_grid": (j4_sql_time_grid, _j4()),
 }

@@ -308,11 +308,12 @@ SELECT vec_id, label, arg_max(cl, s) AS predicted, round(max(s), 6) AS best FROM
 def c15_compared_runs(spark, sf):
     a = scored(spark, sf)
     b = a.select("vec_id", F.transform("p", lambda x, k: x + F.when((F.col("vec_id") + k) % 50 == 0, 0.001).otherwise(0.0)).alias("p"))
-    return _rounded(M.compare_runs(a, b, "vec_id", "p", 1e-5, 1e-5), "max_difference")
+    return _rounded(M.compare_runs(a, b, "vec_id", "p", 1e-5, 1e-5, 0.2), "max_difference")
 
 
 C15 = f"""WITH {SCORED}, b AS (SELECT *, list_transform(range(10), lambda k: p[k + 1] + CASE WHEN (vec_id + k) % 50 = 0 THEN 0.001::DOUBLE ELSE 0 END) AS q FROM scored)
-SELECT vec_id, round(list_max(list_transform(range(1, 11), lambda k: abs(p[k] - q[k]))), 6) AS max_difference, len(list_filter(range(1, 11), lambda k: abs(p[k] - q[k]) > 1e-5 + 1e-5 * abs(q[k]))) = 0 AS within, list_position(p, list_max(p)) = list_position(q, list_max(q)) AS same_class FROM b"""
+SELECT vec_id, round(list_max(list_transform(range(1, 11), lambda k: abs(p[k] - q[k]))), 6) AS max_difference, len(list_filter(range(1, 11), lambda k: abs(p[k] - q[k]) > 1e-5 + 1e-5 * abs(q[k]))) = 0 AS within, list_position(p, list_max(p)) = list_position(q, list_max(q)) AS same_class,
+  CASE WHEN list_max(p) >= 0.2::DOUBLE THEN list_position(p, list_max(p)) END IS NOT DISTINCT FROM CASE WHEN list_max(q) >= 0.2::DOUBLE THEN list_position(q, list_max(q)) END AS same_decision FROM b"""
 
 
 def m4_group_folds(spark, sf):

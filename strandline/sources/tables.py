@@ -95,6 +95,18 @@ def scan_json_packages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
+def json_violations(packages: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(rule_id, path) of scanned documents: not_strict_json (not one object, a key told twice, a number that isn't finite), else unknown_field and missing_field."""
+    keys = F.json_object_keys("payload")
+    known = F.array(*map(F.lit, fields))
+    loose = F.try_parse_json("payload").isNull() | keys.isNull()
+    rules = F.array_compact(F.array(
+        F.when(loose, F.lit("not_strict_json")), F.when(~loose & (F.size(F.array_except(keys, known)) > 0), F.lit("unknown_field")),
+        F.when(~loose & (F.size(F.array_except(known, keys)) > 0), F.lit("missing_field")),
+    ))
+    return packages.select(F.explode(rules).alias("rule_id"), "path")
+
+
 def build_media_table(members: DataFrame, labels: DataFrame, domain: str = "media/1") -> DataFrame:
     """(sample_id, recording_id, signer_id, label, split, size_bytes) of archive members (signer, recording, category, split, size_bytes), labels by an alias table."""
     from ..functions.scalars import opaque_id
