@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,6 +136,52 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op11_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+#: The table of crc32 by byte, and the crc32 of a short text, for DuckDB.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def _crc(text: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda o: ('0x' || o)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295)"
+
+
+def _rolled_crc(n: int) -> str:
+    """The crc32 of the n bytes from a row on: crc32 is linear, so it is the xor of one looked-up value for each byte and place."""
+    found = str(zlib.crc32(bytes(n)))
+    for k in range(n):
+        found = f"xor({found}, (SELECT u FROM places)[{256 * (n - 1 - k) + 1} + lead(v, {k}) OVER w])"
+    return found
+
+
+OP11_SQL = f"""
+WITH RECURSIVE t AS MATERIALIZED ({CRC_TABLE}),
+u(j, v, u) AS (SELECT 0, n, t[n + 1] FROM t, range(256) r(n) UNION ALL SELECT j + 1, v, xor(t[(u & 255) + 1], u >> 8) FROM u, t WHERE j < 23),
+places AS MATERIALIZED (SELECT list(u ORDER BY j, v) AS u FROM u),
+c AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM c WINDOW w AS (ORDER BY doc_id DESC)),
+e AS MATERIALIZED (SELECT *, left(text, n - n // 3) || left(next, n // 3) AS edited FROM d),
+x AS MATERIALIZED (SELECT doc_id, 'own' AS kind, text AS body FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e),
+b AS (SELECT doc_id, kind, regexp_extract_all(hex(encode(body)), '..') AS o FROM x),
+r AS MATERIALIZED (SELECT doc_id, kind, i, ('0x' || o)::BIGINT AS v FROM (SELECT doc_id, kind, unnest(o) AS o, generate_subscripts(o, 1) AS i FROM b)),
+h AS (SELECT doc_id, kind, i, {_rolled_crc(9)} AS h FROM r WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+m AS (SELECT *, min(h) OVER (w ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS least, lead(h, 15) OVER w AS last FROM h WHERE h IS NOT NULL WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+a AS (SELECT doc_id, kind, i, coalesce(lead(i) OVER (PARTITION BY doc_id, kind ORDER BY i) - i, 0) AS gap FROM m WHERE last IS NOT NULL AND (h = least OR last = least)),
+k AS (SELECT doc_id, kind, a.i, gap, xor({zlib.crc32(bytes(24))}, bit_xor(u)) AS crc FROM (SELECT *, unnest(range(24)) AS z FROM a) a JOIN r USING (doc_id, kind) JOIN u ON u.v = r.v AND u.j = 23 - z WHERE r.i = a.i + z GROUP BY ALL),
+g AS (SELECT doc_id, kind, list((crc >> 8) * 256 + gap ORDER BY i) AS k FROM k GROUP BY ALL),
+l AS MATERIALIZED (SELECT doc_id, kind, k FROM g UNION ALL SELECT doc_id, kind, [({_crc("body")} >> 8) * 256] FROM (SELECT * FROM x ANTI JOIN g USING (doc_id, kind)), t)
+SELECT e.doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
+       array_to_string(list_transform(o.k, lambda z: printf('%08X', z)), '') AS fingerprint, array_to_string(list_transform(i.k, lambda z: printf('%08X', z)), '') AS edited_fingerprint,
+       len(list_intersect(o.k, i.k)) * 2 / (len(list_distinct(o.k)) + len(list_distinct(i.k))) AS near_edited, len(list_intersect(o.k, y.k)) * 2 / (len(list_distinct(o.k)) + len(list_distinct(y.k))) AS near_next
+FROM e JOIN l o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN l i ON i.doc_id = e.doc_id AND i.kind = 'edited' JOIN l y ON y.doc_id = e.next_id AND y.kind = 'own'
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -147,8 +194,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_archive": op8_warc_archive,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_token_counts": op10_token_counts,
+        "op11_closed_syncmers": op11_closed_syncmers,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_closed_syncmers": OP11_SQL}
