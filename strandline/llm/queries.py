@@ -182,6 +182,32 @@ FROM e JOIN l o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN l i ON i.doc_id =
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE t AS MATERIALIZED ({CRC_TABLE}),
+w AS MATERIALIZED (SELECT doc_id, run, count(*) AS m FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+k AS MATERIALIZED (SELECT row_number() OVER () AS id, run, m, encode(doc_id || ':' || run) AS b FROM w),
+u(j, v, u) AS (SELECT 0, n, t[n + 1] FROM t, range(256) r(n) UNION ALL SELECT j + 1, v, xor(t[(u & 255) + 1], u >> 8) FROM u, t WHERE j < (SELECT max(octet_length(b)) FROM k)),
+z(j, u) AS (SELECT 0, 4294967295::BIGINT UNION ALL SELECT j + 1, xor(t[(u & 255) + 1], u >> 8) FROM z, t WHERE j < (SELECT max(octet_length(b)) FROM k)),
+o AS (SELECT id, unnest(x) AS x, len(x) - generate_subscripts(x, 1) AS j FROM (SELECT id, regexp_extract_all(hex(b), '..') AS x FROM k)),
+c AS (SELECT id, bit_xor(u) AS u FROM o JOIN u ON u.j = o.j AND u.v = ('0x' || x)::BIGINT GROUP BY id),
+h AS (SELECT run, m, xor(xor(c.u, z.u), 4294967295) AS h FROM k JOIN c USING (id) JOIN z ON z.j = octet_length(b)),
+f AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM h),
+a AS MATERIALIZED (SELECT word, sum(m)::BIGINT AS n FROM f WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM a)),
+p AS (SELECT x.word AS u, y.word AS v FROM d x JOIN d y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word UNION SELECT d.word, a.word FROM d JOIN a ON d.rest = a.word UNION SELECT a.word, d.word FROM d JOIN a ON d.rest = a.word),
+b AS (SELECT u, count(*) AS n_near, first(v ORDER BY n DESC, v) AS best, max(n) AS best_n FROM p JOIN a ON a.word = v GROUP BY u),
+s AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM a LEFT JOIN b ON b.u = a.word),
+q(word, far) AS (SELECT word, word FROM s UNION ALL SELECT q.word, s.form FROM q JOIN s ON s.word = q.far WHERE s.form IS NOT NULL)
+SELECT s.word, s.form, q.far AS root, s.n, s.n_near, s.form_n FROM s JOIN q ON q.word = s.word JOIN s e ON e.word = q.far WHERE e.form IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -195,8 +221,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_token_counts": op10_token_counts,
         "op11_closed_syncmers": op11_closed_syncmers,
+        "op12_spelling_variants": op12_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_closed_syncmers": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_closed_syncmers": OP11_SQL, "op12_spelling_variants": OP12_SQL}
