@@ -141,7 +141,9 @@ def fingerprint_documents(docs: DataFrame, rows_per_range: int = 64) -> DataFram
     # a guest stands behind all rows of its range, also where the largest key closes the range it is in
     by_range = placed.withColumn("_turn", F.col("_guest").cast("int"))
     w = Window.partitionBy("_range").orderBy(*order)
-    rows = by_range.withColumn("_anchors", anchors(F.col("text"))).withColumn("_next", F.lead("text").over(w)).withColumn("_next_anchors", F.lead("_anchors").over(w)).where("NOT _guest")
+    # anchors are found behind the shuffle, which moves texts alone; the second window finds its rows dealt and sorted
+    paired = by_range.withColumn("_next", F.lead("text").over(w)).withColumn("_anchors", anchors(F.col("text")))
+    rows = paired.withColumn("_next_anchors", F.lead("_anchors").over(w)).where("NOT _guest")
     n = F.char_length("text")
     cut = rows.withColumn("n_chars", n.cast("bigint")).withColumn("_third", F.floor(n / 3).cast("int"))
     parts = cut.withColumn("_head", F.left("text", F.col("n_chars").cast("int") - F.col("_third"))).withColumn("_tail", F.left("_next", F.col("_third")))
