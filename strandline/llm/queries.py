@@ -208,6 +208,30 @@ SELECT s.word, s.form, q.far AS root, s.n, s.n_near, s.form_n FROM s JOIN q ON q
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE t AS MATERIALIZED ({CRC_TABLE}),
+o AS MATERIALIZED (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, '')) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id FROM o),
+h AS MATERIALIZED (SELECT conv_id, {_crc("conv_id::VARCHAR")} % 6 AS h FROM i, t),
+r AS (SELECT h.conv_id, 0 AS own, o.k, x, chars FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100 AND o.k <= h.h UNION ALL SELECT h.conv_id, 1, o.k, x, chars FROM h JOIN o ON o.conv_id = h.conv_id AND o.k > h.h),
+p AS (SELECT conv_id, list(x ORDER BY own, k) AS xs, list(chars ORDER BY own, k) AS cs FROM r GROUP BY conv_id),
+q AS MATERIALIZED (SELECT i.conv_id, coalesce(xs, []) AS xs, coalesce(cs, []) AS cs FROM i LEFT JOIN p USING (conv_id)),
+m AS (SELECT conv_id, xs, cs, unnest(range(0, len(xs) + 1)) AS depth FROM q),
+n AS MATERIALIZED (SELECT array_to_string(xs[1:depth], '') AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth = 0 THEN 0 ELSE cs[depth] END) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(xs) = depth), '') AS ends FROM m GROUP BY ALL),
+c AS (SELECT left(node, 64 * (depth - 1)) AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (node)),
+s AS (SELECT left(node, 64 * up) AS node, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN f a ON f.depth > 0 AND a.node = left(f.node, 64 * (f.depth - 1))
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -222,8 +246,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_closed_syncmers": op11_closed_syncmers,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_closed_syncmers": OP11_SQL, "op12_spelling_variants": OP12_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_warc_archive": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_closed_syncmers": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_prefix_trie": OP13_SQL}
