@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import stab, struct_fields
+
 PPM = 1_000_000
 EVENT_SCHEMA = "rec bigint, first_index bigint, last_index bigint, first_t bigint, last_t bigint, reason string"
 
@@ -174,9 +176,10 @@ def detect_events(observations: DataFrame, limits: Limits = Limits(), entity: st
 
 
 def events_with_frames(events: DataFrame, frames: DataFrame, entity: str = "rec", t: str = "t", before: int = 0) -> DataFrame:
-    """Frames of each event's span, `before` microseconds earlier on: an equi-join with a range."""
-    e = events.select(F.col("rec").alias("_e"), "first_t", "last_t", "reason")
-    return frames.join(e, (F.col(entity) == F.col("_e")) & (F.col(t) >= F.col("first_t") - before) & (F.col(t) <= F.col("last_t"))).drop("_e")
+    """Frames of each event's span, `before` microseconds earlier on; a frame in several spans is given with each."""
+    spans = events.select(F.col("rec").alias(entity), (F.col("first_t") - before).alias("_from"), "first_t", "last_t", "reason")
+    met = stab(frames, spans, t, "_from", "last_t", (entity,))
+    return met.select(*struct_fields("_p", frames.columns), *struct_fields("_v", ["first_t", "last_t", "reason"]))
 
 
 @dataclass(frozen=True)

@@ -58,7 +58,7 @@ def quality_metrics(
         F.count_if(_hands(signals) > 0).alias("any_hand"), F.max("_expected").cast("bigint").alias("expected"), F.count_if("jump").alias("jumps"),
         F.count("step").alias("steps"), F.max("median_step").alias("median_step"), F.max("step").alias("longest_step"), *more,
     )
-    decided = decided_gaps(frames, signals, policy, F.col(invalid), hands, seq)
+    decided = decided_gaps(wanted, signals, policy, F.col(invalid), hands, seq)
     filled = F.col("decision") == "interpolate_linear"
     open_ = ~filled & (F.col("boundary") == "internal")
     by_gap = decided.groupBy(seq.entity).agg(F.count("*").alias("gaps"), F.count_if(filled).alias("filled_gaps"), F.max(F.when(open_, F.col("missing"))).alias("longest_open"), F.max(F.when(open_, F.col("duration"))).alias("longest_open_us"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lerp
+from .intervals import stab, with_interval_counts, with_point_counts
 
 
 @dataclass(frozen=True)
@@ -95,15 +96,16 @@ def motion_discontinuities(frames: DataFrame, slots: dict[str, tuple[Column, tup
     return with_speed(frames, slots, seq).where(F.col("speed") > limit).select(seq.entity, seq.order, "speed")
 
 
-def missing_intervals(frames: DataFrame, signals: dict[str, Column], invalid: Column | None = None, seq: Sequence = Sequence(), hands: dict[str, Hand] | None = None, policy: GapPolicy = GapPolicy()) -> DataFrame:
+def missing_intervals(frames: DataFrame, signals: dict[str, Column], invalid: Column | None = None, seq: Sequence = Sequence(), hands: dict[str, Hand] | None = None, policy: GapPolicy = GapPolicy(), jump: Column | None = None) -> DataFrame:
     """Maximal runs of absent rows of each signal, with bounds, neighbours, boundary kind and duration.
 
     A duration runs between the observed neighbours; where one is missing, from or to the run's own end. With two hands, a run also
     tells for signals that are hands whether it lies in a suspected swap (swapped), whether that or different handedness at two
-    confident ends makes its identity ambiguous, and whether an observed end isn't confident (unsure).
+    confident ends makes its identity ambiguous, and whether an observed end isn't confident (unsure). With jump, it tells whether one of its rows
+    or its right neighbour is a jump (jumped). Swaps that frames already tell (in_swap) aren't looked for again.
     """
-    frames = frames.withColumn("_invalid", F.coalesce(invalid, F.lit(False)) if invalid is not None else F.lit(False))
-    if hands:
+    frames = frames.withColumn("_invalid", F.coalesce(invalid, F.lit(False)) if invalid is not None else F.lit(False)).withColumn("_jump", jump if jump is not None else F.lit(False))
+    if hands and "in_swap" not in frames.columns:
         frames = with_swaps(frames, tuple(hands.values()), policy, seq)
     none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(True).alias("sure"), F.lit(False).alias("swapped"))
 
@@ -111,12 +113,14 @@ def missing_intervals(frames: DataFrame, signals: dict[str, Column], invalid: Co
         end = F.struct(hands[name].label.cast("string").alias("label"), hands[name].sure(policy).alias("sure"), F.coalesce("in_swap", F.lit(False)).alias("swapped")) if hands and name in hands else none
         return F.struct(F.lit(name).alias("signal"), present.alias("present"), end.alias("end"))
 
-    long = frames.select(seq.entity, seq.order, seq.t, "_invalid", F.explode(F.array(*(item(k, v) for k, v in signals.items()))).alias("s")).select(seq.entity, seq.order, seq.t, "_invalid", "s.*")
+    long = frames.select(seq.entity, seq.order, seq.t, "_invalid", "_jump", F.explode(F.array(*(item(k, v) for k, v in signals.items()))).alias("s")).select(seq.entity, seq.order, seq.t, "_invalid", "_jump", "s.*")
     w = seq.window("signal")
     long = long.withColumn("_before", F.lag(seq.t).over(w)).withColumn("_after", F.lead(seq.t).over(w)).withColumn("_k", F.row_number().over(w))
-    long = long.withColumn("_left", F.lag("end").over(w)).withColumn("_right", F.lead("end").over(w))
+    long = long.withColumn("_left", F.lag("end").over(w)).withColumn("_right", F.lead("end").over(w)).withColumn("_jump", F.col("_jump") | F.coalesce(F.lead("_jump").over(w), F.lit(False)))
     absent = long.where(~F.col("present")).withColumn("_island", F.col("_k") - F.row_number().over(w))
     ends = [F.min_by("_left", "_k").alias("_left"), F.max_by("_right", "_k").alias("_right"), F.bool_or("end.swapped").alias("swapped")] if hands else []
+    if jump is not None:
+        ends = [*ends, F.bool_or("_jump").alias("jumped")]
     runs = absent.groupBy(seq.entity, "signal", "_island").agg(
         F.min(seq.order).alias("first_index"), F.max(seq.order).alias("last_index"), F.min(seq.t).alias("first_t"), F.max(seq.t).alias("last_t"),
         F.count("*").alias("missing"), F.min_by("_before", "_k").alias("left_t"), F.max_by("_after", "_k").alias("right_t"), F.bool_or("_invalid").alias("has_invalid"), *ends,
@@ -135,10 +139,9 @@ def gap_barriers(gaps: DataFrame, points: DataFrame, name: str, seq: Sequence =
     """Adds name: whether an event row of the entity lies in the gap's transition, from the first missing row (or the one after, at the start) to the right neighbour."""
     start = F.when(F.col("left_t").isNull(), F.col("first_index") + 1).otherwise(F.col("first_index"))
     end = F.when(F.col("right_t").isNull(), F.col("last_index")).otherwise(F.col("last_index") + 1)
-    at = points.select(F.col(seq.entity).alias("_e"), F.col(seq.order).alias("_at"))
-    keys = [seq.entity, "signal", "first_index"]
-    hit = gaps.join(at, (F.col(seq.entity) == F.col("_e")) & (F.col("_at") >= start) & (F.col("_at") <= end), "left_semi").select(*keys).withColumn("_hit", F.lit(True))
-    return gaps.join(hit, keys, "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    spans = gaps.withColumn("_from", start).withColumn("_until", end)
+    counted = with_point_counts(spans, points.select(seq.entity, F.col(seq.order).alias("_at")), "_at", "_from", "_until", (seq.entity,), "_n")
+    return counted.withColumn(name, F.col("_n") > 0).drop("_from", "_until", "_n")
 
 
 def decide_gaps(gaps: DataFrame, policy: GapPolicy, barriers: dict[str, str] | None = None) -> DataFrame:
@@ -155,8 +158,12 @@ def decide_gaps(gaps: DataFrame, policy: GapPolicy, barriers: dict[str, str] | N
 
 
 def decided_gaps(frames: DataFrame, signals: dict[str, Column], policy: GapPolicy, invalid: Column | None = None, hands: dict[str, Hand] | None = None, seq: Sequence = Sequence()) -> DataFrame:
-    """The missing intervals of all signals with their barriers (time jumps; with hands also identity and confidence) and decisions."""
-    gaps = gap_barriers(missing_intervals(frames, signals, invalid, seq, hands, policy), timestamp_discontinuities(frames, policy, seq), "jumped", seq)
+    """The missing intervals of all signals with their barriers (time jumps; with hands also identity and confidence) and decisions.
+
+    One shuffle by entity serves jumps, swaps, runs and barriers. Frames that already have jump and in_swap (with_jumps, with_swaps) keep them.
+    """
+    marked = frames if "jump" in frames.columns else with_jumps(frames, policy, seq)
+    gaps = missing_intervals(marked, signals, invalid, seq, hands, policy, F.col("jump"))
     more = {"ambiguous": "identity_ambiguity", "unsure": "low_confidence"} if hands else {}
     return decide_gaps(gaps, policy, {"jumped": "timestamp_discontinuity"} | more)
 
@@ -198,9 +205,10 @@ def best_episode(entities: DataFrame, found: DataFrame, least_observed: int = 3,
 
 def slice_and_rebase(frames: DataFrame, windows: DataFrame, seq: Sequence = Sequence()) -> DataFrame:
     """Rows of each entity's window (first_index to last_index), order and time restarting at 0."""
-    bounds = windows.select(F.col(seq.entity).alias("_e"), "first_index", "last_index", "first_t")
-    inside = frames.join(bounds, (F.col(seq.entity) == F.col("_e")) & F.col(seq.order).between(F.col("first_index"), F.col("last_index")))
-    return inside.withColumn(seq.t, F.col(seq.t) - F.col("first_t")).withColumn(seq.order, F.col(seq.order) - F.col("first_index")).drop("_e", "first_index", "last_index", "first_t")
+    bounds = windows.select(seq.entity, "first_index", "last_index", "first_t")
+    inside = stab(frames, bounds, seq.order, "first_index", "last_index", (seq.entity,))
+    moved = {seq.t: F.col("_p")[seq.t] - F.col("_v.first_t"), seq.order: F.col("_p")[seq.order] - F.col("_v.first_index")}
+    return inside.select(*(moved.get(c, F.col("_p")[c]).alias(c) for c in frames.columns))
 
 
 def monotone_ms(frames: DataFrame, seq: Sequence = Sequence()) -> DataFrame:
@@ -247,12 +255,8 @@ def bracket_join(grid: DataFrame, samples: DataFrame, value: str, by: tuple[str,
 
 def gap_at(grid: DataFrame, gaps: DataFrame, by: tuple[str, ...] = ("rec",), t: str = "t") -> DataFrame:
     """Each grid time with the first approved gap (left_t to right_t) that holds it, or NULLs."""
-    g = gaps.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("left_t").alias("gap_left"), F.col("right_t").alias("gap_right"))
-    on = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col(t) > F.col("gap_left"), F.col(t) < F.col("gap_right")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    hit = grid.join(g, cond).groupBy(*by, t).agg(F.min(F.struct("gap_left", "gap_right")).alias("g"))
+    spans = gaps.select(*by, F.col("left_t").alias("gap_left"), F.col("right_t").alias("gap_right"))
+    hit = stab(grid.select(*by, t), spans, t, "gap_left", "gap_right", by, closed=(False, False)).groupBy(*by, F.col("_p")[t].alias(t)).agg(F.min(F.struct("_v.gap_left", "_v.gap_right")).alias("g"))
     return grid.join(hit, [*by, t], "left").select(*by, t, F.col("g.gap_left").alias("gap_left"), F.col("g.gap_right").alias("gap_right"))
 
 
@@ -261,8 +265,16 @@ def interpolate(bracketed: DataFrame) -> DataFrame:
     return bracketed.withColumn("value", lerp("left_v", "right_v", "left_t", "right_t", "t"))
 
 
+def with_barrier(frames: DataFrame, gaps: DataFrame, name: str = "barrier", by: tuple[str, ...] = ("rec",), t: str = "t") -> DataFrame:
+    """Adds name: whether a preserved gap (first_t to last_t of its missing rows) meets the stretch from the row before to this one. A sequence's first row has no stretch."""
+    kept = gaps.where("decision = 'preserve_missing'").select(*by, "first_t", "last_t")
+    counted = with_interval_counts(frames, kept, t, "first_t", "last_t", by)
+    first = F.lag(t).over(Window.partitionBy(*by).orderBy(t)).isNull()
+    return counted.withColumn(name, (F.col("n_crossed") > 0) & ~first).drop("n_open", "n_crossed")
+
+
 def differences(frames: DataFrame, value: str, barrier: Column | None = None, out: str = "velocity", seq: Sequence = Sequence()) -> DataFrame:
-    """Adds the backward difference per second; NULL where either value is, or where barrier (a gap that was kept lies between) holds."""
+    """Adds the backward difference per second; NULL where either value is, or where barrier (a gap that was kept lies between; see with_barrier) holds."""
     w = seq.window()
     seconds = (F.col(seq.t) - F.lag(seq.t).over(w)) / 1e6
     ok = (seconds > 0) & ~F.coalesce(barrier if barrier is not None else F.lit(False), F.lit(False))

@@ -102,15 +102,19 @@ SELECT rec, i, t, i + max(t // 1000 - i) OVER (PARTITION BY rec ORDER BY i) AS t
 
 
 def e8_differences(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf).withColumn("v", F.when(F.col("h0"), F.col("q")))
-    first = X.differences(f, "v")
-    return X.differences(first, "velocity", out="acceleration").select("rec", "i", F.round(F.col("velocity") * 1e6).cast("bigint").alias("velocity_q"), F.round(F.col("acceleration") * 1e12).cast("bigint").alias("acceleration_q"))
-
-
-E8 = f"""WITH {FRAMES}, a AS (SELECT *, CASE WHEN h0 THEN q END AS v, (t - lag(t) OVER (PARTITION BY rec ORDER BY i)) / 1000000.0::DOUBLE AS s FROM frames),
-b AS (SELECT *, CASE WHEN s > 0 THEN (v - lag(v) OVER (PARTITION BY rec ORDER BY i)) / s END AS velocity FROM a),
-c AS (SELECT *, CASE WHEN s > 0 THEN (velocity - lag(velocity) OVER (PARTITION BY rec ORDER BY i)) / s END AS acceleration FROM b)
-SELECT rec, i, CAST(round(velocity * 1e6) AS BIGINT) AS velocity_q, CAST(round(acceleration * 1e12) AS BIGINT) AS acceleration_q FROM c"""
+    """Differences between observed rows of a hand, across gaps that may be filled but not across preserved ones."""
+    kept = _decided(spark, sf).where("signal = 'hand_0'")
+    f = X.with_barrier(frames(spark, sf).where("h0").select("rec", "i", "t", "q"), kept)
+    first = X.differences(f, "q", F.col("barrier"))
+    both = X.differences(first, "velocity", F.col("barrier"), out="acceleration")
+    return both.select("rec", "i", "barrier", F.round(F.col("velocity") * 1e6).cast("bigint").alias("velocity_q"), F.round(F.col("acceleration") * 1e12).cast("bigint").alias("acceleration_q"))
+
+
+E8 = f"""WITH {DECIDED}, o AS (SELECT rec, i, t, q, lag(t) OVER w AS before, (t - lag(t) OVER w) / 1000000.0::DOUBLE AS s FROM frames WHERE h0 WINDOW w AS (PARTITION BY rec ORDER BY i)),
+a AS (SELECT *, EXISTS (SELECT 1 FROM decided d WHERE d.rec = o.rec AND signal = 'hand_0' AND decision = 'preserve_missing' AND d.first_t <= o.t AND d.last_t >= o.before) AS barrier FROM o),
+b AS (SELECT *, CASE WHEN s > 0 AND NOT barrier THEN (q - lag(q) OVER (PARTITION BY rec ORDER BY i)) / s END AS velocity FROM a),
+c AS (SELECT *, CASE WHEN s > 0 AND NOT barrier THEN (velocity - lag(velocity) OVER (PARTITION BY rec ORDER BY i)) / s END AS acceleration FROM b)
+SELECT rec, i, barrier, CAST(round(velocity * 1e6) AS BIGINT) AS velocity_q, CAST(round(acceleration * 1e12) AS BIGINT) AS acceleration_q FROM c"""
 
 
 def e10_smoothed(spark: SparkSession, sf: str) -> DataFrame:
