@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .checks import violations
-from .sequences import GapPolicy, Sequence, bracket_join, decided_gaps, gap_at, timestamp_discontinuities
+from .sequences import GapPolicy, Hand, Sequence, bracket_join, decided_gaps, gap_at, timestamp_discontinuities, with_barrier
 
 HANDS = ("hand_0", "hand_1")
 #: Joints whose angle is taken (before, at, after), finger tips, and the palm's points.
@@ -53,36 +53,40 @@ def _mix(left: Column, right: Column, share: Column) -> Column:
     return F.when(left["left"].eqNullSafe(right["left"]), F.struct(between("world", "xyz"), between("image", "xy"), left["left"].alias("left")))
 
 
-def resample(frames: DataFrame, policy: GapPolicy, rate: int = 30, seq: Sequence = Sequence()) -> DataFrame:
-    """(rec, t, hand_0, hand_1, body and evidence of each) on the elapsed-time grid.
+def resample(frames: DataFrame, policy: GapPolicy, rate: int = 30, seq: Sequence = Sequence(), hands: dict[str, Hand] | None = None) -> DataFrame:
+    """(rec, t, hand_0, hand_1, body, evidence and cut of each) on the elapsed-time grid. cut: a preserved gap of the signal meets the stretch from the grid's time before.
+
+    With hands, gaps whose ends may be different hands, or aren't told confidently, are preserved too.
 
     A signal is the sample at that very time (observed), or lies between two adjacent samples or inside an approved gap
     (interpolated), or is NULL. A signal is a struct of world points (x, y, z), image points (x, y) and whether the hand was told as
     a left one; of the body, the image points are the left and right shoulder and the rest is NULL.
     """
     signals = {s: F.col(s).isNotNull() for s in (*HANDS, "body")}
-    approved = decided_gaps(frames, signals, policy, F.col("invalid"), seq=seq).where("decision = 'interpolate_linear'")
+    gaps = decided_gaps(frames, signals, policy, F.col("invalid"), hands, seq)
+    approved = gaps.where("decision = 'interpolate_linear'")
     span = frames.groupBy("rec").agg(F.max("t").alias("_span"))
     grid = span.select("rec", F.explode(S.grid_times("_span", rate)).alias("t"))
-    each = grid.select("rec", "t", F.explode(F.array(*map(F.lit, signals))).alias("signal"))
+    each = with_barrier(grid.select("rec", "t", F.explode(F.array(*map(F.lit, signals))).alias("signal")), gaps, "cut", ("rec", "signal"))
     items = F.array(*(F.struct(F.lit(s).alias("signal"), F.when(F.col(s).isNotNull(), F.struct(F.col("i").alias("i"), F.col(s).alias("p"))).alias("v")) for s in signals))
     samples = frames.select("rec", "t", F.explode(items).alias("x")).select("rec", "t", "x.signal", F.col("x.v").alias("v")).where("v IS NOT NULL")
-    near = bracket_join(each, samples, "v", ("rec", "signal"))
+    near = bracket_join(each, samples, "v", ("rec", "signal")).join(each, ["rec", "signal", "t"])
     near = near.join(gap_at(each, approved, ("rec", "signal")), ["rec", "signal", "t"], "left")
     exact = F.col("left_t") == F.col("t")
     between = (F.col("right_v.i") - F.col("left_v.i") == 1) | (F.col("gap_left").isNotNull() & (F.col("gap_left") == F.col("left_t")))
     share = (F.col("t") - F.col("left_t")) / (F.col("right_t") - F.col("left_t"))
     value = F.when(exact, F.col("left_v.p")).when(F.col("left_t").isNotNull() & F.col("right_t").isNotNull() & between, _mix(F.col("left_v.p"), F.col("right_v.p"), share))
-    marked = near.select("rec", "t", "signal", value.alias("p"), F.when(value.isNotNull(), F.when(exact, "observed").otherwise("interpolated")).alias("evidence"))
+    marked = near.select("rec", "t", "signal", "cut", value.alias("p"), F.when(value.isNotNull(), F.when(exact, "observed").otherwise("interpolated")).alias("evidence"))
     one = lambda s, c: F.max_by(c, F.when(F.col("signal") == s, 1))
-    return marked.groupBy("rec", "t").agg(*(one(s, "p").alias(s) for s in signals), *(one(s, "evidence").alias(f"{s}_evidence") for s in signals))
+    return marked.groupBy("rec", "t").agg(*(one(s, "p").alias(s) for s in signals), *(one(s, "evidence").alias(f"{s}_evidence") for s in signals), *(one(s, "cut").alias(f"{s}_cut") for s in signals))
 
 
 def frame_features(grid: DataFrame, plan: FeaturePlan, mirrored: Column) -> DataFrame:
     """Adds f: an array of (v, e) per frame, value and evidence, both NULL where a feature can't be had.
 
     World points are made hand-local; wrist and palm of the image are given relative to the shoulders. A hand without scale or a frame
-    without shoulders only lacks its own features. Differences of the positions come last, order by order.
+    without shoulders only lacks its own features. Differences of the positions come last, order by order; they stop at a signal's cuts, those
+    relative to the body also at the body's.
     """
     item = lambda v, e: F.struct(v.alias("v"), F.when(v.isNotNull(), e).alias("e"))
     positions: list[Column] = []
@@ -101,13 +105,16 @@ def frame_features(grid: DataFrame, plan: FeaturePlan, mirrored: Column) -> Data
     def tips(h: str) -> Column:
         return F.transform(S.tip_distances(F.col(f"_{h}"), TIPS), lambda v: item(v, F.col(f"{h}_evidence")))
 
+    cuts: list[Column] = []  # for each position whether its difference stops
     for h in HANDS if plan.local else ():
         positions.append(local(h))
+        cuts.append(F.array_repeat(F.col(f"{h}_cut"), 3 * plan.points))
     for h in HANDS if plan.body else ():
         evidence = F.when((F.col(f"{h}_evidence") == "observed") & (F.col("body_evidence") == "observed"), "observed").otherwise("interpolated")
         for p in (F.get(f"_i{h}", F.lit(0)), S.centroid(F.col(f"_i{h}"), PALM)):
             rel = relative(p["x"], p["y"])
             positions.append(F.array(item(rel["x"], evidence), item(rel["y"], evidence)))
+            cuts.append(F.array_repeat(F.col(f"{h}_cut") | F.col("body_cut"), 2))
     for h in HANDS if plan.angles else ():
         at = lambda k, h=h: F.get(f"_{h}", F.lit(k))
         more.append(F.array(*(item(S.angle(at(a), at(b), at(c)), F.col(f"{h}_evidence")) for a, b, c in ANGLES)))
@@ -119,20 +126,20 @@ def frame_features(grid: DataFrame, plan: FeaturePlan, mirrored: Column) -> Data
     both = lambda a, b: item(F.when(F.col("_s") > 0, (a["v"] - b["v"]) / F.col("_s")), F.when((a["e"] == "observed") & (b["e"] == "observed"), "observed").otherwise("interpolated"))
     none = F.array_repeat(F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("string").alias("e")), plan.positions)
     for k in range(plan.differences):
-        made = made.withColumn("_s", seconds).withColumn("_last", F.lag(f"_d{k}").over(w)).withColumn(f"_d{k + 1}", F.when(F.col("_last").isNull(), none).otherwise(F.zip_with(f"_d{k}", "_last", both)))
+        made = made.withColumn("_s", seconds).withColumn("_last", F.lag(f"_d{k}").over(w)).withColumn(f"_d{k + 1}", F.when(F.col("_last").isNull(), none).otherwise(F.zip_with(F.zip_with(f"_d{k}", "_last", both), F.concat(*cuts), lambda d, c: item(F.when(~c, d["v"]), d["e"]))))
     f = F.concat("_d0", "_more", *(f"_d{k + 1}" for k in range(plan.differences)))
     return made.select("rec", "t", f.alias("f"), *(F.col(h).isNotNull().alias(f"{h}_present") for h in HANDS), relative(F.lit(0.0), F.lit(0.0)).isNotNull().alias("body_available"))
 
 
-def derive_features(frames: DataFrame, policy: GapPolicy, plan: FeaturePlan = FeaturePlan(), mirrored: Column | None = None) -> DataFrame:
-    """One row per recording: timestamps_us, values_q (frames x features, millionths), valid, observed and interpolated masks, hand_present, body_available and padding masks, source_grid_frame_count.
+def derive_features(frames: DataFrame, policy: GapPolicy, plan: FeaturePlan = FeaturePlan(), mirrored: Column | None = None, hands: dict[str, Hand] | None = None) -> DataFrame:
+    """One row per recording: status (derived or refused) and reason, timestamps_us, values_q (frames x features, millionths), valid, observed and interpolated masks, hand_present, body_available and padding masks, source_grid_frame_count.
 
-    Recordings with a timestamp discontinuity are refused (left out). frames: rec, i, t, invalid, and the signals hand_0, hand_1 and
-    body as `resample` takes them; mirrored: whether the camera of a recording (rec) was mirrored.
+    Recordings with a timestamp discontinuity are refused: their row has that reason and nothing else. frames: rec, i, t, invalid, and the signals hand_0, hand_1 and
+    body as `resample` takes them; mirrored: whether the camera of a recording (rec) was mirrored; hands: see resample.
     """
     bad = timestamp_discontinuities(frames, policy).select("rec").distinct()
     good = frames.join(bad, "rec", "left_anti")
-    grid = resample(good, policy, plan.rate)
+    grid = resample(good, policy, plan.rate, hands=hands)
     made = frame_features(grid, plan, mirrored if mirrored is not None else F.lit(False))
     seq = made.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("t", "f", F.array(*(f"{h}_present" for h in HANDS)).alias("hands"), "body_available"))).alias("s"))
     picked = seq.withColumn("source_grid_frame_count", F.size("s").cast("bigint")).withColumn("s", F.transform(S.uniform_indices(F.size("s"), plan.frames), lambda i: F.get("s", i.cast("int"))))
@@ -142,17 +149,19 @@ def derive_features(frames: DataFrame, policy: GapPolicy, plan: FeaturePlan = Fe
     late = F.transform(F.sequence(F.lit(1), F.lit(plan.frames)), lambda k: last + S.div(k.cast("bigint") * 2_000_000 + plan.rate, F.lit(2 * plan.rate)))
     times = F.transform("s", lambda x: x["t"])
     false = F.lit(False)
-    return picked.select(
-        "rec", "source_grid_frame_count", F.slice(F.concat(times, late), 1, plan.frames).alias("timestamps_us"),
+    derived = picked.select(
+        "rec", F.lit("derived").alias("status"), F.lit(None).cast("string").alias("reason"), "source_grid_frame_count", F.slice(F.concat(times, late), 1, plan.frames).alias("timestamps_us"),
         S.pad(per(lambda x: F.coalesce(S.quantize(x["v"]), F.lit(0).cast("bigint"))), plan.frames, zero(F.lit(0).cast("bigint"))).alias("values_q"),
         S.pad(per(lambda x: x["v"].isNotNull()), plan.frames, zero(false)).alias("valid_mask"), S.pad(per(lambda x: F.coalesce(x["e"] == "observed", false)), plan.frames, zero(false)).alias("observed_mask"), S.pad(per(lambda x: F.coalesce(x["e"] == "interpolated", false)), plan.frames, zero(false)).alias("interpolated_mask"),
         S.pad(F.transform("s", lambda x: x["hands"]), plan.frames, F.array(false, false)).alias("hand_present_mask"), S.pad(F.transform("s", lambda x: x["body_available"]), plan.frames, false).alias("body_available_mask"),
         F.transform(F.sequence(F.lit(1), F.lit(plan.frames)), lambda k: k > F.size("s")).alias("padding_mask"),
     )
+    return derived.unionByName(bad.select("rec", F.lit("refused").alias("status"), F.lit("timestamp_discontinuity").alias("reason")), allowMissingColumns=True)
 
 
 def feature_violations(features: DataFrame, plan: FeaturePlan, key: str = "rec") -> DataFrame:
-    """(rule_id, key): wrong shapes, masks that aren't exclusive, stored values where masked, padding that isn't a suffix, times that don't rise."""
+    """(rule_id, key): wrong shapes, masks that aren't exclusive, stored values where masked, padding that isn't a suffix, times that don't rise. Refused recordings have nothing to check."""
+    features = features.where("status = 'derived'") if "status" in features.columns else features
     both = F.zip_with("observed_mask", "interpolated_mask", lambda a, b: F.zip_with(a, b, lambda x, y: ~(x & y)))
     sums = F.zip_with(F.zip_with("observed_mask", "interpolated_mask", lambda a, b: F.zip_with(a, b, lambda x, y: x | y)), "valid_mask", lambda a, b: F.zip_with(a, b, lambda x, y: x == y))
     neutral = F.zip_with("values_q", "valid_mask", lambda a, b: F.zip_with(a, b, lambda x, y: y | (x == 0)))

@@ -16,13 +16,17 @@ from .bindings import FRAMES, frames, point, table
 from .sequence_queries import THRESHOLDS
 
 PLAN = X.FeaturePlan(points=21, angles=True, tips=True)
+MOVING = X.FeaturePlan(points=21, angles=True, tips=True, differences=2)
 #: Frames 30 ms apart on average stand for the events' hours.
 FAST = E.GapPolicy(most_frames=2, most_bridge_us=100_000, most_step_us=100_000, step_multiple=1000)
 
 
 def landmark_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """rec, i, t, invalid, hand_0, hand_1 (21 points each) and body (2 shoulders) as signals: the order of events, 33,333 µs apart."""
-    f = frames(spark, sf).withColumn("t", F.col("i") * 33_333)
+    """rec, i, t, invalid, hand_0, hand_1 (21 points each), body (2 shoulders) as signals, and c0 and c1, the hands' confidence: the order of events, 33,333 µs apart.
+
+    A seventh of the recordings pauses for a minute before its sixth frame.
+    """
+    f = frames(spark, sf).withColumn("t", F.col("i") * 33_333 + F.when((F.col("rec") % 7 == 3) & (F.col("i") > 4), 60_000_000).otherwise(0))
 
     def points(base: int, axes: str) -> Column:
         # by a lambda over indexes, as coordinates are integer arithmetic
@@ -31,13 +35,66 @@ def landmark_frames(spark: SparkSession, sf: str) -> DataFrame:
     hand = lambda base, left: F.struct(points(base, "xyz").alias("world"), points(base, "xy").alias("image"), left.alias("left"))
     at = lambda x: F.struct(F.lit(x).alias("x"), F.lit(0.5).alias("y"))
     body = F.struct(F.lit(None).cast("array<struct<x: double, y: double, z: double>>").alias("world"), F.array(at(0.3), at(0.7)).alias("image"), F.lit(None).cast("boolean").alias("left"))
-    return f.select("rec", "i", "t", "invalid", F.when(F.col("h0"), hand(0, F.lit(True))).alias("hand_0"), F.when(F.col("h1"), hand(30, F.col("event_id") % 17 == 0)).alias("hand_1"), F.when(F.col("event_id") % 13 != 0, body).alias("body"))
+    return f.select("rec", "i", "t", "invalid", F.when(F.col("h0"), hand(0, F.lit(True))).alias("hand_0"), F.when(F.col("h1"), hand(30, F.col("event_id") % 17 == 0)).alias("hand_1"), F.when(F.col("event_id") % 13 != 0, body).alias("body"), *((F.col("event_id") * (11 + 2 * k) % 1000 * 1000).alias(f"c{k}") for k in (0, 1)))
+
+
+def landmark_hands() -> dict[str, E.Hand]:
+    at = lambda h, k: tuple(F.get(F.col(h)["world"], F.lit(k))[c] for c in "xyz")
+    return {h: E.Hand(F.col(h).isNotNull(), F.col(h)["left"], F.col(f"c{k}"), at(h, 0), at(h, 9)) for k, h in enumerate(X.HANDS)}
+
+
+#: Landmark frames as presence, handedness and confidence of three signals, their decided gaps, and what the time grid has of each signal.
+LANDMARKS = f"""{FRAMES},
+lf AS (SELECT rec, i, i * 33333 + CASE WHEN rec % 7 = 3 AND i > 4 THEN 60000000 ELSE 0 END AS t, invalid, event_id, h0, h1 FROM frames),
+refused AS (SELECT rec FROM lf GROUP BY rec HAVING rec % 7 = 3 AND count(*) > 5),
+sig AS (SELECT rec, i, t, invalid, s, CASE s WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE event_id % 13 <> 0 END AS p, CASE s WHEN 0 THEN TRUE WHEN 1 THEN event_id % 17 = 0 END AS side, s < 2 AND event_id * (11 + 2 * s) % 1000 * 1000 < 500000 AS unsure
+  FROM lf CROSS JOIN range(3) r(s) WHERE rec NOT IN (FROM refused)),
+nb AS (SELECT *, lag(t) OVER w AS bt, lead(t) OVER w AS nt, lag(side) OVER w AS bs, lead(side) OVER w AS ns, lag(unsure) OVER w AS bu, lead(unsure) OVER w AS nu, i - row_number() OVER (PARTITION BY rec, s, p ORDER BY i) AS isle FROM sig WINDOW w AS (PARTITION BY rec, s ORDER BY i)),
+gp AS (SELECT rec, s, count(*) AS n, min(t) AS first_t, max(t) AS last_t, min(bt) FILTER (i = lo) AS left_t, max(nt) FILTER (i = hi) AS right_t, bool_or(invalid) AS bad, bool_or(bs) FILTER (i = lo) AS ls, bool_or(ns) FILTER (i = hi) AS rs, coalesce(bool_or(bu) FILTER (i = lo), FALSE) AS lu, coalesce(bool_or(nu) FILTER (i = hi), FALSE) AS ru
+  FROM (SELECT *, min(i) OVER (PARTITION BY rec, s, isle) AS lo, max(i) OVER (PARTITION BY rec, s, isle) AS hi FROM nb WHERE NOT p) GROUP BY rec, s, isle),
+gd AS (SELECT *, left_t IS NOT NULL AND right_t IS NOT NULL AND n <= 2 AND right_t - left_t <= 100000 AND NOT bad AND (s = 2 OR (NOT lu AND NOT ru AND ls = rs)) AS fill FROM gp),
+sp AS (SELECT rec, max(t) AS span FROM lf WHERE rec NOT IN (FROM refused) GROUP BY rec),
+gt AS (SELECT rec, span AS t FROM sp UNION SELECT rec, (2 * k * 1000000 + 30) // 60 FROM (SELECT rec, span, unnest(range(0, span * 30 // 1000000 + 1)) AS k FROM sp) WHERE (2 * k * 1000000 + 30) // 60 <= span),
+gs AS (SELECT rec, t, s, lag(t) OVER (PARTITION BY rec, s ORDER BY t) AS before FROM gt CROSS JOIN range(3) r(s)),
+sa AS (SELECT * FROM sig WHERE p),
+gv AS (SELECT g.*, CASE WHEN l.t = g.t THEN 'observed' WHEN l.side IS NOT DISTINCT FROM r.side AND r.t IS NOT NULL AND (r.i - l.i = 1 OR EXISTS (SELECT 1 FROM gd WHERE gd.rec = g.rec AND gd.s = g.s AND fill AND gd.left_t = l.t)) THEN 'interpolated' END AS e,
+    EXISTS (SELECT 1 FROM gd WHERE gd.rec = g.rec AND gd.s = g.s AND NOT fill AND first_t <= g.t AND last_t >= g.before) AS cut
+  FROM gs g ASOF LEFT JOIN sa l ON l.rec = g.rec AND l.s = g.s AND g.t >= l.t ASOF LEFT JOIN sa r ON r.rec = g.rec AND r.s = g.s AND g.t <= r.t),
+gr AS MATERIALIZED (SELECT rec, t, max(e) FILTER (s = 0) AS e0, max(e) FILTER (s = 1) AS e1, max(e) FILTER (s = 2) AS eb, bool_or(cut) FILTER (s = 0) AS c0, bool_or(cut) FILTER (s = 1) AS c1, bool_or(cut) FILTER (s = 2) AS cb FROM gv GROUP BY rec, t)"""
+
+
+def m10_resampled(spark: SparkSession, sf: str) -> DataFrame:
+    f = landmark_frames(spark, sf)
+    bad = E.timestamp_discontinuities(f, FAST).select("rec").distinct()
+    grid = X.resample(f.join(bad, "rec", "left_anti"), FAST, hands=landmark_hands())
+    return grid.select("rec", "t", F.col("hand_0_evidence").alias("e0"), F.col("hand_1_evidence").alias("e1"), F.col("body_evidence").alias("eb"), F.col("hand_0_cut").alias("c0"), F.col("hand_1_cut").alias("c1"), F.col("body_cut").alias("cb"))
 
 
 def m10_features(spark: SparkSession, sf: str) -> DataFrame:
-    f = X.derive_features(landmark_frames(spark, sf), FAST, PLAN)
-    count = lambda c: F.aggregate(c, F.lit(0), lambda a, r: a + F.size(F.filter(r, lambda x: x)))
-    return f.select("rec", "source_grid_frame_count", F.element_at("timestamps_us", 64).alias("last_t"), count("valid_mask").alias("valid"), count("observed_mask").alias("observed"), count("interpolated_mask").alias("interpolated"), F.size(F.filter("padding_mask", lambda x: x)).alias("padded"), F.aggregate("values_q", F.lit(0).cast("bigint"), lambda a, r: a + F.aggregate(r, F.lit(0).cast("bigint"), lambda b, x: b + x)).alias("total_q"))
+    f = X.derive_features(landmark_frames(spark, sf), FAST, MOVING, hands=landmark_hands())
+    count = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, r: a + F.size(F.filter(r, lambda x: x)))
+    return f.select("rec", "status", "reason", "source_grid_frame_count", F.element_at("timestamps_us", 64).alias("last_t"), count("valid_mask").alias("valid"), count("observed_mask").alias("observed"), count("interpolated_mask").alias("interpolated"), F.size(F.filter("padding_mask", lambda x: x)).cast("bigint").alias("padded"))
+
+
+def _m10_sql() -> str:
+    """A frame's valid and observed features by what is there: 73 of each hand alone, 4 of each with the body, and first and second differences of 63 and 4."""
+    local = {"v": ("{e} IS NOT NULL", "NOT {c}"), "o": ("coalesce({e} = 'observed', FALSE)", "NOT {c}")}
+    kinds = {}
+    for h in (0, 1):
+        for m, (there, free) in local.items():
+            alone, body = there.format(e=f"e{h}"), there.format(e="eb")
+            kinds[f"{m}l{h}"] = (alone, free.format(c=f"c{h}"))
+            kinds[f"{m}b{h}"] = (f"({alone} AND {body})", f"NOT c{h} AND NOT cb")
+    w = "(PARTITION BY rec ORDER BY t)"
+    first = ", ".join(f"{there} AS {k}, {free} AS f{k}" for k, (there, free) in kinds.items())
+    second = ", ".join(f"coalesce({k} AND lag({k}) OVER {w} AND f{k}, FALSE) AS d{k}" for k in kinds)
+    third = ", ".join(f"coalesce(d{k} AND lag(d{k}) OVER {w} AND f{k}, FALSE) AS a{k}" for k in kinds)
+    total = lambda m: " + ".join(f"{k}::BIGINT * {n} + d{k}::BIGINT * {d} + a{k}::BIGINT * {d}" for h in (0, 1) for k, n, d in ((f"{m}l{h}", 73, 63), (f"{m}b{h}", 4, 4)))
+    return f"""WITH {LANDMARKS}, x1 AS (SELECT rec, t, {first} FROM gr), x2 AS (SELECT *, {second} FROM x1), x3 AS (SELECT *, {third} FROM x2),
+x4 AS (SELECT rec, t, row_number() OVER {w} - 1 AS k, count(*) OVER (PARTITION BY rec) AS n, {total("v")} AS v, {total("o")} AS o FROM x3),
+x5 AS (SELECT * FROM x4 WHERE n <= 64 OR k IN (SELECT (2 * j * (x4.n - 1) + 63) // 126 FROM range(64) r(j)))
+SELECT rec, 'derived' AS status, NULL::VARCHAR AS reason, max(n) AS source_grid_frame_count, CASE WHEN max(n) >= 64 THEN max(t) ELSE max(t) + ((64 - max(n)) * 2000000 + 30) // 60 END AS last_t, sum(v)::BIGINT AS valid, sum(o)::BIGINT AS observed, sum(v - o)::BIGINT AS interpolated, greatest(64 - max(n), 0) AS padded
+FROM x5 GROUP BY rec UNION ALL SELECT rec, 'refused', 'timestamp_discontinuity', NULL, NULL, NULL, NULL, NULL, NULL FROM refused"""
 
 
 def m11_feature_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +106,7 @@ def m11_feature_violations(spark: SparkSession, sf: str) -> DataFrame:
     return X.feature_violations(seeded.withColumn("padding_mask", F.when(kind == 3, front).otherwise(F.col("padding_mask"))), PLAN)
 
 
-M11 = f"""WITH {FRAMES}, r AS (SELECT DISTINCT rec FROM frames)
+M11 = f"""WITH {FRAMES}, r AS (SELECT rec FROM frames GROUP BY rec HAVING rec % 7 <> 3 OR count(*) < 6)
 SELECT 'times_not_rising' AS rule_id, rec FROM r WHERE rec % 5 = 2 UNION ALL SELECT 'padding_not_suffix', rec FROM r WHERE rec % 5 = 3"""
 
 
@@ -275,6 +332,6 @@ def _j4() -> str:
 H2 = f"WITH {FRAMES} SELECT rec, i, round(CASE WHEN i >= 2 THEN q + 500 * (2.0::DOUBLE / i) END, 6) AS v FROM frames"
 
 QUERIES = {
-    "m10_features": (m10_features, None), "m11_feature_violations": (m11_feature_violations, M11), "m12_training_violations": (m12_training_violations, M12), "h5_hand_local": (h5_hand_local, H5), "h9_body_relative": (h9_body_relative, H9), "m6_transition_fragments": (m6_transition_fragments, M6), "m9_corpus": (m9_corpus, None), "m3_sealed_partitions": (m3_sealed_partitions, M3),
+    "m10_features": (m10_features, _m10_sql()), "m10_resampled": (m10_resampled, f"WITH {LANDMARKS} SELECT * FROM gr"), "m11_feature_violations": (m11_feature_violations, M11), "m12_training_violations": (m12_training_violations, M12), "h5_hand_local": (h5_hand_local, H5), "h9_body_relative": (h9_body_relative, H9), "m6_transition_fragments": (m6_transition_fragments, M6), "m9_corpus": (m9_corpus, None), "m3_sealed_partitions": (m3_sealed_partitions, M3),
     "a1_a2_table_round_trip": (a1_a2_table_round_trip, A1), "a3_a4_frames_round_trip": (a3_a4_frames_round_trip, A3), "a5_file_inventory": (a5_file_inventory, A5), "a6_json_violations": (a6_json_violations, A6), "a7_media_table": (a7_media_table, A7), "a8_predictions": (a8_predictions, _a8()), "a10_reuse": (a10_reuse, A10), "a11_run_ledger": (a11_run_ledger, A11), "a12_normalized_runs": (a12_normalized_runs, A12), "a13_resolved_artifacts": (a13_resolved_artifacts, A13), "h2_interpolated": (h2_interpolated, H2), "j4_sql_time_grid": (j4_sql_time_grid, _j4()),
 }
