@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import quality as Q
 from ..sources.staging import new_path, written
 from ..streaming import live as L
+from ..streaming.buffers import events_with_frames_stream, list_state
 from .bindings import FRAMES, HOUR, frames, point, table
+from .detector_sql import detector_sql
 
 #: Hours for the sparse test events where the defaults have milliseconds; motion is a value in millionths.
 LIMITS = E.Limits(start_motion=60_000_000, stop_motion=20_000_000, most_motion=400_000_000, pre_roll=20 * HOUR, arming=5 * HOUR, least_event=20 * HOUR, most_event=400 * HOUR, finalization=20 * HOUR, gap_frames=2, gap_time=40 * HOUR, cooldown=15 * HOUR)
@@ -40,13 +42,37 @@ def i2_stream_events(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("reason <> 'late'")
 
 
-def i3_stream_differs(spark: SparkSession, sf: str) -> DataFrame:
-    """Events of the stream that the batch lacks, and the other way; open events at the end aside, there are none."""
-    batch, stream = i2_events(spark, sf).where("reason <> 'stream_end'"), i2_stream_events(spark, sf)
-    return batch.exceptAll(stream).withColumn("side", F.lit("batch")).unionAll(stream.exceptAll(batch).withColumn("side", F.lit("stream")))
+I2 = f"WITH RECURSIVE {detector_sql(LIMITS)} SELECT * FROM found"
+I2B = f"WITH RECURSIVE {detector_sql(LIMITS)} SELECT * FROM found WHERE reason <> 'stream_end'"
 
 
-I3 = "SELECT NULL::BIGINT AS rec, NULL::BIGINT AS first_index, NULL::BIGINT AS last_index, NULL::BIGINT AS first_t, NULL::BIGINT AS last_t, '' AS reason, '' AS side WHERE FALSE"
+def _in_slices(rows: DataFrame, transform, name: str, slices: int = 4) -> DataFrame:
+    """Each recording's rows streamed in so many batches, then a heartbeat of recording -1 that ends all sequences; what the sink has in the end."""
+    spark = rows.sparkSession
+    source, sink, marks = (new_path(spark, f"{name}-{x}") for x in ("in", "out", "marks"))
+    dealt = written(rows.withColumn("_slice", F.ntile(slices).over(Window.partitionBy("rec").orderBy("i"))), f"{name}-dealt")
+    beat = rows.limit(1).withColumns({"rec": F.lit(-1).cast("bigint"), "at": F.timestamp_seconds(F.lit(9 * 10**9))})
+    for part in (*(dealt.where(F.col("_slice") == k + 1).drop("_slice") for k in range(slices)), beat, beat):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source).withWatermark("at", "40000 days")
+        out = transform(stream)
+        with list_state(spark):
+            out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink).where("rec >= 0")
+
+
+def i3_stream_end(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of a stream whose sequences come in four batches, those that its end closes included."""
+    found = _in_slices(observations(spark, sf), lambda s: L.detect_events_stream(s, LIMITS, idle_ms=10**12), "ends")
+    return found.where("reason <> 'late'")
+
+
+def i6_stream_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a stream with their frames, from buffers that hold what an event can still need."""
+    return _in_slices(observations(spark, sf), lambda s: events_with_frames_stream(s, ("i",), LIMITS, idle_ms=10**12), "buffers")
+
+
+I6B = f"WITH RECURSIVE {detector_sql(LIMITS)} SELECT e.*, f.t AS frame_t, f.i AS frame_i FROM found e JOIN frames f ON f.rec = e.rec AND f.t BETWEEN e.first_t AND e.last_t"
 
 
 def i4_late_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,6 +142,11 @@ def i9_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
 I9C = f"""WITH {FRAMES}, x AS (SELECT *, us // {48 * HOUR} * {48 * HOUR} - k * {48 * HOUR} AS start FROM frames, range(2) r(k)) SELECT rec, start, count(*) AS frames, count(*) FILTER (NOT invalid) AS valid, count(*) FILTER (h0) AS seen FROM x GROUP BY 1, 2"""
 
 
+def i6_detected_frames(spark: SparkSession, sf: str) -> DataFrame:
+    found = E.events_with_frames(i2_events(spark, sf), frames(spark, sf).select("rec", "i", "t"))
+    return found.select("rec", "first_t", "last_t", "reason", F.col("t").alias("frame_t"), F.col("i").alias("frame_i"))
+
+
 def i6_events_with_frames(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
     spans = f.where("kind = 'signup'").select("rec", F.col("t").alias("first_t"), (F.col("t") + 12 * HOUR).alias("last_t"), F.col("event_id").cast("string").alias("reason"))
@@ -178,6 +209,6 @@ def _b7_sql() -> str:
 
 
 QUERIES = {
-    "i1_stream_observations": (i1_stream_observations, _b7_sql()), "i2_events": (i2_events, None), "i2_stream_events": (i2_stream_events, None), "i3_stream_differs": (i3_stream_differs, I3), "i4_late_rows": (i4_late_rows, I4), "i5_tracked": (i5_tracked, None), "i6_events_with_frames": (i6_events_with_frames, I6),
-    "i7_attempt_status": (i7_attempt_status, I7), "i7_streamed_ledger": (i7_streamed_ledger, I7B), "i8_packages": (i8_packages, I8), "i9_quality_windows": (i9_quality_windows, I9), "i9_streamed_windows": (i9_streamed_windows, I9), "i9_session_windows": (i9_session_windows, I9B), "i9_sliding_windows": (i9_sliding_windows, I9C), "i2_event_reasons": (e10_batch_motion, None),
+    "i1_stream_observations": (i1_stream_observations, _b7_sql()), "i2_events": (i2_events, I2), "i2_stream_events": (i2_stream_events, I2B), "i3_stream_end": (i3_stream_end, I2), "i6_stream_frames": (i6_stream_frames, I6B), "i6_detected_frames": (i6_detected_frames, I6B.replace("e.*", "e.* EXCLUDE (first_index, last_index)")), "i4_late_rows": (i4_late_rows, I4), "i5_tracked": (i5_tracked, None), "i6_events_with_frames": (i6_events_with_frames, I6),
+    "i7_attempt_status": (i7_attempt_status, I7), "i7_streamed_ledger": (i7_streamed_ledger, I7B), "i8_packages": (i8_packages, I8), "i9_quality_windows": (i9_quality_windows, I9), "i9_streamed_windows": (i9_streamed_windows, I9), "i9_session_windows": (i9_session_windows, I9B), "i9_sliding_windows": (i9_sliding_windows, I9C), "i2_event_reasons": (e10_batch_motion, f"WITH RECURSIVE {detector_sql(LIMITS)} SELECT reason, count(*) AS events, sum(last_index - first_index + 1)::BIGINT AS frames FROM found GROUP BY 1"),
 }
