@@ -1,4 +1,4 @@
-"""Lineage graphs, consent and withdrawal: closures by frontier joins, everything else by joins and groups."""
+"""Lineage graphs, consent and withdrawal: joins and groups; graphs has closures and cycles."""
 
 from __future__ import annotations
 
@@ -6,36 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import opaque_id
-from ..sources.staging import written
 from .checks import violations
-
-
-def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(root, node, depth): all nodes that edges (parent, child) lead to from each root, itself at depth 0; depth is the least.
-
-    Each round joins only the newest nodes with the edges and is written, so plans don't grow; cycles end as nothing new is met.
-    """
-    reached = written(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
-    frontier = reached
-    for depth in range(1, most_rounds + 1):
-        step = frontier.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
-        new = written(step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if new.isEmpty():
-            return reached
-        reached, frontier = reached.unionByName(new) if depth % 8 else written(reached.unionByName(new), "closure"), new
-    raise RuntimeError(f"the graph is deeper than {most_rounds}")
-
-
-def cycle_nodes(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """Nodes on or behind a cycle: what is left when nodes without incoming edges are taken away again and again."""
-    left = written(edges.select("parent", "child").distinct(), "edges")
-    for _ in range(most_rounds):
-        children = left.select(F.col("child").alias("parent")).distinct()
-        kept = written(left.join(children, "parent", "left_semi"), "edges")
-        if kept.count() == left.count():
-            return kept.select(F.col("parent").alias("node")).union(kept.select("child")).distinct()
-        left = kept
-    raise RuntimeError(f"the graph is deeper than {most_rounds}")
+from .graphs import closure
 
 
 def edge_violations(nodes: DataFrame, edges: DataFrame, node: str, same: tuple[str, ...]) -> DataFrame:

@@ -63,19 +63,6 @@ def stratified_random(df: DataFrame, shares: DataFrame, key: str, label: str, se
     return joined.withColumn("predicted", F.get(F.filter("_s", lambda x: x["upto"] > F.col("_d")), F.lit(0))[label]).drop("_s", "_all", "_d")
 
 
-def group_folds(df: DataFrame, group: str, label: str, folds: int) -> DataFrame:
-    """(group, fold): groups whole, labels balanced.
-
-    Groups with the same label histogram are dealt in turn: ordered by (histogram, hash of the id), the r-th goes to fold r mod folds,
-    counted within its histogram and shifted by the histogram's hash. That balances every kind of group by itself and needs no global state.
-    """
-    hist = df.groupBy(group, label).agg(F.count("*").alias("_n")).groupBy(group).agg(F.sort_array(F.collect_list(F.struct(label, "_n"))).alias("_h"))
-    main = F.transform("_h", lambda x: x[label])
-    kind = hist.withColumn("_kind", F.to_json(main))
-    r = F.row_number().over(Window.partitionBy("_kind").orderBy(F.md5(F.col(group).cast("string").cast("binary")), group)) - 1
-    return kind.select(group, F.pmod(r + F.pmod(F.crc32(F.col("_kind").cast("binary")), F.lit(folds)), F.lit(folds)).cast("int").alias("fold"))
-
-
 def fit_logistic(train: DataFrame, vector: str, label: str, c: float, iterations: int = 100):
     """A multinomial logistic regression of inverse regularization c; regParam = 1 / (c n)."""
     from pyspark.ml.classification import LogisticRegression

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import graphs as N
 from ..operators import lineage as L
 from ..operators import selection as P
 from .bindings import FRAMES, frames, table
@@ -21,18 +22,50 @@ EDGES = "edges AS (SELECT p_partkey // 2 AS parent, p_partkey AS child FROM part
 
 
 def l4_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return L.closure(edges(spark, sf), spark.range(3, 8).select(F.col("id").alias("root")))
+    return N.closure(edges(spark, sf), spark.range(3, 8).select(F.col("id").alias("root")))
 
 
 L4 = f"WITH RECURSIVE {EDGES}, r AS (SELECT k AS root, k AS node, 0 AS depth FROM range(3, 8) x(k) UNION SELECT r.root, e.child, r.depth + 1 FROM r JOIN edges e ON e.parent = r.node) SELECT root, node, min(depth)::INTEGER AS depth FROM r GROUP BY 1, 2"
 
 
+#: Edges that close cycles: one long, one short, one loop.
+_BACK = ((100, 12), (95, 23), (101, 101))
+
+
+def _with_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf).unionAll(spark.createDataFrame(_BACK, "parent bigint, child bigint"))
+
+
 def l4_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    back = spark.range(1).select(F.lit(100).cast("bigint").alias("parent"), F.lit(12).cast("bigint").alias("child"))
-    return L.cycle_nodes(edges(spark, sf).unionAll(back))
+    return N.cycle_components(_with_cycles(spark, sf))
+
+
+def l4_graph_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return N.graph_violations(table(spark, sf, "part").where("p_partkey % 53 <> 9"), _with_cycles(spark, sf), "p_partkey")
+
+
+CYCLES = f"""{EDGES}, g AS (SELECT * FROM edges UNION VALUES {", ".join(map(str, _BACK))}), s AS (SELECT * FROM (VALUES {", ".join(map(str, _BACK))}) v(tail, head)),
+down AS (SELECT head, head::BIGINT AS n FROM s UNION SELECT d.head, g.child FROM down d JOIN g ON g.parent = d.n), up AS (SELECT tail, tail::BIGINT AS n FROM s UNION SELECT u.tail, g.parent FROM up u JOIN g ON g.child = u.n),
+members AS (SELECT s.head, d.n FROM s JOIN down d ON d.head = s.head JOIN up u ON u.tail = s.tail AND u.n = d.n), named AS (SELECT n, min(n) OVER (PARTITION BY head) AS component FROM members)"""
+L4B = f"WITH RECURSIVE {CYCLES} SELECT n AS node, min(component) AS component FROM named GROUP BY n"
+L4C = f"WITH RECURSIVE {CYCLES} SELECT 'cycle' AS rule_id, n AS key FROM named GROUP BY n UNION ALL SELECT DISTINCT 'orphan_parent', parent FROM g WHERE parent NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 53 <> 9)"
+
+
+def c10_root_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts 8 to 15 are recordings; the others come from half their number, each 27th also from a third. Some name a wrong source, some leave their parent's partition."""
+    p = table(spark, sf, "part").where("p_partkey >= 8").select(F.col("p_partkey").alias("k"))
+    own = F.expr("k div shiftleft(1L, cast(floor(log2(k)) as int) - 3)")
+    nodes = p.select("k", F.when(F.col("k") < 16, F.col("k")).alias("root"), F.when(F.col("k") % 101 == 7, 8).otherwise(own).alias("source"), F.when(F.col("k") % 5 != 0, "main").alias("split"), F.when(F.col("k") % 37 == 0, "test").otherwise("train").alias("part"))
+    up = p.where("k >= 16")
+    lines = up.select(F.expr("k div 2").alias("parent"), F.col("k").alias("child")).unionAll(up.where("k % 27 = 0 AND k >= 24").select(F.expr("k div 3").alias("parent"), F.col("k").alias("child")))
+    return N.root_violations(nodes, lines, "k", "root", "source", "split", "part")
 
 
-L4B = f"""WITH RECURSIVE {EDGES}, g AS (SELECT * FROM edges UNION SELECT 100, 12), d AS (SELECT 12 AS n UNION SELECT g.child FROM d JOIN g ON g.parent = d.n) SELECT DISTINCT n::BIGINT AS node FROM d"""
+C10B = """WITH RECURSIVE n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 101 = 7 THEN 8 ELSE p_partkey // (1::BIGINT << (floor(log2(p_partkey))::INT - 3)) END AS source, CASE WHEN p_partkey % 5 <> 0 THEN 'main' END AS split, CASE WHEN p_partkey % 37 = 0 THEN 'test' ELSE 'train' END AS part FROM part WHERE p_partkey >= 8),
+l AS (SELECT k // 2 AS parent, k AS child FROM n WHERE k >= 16 UNION SELECT k // 3, k FROM n WHERE k >= 24 AND k % 27 = 0),
+r AS (SELECT k AS root, k AS node FROM n WHERE k < 16 UNION SELECT r.root, l.child FROM r JOIN l ON l.parent = r.node)
+SELECT 'roots_differ' AS rule_id, k AS key FROM n LEFT JOIN r ON r.node = n.k GROUP BY k, source HAVING NOT coalesce(bool_and(root = source), FALSE)
+UNION ALL SELECT DISTINCT 'split_differs', child FROM l JOIN n p ON p.k = l.parent JOIN n c ON c.k = l.child WHERE p.k >= 16 AND p.split IS NOT NULL AND (p.split IS DISTINCT FROM c.split OR p.part <> c.part)"""
 
 
 def c10_edge_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,6 +204,6 @@ def l14_binding(spark: SparkSession, sf: str) -> DataFrame:
 L14 = "SELECT 'unbound' AS rule_id, o_orderkey FROM orders WHERE o_orderkey % 37 = 0 UNION ALL SELECT 'facts_differ', o_orderkey FROM orders WHERE o_orderkey % 37 <> 0 AND o_orderkey % 43 = 0 AND o_orderstatus <> 'X'"
 
 QUERIES = {
-    "l1_scopes": (l1_scopes, L1), "l2_grants": (l2_grants, L2), "l3_authorized": (l3_authorized, L3), "l4_closure": (l4_closure, L4), "l4_cycles": (l4_cycles, L4B), "l5_withdrawal": (l5_withdrawal, L5), "l6_metadata": (l6_metadata, L6), "l7_quarantine": (l7_quarantine, L7), "l8_raw_assets": (l8_raw_assets, L8), "l9_gates": (l9_gates, L9),
+    "l1_scopes": (l1_scopes, L1), "l2_grants": (l2_grants, L2), "l3_authorized": (l3_authorized, L3), "l4_closure": (l4_closure, L4), "l4_cycles": (l4_cycles, L4B), "l4_graph_violations": (l4_graph_violations, L4C), "c10_root_violations": (c10_root_violations, C10B), "l5_withdrawal": (l5_withdrawal, L5), "l6_metadata": (l6_metadata, L6), "l7_quarantine": (l7_quarantine, L7), "l8_raw_assets": (l8_raw_assets, L8), "l9_gates": (l9_gates, L9),
     "l10_chain": (l10_chain, L10), "l11_counts": (l11_counts, L11), "l12_normalized_attempts": (l12_normalized_attempts, L12), "l13_license": (l13_license, L13), "l14_binding": (l14_binding, L14), "c10_edge_violations": (c10_edge_violations, C10),
 }

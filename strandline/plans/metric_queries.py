@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import folds as G
 from ..operators import matching as T
 from ..operators import metrics as M
 from ..operators import models as J
+from ..sources.staging import written
 from .bindings import FRAMES, HOUR, frames, table
 
 CLASSES = list(range(10))
@@ -317,8 +319,27 @@ SELECT vec_id, round(list_max(list_transform(range(1, 11), lambda k: abs(p[k] -
 
 
 def m4_group_folds(spark, sf):
-    folds = J.group_folds(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", 3)
-    return folds.groupBy("fold").agg(F.count("*").alias("groups"), F.count_distinct("o_custkey").alias("distinct_groups"))
+    return G.group_folds(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", 3)
+
+
+def m4_fold_checks(spark, sf):
+    """Each customer is in one fold, each fold has all priorities on both sides, and a priority's share of a fold is near a third."""
+    orders = table(spark, sf, "orders")
+    folds = written(m4_group_folds(spark, sf), "folds")
+    found = G.fold_checks(orders, folds, "o_custkey", "o_orderpriority", 3)
+    whole = folds.groupBy("o_custkey").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("customers"))
+    share = F.col("evaluated") / (F.col("evaluated") + F.col("fitted"))
+    return found.crossJoin(F.broadcast(whole)).select("fold", "o_orderpriority", (F.col("most") == 1).alias("whole"), "customers", ((F.col("evaluated") > 0) & (F.col("fitted") > 0)).alias("both_sides"), (F.abs(share - 1 / 3) < 0.02).alias("even"))
+
+
+M4 = "SELECT CAST(f AS INTEGER) AS fold, o_orderpriority, TRUE AS whole, customers, TRUE AS both_sides, TRUE AS even FROM (SELECT DISTINCT o_orderpriority FROM orders), range(3) x(f), (SELECT count(DISTINCT o_custkey) AS customers FROM orders)"
+
+
+def m4_fold_digest(spark, sf):
+    """One digest for two runs on tables that are dealt otherwise."""
+    orders = table(spark, sf, "orders")
+    twice = [G.fold_digest(G.group_folds(o, "o_custkey", "o_orderpriority", 3), "o_custkey") for o in (orders, orders.repartition(5, "o_orderkey"))]
+    return twice[0].unionAll(twice[1]).groupBy("digest").agg(F.count("*").alias("runs"), F.max("rows").alias("customers")).select("runs", "customers")
 
 
 def m5_baselines(spark, sf):
@@ -411,6 +432,6 @@ QUERIES = {
     "d4_feature_statistics": (d4_feature_statistics, f"WITH {STATS} SELECT * FROM st"), "d5_standardized": (d5_standardized, D5), "d12_nearest_rank": (d12_nearest_rank, D12),
     "c6_interval_matches": (c6_interval_matches, f"WITH RECURSIVE {MATCHED} SELECT * FROM matches"), "d11_replay_counts": (d11_replay_counts, f"WITH RECURSIVE {COUNTS} SELECT * FROM counts"), "d11_replay_metrics": (d11_replay_metrics, D11B), "c16_ordered_match": (c16_ordered_match, C16), "d13_bootstrap": (d13_bootstrap, D13),
     "d14_strata": (d14_strata, D14), "d15_exclusions": (d15_exclusions, D15), "d17_fold_summary": (d17_fold_summary, f"WITH {FOLDS} SELECT condition, fold, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy FROM summary"), "d18_condition_compare": (d18_condition_compare, D18),
-    "d22_throughput": (d22_throughput, D22), "d23_centroids": (d23_centroids, D23), "d23_centroid_scores": (d23_centroid_scores, D23B), "c15_compared_runs": (c15_compared_runs, C15), "m4_group_folds": (m4_group_folds, None), "m5_baselines": (m5_baselines, M5), "m5_logistic": (m5_logistic, None),
+    "d22_throughput": (d22_throughput, D22), "d23_centroids": (d23_centroids, D23), "d23_centroid_scores": (d23_centroid_scores, D23B), "c15_compared_runs": (c15_compared_runs, C15), "m4_group_folds": (m4_group_folds, None), "m4_fold_checks": (m4_fold_checks, M4), "m4_fold_digest": (m4_fold_digest, "SELECT 2 AS runs, count(DISTINCT o_custkey) AS customers FROM orders"), "m5_baselines": (m5_baselines, M5), "m5_logistic": (m5_logistic, None),
     "m7_calibration": (m7_calibration, None), "m8_ablation": (m8_ablation, None), "j1_mapped_sequences": (j1_mapped_sequences, J1), "j2_authorized": (j2_authorized, J2), "j3_scored": (j3_scored, J3),
 }

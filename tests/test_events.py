@@ -4,7 +4,6 @@ import pandas as pd
 import pytest
 
 from strandline.operators import events as E
-from strandline.operators import lineage as L
 from strandline.operators import matching as T
 from strandline.streaming import live
 
@@ -77,14 +76,6 @@ def test_greedy_match_takes_each_decision_once(spark):
     assert got == [(0, 1, 7, 428_571)] or [x[1:3] for x in got] == [(1, 7)]
 
 
-def test_closure_of_a_diamond_and_a_cycle(spark):
-    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (8, 9), (9, 8)], "parent bigint, child bigint")
-    roots = spark.createDataFrame([(1,), (8,)], "root bigint")
-    got = sorted((r["root"], r["node"], r["depth"]) for r in L.closure(edges, roots).collect())
-    assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (8, 8, 0), (8, 9, 1)]
-    assert sorted(r["node"] for r in L.cycle_nodes(edges).collect()) == [8, 9]
-
-
 def test_split_attempts_within_a_batch(spark):
     rows = spark.createDataFrame([(1, "a", "s1"), (2, "b", "s1"), (3, "c", "s3")], "k bigint, c string, s string")
     ledger = spark.createDataFrame([(3, "z", "s9")], "k bigint, c string, s string")
