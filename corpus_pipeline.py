@@ -14,11 +14,12 @@ from strandline.llm.line_dedup import dedup_passages
 from strandline.llm.mixing import mix
 from strandline.llm.packing import pack_documents
 from strandline.llm.queries import _tokenizer
-from strandline.llm.shared import stage
+from strandline.llm.shared import small_batches, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the models of the known languages don't reject: null texts and those without letters go, rows with null ids or languages are judged by their text."""
+    small_batches(spark)
     return keep_identified(docs, fit_language_models(training_rows(docs)))
 
 
@@ -32,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8), that with the smallest id. Rows with a null id or without words stay, and so do rows that repeat the kept id."""
+    small_batches(spark)
     found = jaccard_components(docs, Similarity(words=5, below=80, above=100))
     copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
     return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
@@ -51,6 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Executors are still full of the stages before, so workers keep fewer words than they would alone.
     """
+    small_batches(spark)
     return pack_documents(docs, _tokenizer(), known_words=100_000, slice_bytes=1 << 19)
 
 

@@ -35,6 +35,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on Arrow batches hold about so many bytes. JVM and worker each hold a batch and copies of its columns, and texts are worked on in slices of SLICE_BYTES anyway."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the held-out fifth: crc32 of its id as text is divisible by 5. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
