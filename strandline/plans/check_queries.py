@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import annotation as A
 from ..operators import checks as C
+from ..operators import privacy as V
 from ..operators import selection as P
 from .bindings import FRAMES, frames, table
 
@@ -78,6 +79,35 @@ def b12_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return A.redact(table(spark, sf, "documents"), PRIVATE, "text").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with a nested record: an identity three levels down, a machine path in a list, a raw UUID, an absolute time, or a text that isn't JSON."""
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    k = F.col("event_id")
+    record = F.struct(
+        F.struct(F.array(F.when(k % 97 == 0, F.create_map(F.lit("Contact-Email"), F.lit("x"))).otherwise(F.create_map(F.lit("k"), F.col("event_type")))).alias("items")).alias("meta"),
+        F.array(F.lit("plain"), F.when(k % 89 == 0, F.lit("C:\\Users\\a")).otherwise(F.lit("a/b"))).alias("files"),
+        F.when(k % 83 == 0, F.lit("id 123e4567-e89b-12d3-a456-426614174000")).alias("ref"), F.when(k % 79 == 0, F.lit("2024-05-06T07:08:09Z")).alias("at"), k.alias("number"),
+    )
+    return e.withColumn("record", record)
+
+
+def b12_nested_privacy(spark: SparkSession, sf: str) -> DataFrame:
+    as_text = F.when(F.col("event_id") % 73 == 0, F.lit("/not/json")).otherwise(F.to_json("record"))
+    return V.nested_violations(_records(spark, sf), "event_id", as_text)
+
+
+B12C = """SELECT 'forbidden_key' AS rule_id, event_id, '$.meta.items[0].Contact-Email' AS path FROM events WHERE event_id % 97 = 0 AND event_id % 73 <> 0 UNION ALL SELECT 'machine_path', event_id, '$.files[1]' FROM events WHERE event_id % 89 = 0 AND event_id % 73 <> 0
+UNION ALL SELECT 'raw_uuid', event_id, '$.ref' FROM events WHERE event_id % 83 = 0 AND event_id % 73 <> 0 UNION ALL SELECT 'absolute_time', event_id, '$.at' FROM events WHERE event_id % 79 = 0 AND event_id % 73 <> 0 UNION ALL SELECT 'machine_path', event_id, '$' FROM events WHERE event_id % 73 = 0"""
+
+
+def b12_redacted_records(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of nested records when forbidden entries are gone and forbidden texts replaced."""
+    return V.redacted(_records(spark, sf), ("record",)).select("event_id", F.size(F.get("record.meta.items", F.lit(0))).alias("entries"), F.get("record.files", F.lit(1)).alias("file"), "record.ref", "record.at")
+
+
+B12D = """SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 0 ELSE 1 END AS entries, CASE WHEN event_id % 89 = 0 THEN '<redacted>' ELSE 'a/b' END AS file, CASE WHEN event_id % 83 = 0 THEN '<redacted>' END AS ref, CASE WHEN event_id % 79 = 0 THEN '<redacted>' END AS at FROM events"""
+
+
 _redacted = "text"
 for _n, _p in PRIVATE.items():
     _redacted = f"regexp_replace({_redacted}, '{_p}', '<{_n}>', 'g')"
@@ -432,7 +462,7 @@ A9 = "SELECT doc_id, 'objects/sha256/p-' || substr(h, 1, 2) || '/sha256-' || h |
 
 QUERIES = {
     "b1_row_rules": (b1_row_rules, B1), "b2_bad_ids": (b2_bad_ids, B2), "b3_projected_annotations": (b3_projected_annotations, B3), "b4_annotation_violations": (b4_annotation_violations, B4), "b10_normalized_labels": (b10_normalized_labels, B10),
-    "b12_privacy_violations": (b12_privacy_violations, B12), "b12_redacted": (b12_redacted, B12B), "b15_run_violations": (b15_run_violations, B15), "c1_fk_violations": (c1_fk_violations, C1), "c2_group_violations": (c2_group_violations, C2),
+    "b12_privacy_violations": (b12_privacy_violations, B12), "b12_redacted": (b12_redacted, B12B), "b12_nested_privacy": (b12_nested_privacy, B12C), "b12_redacted_records": (b12_redacted_records, B12D), "b15_run_violations": (b15_run_violations, B15), "c1_fk_violations": (c1_fk_violations, C1), "c2_group_violations": (c2_group_violations, C2),
     "c3_containment_violations": (c3_containment_violations, C3), "c4_used_parents": (c4_used_parents, C4), "c5_reconciled": (c5_reconciled, C5), "c12_identity_collisions": (c12_identity_collisions, C12), "c12_path_collisions": (c12_path_collisions, C12B), "b15_metric_keys": (b15_metric_keys, B15B), "c13_inventory_diff": (c13_inventory_diff, C13),
     "c14_transition_pairs": (c14_transition_pairs, C14), "c17_archive_violations": (c17_archive_violations, C17), "d16_label_counts": (d16_label_counts, D16), "d19_inventory_digest": (d19_inventory_digest, D19), "d21_partition_closure": (d21_partition_closure, D21),
     "e12_aliases": (e12_aliases, E12), "e13_interleaved": (e13_interleaved, E13), "e14_quota": (e14_quota, E14), "e14_shortfall": (e14_shortfall, E14B), "e15_contiguity": (e15_contiguity, E15), "e16_overlaps": (e16_overlaps, E16),

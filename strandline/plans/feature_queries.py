@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import digests as D
 from ..operators import features as X
 from ..operators import quality as Q
 from ..operators import selection as P
@@ -200,6 +201,38 @@ def a1_a2_table_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 A1 = "SELECT c_name AS participant_id, CASE WHEN c_custkey % 9 = 0 THEN 'left' ELSE 'right' END AS handedness FROM customer"
 
 
+def a1_content_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers as participants, four times: whole, with a changed value, with a lost row and with a null; what a scan against the manifest of the first says."""
+    rows = table(spark, sf, "customer").select(F.col("c_name").alias("participant_id"), F.when(F.col("c_custkey") % 9 == 0, "left").otherwise("right").alias("handedness"), "c_custkey")
+    manifest = T.table_manifest(rows.drop("c_custkey"))
+    cases = {
+        "whole": rows, "changed": rows.withColumn("handedness", F.when(F.col("c_custkey") == 7, "left").otherwise(F.col("handedness"))), "lost": rows.where("c_custkey <> 7"),
+        "missing": rows.withColumn("handedness", F.when(F.col("c_custkey") != 7, F.col("handedness"))),
+    }
+    said = []
+    for name, case in cases.items():
+        path = staging.new_path(spark, f"drift-{name}")
+        T.write_table(case.drop("c_custkey"), path, "participant_id")
+        try:
+            said.append((name, T.scan_table(spark, path, "participants", manifest).count(), None))
+        except T.ContentDrift as drift:
+            said.append((name, None, str(drift).split(": ", 1)[1]))
+    return spark.createDataFrame(said, "case string, rows bigint, refused string")
+
+
+A1B = "WITH n AS (SELECT count(*) AS n FROM customer) SELECT 'whole' AS case, n AS rows, NULL AS refused FROM n UNION ALL SELECT 'changed', NULL, 'values differ' UNION ALL SELECT 'lost', NULL, n - 1 || ' rows for ' || n FROM n UNION ALL SELECT 'missing', NULL, 'nulls in [''handedness'']'"
+
+
+def a1_table_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """(brand, rows, digest) of the parts of each brand, in one pass."""
+    item = F.concat_ws("|", "p_partkey", "p_name", "p_type")
+    return D.multiset_digest(table(spark, sf, "part"), item, "p_brand")
+
+
+_QUARTERS = ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT::HUGEINT)::VARCHAR" for k in range(4))
+A1C = f"SELECT p_brand, count(*) AS rows, sha256(concat_ws(',', count(*)::VARCHAR, {_QUARTERS})) AS digest FROM (SELECT p_brand, sha256(concat_ws('|', p_partkey, p_name, p_type)) AS h FROM part) GROUP BY p_brand"
+
+
 def a3_a4_frames_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
     hand = lambda s, h: F.struct(F.lit(s).alias("slot_id"), F.col(h).alias("present"), F.lit(None).cast("string").alias("tracking_id"), F.lit(None).cast("smallint").alias("detector_index"), F.lit(None).cast("string").alias("handedness"), F.lit(None).cast("double").alias("handedness_confidence"), F.when(F.col(h), F.array_repeat(F.struct(point().alias("x"), point(axis=1).alias("y"), F.lit(0.0).alias("z"), F.lit(None).cast("double").alias("visibility"), F.lit(None).cast("double").alias("presence")), 21)).alias("image_landmarks"), F.lit(None).cast(T.POINT).alias("world_landmarks"))
@@ -207,7 +240,8 @@ def a3_a4_frames_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     rows = f.select(F.lit("landmark-frame/1").alias("schema_version"), F.col("rec").cast("string").alias("source_recording_id"), F.col("i").alias("frame_index"), F.col("t").alias("source_pts"), F.lit(1).cast("bigint").alias("source_time_base_numerator"), F.lit(1_000_000).cast("bigint").alias("source_time_base_denominator"), F.col("t").alias("relative_timestamp_us"), F.expr("t div 1000").alias("task_timestamp_ms"), "invalid", F.lit(None).cast("string").alias("invalid_reason"), F.array(hand("hand_0", "h0"), hand("hand_1", "h1")).alias("hands"), F.array().cast(T.FRAME["body_anchors"].dataType).alias("body_anchors"), (F.col("h0").cast("int") + F.col("h1").cast("int")).cast("tinyint").alias("observed_hand_count"), zero("tinyint").alias("observed_body_anchor_count"))
     path = staging.new_path(spark, "frames")
     T.write_frames(rows, path, interchange=True)
-    return T.scan_frames(spark, path).groupBy("source_recording_id").agg(F.count("*").alias("frames"), F.sum(F.col("observed_hand_count").cast("bigint")).alias("hands"), F.count_if(F.forall("hands", lambda h: F.size(h["image_landmarks"]) == 21)).alias("whole"))
+    read = T.scan_frames(spark, path, T.table_manifest(spark.read.schema(T.FRAME).parquet(path)))
+    return read.groupBy("source_recording_id").agg(F.count("*").alias("frames"), F.sum(F.col("observed_hand_count").cast("bigint")).alias("hands"), F.count_if(F.forall("hands", lambda h: F.size(h["image_landmarks"]) == 21)).alias("whole"))
 
 
 A3 = f"WITH {FRAMES} SELECT rec::VARCHAR AS source_recording_id, count(*) AS frames, sum(h0::INT + h1::INT)::BIGINT AS hands, count(*) AS whole FROM frames GROUP BY 1"
@@ -333,5 +367,5 @@ H2 = f"WITH {FRAMES} SELECT rec, i, round(CASE WHEN i >= 2 THEN q + 500 * (2.0::
 
 QUERIES = {
     "m10_features": (m10_features, _m10_sql()), "m10_resampled": (m10_resampled, f"WITH {LANDMARKS} SELECT * FROM gr"), "m11_feature_violations": (m11_feature_violations, M11), "m12_training_violations": (m12_training_violations, M12), "h5_hand_local": (h5_hand_local, H5), "h9_body_relative": (h9_body_relative, H9), "m6_transition_fragments": (m6_transition_fragments, M6), "m9_corpus": (m9_corpus, None), "m3_sealed_partitions": (m3_sealed_partitions, M3),
-    "a1_a2_table_round_trip": (a1_a2_table_round_trip, A1), "a3_a4_frames_round_trip": (a3_a4_frames_round_trip, A3), "a5_file_inventory": (a5_file_inventory, A5), "a6_json_violations": (a6_json_violations, A6), "a7_media_table": (a7_media_table, A7), "a8_predictions": (a8_predictions, _a8()), "a10_reuse": (a10_reuse, A10), "a11_run_ledger": (a11_run_ledger, A11), "a12_normalized_runs": (a12_normalized_runs, A12), "a13_resolved_artifacts": (a13_resolved_artifacts, A13), "h2_interpolated": (h2_interpolated, H2), "j4_sql_time_grid": (j4_sql_time_grid, _j4()),
+    "a1_content_drift": (a1_content_drift, A1B), "a1_table_digests": (a1_table_digests, A1C), "a1_a2_table_round_trip": (a1_a2_table_round_trip, A1), "a3_a4_frames_round_trip": (a3_a4_frames_round_trip, A3), "a5_file_inventory": (a5_file_inventory, A5), "a6_json_violations": (a6_json_violations, A6), "a7_media_table": (a7_media_table, A7), "a8_predictions": (a8_predictions, _a8()), "a10_reuse": (a10_reuse, A10), "a11_run_ledger": (a11_run_ledger, A11), "a12_normalized_runs": (a12_normalized_runs, A12), "a13_resolved_artifacts": (a13_resolved_artifacts, A13), "h2_interpolated": (h2_interpolated, H2), "j4_sql_time_grid": (j4_sql_time_grid, _j4()),
 }

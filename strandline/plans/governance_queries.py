@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import consent as O
 from ..operators import graphs as N
 from ..operators import lineage as L
 from ..operators import selection as P
@@ -119,6 +120,56 @@ def l3_authorized(spark: SparkSession, sf: str) -> DataFrame:
 L3 = """SELECT o_orderkey AS grant_id, o_custkey % 9 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' AND (o_custkey % 4 <> 0 OR o_orderdate < TIMESTAMP '1999-01-01') AND (o_custkey % 7 <> 0 OR o_orderdate < TIMESTAMP '1998-06-01') AND o_orderstatus = 'F' AND o_custkey % 2 = 0 AS authorized FROM orders"""
 
 
+def consent_log(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Requests, grants, receipts, log and marks: a receipt a customer, a grant and a request an order. Some logs end early, some entries come after a mark that had ruled them out."""
+    c, o = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("d"), F.col("o_orderstatus").alias("s"))
+    time = lambda x: F.lit(x).cast("timestamp")
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    odd = lambda every, value, usual: F.when(F.col("n") % every == 0, value).otherwise(usual)
+    receipts = c.where("k % 9 <> 0").select(F.col("k").alias("receipt_id"), F.col("k").alias("participant_id"), name("p", F.col("k") % 3).alias("purpose_id"), name("s", F.col("k") % 4).alias("study_id"), F.lit("t1").alias("taxonomy"), time("1996-01-01").alias("granted_at"), F.when(F.col("k") % 4 == 0, time("1999-01-01")).alias("valid_until"), (F.col("k") % 2 == 0).alias("train"), (F.col("k") % 5 == 0).alias("future_research"))
+    bound = F.sha2(F.concat(F.lit("future_research="), (F.col("k") % 5 == 0).cast("string"), F.lit("\ntrain="), (F.col("k") % 2 == 0).cast("string")), 256)
+    grants = o.select(F.col("n").alias("grant_id"), F.col("k").alias("receipt_id"), odd(50, F.lit(-1), F.col("k")).alias("participant_id"), odd(61, F.lit("p9"), name("p", F.col("k") % 3)).alias("purpose_id"), odd(67, F.lit("s9"), name("s", F.col("k") % 4)).alias("study_id"), odd(71, F.lit("t0"), F.lit("t1")).alias("taxonomy"), odd(73, F.lit("x"), bound).alias("receipt_scope_sha256"), F.col("d").alias("issued_at"), F.date_add("d", 1).cast("timestamp").alias("captured_at"), (F.col("s") == "F").alias("train"), (F.col("n") % 2 == 0).alias("future_research"))
+    requests = o.select(F.col("n").alias("request_id"), odd(50, F.lit(-1), F.col("n")).alias("grant_id"), F.lit("train").alias("permission"), F.date_add("d", 30).cast("timestamp").alias("at"), odd(31, F.lit("p8"), name("p", F.col("k") % 3)).alias("purpose_id"), odd(3, F.lit("s7"), name("s", F.col("k") % 4)).alias("study_id"))
+    entry = lambda rows, event, at, recorded: rows.select(F.col("k").alias("receipt_id"), F.lit(event).alias("event"), time(at).alias("occurred_at"), time(recorded).alias("recorded_at"))
+    mark = lambda rows, through, recorded: rows.select(F.col("k").alias("receipt_id"), time(through).alias("complete_through"), time(recorded).alias("recorded_at"))
+    log = entry(c, "granted", "1996-01-01", "1996-01-01").unionAll(entry(c.where("k % 7 = 0"), "ended", "1998-06-01", "1998-06-02")).unionAll(entry(c.where("k % 11 = 0"), "ended", "1996-06-01", "1998-12-01")).unionAll(entry(c.where("k % 17 = 0"), "ended", "1998-09-01", "1998-12-01"))
+    marks = mark(c.where("k % 13 <> 0"), "1998-07-01", "1998-07-02").unionAll(mark(c.where("k % 13 <> 0 AND k % 3 = 0"), "2000-01-01", "2000-01-02")).unionAll(mark(c.where("k % 13 = 0"), "1997-01-01", "1997-01-02"))
+    return requests, grants, receipts, log, marks
+
+
+SCOPES = ("train", "future_research")
+
+
+def l2_receipt_grants(spark: SparkSession, sf: str) -> DataFrame:
+    _, grants, receipts, log, marks = consent_log(spark, sf)
+    return O.receipt_grant_violations(grants, receipts, log, marks, SCOPES)
+
+
+def l3_authorizations(spark: SparkSession, sf: str) -> DataFrame:
+    requests, grants, receipts, log, marks = consent_log(spark, sf)
+    return O.authorizations(requests, grants, receipts, log, marks, SCOPES)
+
+
+def l3_late_entries(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, _, log, marks = consent_log(spark, sf)
+    return O.judged_log(log, marks).where("late").select("receipt_id", "event", "occurred_at")
+
+
+def _state(x: str) -> str:
+    through = "CASE WHEN k % 13 = 0 THEN TIMESTAMP '1997-01-01' WHEN k % 3 = 0 THEN TIMESTAMP '2000-01-01' ELSE TIMESTAMP '1998-07-01' END"
+    return f"CASE WHEN {x} > {through} THEN 'unknown' WHEN (k % 7 = 0 AND {x} >= TIMESTAMP '1998-06-01') OR (k % 17 = 0 AND {x} >= TIMESTAMP '1998-09-01') THEN 'ended' WHEN {x} >= TIMESTAMP '1996-01-01' THEN 'granted' ELSE 'none' END"
+
+
+ORDERS = "o AS (SELECT o_orderkey AS n, o_custkey AS k, o_orderdate::TIMESTAMP AS d, o_orderstatus = 'F' AS train, o_orderkey % 2 = 0 AS future FROM orders)"
+L2B = f"""WITH {ORDERS}, g AS (SELECT *, d + INTERVAL 1 DAY AS x, k % 9 <> 0 AS known FROM o), j AS (SELECT *, {_state("x")} AS state, x >= TIMESTAMP '1996-01-01' AND (k % 4 <> 0 OR x < TIMESTAMP '1999-01-01') AS inside FROM g)
+SELECT 'receipt_missing' AS rule_id, n AS grant_id FROM j WHERE NOT known UNION ALL SELECT r, n FROM (SELECT n, unnest([CASE WHEN n % 50 = 0 THEN 'participant_differs' END, CASE WHEN n % 61 = 0 THEN 'purpose_differs' END, CASE WHEN n % 67 = 0 THEN 'study_differs' END, CASE WHEN n % 71 = 0 THEN 'taxonomy_differs' END, CASE WHEN n % 73 = 0 THEN 'scope_hash_differs' END,
+  CASE WHEN d < TIMESTAMP '1996-01-01' THEN 'issued_early' END, CASE WHEN train AND k % 2 <> 0 THEN 'train_widened' END, CASE WHEN future AND k % 5 <> 0 THEN 'future_research_widened' END, CASE WHEN NOT inside THEN 'captured_outside' END, CASE WHEN state = 'unknown' THEN 'log_incomplete' END, CASE WHEN state IN ('ended', 'none') THEN 'captured_ungranted' END]) AS r FROM j WHERE known) WHERE r IS NOT NULL"""
+L3B = f"""WITH {ORDERS}, g AS (SELECT *, d + INTERVAL 30 DAY AS x FROM o), j AS (SELECT *, {_state("x")} AS state FROM g),
+r AS (SELECT n, CASE WHEN n % 50 = 0 OR k % 9 = 0 THEN 'unknown_grant' WHEN state = 'unknown' THEN 'log_incomplete' WHEN n % 31 = 0 THEN 'other_purpose' WHEN n % 3 = 0 AND NOT (future AND k % 5 = 0) THEN 'other_study' WHEN NOT (train AND k % 2 = 0) THEN 'not_permitted'
+  WHEN x < TIMESTAMP '1996-01-01' OR (k % 4 = 0 AND x >= TIMESTAMP '1999-01-01') THEN 'outside_window' WHEN state <> 'granted' THEN 'not_granted' ELSE 'granted' END AS reason FROM j)
+SELECT n AS request_id, CASE WHEN reason <> 'log_incomplete' THEN reason = 'granted' END AS authorized, reason FROM r"""
+
+
 def l5_withdrawal(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     assets = p.select(F.col("p_partkey").alias("asset_id"), F.col("p_type").alias("kind"), (F.col("p_partkey") < 40).alias("is_root"), (F.col("p_partkey") % 10).alias("participant_id"))
@@ -204,6 +255,6 @@ def l14_binding(spark: SparkSession, sf: str) -> DataFrame:
 L14 = "SELECT 'unbound' AS rule_id, o_orderkey FROM orders WHERE o_orderkey % 37 = 0 UNION ALL SELECT 'facts_differ', o_orderkey FROM orders WHERE o_orderkey % 37 <> 0 AND o_orderkey % 43 = 0 AND o_orderstatus <> 'X'"
 
 QUERIES = {
-    "l1_scopes": (l1_scopes, L1), "l2_grants": (l2_grants, L2), "l3_authorized": (l3_authorized, L3), "l4_closure": (l4_closure, L4), "l4_cycles": (l4_cycles, L4B), "l4_graph_violations": (l4_graph_violations, L4C), "c10_root_violations": (c10_root_violations, C10B), "l5_withdrawal": (l5_withdrawal, L5), "l6_metadata": (l6_metadata, L6), "l7_quarantine": (l7_quarantine, L7), "l8_raw_assets": (l8_raw_assets, L8), "l9_gates": (l9_gates, L9),
+    "l1_scopes": (l1_scopes, L1), "l2_grants": (l2_grants, L2), "l3_authorized": (l3_authorized, L3), "l2_receipt_grants": (l2_receipt_grants, L2B), "l3_authorizations": (l3_authorizations, L3B), "l3_late_entries": (l3_late_entries, "SELECT c_custkey AS receipt_id, 'ended' AS event, TIMESTAMP '1996-06-01' AS occurred_at FROM customer WHERE c_custkey % 11 = 0"), "l4_closure": (l4_closure, L4), "l4_cycles": (l4_cycles, L4B), "l4_graph_violations": (l4_graph_violations, L4C), "c10_root_violations": (c10_root_violations, C10B), "l5_withdrawal": (l5_withdrawal, L5), "l6_metadata": (l6_metadata, L6), "l7_quarantine": (l7_quarantine, L7), "l8_raw_assets": (l8_raw_assets, L8), "l9_gates": (l9_gates, L9),
     "l10_chain": (l10_chain, L10), "l11_counts": (l11_counts, L11), "l12_normalized_attempts": (l12_normalized_attempts, L12), "l13_license": (l13_license, L13), "l14_binding": (l14_binding, L14), "c10_edge_violations": (c10_edge_violations, C10),
 }

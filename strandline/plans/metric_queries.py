@@ -10,6 +10,7 @@ from ..operators import folds as G
 from ..operators import matching as T
 from ..operators import metrics as M
 from ..operators import models as J
+from ..operators import resampling as R
 from ..sources.staging import written
 from .bindings import FRAMES, HOUR, frames, table
 
@@ -237,6 +238,12 @@ dr AS (SELECT id // n AS r, ('0x' || substr(md5('7:' || id // n || ':' || id % n
 v AS (SELECT r, sum(matches) / sum(truths) AS v FROM dr JOIN g ON k = p GROUP BY r) SELECT (SELECT count(*) FROM counts) AS groups, round(quantile_disc(v, 0.025), 6) AS low, round(quantile_disc(v, 0.975), 6) AS high FROM v"""
 
 
+def d13_bootstrap_ratios(spark, sf):
+    """Three ratios of the sessions' counts from one draw."""
+    ratios = {"recall": ("matches", "truths"), "correct": ("correct", "matches"), "duplicates": ("duplicates", "accepted")}
+    return _rounded(R.bootstrap_ratios(d11_replay_counts(spark, sf), "session", ratios, 200, 7), "low", "high")
+
+
 def d14_strata(spark, sf):
     d = scored(spark, sf).withColumn("signer", F.col("vec_id") % 40).withColumn("quality", F.when(F.col("vec_id") % 7 == 0, "warning").otherwise("pass"))
     return M.strata(d, "label", "predicted", "label", "quality", "signer")
@@ -430,7 +437,7 @@ QUERIES = {
     "d10_risk_coverage": (d10_risk_coverage, D10), "f8_model_choice": (f8_model_choice, F8),
     "f6_threshold": (f6_threshold, F6), "f7_temperature": (f7_temperature, F7), "h11_softmax": (h11_softmax, H11), "b11_decisions": (b11_decisions, B11), "b13_probability_violations": (b13_probability_violations, B13), "b8_feature_view": (b8_feature_view, B8), "b9_vectorized": (b9_vectorized, B9),
     "d4_feature_statistics": (d4_feature_statistics, f"WITH {STATS} SELECT * FROM st"), "d5_standardized": (d5_standardized, D5), "d12_nearest_rank": (d12_nearest_rank, D12),
-    "c6_interval_matches": (c6_interval_matches, f"WITH RECURSIVE {MATCHED} SELECT * FROM matches"), "d11_replay_counts": (d11_replay_counts, f"WITH RECURSIVE {COUNTS} SELECT * FROM counts"), "d11_replay_metrics": (d11_replay_metrics, D11B), "c16_ordered_match": (c16_ordered_match, C16), "d13_bootstrap": (d13_bootstrap, D13),
+    "c6_interval_matches": (c6_interval_matches, f"WITH RECURSIVE {MATCHED} SELECT * FROM matches"), "d11_replay_counts": (d11_replay_counts, f"WITH RECURSIVE {COUNTS} SELECT * FROM counts"), "d11_replay_metrics": (d11_replay_metrics, D11B), "c16_ordered_match": (c16_ordered_match, C16), "d13_bootstrap": (d13_bootstrap, D13), "d13_bootstrap_ratios": (d13_bootstrap_ratios, None),
     "d14_strata": (d14_strata, D14), "d15_exclusions": (d15_exclusions, D15), "d17_fold_summary": (d17_fold_summary, f"WITH {FOLDS} SELECT condition, fold, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy FROM summary"), "d18_condition_compare": (d18_condition_compare, D18),
     "d22_throughput": (d22_throughput, D22), "d23_centroids": (d23_centroids, D23), "d23_centroid_scores": (d23_centroid_scores, D23B), "c15_compared_runs": (c15_compared_runs, C15), "m4_group_folds": (m4_group_folds, None), "m4_fold_checks": (m4_fold_checks, M4), "m4_fold_digest": (m4_fold_digest, "SELECT 2 AS runs, count(DISTINCT o_custkey) AS customers FROM orders"), "m5_baselines": (m5_baselines, M5), "m5_logistic": (m5_logistic, None),
     "m7_calibration": (m7_calibration, None), "m8_ablation": (m8_ablation, None), "j1_mapped_sequences": (j1_mapped_sequences, J1), "j2_authorized": (j2_authorized, J2), "j3_scored": (j3_scored, J3),

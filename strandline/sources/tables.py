@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import content_path
+from ..operators.digests import multiset_digest, row_text
 
 POINT = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("z", T.DoubleType()), T.StructField("visibility", T.DoubleType()), T.StructField("presence", T.DoubleType())]))
 HAND = T.StructType([T.StructField("slot_id", T.StringType()), T.StructField("present", T.BooleanType()), T.StructField("tracking_id", T.StringType()), T.StructField("detector_index", T.ShortType()), T.StructField("handedness", T.StringType()), T.StructField("handedness_confidence", T.DoubleType()), T.StructField("image_landmarks", POINT), T.StructField("world_landmarks", POINT)])
@@ -38,11 +39,44 @@ def _check(found: T.StructType, pinned: T.StructType, name: str) -> None:
         raise SchemaDrift(f"{name}: {odd[:6] or 'column order'}")
 
 
-def scan_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One of the pinned tables; SchemaDrift if its columns, their order or types differ."""
+class ContentDrift(ValueError):
+    """A table's rows aren't those that its manifest tells of, or a value is missing where none may be."""
+
+
+def table_manifest(df: DataFrame) -> dict:
+    """{rows, digest} of a table's content, the same in any order and partitioning; source_file, which scan_frames adds, aside."""
+    found = multiset_digest(df, row_text([c for c in df.columns if c != "source_file"])).first()
+    return {"rows": found["rows"], "digest": found["digest"]}
+
+
+def check_content(df: DataFrame, name: str, manifest: dict | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """df, if no required column has a null and, with a manifest, rows and digest are the manifest's; else ContentDrift. One pass, no sort.
+
+    Required columns may be fields of structs, by their path.
+    """
+    if required:
+        missing = df.agg(*(F.count_if(F.col(c).isNull()).alias(f"n{k}") for k, c in enumerate(required))).first()
+        if odd := [c for k, c in enumerate(required) if missing[f"n{k}"]]:
+            raise ContentDrift(f"{name}: nulls in {odd}")
+    if manifest is not None and (found := table_manifest(df)) != {k: manifest[k] for k in ("rows", "digest")}:
+        raise ContentDrift(f"{name}: {found['rows']} rows for {manifest['rows']}" if found["rows"] != manifest["rows"] else f"{name}: values differ")
+    return df
+
+
+#: What may not be null, besides the key: identities, bounds and digests.
+REQUIRED = {
+    "participants": ("participant_id", "handedness"), "sessions": ("session_id", "participant_id", "device_id", "started_at", "finished_at"), "recordings": ("recording_id", "participant_id", "session_id", "duration_us", "media.sha256"),
+    "clips": ("clip_id", "source_recording_id", "interval.start_us", "interval.end_us"), "annotations": ("annotation_id", "clip_id", "disposition", "eligible_for_training"), "derived_artifacts": ("derived_artifact_id", "parent_artifact_ids", "artifact.sha256"),
+    "frames": ("source_recording_id", "frame_index", "relative_timestamp_us", "invalid", "hands", "body_anchors"),
+}
+
+
+def scan_table(spark: SparkSession, path: str, name: str, manifest: dict | None = None) -> DataFrame:
+    """One of the pinned tables; SchemaDrift if its columns, their order or types differ. With the manifest of what was written, also ContentDrift for changed, lost or added rows and nulls where none may be."""
     pinned = T.StructType.fromDDL(SCHEMAS[name])
     _check(spark.read.parquet(path).schema, pinned, name)
-    return spark.read.schema(pinned).parquet(path)
+    found = spark.read.schema(pinned).parquet(path)
+    return check_content(found, name, manifest, REQUIRED[name]) if manifest is not None else found
 
 
 def write_table(df: DataFrame, path: str, key: str, rows_per_group: int = 65_536) -> None:
@@ -54,10 +88,11 @@ def write_table(df: DataFrame, path: str, key: str, rows_per_group: int = 65_536
     checked.repartitionByRange(key).sortWithinPartitions(key).write.option("parquet.block.row.count.limit", rows_per_group).mode("errorifexists").parquet(path)
 
 
-def scan_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frame sequences of all recordings under a folder, with source_file; SchemaDrift for other columns."""
+def scan_frames(spark: SparkSession, path: str, manifest: dict | None = None) -> DataFrame:
+    """Frame sequences of all recordings under a folder, with source_file; SchemaDrift for other columns, and with a manifest ContentDrift as in scan_table."""
     _check(spark.read.parquet(path).schema, FRAME, "frames")
-    return spark.read.schema(FRAME).parquet(path).withColumn("source_file", F.col("_metadata.file_path"))
+    found = spark.read.schema(FRAME).parquet(path).withColumn("source_file", F.col("_metadata.file_path"))
+    return check_content(found, "frames", manifest, REQUIRED["frames"]) if manifest is not None else found
 
 
 def write_frames(df: DataFrame, path: str, interchange: bool = False, points: int = 21) -> None:
