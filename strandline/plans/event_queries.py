@@ -9,6 +9,7 @@ from ..operators import events as E
 from ..operators import quality as Q
 from ..sources.staging import new_path, written
 from ..streaming import live as L
+from ..streaming.ledger import write_ledger
 from ..streaming.buffers import events_with_frames_stream, list_state
 from .bindings import FRAMES, HOUR, frames, point, table
 from .detector_sql import detector_sql
@@ -193,6 +194,25 @@ def i7_streamed_ledger(spark: SparkSession, sf: str) -> DataFrame:
 I7B = "SELECT event_id, event_type AS content, user_id || '/' || event_id AS source FROM events"
 
 
+def i7_keyed_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as attempts in two batches; then, in one, some of them again, some with another content, some keys with another's source. The ledger's rows and how often each status came."""
+    rows = table(spark, sf, "events").select("event_id", F.col("event_type").alias("content"), F.concat_ws("/", "user_id", "event_id").alias("source"))
+    again = rows.where("event_id % 10 = 4")
+    changed = rows.where("event_id % 10 = 5").withColumn("content", F.lit("changed"))
+    taken = rows.where("event_id % 10 = 6").withColumn("event_id", F.col("event_id") + 10_000_000_000)
+    source, ledger, marks = (new_path(spark, f"keyed-{x}") for x in ("in", "rows", "marks"))
+    for part in (*(rows.where(F.pmod("event_id", F.lit(2)) == k) for k in range(2)), again.unionAll(changed).unionAll(taken)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        with list_state(spark):
+            write_ledger(stream, ledger, marks, "event_id", "content", "source").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(ledger).select("event_id", "content", "source", F.col("status").cast("string").alias("status"))
+
+
+I7C = """WITH e AS (SELECT event_id, event_type AS content, user_id || '/' || event_id AS source FROM events) SELECT *, 'new' AS status FROM e UNION ALL SELECT *, 'unchanged' FROM e WHERE event_id % 10 = 4
+UNION ALL SELECT event_id, 'changed', source, 'conflict' FROM e WHERE event_id % 10 = 5 UNION ALL SELECT event_id + 10000000000, content, source, 'conflict' FROM e WHERE event_id % 10 = 6"""
+
+
 def i8_packages(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit("x"))).when(F.col("event_id") % 11 == 0, F.lit('{"z": 1}')).when(F.col("event_id") % 13 == 0, F.lit("{}")).otherwise(F.col("props"))
     return L.intake_packages(table(spark, sf, "events").select("event_id", broken.alias("payload")), ("k",)).select("event_id", "digest", "status", "eligible_for_training")
@@ -210,5 +230,5 @@ def _b7_sql() -> str:
 
 QUERIES = {
     "i1_stream_observations": (i1_stream_observations, _b7_sql()), "i2_events": (i2_events, I2), "i2_stream_events": (i2_stream_events, I2B), "i3_stream_end": (i3_stream_end, I2), "i6_stream_frames": (i6_stream_frames, I6B), "i6_detected_frames": (i6_detected_frames, I6B.replace("e.*", "e.* EXCLUDE (first_index, last_index)")), "i4_late_rows": (i4_late_rows, I4), "i5_tracked": (i5_tracked, None), "i6_events_with_frames": (i6_events_with_frames, I6),
-    "i7_attempt_status": (i7_attempt_status, I7), "i7_streamed_ledger": (i7_streamed_ledger, I7B), "i8_packages": (i8_packages, I8), "i9_quality_windows": (i9_quality_windows, I9), "i9_streamed_windows": (i9_streamed_windows, I9), "i9_session_windows": (i9_session_windows, I9B), "i9_sliding_windows": (i9_sliding_windows, I9C), "i2_event_reasons": (e10_batch_motion, f"WITH RECURSIVE {detector_sql(LIMITS)} SELECT reason, count(*) AS events, sum(last_index - first_index + 1)::BIGINT AS frames FROM found GROUP BY 1"),
+    "i7_attempt_status": (i7_attempt_status, I7), "i7_streamed_ledger": (i7_streamed_ledger, I7B), "i7_keyed_ledger": (i7_keyed_ledger, I7C), "i8_packages": (i8_packages, I8), "i9_quality_windows": (i9_quality_windows, I9), "i9_streamed_windows": (i9_streamed_windows, I9), "i9_session_windows": (i9_session_windows, I9B), "i9_sliding_windows": (i9_sliding_windows, I9C), "i2_event_reasons": (e10_batch_motion, f"WITH RECURSIVE {detector_sql(LIMITS)} SELECT reason, count(*) AS events, sum(last_index - first_index + 1)::BIGINT AS frames FROM found GROUP BY 1"),
 }

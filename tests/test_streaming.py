@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from strandline.operators import events as E
 from strandline.sources.staging import new_path
 from strandline.streaming import buffers as B
+from strandline.streaming import ledger as L
 
 EPOCH = datetime(2020, 1, 1)
 SCHEMA = "rec bigint, i bigint, t bigint, hand_present boolean, quality_ok boolean, motion_q bigint, at timestamp"
@@ -98,3 +99,29 @@ def test_stream_equals_batch(spark, parts):
     pick = lambda df, i, m, t: sorted(tuple(r) for r in df.select("rec", "first_t", "last_t", "reason", t, i, m).collect())
     assert pick(got, "frame_i", "frame_motion_q", "frame_t") == pick(want, "i", "motion_q", "t")
     assert "RocksDB" not in spark.conf.get(B._PROVIDER)
+
+
+def ledger_batches(spark, batches):
+    """Statuses by batch, and the progress of each."""
+    schema = "k bigint, c string, s string"
+    source, ledger, marks = (new_path(spark, x) for x in ("in", "ledger", "marks"))
+    progress = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        with B.list_state(spark):
+            q = L.write_ledger(spark.readStream.schema(schema).parquet(source), ledger, marks, "k", "c", "s").trigger(availableNow=True).start()
+            q.awaitTermination()
+        progress += [p for p in q.recentProgress if p["numInputRows"]]
+    return sorted(tuple(r) for r in spark.read.parquet(ledger).select("k", "c", "s", F.col("status").cast("string")).collect()), progress
+
+
+def test_ledger_reads_its_batch_only(spark):
+    size = 50
+    batches = [[(size * b + k, "c", f"s{size * b + k}") for k in range(size)] for b in range(3)] + [[(3, "c", "s3"), (4, "other", "s4"), (999, "c", "s5"), (1000, "b", "new"), (1000, "a", "new"), (1001, "a", "new")]]
+    got, progress = ledger_batches(spark, batches)
+    want = [(*r, "new") for b in batches[:3] for r in b] + [(3, "c", "s3", "unchanged"), (4, "other", "s4", "conflict"), (999, "c", "s5", "conflict"), (1000, "a", "new", "new"), (1000, "b", "new", "conflict"), (1001, "a", "new", "conflict")]
+    assert got == sorted(want)
+    assert [p["numInputRows"] for p in progress] == [size] * 3 + [6]
+    touched = [sum(o["numRowsUpdated"] for o in p["stateOperators"]) for p in progress]
+    assert touched[0] == touched[1] == touched[2] and touched[3] < touched[0]  # state grows, what a batch changes doesn't
+    assert all(len(p["sources"]) == 1 for p in progress)
