@@ -10,7 +10,9 @@ import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +155,7 @@ def finish(s: State, c: Limits) -> tuple | None:
 
 def run(rows: pd.DataFrame, state: State, limits: Limits) -> Iterator[tuple]:
     """Events of observations (t, hand_present, quality_ok, motion_q) in order of time; the state is carried on."""
-    for t, hand, ok, motion in rows.sort_values("t")[["t", "hand_present", "quality_ok", "motion_q"]].itertuples(index=False):
+    for t, hand, ok, motion in rows[["t", "hand_present", "quality_ok", "motion_q"]].itertuples(index=False):
         if (event := step(state, limits, int(t), bool(hand), bool(ok), int(motion))) is not None:
             yield event
 
@@ -186,61 +188,71 @@ def events_with_frames(events: DataFrame, frames: DataFrame, entity: str = "rec"
 class Tracking:
     """Largest spatial cost of a continued identity, what a changed label costs, and how close costs are told apart no more."""
 
-    most_cost: float = 0.35
+    most_cost: float = 0.25
     label_cost: float = 0.1
     margin: float = 0.02
 
 
-def assign_slots(previous: list, found: list[dict], rule: Tracking) -> list:
-    """Slot of each detection (dicts with x, y, label): continued where every nearly best assignment agrees, else by place.
-
-    previous holds the last detection of each of two slots, or None, and is updated. With no history detections are
-    placed by (x, y, label).
+class Slots:
+    """The last detection of each of two slots: a place (coordinates of wrist and palm) and a label."""
+
+    def __init__(self, rule: Tracking):
+        self.rule, self.place, self.label = rule, [None, None], [None, None]
+
+    def costs(self, places: np.ndarray, labels: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots x detections: the squared distance of all coordinates, and that with what a changed label costs; infinite for empty slots."""
+        space = np.full((2, len(places)), np.inf)
+        for s in (0, 1):
+            if self.place[s] is not None:
+                space[s] = ((places - self.place[s]) ** 2).sum(axis=1)
+        changed = [[bool(a and b and a != b) for b in labels] for a in self.label]
+        return space, space + self.rule.label_cost * np.array(changed, float).reshape(space.shape)
+
+    def assign(self, places: np.ndarray, labels: list[str | None], order: list[int]) -> list[int]:
+        """The slot of each of at most two detections: that of its identity where every nearly best assignment agrees, else by place.
+
+        order ranks the detections by place, label and number. What no identity claims goes where the fewest identities are overwritten, then
+        at the least cost, then in that order.
+        """
+        n = len(places)
+        if not n:
+            return []
+        space, total = self.costs(places, labels)
+        live = [s for s in (0, 1) if self.place[s] is not None]
+        single = [(s, d) for s in live for d in range(n) if space[s, d] <= self.rule.most_cost]
+        pairs = [(a, b) for a in single for b in single if a[0] < b[0] and a[1] != b[1]]
+        ways = pairs or [(x,) for x in single] or [()]
+        price = [sum(total[x] for x in w) for w in ways]
+        agreed = set.intersection(*(set(w) for w, p in zip(ways, price, strict=True) if p <= min(price) + self.rule.margin))
+        slots = {d: s for s, d in agreed}
+        rest = sorted((d for d in range(n) if d not in slots), key=order.__getitem__)
+        free = [s for s in (0, 1) if s not in slots.values()]
+        if rest:
+            fills = [list(zip(rest, w)) for w in ([(s,) for s in free] if len(rest) == 1 else [free, free[::-1]])]
+            worth = lambda w: (sum(self.place[s] is not None for _, s in w), sum(total[s, d] for d, s in w if self.place[s] is not None), sorted((s, order[d]) for d, s in w))
+            slots |= dict(min(fills, key=worth) if live else fills[0])
+        for d, s in slots.items():
+            self.place[s], self.label[s] = places[d], labels[d]
+        return [slots[d] for d in range(n)]
+
+
+def track_identities(detections: DataFrame, rule: Tracking = Tracking(), entity: str = "rec", order: str = "i", at: tuple[str, ...] = ("x", "y", "z", "palm_x", "palm_y", "palm_z")) -> DataFrame:
+    """Adds slot (0 or 1) to detections (entity, order, k, label and coordinates of wrist and palm), two at most per frame; frames without any keep identities.
+
+    One loop over the frames of a sequence's sorted arrays; a sequence has to fit a task. More than two detections in a frame raise.
     """
-    if not found:
-        return []
-    key = lambda d: (d["x"], d["y"], d["label"] or "", d["k"])
-    live = [s for s in (0, 1) if previous[s] is not None]
-    slots: dict[int, int] = {}
-    if live:
-        def cost(s: int, d: dict) -> tuple[float, float]:
-            p = previous[s]
-            space = ((p["x"] - d["x"]) ** 2 + (p["y"] - d["y"]) ** 2) ** 0.5
-            return space, space + (rule.label_cost if p["label"] and d["label"] and p["label"] != d["label"] else 0.0)
-
-        table = {(s, k): cost(s, d) for s in live for k, d in enumerate(found)}
-        options = [()] + [((s, k),) for (s, k), (space, _) in table.items() if space <= rule.most_cost]
-        options += [(a[0], b[0]) for a in options[1:] for b in options[1:] if a[0][0] < b[0][0] and a[0][1] != b[0][1]]
-        most = max(map(len, options))
-        full = sorted((sum(table[p][1] for p in o), [(s, key(found[k])) for s, k in o], o) for o in options if len(o) == most)
-        near = [set(o) for total, _, o in full if total <= full[0][0] + rule.margin]
-        slots = {k: s for s, k in set.intersection(*near)}
-    rest = sorted((k for k in range(len(found)) if k not in slots), key=lambda k: key(found[k]))
-    free = [s for s in (0, 1) if s not in slots.values()]
-    if live and rest:
-        # fewest identities overwritten, then least cost, then place
-        ways = [tuple(zip(rest, w, strict=True)) for w in ([(a,) for a in free] if len(rest) == 1 else [(free[0], free[1]), (free[1], free[0])])]
-        rest_way = min(ways, key=lambda way: (sum(previous[s] is not None for _, s in way), sum(cost(s, found[k])[1] for k, s in way if previous[s] is not None), sorted((s, key(found[k])) for k, s in way)))
-        slots |= dict(rest_way)
-    else:
-        slots |= dict(zip(rest, free, strict=False))
-    for k, s in slots.items():
-        previous[s] = found[k]
-    return [slots[k] for k in range(len(found))]
-
-
-def track_identities(detections: DataFrame, rule: Tracking = Tracking(), entity: str = "rec", order: str = "i") -> DataFrame:
-    """Adds slot (0 or 1) to detections (entity, order, k, x, y, label), two at most per frame; frames without any keep identities."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.schema)
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([order, "k"], ignore_index=True)
-        previous: list = [None, None]
-        slots: list[int] = []
-        for _, frame in rows.groupby(order, sort=True):
-            if len(frame) > 2:
-                raise ValueError("more than two detections in a frame")
-            slots += assign_slots(previous, frame[["x", "y", "label", "k"]].to_dict("records"), rule)
-        return rows.assign(slot=slots)
-
-    return detections.groupBy(entity).applyInPandas(whole, f"{fields}, slot int")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema)
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(order, "ascending"), *((c, "ascending") for c in at), ("label", "ascending"), ("k", "ascending")])
+        frame = table[order].to_numpy()
+        places, labels = np.stack([table[c].to_numpy() for c in at], axis=1), table["label"].to_pylist()
+        edges = [*np.flatnonzero(np.diff(frame, prepend=frame[0] - 1)).tolist(), len(frame)]
+        if max(np.diff(edges), default=0) > 2:
+            raise ValueError("more than two detections in a frame")
+        slots, held = [], Slots(rule)
+        for a, b in zip(edges, edges[1:]):
+            slots += held.assign(places[a:b], labels[a:b], list(range(b - a)))
+        return table.append_column("slot", pa.array(slots, pa.int32()))
+
+    return detections.groupBy(entity).applyInArrow(whole, f"{fields}, slot int")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou_ppm
+from ..sources.staging import written
 
 
 def candidate_pairs(truths: DataFrame, decisions: DataFrame, session: str, least_iou_ppm: int, bin_us: int | None = None) -> DataFrame:
@@ -26,19 +27,20 @@ def candidate_pairs(truths: DataFrame, decisions: DataFrame, session: str, least
     return scored.select(F.col("s").alias(session), "truth_id", "t_start", "t_end", "decision_id", "d_start", "d_end", "iou")
 
 
-def match_intervals(truths: DataFrame, decisions: DataFrame, session: str = "session", least_iou_ppm: int = 200_000, bin_us: int | None = None, calls: int = 256) -> DataFrame:
+def match_intervals(truths: DataFrame, decisions: DataFrame, session: str = "session", least_iou_ppm: int = 200_000, bin_us: int | None = None, most_edges: int = 20_000, least_calls: int = 64) -> DataFrame:
     """One-to-one (session, truth_id, decision_id, iou): in time order each truth takes the free decision of the largest overlap (ties: earliest, then id).
 
     Only candidate edges are grouped, in runs of a session: edges whose truths and decisions touch no others in time, so a session of any
-    length is cut where nothing overlaps. Many runs share a call; one run is a cluster of overlapping intervals.
+    length is cut where nothing overlaps. Runs are dealt to calls of about most_edges edges; one run is a cluster of overlapping intervals.
     """
     edges = candidate_pairs(truths, decisions, session, least_iou_ppm, bin_us)
     spans = edges.withColumn("_lo", F.least("t_start", "d_start")).withColumn("_hi", F.greatest("t_end", "d_end"))
     w = Window.partitionBy(session).orderBy("_lo", "_hi", "truth_id", "decision_id")
     opens = F.col("_lo") >= F.coalesce(F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_lo"))
     run = F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("_run", run).withColumn("_call", F.pmod(F.xxhash64(session, "_run"), F.lit(calls)))
-    marked = marked.select(session, "truth_id", "decision_id", "iou", "t_start", "d_start", "_run", "_call")
+    found = written(spans.withColumn("_run", run).select(session, "truth_id", "decision_id", "iou", "t_start", "d_start", "_run"), "match-edges")
+    calls = max(least_calls, -(-found.count() // most_edges))
+    marked = found.withColumn("_call", F.pmod(F.xxhash64(session, "_run"), F.lit(calls)))
 
     def greedy(table: pa.Table) -> pa.Table:
         table = table.sort_by([(session, "ascending"), ("_run", "ascending"), ("t_start", "ascending"), ("truth_id", "ascending"), ("iou", "descending"), ("d_start", "ascending"), ("decision_id", "ascending")])

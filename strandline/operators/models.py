@@ -94,7 +94,8 @@ def validation_scores(predictions: dict[float, DataFrame], label: str, labels: l
 def fit_logistic_grid(train: DataFrame, validation: DataFrame, vector: str, label: str, labels: list, grid: tuple[float, ...] = (0.1, 1.0, 10.0), iterations: int = 100):
     """(model, scores): a fit for each c, scored by macro F1 on validation rows; the model is that of choose_model."""
     models = {c: fit_logistic(train, vector, label, c, iterations) for c in grid}
-    scores = validation_scores({c: M.top(predict_logistic(m, validation, vector)) for c, m in models.items()}, label, labels).persist()
+    scores = validation_scores({c: M.top(predict_logistic(m, validation, vector)) for c, m in models.items()}, label, labels)
+    scores = train.sparkSession.createDataFrame(scores.collect(), scores.schema)  # a row for each c
     return models[choose_model(scores).first()["c"]], scores
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio_ppm, round_half_up
+from ..functions.scalars import div, ratio_ppm
 from .checks import violations
 from .sequences import GapPolicy, Hand, Sequence, decided_gaps, with_jumps, with_speed, with_swaps
 
@@ -157,20 +157,25 @@ def frame_violations(frames: DataFrame, signals: dict[str, Column], count: str,
     return violations(frames, rules, seq.entity, seq.order)
 
 
+def palm_quantized(coordinates: list[Column]) -> Column:
+    """A palm's coordinate in millionths: the mean of its points' coordinates, ties to even."""
+    return F.bround(sum(coordinates[1:], coordinates[0]) * 1_000_000 / len(coordinates)).cast("bigint")
+
+
 def project_observations(frames: DataFrame, slots: dict[str, tuple[Column, Column, Column]], invalid: str = "invalid", seq: Sequence = Sequence()) -> DataFrame:
     """Frames as observations (t, hand_present, quality_ok, motion_q) of the event detector.
 
-    motion_q is the largest L1 displacement of a slot since the last valid frame, in millionths a second, halves up; a slot
-    counts only if that frame had it too. slots: presence, x and y. Invalid frames move nothing and are skipped over.
+    motion_q is the largest L1 displacement of a slot's palm since the last valid frame, in millionths a second, halves up, all in integers; a slot
+    counts only if that frame had it too. slots: presence and the palm's x and y in millionths. Invalid frames move nothing and are skipped over.
     """
-    w = seq.window()
-    valid = frames.where(~F.col(invalid))
-    seconds = (F.col(seq.t) - F.lag(seq.t).over(w)) / 1e6
-    speeds = []
-    for present, x, y in slots.values():
-        l1 = F.abs(x - F.lag(x).over(w)) + F.abs(y - F.lag(y).over(w))
-        speeds.append(F.coalesce(F.when(present & F.lag(present).over(w) & (seconds > 0), round_half_up(l1 * 1e6 / seconds)), F.lit(0).cast("bigint")))
-    moved = valid.select(seq.entity, seq.order, (F.greatest(*speeds) if len(speeds) > 1 else speeds[0]).alias("motion_q"))
+    parts = {f"{c}{k}": v for k, slot in enumerate(slots.values()) for c, v in zip("pxy", slot, strict=True)}
+    now = F.when(~F.col(invalid), F.struct(F.col(seq.t).alias("t"), *(v.alias(c) for c, v in parts.items())))
+    met = frames.withColumn("_now", now).withColumn("_old", F.last("_now", ignorenulls=True).over(seq.window().rowsBetween(Window.unboundedPreceding, -1)))
+    elapsed = F.col("_now.t") - F.col("_old.t")
+    speeds = [F.lit(0).cast("bigint")]
+    for k in range(len(slots)):
+        far = F.abs(F.col(f"_now.x{k}") - F.col(f"_old.x{k}")) + F.abs(F.col(f"_now.y{k}") - F.col(f"_old.y{k}"))
+        speeds.append(F.when(F.col(f"_now.p{k}") & F.col(f"_old.p{k}") & (elapsed > 0), div(far * 1_000_000 + div(elapsed, F.lit(2)), elapsed)))
     any_hand = _hands({k: v[0] for k, v in slots.items()}) > 0
-    seen = frames.select(seq.entity, seq.order, seq.t, (~F.col(invalid) & any_hand).alias("hand_present"), (~F.col(invalid)).alias("quality_ok"))
-    return seen.join(moved, [seq.entity, seq.order], "left").select(seq.entity, seq.order, seq.t, "hand_present", "quality_ok", F.coalesce("motion_q", F.lit(0).cast("bigint")).alias("motion_q"))
+    valid = ~F.col(invalid)
+    return met.select(seq.entity, seq.order, seq.t, (valid & any_hand).alias("hand_present"), valid.alias("quality_ok"), F.greatest(*speeds).alias("motion_q"))

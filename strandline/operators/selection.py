@@ -53,7 +53,7 @@ def fair_quota(df: DataFrame, usable: Column, target: int, cap: int, signer: str
 
     A group's own stop is where its running count of new usable signers reaches the target; a global turn number, the
     rank of (attempt, group) among the attempts needed, gives the cap. Adds attempt, turn and accepted. Only attempts
-    within cap of their group are ranked globally, so that ranking sees groups * cap rows at most.
+    within cap of their group are looked at, and the first cap of them all are numbered.
     """
     w = Window.partitionBy(*group).orderBy(*order)
     tried = df.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= cap).withColumn("_ok", F.coalesce(usable, F.lit(False)))
@@ -61,8 +61,8 @@ def fair_quota(df: DataFrame, usable: Column, target: int, cap: int, signer: str
     marked = tried.withColumn("accepted", F.col("_ok") & new)
     before = F.coalesce(F.sum(F.col("accepted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     needed = marked.withColumn("_before", before).where(F.col("_before") < target)
-    turn = F.row_number().over(Window.orderBy("attempt", *group))
-    return needed.withColumn("turn", turn).where(F.col("turn") <= cap).drop("_ok", "_before")
+    first = needed.orderBy("attempt", *group).limit(cap)  # each task keeps its first rows, and only cap rows are numbered
+    return first.withColumn("turn", F.row_number().over(Window.orderBy("attempt", *group))).drop("_ok", "_before")
 
 
 def transition_pairs(df: DataFrame, signer: str, label: str, key: str, most: int) -> DataFrame:
@@ -70,4 +70,4 @@ def transition_pairs(df: DataFrame, signer: str, label: str, key: str, most: int
     w = Window.partitionBy(signer).orderBy(key)
     marked = df.withColumn("_first", F.first(key).over(w)).withColumn("_label", F.first(label).over(w))
     pairs = marked.where(F.col(label) != F.col("_label")).groupBy(signer).agg(F.first("_first").alias("first"), F.min(key).alias("other"))
-    return pairs.withColumn("_k", F.row_number().over(Window.orderBy(signer))).where(F.col("_k") <= most).drop("_k")
+    return pairs.orderBy(signer).limit(most)

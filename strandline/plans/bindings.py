@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.quality import palm_quantized
 from ..operators.sequences import GapPolicy, Hand
 
 HOUR = 3_600_000_000
@@ -60,6 +61,15 @@ def point_sql(k: int = 0, axis: int = 0, event_id: str = "event_id") -> str:
     return f"(({event_id} * {7 + axis} + {13 * k + 5 * axis}) % 1000 / 1000.0)::DOUBLE"
 
 
+def palm_q(base: int, axis: int = 0):
+    """Coordinate of a hand's palm, the mean of its points 0, 5, 9 and 17, in millionths."""
+    return palm_quantized([point(k=base + k, axis=axis) for k in (0, 5, 9, 17)])
+
+
+def palm_q_sql(base: int, axis: int = 0) -> str:
+    return f"round_even(({' + '.join(point_sql(base + k, axis) for k in (0, 5, 9, 17))}) * 1000000 / 4, 0)::BIGINT"
+
+
 def hands() -> dict[str, Hand]:
     """Both hand slots in three dimensions; the parity of event_id says which is the left one."""
     at = lambda k: tuple(point(k=k, axis=x) for x in (0, 1, 2))

@@ -11,7 +11,7 @@ from ..sources.staging import new_path, written
 from ..streaming import live as L
 from ..streaming.ledger import write_ledger
 from ..streaming.buffers import events_with_frames_stream, list_state
-from .bindings import FRAMES, HOUR, frames, point, table
+from .bindings import FRAMES, HOUR, frames, palm_q, point, table
 from .detector_sql import detector_sql
 
 #: Hours for the sparse test events where the defaults have milliseconds; motion is a value in millionths.
@@ -98,7 +98,7 @@ UNION ALL SELECT rec, t FROM (SELECT rec, t, row_number() OVER (PARTITION BY rec
 
 def i1_stream_observations(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf).withColumn("t", F.expr("t div 1000000"))
-    f = f.select("rec", "i", "t", "invalid", F.col("h0").alias("p0"), point(k=0).alias("x0"), point(k=0, axis=1).alias("y0"), F.col("h1").alias("p1"), point(k=30).alias("x1"), point(k=30, axis=1).alias("y1"), F.timestamp_micros("us").alias("at"))
+    f = f.select("rec", "i", "t", "invalid", F.col("h0").alias("p0"), palm_q(0).alias("x0"), palm_q(0, 1).alias("y0"), F.col("h1").alias("p1"), palm_q(30).alias("x1"), palm_q(30, 1).alias("y1"), F.timestamp_micros("us").alias("at"))
     return _streamed(f, L.project_observations_stream, "observations").drop("at")
 
 
@@ -159,9 +159,10 @@ I6 = f"WITH {FRAMES} SELECT f.rec, f.i, e.event_id::VARCHAR AS event FROM frames
 
 def i5_tracked(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
-    two = F.array(F.struct(F.lit(0).alias("k"), point(k=0).alias("x"), point(k=0, axis=1).alias("y"), F.col("h0").alias("p")), F.struct(F.lit(1).alias("k"), point(k=50).alias("x"), point(k=50, axis=1).alias("y"), F.col("h1").alias("p")))
-    d = f.select("rec", "i", F.explode(two).alias("d"), F.when(F.col("event_id") % 3 == 0, "left").otherwise("right").alias("label")).where("d.p").select("rec", "i", "d.k", "d.x", "d.y", "label")
-    return E.track_identities(d)
+    mean = lambda base, axis: sum((point(k=base + k, axis=axis) for k in (5, 9, 13, 17)), point(k=base, axis=axis)) / 5
+    hand = lambda k, base: F.struct(F.lit(k).alias("k"), *(point(k=base, axis=a).alias(c) for a, c in enumerate("xyz")), *(mean(base, a).alias(f"palm_{c}") for a, c in enumerate("xyz")), F.col(f"h{k}").alias("p"))
+    d = f.select("rec", "i", F.explode(F.array(hand(0, 0), hand(1, 50))).alias("d"), F.when(F.col("event_id") % 3 == 0, "left").otherwise("right").alias("label"))
+    return E.track_identities(d.where("d.p").select("rec", "i", "label", "d.*").drop("p"), E.Tracking(most_cost=1.0)).select("rec", "i", "k", "x", "y", "label", "slot")
 
 
 def e10_batch_motion(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,7 +226,7 @@ FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN props || 'x' WHEN event_i
 def _b7_sql() -> str:
     from .sequence_queries import B7
 
-    return B7.replace("CAST(trunc(t / 1000000) AS BIGINT)", "t // 1000000")
+    return B7
 
 
 QUERIES = {

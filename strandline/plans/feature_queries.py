@@ -159,15 +159,15 @@ SELECT rec, i, round((x - 0.5::DOUBLE) / 0.4::DOUBLE, 6) AS x, round((y - 0.5::D
 
 def m6_transition_fragments(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    s = e.select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: S.quantize(x.cast("double"))).alias("v"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: k >= 16 - F.col("vec_id") % 5).alias("padded"))
+    s = e.select("vec_id", F.transform("embedding", lambda x: S.quantize(x.cast("double"))).alias("v"), F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda k: k >= F.size("embedding") - F.col("vec_id") % 5).alias("padded"))
     pairs = P.transition_pairs(e.withColumn("signer", F.col("vec_id") % 40), "signer", "label", "vec_id", 30)
-    return X.transition_fragments(s, pairs, "vec_id", "v", "padded", 16, F.lit(0).cast("bigint")).select("first", "other", "label", F.posexplode("v").alias("k", "v"))
+    return X.transition_fragments(s, pairs, "vec_id", "v", "padded", 64, F.lit(0).cast("bigint")).select("first", "other", "label", F.posexplode("v").alias("k", "v"))
 
 
-M6 = """WITH s AS (SELECT vec_id, vec_id % 40 AS signer, label, list_transform(embedding[1:16 - vec_id % 5], lambda x: floor(x::DOUBLE * 1000000 + 0.5)::BIGINT) AS v FROM embeddings),
+M6 = """WITH s AS (SELECT vec_id, vec_id % 40 AS signer, label, list_transform(embedding[1:len(embedding) - vec_id % 5], lambda x: floor(x::DOUBLE * 1000000 + 0.5)::BIGINT) AS v FROM embeddings),
 f AS (SELECT *, first_value(vec_id) OVER w AS first, first_value(label) OVER w AS l FROM s WINDOW w AS (PARTITION BY signer ORDER BY vec_id)), p AS (SELECT signer, any_value(first) AS first, min(vec_id) AS other FROM f WHERE label <> l GROUP BY 1 ORDER BY 1 LIMIT 30),
 j AS (SELECT p.first, p.other, list_concat(a.v[len(a.v) // 2 + 1:], b.v[1:len(b.v) // 2]) AS v FROM p JOIN s a ON a.vec_id = p.first JOIN s b ON b.vec_id = p.other)
-SELECT first, other, 'other' AS label, k::INTEGER AS k, coalesce(v[k + 1], 0) AS v FROM j, range(16) x(k)"""
+SELECT first, other, 'other' AS label, k::INTEGER AS k, coalesce(v[k + 1], 0) AS v FROM j, range(64) x(k)"""
 
 
 def m9_corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -353,7 +353,7 @@ def j4_sql_time_grid(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.sql import register_time_grid
 
     register_time_grid(spark)
-    span = frames(spark, sf).groupBy("rec").agg((F.max("t") % 2_000_000).alias("span"))
+    span = frames(spark, sf).groupBy("rec").agg(S.div(F.max("t"), F.lit(1_000_000)).alias("span"))
     return spark.sql("SELECT s.rec, g.grid_us FROM {s} s, LATERAL time_grid(s.span, 30, 1) g", s=span)
 
 

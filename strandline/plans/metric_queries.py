@@ -401,13 +401,13 @@ def m8_ablation(spark, sf):
 
 def j3_scored(spark, sf):
     def model(rows: list) -> list:
-        return [[1 / (1 + abs(x)) / 8 for x in v[:8]] for v in rows]
+        return [[sum(1 / (1 + abs(x)) for x in v[j::8]) / 64 for j in range(8)] for v in rows]
 
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return J.score(e, model, "embedding", 8).select("vec_id", F.size("p").alias("classes"), F.round(F.array_max("p"), 5).alias("best"))
 
 
-J3 = "SELECT vec_id, 8 AS classes, round(list_max(list_transform(embedding[1:8], lambda x: 1 / (1 + abs(x::DOUBLE)) / 8)), 5) AS best FROM embeddings"
+J3 = "SELECT vec_id, 8 AS classes, round(list_max(list_transform(range(8), lambda j: list_sum(list_transform(range(8), lambda m: 1 / (1 + abs(embedding[j + 8 * m + 1]::DOUBLE)))) / 64)), 5) AS best FROM embeddings"
 
 
 def j1_mapped_sequences(spark, sf):

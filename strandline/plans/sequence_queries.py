@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import quality as Q
 from ..operators import sequences as X
-from .bindings import DECIDED, FRAMES, GAPS, HOUR, POLICY, STEPS, SWAPS, frames, hands, point, point_sql
+from .bindings import DECIDED, FRAMES, GAPS, HOUR, POLICY, STEPS, SWAPS, frames, hands, palm_q, palm_q_sql, point, point_sql
 
 def _signals():
     return {"hand_0": F.col("h0"), "hand_1": F.col("h1")}
@@ -164,12 +164,13 @@ C8 = f"""WITH {DECIDED}, {GRID}, a AS (SELECT g.rec, g.t, min(struct_pack(l := d
 
 
 def h13_time_grid(spark: SparkSession, sf: str) -> DataFrame:
-    span = frames(spark, sf).groupBy("rec").agg((F.max("t") % 2_000_000).alias("span"))
+    """Seconds of a recording stand for its microseconds."""
+    span = frames(spark, sf).groupBy("rec").agg(S.div(F.max("t"), F.lit(1_000_000)).alias("span"))
     return span.select("rec", F.posexplode(S.grid_times("span")).alias("k", "grid_us"))
 
 
-H13 = f"""WITH {FRAMES}, s AS (SELECT rec, max(t) % 2000000 AS span FROM frames GROUP BY rec),
-n AS (SELECT rec, span, (2 * k * 1000000 + 30) // 60 AS g FROM s, generate_series(0, 60) x(k) WHERE k <= span * 30 // 1000000 AND (2 * k * 1000000 + 30) // 60 <= span), a AS (SELECT rec, g FROM n UNION SELECT rec, span FROM s)
+H13 = f"""WITH {FRAMES}, s AS (SELECT rec, max(t) // 1000000 AS span FROM frames GROUP BY rec),
+n AS (SELECT rec, span, (2 * k * 1000000 + 30) // 60 AS g FROM (SELECT rec, span, unnest(range(0, span * 30 // 1000000 + 1)) AS k FROM s) WHERE (2 * k * 1000000 + 30) // 60 <= span), a AS (SELECT rec, g FROM n UNION SELECT rec, span FROM s)
 SELECT rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY g) - 1 AS INTEGER) AS k, g AS grid_us FROM a"""
 
 
@@ -301,16 +302,16 @@ SELECT 'count_differs' AS rule_id, rec, i FROM s WHERE c <> h0::INT + h1::INT UN
 
 def b7_observations(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
-    slots = {"hand_0": (F.col("h0"), point(k=0), point(k=0, axis=1)), "hand_1": (F.col("h1"), point(k=30), point(k=30, axis=1))}
-    return Q.project_observations(f.withColumn("t", F.col("t") / F.lit(1_000_000)).withColumn("t", F.col("t").cast("bigint")), slots)
+    slots = {f"hand_{h}": (F.col(f"h{h}"), palm_q(30 * h), palm_q(30 * h, 1)) for h in (0, 1)}
+    return Q.project_observations(f.withColumn("t", F.expr("t div 1000000")), slots)
 
 
 def _motion(k: int, h: str) -> str:
-    l1 = f"(abs({point_sql(k, 0)} - lag({point_sql(k, 0)}) OVER v) + abs({point_sql(k, 1)} - lag({point_sql(k, 1)}) OVER v))"
-    return f"CASE WHEN {h} AND lag({h}) OVER v AND t > lag(t) OVER v THEN CAST(floor({l1} * 1e6 / ((t - lag(t) OVER v) / 1e6) + 0.5) AS BIGINT) END"
+    far = " + ".join(f"abs({palm_q_sql(k, x)} - lag({palm_q_sql(k, x)}) OVER v)" for x in (0, 1))
+    return f"CASE WHEN {h} AND lag({h}) OVER v AND t > lag(t) OVER v THEN (({far}) * 1000000 + (t - lag(t) OVER v) // 2) // (t - lag(t) OVER v) END"
 
 
-B7 = f"""WITH {FRAMES}, s AS (SELECT * REPLACE (CAST(trunc(t / 1000000) AS BIGINT) AS t) FROM frames),
+B7 = f"""WITH {FRAMES}, s AS (SELECT * REPLACE (t // 1000000 AS t) FROM frames),
 m AS (SELECT rec, i, greatest(coalesce({_motion(0, 'h0')}, 0), coalesce({_motion(30, 'h1')}, 0)) AS motion_q FROM s WHERE NOT invalid WINDOW v AS (PARTITION BY rec ORDER BY i))
 SELECT s.rec, s.i, s.t, NOT invalid AND (h0 OR h1) AS hand_present, NOT invalid AS quality_ok, coalesce(motion_q, 0) AS motion_q FROM s LEFT JOIN m USING (rec, i)"""
 

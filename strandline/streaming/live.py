@@ -45,7 +45,7 @@ def detect_events_stream(observations: DataFrame, limits: Limits = Limits(), idl
 
 
 def project_observations_stream(frames: DataFrame, event_time: str = "at", idle_ms: int = 3_600_000) -> DataFrame:
-    """Frames (rec, i, t, invalid, p0, x0, y0, p1, x1, y1, at) as observations: the last valid frame of a sequence is its state."""
+    """Frames (rec, i, t, invalid, p0, x0, y0, p1, x1, y1, at) as observations, coordinates being palms in millionths: the last valid frame of a sequence is its state."""
     schema = "rec bigint, i bigint, t bigint, hand_present boolean, quality_ok boolean, motion_q bigint, at timestamp"
     columns = ["i", "t", "invalid", "p0", "x0", "y0", "p1", "x1", "y1", event_time]
 
@@ -59,16 +59,17 @@ def project_observations_stream(frames: DataFrame, event_time: str = "at", idle_
             motion = 0
             if not invalid:
                 if last is not None and t > last[0]:
-                    speeds = [int((abs(x - last[k + 1]) + abs(y - last[k + 2])) * 1e6 / ((t - last[0]) / 1e6) + 0.5) for k, (p, x, y) in ((1, (p0, x0, y0)), (4, (p1, x1, y1))) if p and last[k]]
+                    took = int(t - last[0])
+                    speeds = [(int(abs(x - last[k + 1]) + abs(y - last[k + 2])) * 1_000_000 + took // 2) // took for k, (p, x, y) in ((1, (p0, x0, y0)), (4, (p1, x1, y1))) if p and last[k]]
                     motion = max([0, *speeds])
-                last = (int(t), bool(p0), float(x0), float(y0), bool(p1), float(x1), float(y1))
+                last = (int(t), bool(p0), int(x0), int(y0), bool(p1), int(x1), int(y1))
             out.append((key[0], i, t, bool(not invalid and (p0 or p1)), not invalid, motion, at))
         if last is not None:
             held.update(last)
             held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, int(out[-1][-1].timestamp() * 1000) + idle_ms))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    state = "t bigint, p0 boolean, x0 double, y0 double, p1 boolean, x1 double, y1 double"
+    state = "t bigint, p0 boolean, x0 bigint, y0 bigint, p1 boolean, x1 bigint, y1 bigint"
     return frames.groupBy("rec").applyInPandasWithState(update, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
