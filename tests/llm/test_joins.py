@@ -324,8 +324,9 @@ def brute_alignment(asking, base, least_votes=3, most_errors=0.25, least_overlap
 
 def test_audio_query_against_brute_force(spark):
     vectors = media.covers(spark.read.parquet(f"{SF}/embeddings.parquet"))
-    whole = {r["recording_id"]: r["fingerprint"] for r in media.fingerprint(media.sonify(vectors)).collect()}
-    later = {r["recording_id"]: r["fingerprint"] for r in media.fingerprint(media.sonify(vectors), skip=64).collect()}
+    levels = media.fit_levels(media.sonify(vectors))
+    whole = {r["recording_id"]: r["fingerprint"] for r in media.fingerprint(media.sonify(vectors), levels=levels).collect()}
+    later = {r["recording_id"]: r["fingerprint"] for r in media.fingerprint(media.sonify(vectors), skip=64, levels=levels).collect()}
     wanted, same = set(), 0
     for q in sorted(k for k in whole if k % 20 == 0):
         for m in sorted(whole):
@@ -374,3 +375,16 @@ def test_integral_image_filters_equal_plain_sums():
             level = int(np.digitize(np.log((1 + a) / (1 + b)), media.LEVELS))
             whole[at] = (whole[at] << 2 | (0, 1, 3, 2)[level]) & 0xFFFFFFFF
     assert got.tolist() == whole
+
+
+def test_fitted_levels_split_each_filter_evenly(spark):
+    vectors = media.covers(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    recordings = media.sonify(vectors)
+    levels = media.fit_levels(recordings)
+    assert np.array_equal(levels, media.fit_levels(recordings.repartition(3)))
+    prints = [np.array(r["fingerprint"], np.uint32) for r in media.fingerprint(recordings, levels=levels).collect()]
+    rng = np.random.default_rng(1)
+    pairs = [(prints[a], prints[b]) for a, b in rng.integers(0, len(prints), (2000, 2)) if abs(int(a) - int(b)) > 8]
+    errors = [np.bitwise_count(a[:40] ^ b[:40]).mean() / 32 for a, b in pairs]
+    assert np.mean(errors) > 0.45 and np.quantile(errors, 0.001) > 0.3
+    assert media.fit_levels(recordings.limit(0)).shape == (16, 3)
