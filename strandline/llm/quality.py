@@ -142,6 +142,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, lab
     count each. Without labelled rows every score is 0.5.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("_label"))
+    # about most_rows labels go to the texts, which stay where they are
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
     chosen = known.where(draw < int(1_000_000 * min(1.0, most_rows / max(1, known.count()))) + 1)
 
@@ -152,7 +153,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, lab
                 rows = statistics(texts.slice(start, stop - start))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "label", "features"])
 
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(run, "doc_id bigint, label double, features array<double>").toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id bigint, label double, features array<double>").toPandas()
     found = found.sort_values(["doc_id", "label"], kind="stable")
     rows = np.stack(found["features"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
     return grow(rows, (found["label"].to_numpy(float) >= 0.5).astype(float))
