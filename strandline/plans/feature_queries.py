@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import corpus as B
 from ..operators import digests as D
 from ..operators import features as X
 from ..operators import quality as Q
@@ -13,8 +14,8 @@ from ..operators import selection as P
 from ..operators import sequences as E
 from ..sources import staging
 from ..sources import tables as T
-from .bindings import FRAMES, frames, point, table
-from .sequence_queries import THRESHOLDS
+from .bindings import FRAMES, POLICY, frames, point, table
+from .sequence_queries import BEST, FLAGSHIP, THRESHOLDS, quality_of
 
 PLAN = X.FeaturePlan(points=21, angles=True, tips=True)
 MOVING = X.FeaturePlan(points=21, angles=True, tips=True, differences=2)
@@ -170,16 +171,34 @@ j AS (SELECT p.first, p.other, list_concat(a.v[len(a.v) // 2 + 1:], b.v[1:len(b.
 SELECT first, other, 'other' AS label, k::INTEGER AS k, coalesce(v[k + 1], 0) AS v FROM j, range(64) x(k)"""
 
 
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    judge = lambda cut: Q.with_disposition(quality_of(cut), THRESHOLDS)
+    return B.select_corpus(frames(spark, sf), F.col("h0"), POLICY, judge, 10, F.col("rec") % 3, F.expr("rec div 2"), motion="q", accepted=("pass", "warning", "quarantine"))
+
+
 def m9_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Window, quality, filter and quota of all recordings in one plan."""
-    from .bindings import POLICY
+    """Window, quality, filter and quota of all recordings."""
+    return _corpus(spark, sf).select("split", "rec", "signer", "frames", "disposition", F.col("place").cast("bigint").alias("place"), "first_index", "last_index")
 
-    f = frames(spark, sf)
-    best = E.best_episode(f, E.episodes(f, F.col("h0"), POLICY, "q")).where("status = 'selected'")
-    cut = E.slice_and_rebase(f, best)
-    metrics = Q.quality_metrics(cut, {"hand_0": F.col("h0"), "hand_1": F.col("h1")}, POLICY, F.lit(1))
-    usable = metrics.join(Q.disposition(metrics, Q.apply_thresholds(metrics, THRESHOLDS)).where("disposition IN ('pass', 'warning')"), "rec")
-    return P.select_quota(usable.withColumn("split", F.col("rec") % 3).withColumn("signer", F.expr("rec div 2")), 10, "signer", ("rec",), "split").select("split", "rec", "frames", "disposition", F.col("place").cast("bigint").alias("place"))
+
+def _m9_sql() -> str:
+    judged = FLAGSHIP.removeprefix("WITH ").replace(FRAMES, "frames AS (SELECT * FROM cut)")
+    return f"""WITH {BEST}, cut AS (SELECT f.* REPLACE (f.i - b.first_index AS i, f.t - b.first_t AS t) FROM frames f JOIN best b ON f.rec = b.rec AND b.status = 'selected' AND f.i BETWEEN b.first_index AND b.last_index),
+ok AS (SELECT rec, frames, disposition FROM (WITH {judged}) WHERE disposition IN ('pass', 'warning', 'quarantine')),
+one AS (SELECT *, rec % 3 AS split, rec // 2 AS signer, row_number() OVER (PARTITION BY rec % 3, rec // 2 ORDER BY rec) AS nth FROM ok),
+k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rec) AS place FROM one WHERE nth = 1)
+SELECT split, k.rec, signer, k.frames, disposition, place, first_index, last_index FROM k JOIN best ON best.rec = k.rec WHERE place <= 10"""
+
+
+def m9_frozen_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus with its features, made twice from tables that are dealt otherwise: how many digests each split has, and whether its recordings have features or a reason."""
+    derive = lambda cut: X.derive_features(cut, FAST, PLAN, hands=landmark_hands())
+    marks = landmark_frames(spark, sf)
+    chosen = staging.written(_corpus(spark, sf), "corpus")
+    runs = [staging.written(B.corpus_features(c, m, derive), "corpus-features") for c, m in ((chosen, marks), (chosen.repartition(3), marks.repartition(5, "i")))]
+    twice = B.frozen_digest(runs[0], ("rec", "split", "disposition", "place", "feature_digest"), "split").unionAll(B.frozen_digest(runs[1], ("rec", "split", "disposition", "place", "feature_digest"), "split"))
+    told = runs[0].groupBy("split").agg(F.count_if((F.col("status") == "derived") | F.col("reason").isNotNull()).alias("told"))
+    return twice.groupBy("split").agg(F.count_distinct("digest").alias("digests"), F.max("rows").alias("recordings")).join(told, "split")
 
 
 def m3_sealed_partitions(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,6 +385,6 @@ def _j4() -> str:
 H2 = f"WITH {FRAMES} SELECT rec, i, round(CASE WHEN i >= 2 THEN q + 500 * (2.0::DOUBLE / i) END, 6) AS v FROM frames"
 
 QUERIES = {
-    "m10_features": (m10_features, _m10_sql()), "m10_resampled": (m10_resampled, f"WITH {LANDMARKS} SELECT * FROM gr"), "m11_feature_violations": (m11_feature_violations, M11), "m12_training_violations": (m12_training_violations, M12), "h5_hand_local": (h5_hand_local, H5), "h9_body_relative": (h9_body_relative, H9), "m6_transition_fragments": (m6_transition_fragments, M6), "m9_corpus": (m9_corpus, None), "m3_sealed_partitions": (m3_sealed_partitions, M3),
+    "m10_features": (m10_features, _m10_sql()), "m10_resampled": (m10_resampled, f"WITH {LANDMARKS} SELECT * FROM gr"), "m11_feature_violations": (m11_feature_violations, M11), "m12_training_violations": (m12_training_violations, M12), "h5_hand_local": (h5_hand_local, H5), "h9_body_relative": (h9_body_relative, H9), "m6_transition_fragments": (m6_transition_fragments, M6), "m9_corpus": (m9_corpus, _m9_sql()), "m9_frozen_corpus": (m9_frozen_corpus, f"SELECT split, 1 AS digests, count(*) AS recordings, count(*) AS told FROM ({_m9_sql()}) GROUP BY split"), "m3_sealed_partitions": (m3_sealed_partitions, M3),
     "a1_content_drift": (a1_content_drift, A1B), "a1_table_digests": (a1_table_digests, A1C), "a1_a2_table_round_trip": (a1_a2_table_round_trip, A1), "a3_a4_frames_round_trip": (a3_a4_frames_round_trip, A3), "a5_file_inventory": (a5_file_inventory, A5), "a6_json_violations": (a6_json_violations, A6), "a7_media_table": (a7_media_table, A7), "a8_predictions": (a8_predictions, _a8()), "a10_reuse": (a10_reuse, A10), "a11_run_ledger": (a11_run_ledger, A11), "a12_normalized_runs": (a12_normalized_runs, A12), "a13_resolved_artifacts": (a13_resolved_artifacts, A13), "h2_interpolated": (h2_interpolated, H2), "j4_sql_time_grid": (j4_sql_time_grid, _j4()),
 }

@@ -202,14 +202,18 @@ B5 = f"""WITH {FRAMES} SELECT rec, count(*) AS frames, count(*) FILTER (NOT inva
   count(*) FILTER (h0::INT + h1::INT = 2) AS with_2, count(*) FILTER (h0) AS seen_hand_0, count(*) FILTER (h1) AS seen_hand_1 FROM frames GROUP BY rec"""
 
 
-def d1_quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
+def quality_of(f: DataFrame) -> DataFrame:
     e = F.col("event_id")
     anchors = {name: (~F.col("invalid") & (e % (5 + k) != 0), e * (17 + k) % 1000 * 1000) for k, name in enumerate(("nose", "left_shoulder", "right_shoulder"))}
     reasons = {"source": F.col("invalid") & (e % 2 == 0), "task": F.col("invalid") & (e % 2 != 0)}
-    found = Q.quality_metrics(frames(spark, sf), _signals(), POLICY, F.when(F.col("rec") % 2 == 0, 2).otherwise(1), hands=hands(), reasons=reasons, anchors=anchors, least_score_ppm=300_000, motion=(_slots(), 1 / 36_000))
+    found = Q.quality_metrics(f, _signals(), POLICY, F.when(F.col("rec") % 2 == 0, 2).otherwise(1), hands=hands(), reasons=reasons, anchors=anchors, least_score_ppm=300_000, motion=(_slots(), 1 / 36_000))
     return found.withColumns({c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",") for c in ("pose_seen", "pose_ppm")})
 
 
+def d1_quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_of(frames(spark, sf))
+
+
 _ANCHORS = [(f"(NOT invalid AND event_id % {5 + k} <> 0)", f"(event_id * {17 + k} % 1000 * 1000 < 300000)") for k in range(3)]
 METRICS = f"""{DECIDED}, v AS (SELECT rec, greatest({_speed(0, 9, 'h0')}, {_speed(30, 39, 'h1')}) AS speed FROM steps WINDOW w AS (PARTITION BY rec ORDER BY i)),
 g AS (SELECT rec, count(*) AS gaps, count(*) FILTER (decision = 'interpolate_linear') AS filled, max(missing) FILTER (decision <> 'interpolate_linear' AND boundary = 'internal') AS longest_open, max(duration) FILTER (decision <> 'interpolate_linear' AND boundary = 'internal') AS longest_open_us FROM decided GROUP BY rec),
