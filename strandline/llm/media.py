@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -29,6 +29,8 @@ FILTERS = tuple((kind, low, high, width) for kind, low, high, width in (
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 WIDEST = max(w for *_, w in FILTERS)
+#: Cells to a unit of a filter's value, a power of two, in which fit_levels counts.
+GRID = 1 << 12
 
 
 def chroma(signal: np.ndarray, rate: int, window: int, hop: int) -> np.ndarray:
@@ -91,23 +93,31 @@ def packed(image: np.ndarray, levels: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
-def fit_levels(recordings: DataFrame, rate: int = 2000, window: int = 512, hop: int = 128, pcm: str = "pcm", id_col: str = "recording_id", most: int = 300) -> np.ndarray:
-    """Filters x 3: the quartiles of each filter's values over about `most` hashed recordings, so that its two bits split frames evenly and unlike recordings differ in half of all bits.
+def fit_levels(recordings: DataFrame, rate: int = 2000, window: int = 512, hop: int = 128, pcm: str = "pcm", id_col: str = "recording_id") -> np.ndarray:
+    """Filters x 3: the quartiles of each filter's values over all frames of all recordings, so that its two bits split frames evenly and unlike recordings differ in half of all bits.
 
-    What reaches the driver is bounded by `most` and the length of a recording. Without frames there are the fixed LEVELS. Null ids are not drawn.
+    Values are counted in cells of 1 / GRID; a level is the lower edge of its quartile's cell, so the values on both sides of it are counted exactly.
+    A task sends a count for each cell it met and the driver gets one row per filter, both bounded by the grid. Repeated recordings
+    count each time; those with null ids, which are alike with nothing, don't. Without frames there are the fixed LEVELS.
     """
-    every = max(1, recordings.where(f"`{id_col}` IS NOT NULL").count() // most)
-    drawn = recordings.where(F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(every)) == 0).select(pcm).orderBy(F.xxhash64(id_col), F.sha2(pcm, 256)).limit(2 * most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # frames are of unit length, so no value is beyond log(1 + WIDEST * sqrt(12)) < 4
+        counts, row = np.zeros((len(FILTERS), 8 * GRID), np.int64), np.arange(len(FILTERS))[:, None]
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                data = data or b""
+            for data in batch.column(0):
+                data = data.as_py() or b""
                 values = filter_values(chroma(np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate, window, hop))
-                yield pa.RecordBatch.from_arrays([pa.array([values.T.ravel()], pa.list_(pa.float64()))], names=["v"])
+                np.add.at(counts, (row, np.floor(values * GRID).astype(np.int64) + 4 * GRID), 1)
+        of, cell = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(cell - 4 * GRID), pa.array(counts[of, cell])], names=["filter", "cell", "n"])
 
-    found = np.concatenate([np.zeros(0), *(np.array(r["v"]) for r in drawn.mapInArrow(run, "v array<double>").collect())]).reshape(-1, len(FILTERS))
-    return np.quantile(found, [0.25, 0.5, 0.75], axis=0).T if len(found) else np.tile(LEVELS, (len(FILTERS), 1))
+    cells = recordings.where(F.col(id_col).isNotNull()).select(pcm).mapInArrow(run, "filter bigint, cell bigint, n bigint").groupBy("filter", "cell").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("filter")
+    seen = cells.select("filter", "cell", F.sum("n").over(own.orderBy("cell")).alias("upto"), F.sum("n").over(own).alias("whole"))
+    cuts = seen.groupBy("filter").agg(*[F.min(F.when(4 * F.col("upto") >= k * F.col("whole"), F.col("cell"))).alias(f"q{k}") for k in (1, 2, 3)])
+    found = sorted(tuple(r) for r in cuts.collect())
+    return np.array([r[1:] for r in found]) / GRID if found else np.tile(LEVELS, (len(FILTERS), 1))
 
 
 def fingerprint(recordings: DataFrame, rate: int = 2000, window: int = 512, hop: int = 128, pcm: str = "pcm", id_col: str = "recording_id", skip: int = 0, levels: np.ndarray | None = None) -> DataFrame:
@@ -268,7 +278,7 @@ def find_alike(recordings: DataFrame, asked: DataFrame, is_query: str, hop: int
     """align of all recordings with those of `asked` (the recordings that is_query names), at whole hops and half a hop later.
 
     Two recordings are alike if they agree over half of the shorter one at least: melodies that share no more than their ends
-    do so by chance. The filters' levels are fitted to the recordings. Null, empty and short recordings are alike with nothing, repeated ones are one class.
+    do so by chance. The filters' levels are fitted to all recordings. Null, empty and short recordings are alike with nothing, repeated ones are one class.
     """
     levels = fit_levels(recordings, hop=hop)
     prints = stage(fingerprint(recordings, hop=hop, levels=levels), "fingerprints")

@@ -388,3 +388,18 @@ def test_fitted_levels_split_each_filter_evenly(spark):
     errors = [np.bitwise_count(a[:40] ^ b[:40]).mean() / 32 for a, b in pairs]
     assert np.mean(errors) > 0.45 and np.quantile(errors, 0.001) > 0.3
     assert media.fit_levels(recordings.limit(0)).shape == (16, 3)
+
+
+def test_levels_are_quartiles_of_all_recordings(spark):
+    rng = np.random.default_rng(3)
+    sounds = [(k, (rng.normal(0, 3000, 2048) + 9000 * np.sin(np.arange(2048) * rng.uniform(0.3, 2))).astype("<i2").tobytes()) for k in range(900)]
+    # the same values whatever the ids are; null, empty and short recordings have no frame, null ids take no part
+    odd = [(None, sounds[0][1]), (900, None), (901, b""), (902, b"abc")]
+    values = np.concatenate([media.filter_values(media.chroma(np.frombuffer(data, "<i2"), 2000, 512, 128)) for _, data in sounds], axis=1)
+    ranked = np.sort(values, axis=1)[:, [-(-k * values.shape[1] // 4) - 1 for k in (1, 2, 3)]]
+    for shift in (0, 10_000):
+        table = spark.createDataFrame([(k if k is None else k + shift, data) for k, data in sounds + odd], "recording_id bigint, pcm binary").repartition(5)
+        above = ranked - media.fit_levels(table)
+        assert (above >= 0).all() and (above < 1 / media.GRID).all()
+    silent = spark.createDataFrame([(1, bytes(4096))], "recording_id bigint, pcm binary")
+    assert not media.fit_levels(silent).any()
