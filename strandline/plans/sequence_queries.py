@@ -102,12 +102,12 @@ SELECT rec, i, t, i + max(t // 1000 - i) OVER (PARTITION BY rec ORDER BY i) AS t
 
 
 def e8_differences(spark: SparkSession, sf: str) -> DataFrame:
-    """Differences between observed rows of a hand, across gaps that may be filled but not across preserved ones."""
+    """Differences between observed rows of a hand, across gaps that may be filled but not across preserved ones. A quantized difference beyond 64 bits is NULL: it has no value there (its SQL raises an error)."""
     kept = _decided(spark, sf).where("signal = 'hand_0'")
     f = X.with_barrier(frames(spark, sf).where("h0").select("rec", "i", "t", "q"), kept)
     first = X.differences(f, "q", F.col("barrier"))
     both = X.differences(first, "velocity", F.col("barrier"), out="acceleration")
-    return both.select("rec", "i", "barrier", F.round(F.col("velocity") * 1e6).cast("bigint").alias("velocity_q"), F.round(F.col("acceleration") * 1e12).cast("bigint").alias("acceleration_q"))
+    return both.select("rec", "i", "barrier", F.round(F.col("velocity") * 1e6).try_cast("bigint").alias("velocity_q"), F.round(F.col("acceleration") * 1e12).try_cast("bigint").alias("acceleration_q"))
 
 
 E8 = f"""WITH {DECIDED}, o AS (SELECT rec, i, t, q, lag(t) OVER w AS before, (t - lag(t) OVER w) / 1000000.0::DOUBLE AS s FROM frames WHERE h0 WINDOW w AS (PARTITION BY rec ORDER BY i)),

@@ -126,3 +126,12 @@ def test_model_choice(spark):
     scores = spark.createDataFrame([(1.0, 0.5), (0.1, 0.5), (10.0, 0.4)], "c double, macro_f1 double")
     assert tuple(J.choose_model(scores).first()) == (0.1, 0.5)
     assert tuple(J.choose_model(scores.where("false")).first()) == (None, None)
+
+
+def test_differences_too_large_for_64_bits_are_null(spark, tmp_path):
+    from strandline.plans.sequence_queries import e8_differences
+
+    rows = [(1, "2024-01-01 00:00:00", 7, "view", 0.0), (2, "2024-01-01 00:00:01", 7, "view", 500.0), (3, "2024-01-01 00:00:02", 7, "view", 0.0), (4, "2024-01-01 00:00:02.000001", 7, "view", 500.0)]
+    spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = e8_differences(spark, str(tmp_path)).orderBy("i").select("velocity_q", "acceleration_q").collect()
+    assert [tuple(r) for r in got] == [(None, None), (500_000_000_000_000, None), (-500_000_000_000_000, None), (None, None)]
