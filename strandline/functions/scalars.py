@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _col(x: Column | str | int | float) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body or a lambda in it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def div(a: Column, b: Column | int) -> Column:
     """Integer quotient, truncated towards zero; NULL for a zero divisor."""
     a, b = _col(a), _col(b)
@@ -131,12 +138,15 @@ def hand_local(points: Column, left: Column, mirrored: Column, origin: int = 0,
     wasn't; x of left hands is reflected.
     """
     left, mirrored = _col(left), _col(mirrored)
-    points = unmirror(points, mirrored, image=False)
-    sign = F.when(left == mirrored, F.lit(-1.0)).otherwise(F.lit(1.0))
-    o = F.get(points, F.lit(origin))
-    scale = _length(_minus(F.get(points, F.lit(reach)), o))
-    local = F.transform(points, lambda p: F.struct((sign * (p["x"] - o["x"]) / scale).alias("x"), ((p["y"] - o["y"]) / scale).alias("y"), ((p["z"] - o["z"]) / scale).alias("z")))
-    return F.when(scale > 0, local)
+    turned = F.when(mirrored, F.lit(-1.0)).otherwise(F.lit(1.0)) * F.when(left == mirrored, F.lit(-1.0)).otherwise(F.lit(1.0))
+
+    def local(p: Column) -> Column:
+        o = F.get(p, F.lit(origin))
+        axes = F.struct(o.alias("o"), _length(_minus(F.get(p, F.lit(reach)), o)).alias("s"), turned.alias("f"))
+        each = lambda a: F.transform(p, lambda q: F.struct((a["f"] * (q["x"] - a["o"]["x"]) / a["s"]).alias("x"), ((q["y"] - a["o"]["y"]) / a["s"]).alias("y"), ((q["z"] - a["o"]["z"]) / a["s"]).alias("z")))
+        return let(axes, lambda a: F.when(a["s"] > 0, each(a)))
+
+    return let(_col(points), local)
 
 
 def tip_distances(local: Column, tips: tuple[int, ...] = (4, 8, 12, 16, 20)) -> Column:

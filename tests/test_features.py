@@ -37,6 +37,12 @@ def test_hand_local_corrects_mirror_and_handedness(spark, left, mirrored):
     assert all(math.isclose(a, b, abs_tol=1e-12) for g, w in zip(got, want) for a, b in zip(g, w))
 
 
+def test_a_hand_is_scaled_once_and_not_for_each_coordinate(spark):
+    df = spark.createDataFrame([(hand()[0],)], f"p array<{POINT}>")
+    plan = df.select(S.hand_local(F.col("p"), F.lit(True), F.lit(False)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") == 1
+
+
 def test_hand_without_scale_and_flat_angle_are_null(spark):
     df = spark.createDataFrame([([(1.0, 2.0, 3.0)] * 21,), (None,)], f"p array<{POINT}>")
     local_ = S.hand_local(F.col("p"), F.lit(True), F.lit(False))
