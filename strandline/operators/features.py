@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .checks import violations
-from .sequences import GapPolicy, Hand, Sequence, bracket_join, decided_gaps, gap_at, timestamp_discontinuities, with_barrier
+from .sequences import GapPolicy, Hand, Sequence, decided_gaps, timestamp_discontinuities
 
 HANDS = ("hand_0", "hand_1")
 #: Joints whose angle is taken (before, at, after), finger tips, and the palm's points.
@@ -53,6 +53,18 @@ def _mix(left: Column, right: Column, share: Column) -> Column:
     return F.when(left["left"].eqNullSafe(right["left"]), F.struct(between("world", "xyz"), between("image", "xy"), left["left"].alias("left")))
 
 
+def _grid_after(t: Column, after: Column, first: Column, rate: int) -> Column:
+    """Array of (t, before): the grid's times from a row's time (from 0 for a first row) until the next row's, and the grid's time before each. The last row (after is NULL) has the exact end too."""
+    step = F.lit(1_000_000)
+    nominal = lambda k: S.div(2 * k * step + rate, F.lit(2 * rate))
+    low, high, last = F.when(first, F.lit(0)).otherwise(t), F.coalesce(after, t + 1), S.div(F.coalesce(after, t) * rate, step)
+    item = lambda x, before: F.struct(x.alias("t"), before.alias("before"))
+    begin = F.when(first, F.lit(0)).otherwise(S.div(t * rate, step)).cast("bigint")
+    each = F.filter(F.transform(F.sequence(begin, last), lambda k: item(nominal(k), F.when(k > 0, nominal(k - 1)))), lambda x: (x["t"] >= low) & (x["t"] < high))
+    end = item(t, F.when(nominal(last) < t, nominal(last)).otherwise(nominal(last - 1)))
+    return F.when(after.isNull() & (nominal(last) != t), F.concat(each, F.array(end))).otherwise(each)
+
+
 def resample(frames: DataFrame, policy: GapPolicy, rate: int = 30, seq: Sequence = Sequence(), hands: dict[str, Hand] | None = None) -> DataFrame:
     """(rec, t, hand_0, hand_1, body, evidence and cut of each) on the elapsed-time grid. cut: a preserved gap of the signal meets the stretch from the grid's time before.
 
@@ -60,99 +72,131 @@ def resample(frames: DataFrame, policy: GapPolicy, rate: int = 30, seq: Sequence
 
     A signal is the sample at that very time (observed), or lies between two adjacent samples or inside an approved gap
     (interpolated), or is NULL. A signal is a struct of world points (x, y, z), image points (x, y) and whether the hand was told as
-    a left one; of the body, the image points are the left and right shoulder and the rest is NULL.
+    a left one; of the body, the image points are the left and right shoulder and the rest is NULL. Times of a recording must rise.
+
+    Gaps are decided on rows without points; their decisions go as marks among the frames, which are shuffled once, by recording. Each frame then knows the
+    samples around it and gives the grid's times up to the next frame.
     """
-    signals = {s: F.col(s).isNotNull() for s in (*HANDS, "body")}
-    gaps = decided_gaps(frames, signals, policy, F.col("invalid"), hands, seq)
-    approved = gaps.where("decision = 'interpolate_linear'")
-    span = frames.groupBy("rec").agg(F.max("t").alias("_span"))
-    grid = span.select("rec", F.explode(S.grid_times("_span", rate)).alias("t"))
-    each = with_barrier(grid.select("rec", "t", F.explode(F.array(*map(F.lit, signals))).alias("signal")), gaps, "cut", ("rec", "signal"))
-    items = F.array(*(F.struct(F.lit(s).alias("signal"), F.when(F.col(s).isNotNull(), F.struct(F.col("i").alias("i"), F.col(s).alias("p"))).alias("v")) for s in signals))
-    samples = frames.select("rec", "t", F.explode(items).alias("x")).select("rec", "t", "x.signal", F.col("x.v").alias("v")).where("v IS NOT NULL")
-    near = bracket_join(each, samples, "v", ("rec", "signal")).join(each, ["rec", "signal", "t"])
-    near = near.join(gap_at(each, approved, ("rec", "signal")), ["rec", "signal", "t"], "left")
-    exact = F.col("left_t") == F.col("t")
-    between = (F.col("right_v.i") - F.col("left_v.i") == 1) | (F.col("gap_left").isNotNull() & (F.col("gap_left") == F.col("left_t")))
-    share = (F.col("t") - F.col("left_t")) / (F.col("right_t") - F.col("left_t"))
-    value = F.when(exact, F.col("left_v.p")).when(F.col("left_t").isNotNull() & F.col("right_t").isNotNull() & between, _mix(F.col("left_v.p"), F.col("right_v.p"), share))
-    marked = near.select("rec", "t", "signal", "cut", value.alias("p"), F.when(value.isNotNull(), F.when(exact, "observed").otherwise("interpolated")).alias("evidence"))
-    one = lambda s, c: F.max_by(c, F.when(F.col("signal") == s, 1))
-    return marked.groupBy("rec", "t").agg(*(one(s, "p").alias(s) for s in signals), *(one(s, "evidence").alias(f"{s}_evidence") for s in signals), *(one(s, "cut").alias(f"{s}_cut") for s in signals))
+    signals = (*HANDS, "body")
+    flag = lambda s: F.col(f"_{s}")
+    parts = {h: {"present": x.present, "label": x.label, "confidence": x.confidence} | {f"wrist{k}": c for k, c in enumerate(x.wrist)} | {f"palm{k}": c for k, c in enumerate(x.palm)} for h, x in (hands or {}).items()}
+    told = [c for c in ("jump", "in_swap") if c in frames.columns]
+    slim = frames.select("rec", "i", "t", "invalid", *told, *(F.col(s).isNotNull().alias(f"_{s}") for s in signals), *(c.alias(f"_{h}_{n}") for h, x in parts.items() for n, c in x.items()))
+    column = lambda h, n: F.col(f"_{h}_{n}")
+    slim_hands = {h: Hand(*(column(h, n) for n in ("present", "label", "confidence")), *(tuple(column(h, f"{n}{k}") for k in range(len(c))) for n, c in (("wrist", x.wrist), ("palm", x.palm)))) for h, x in (hands or {}).items()}
+    gaps = decided_gaps(slim, {s: flag(s) for s in signals}, policy, F.col("invalid"), slim_hands or None, seq)
+    marks = gaps.groupBy("rec", F.col("first_index").alias("i")).agg(*(F.bool_or(F.when(F.col("signal") == s, F.col("decision") == "interpolate_linear")).alias(f"_fill_{s}") for s in signals))
+    rows = frames.select("rec", "i", "t", F.lit(True).alias("_frame"), *(F.col(s).isNotNull().alias(f"_{s}") for s in signals), *(F.col(s)["left"].alias(f"_left_{s}") for s in signals), *signals)
+    rows = rows.unionByName(marks.withColumn("_frame", F.lit(False)), allowMissingColumns=True)
+    back = Window.partitionBy("rec").orderBy("i", "_frame").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("rec").orderBy(F.desc("i"), F.desc("_frame")).rowsBetween(Window.unboundedPreceding, -1)
+    near = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    sample = lambda s: F.when(flag(s), F.struct("i", "t", F.col(f"_left_{s}").alias("left")))
+    after = F.when(F.col("_frame"), F.struct("t", *(flag(s).alias(s) for s in signals)))
+    rows = rows.select("*", near(after, ahead).alias("_after"), *(near(sample(s), ahead).alias(f"_r_{s}") for s in signals), *(near(F.col(s), ahead).alias(f"_rv_{s}") for s in signals), *(near(F.col(f"_fill_{s}"), ahead).alias(f"_next_{s}") for s in signals))
+    rows = rows.select("*", near(F.when(F.col("_frame"), F.col("i")), back.rowsBetween(Window.unboundedPreceding, -1)).isNull().alias("_first"), *(near(sample(s), back).alias(f"_l_{s}") for s in signals), *(near(F.col(s), back).alias(f"_lv_{s}") for s in signals), *(near(F.col(f"_fill_{s}"), back).alias(f"_own_{s}") for s in signals))
+    kept = lambda s: ~flag(s) & ~F.col(f"_own_{s}")
+    rows = rows.select("*", *(near(F.when(kept(s), F.col("t")), back).alias(f"_kept_{s}") for s in signals)).where("_frame")
+    absent_next = lambda s: F.coalesce(~F.col("_after")[s], F.lit(False))
+    bridged = lambda s: F.when(flag(s), absent_next(s) & F.col(f"_next_{s}")).otherwise(F.col(f"_own_{s}"))
+    found = []
+    for s in signals:
+        l, r = F.col(f"_l_{s}"), F.col(f"_r_{s}")
+        between = r.isNotNull() & l["left"].eqNullSafe(r["left"]) & ((r["i"] - l["i"] == 1) | bridged(s))
+        found += [F.coalesce(between, F.lit(False)).alias(f"_between_{s}"), (kept(s) & absent_next(s)).alias(f"_inside_{s}")]
+    grid = rows.select("*", *found, F.explode(_grid_after(F.col("t"), F.col("_after.t"), F.col("_first"), rate)).alias("_x"))
+    t = F.col("_x.t")
+
+    def columns(s: str) -> list[Column]:
+        l, r = F.col(f"_l_{s}"), F.col(f"_r_{s}")
+        exact = l["t"] == t
+        between = l.isNotNull() & (l["t"] <= t) & F.col(f"_between_{s}")
+        value = F.when(exact, F.col(f"_lv_{s}")).when(between, _mix(F.col(f"_lv_{s}"), F.col(f"_rv_{s}"), (t - l["t"]) / (r["t"] - l["t"])))
+        cut = F.col("_x.before").isNotNull() & (t >= F.col("t")) & (F.coalesce(F.col(f"_kept_{s}") >= F.col("_x.before"), F.lit(False)) | F.col(f"_inside_{s}"))
+        return [value.alias(s), F.when(exact, "observed").when(between, "interpolated").alias(f"{s}_evidence"), cut.alias(f"{s}_cut")]
+
+    return grid.select("rec", t.alias("t"), *(c for s in signals for c in columns(s)))
 
 
 def frame_features(grid: DataFrame, plan: FeaturePlan, mirrored: Column) -> DataFrame:
-    """Adds f: an array of (v, e) per frame, value and evidence, both NULL where a feature can't be had.
+    """(rec, t, v, o, presence of the hands, body_available). v: an array of values, NULL where a feature can't be had; o: whether each, if it can, is observed and not interpolated.
 
     World points are made hand-local; wrist and palm of the image are given relative to the shoulders. A hand without scale or a frame
     without shoulders only lacks its own features. Differences of the positions come last, order by order; they stop at a signal's cuts, those
-    relative to the body also at the body's.
+    relative to the body also at the body's. Evidence and cuts are those of a whole signal, so they are kept for each signal and not for each value.
     """
-    item = lambda v, e: F.struct(v.alias("v"), F.when(v.isNotNull(), e).alias("e"))
-    positions: list[Column] = []
-    more: list[Column] = []
     for h in HANDS:
         grid = grid.withColumn(f"_{h}", S.hand_local(F.col(h)["world"], F.col(h)["left"], mirrored)).withColumn(f"_i{h}", S.unmirror(F.col(h)["image"], mirrored))
     body = S.unmirror(F.col("body")["image"], mirrored)
-    grid = grid.withColumn("_l", F.get(body, F.lit(0))).withColumn("_r", F.get(body, F.lit(1)))
+    grid = grid.withColumn("_body", body).withColumn("_l", F.get("_body", F.lit(0))).withColumn("_r", F.get("_body", F.lit(1)))
     relative = lambda x, y: S.body_relative(x, y, F.col("_l.x"), F.col("_l.y"), F.col("_r.x"), F.col("_r.y"))
+    sure = lambda *signals: F.coalesce(F.expr(" AND ".join(f"{x}_evidence = 'observed'" for x in signals)), F.lit(False))
 
     def local(h: str) -> Column:
-        # the points by a lambda, so that the expression doesn't grow with them; a hand without scale has NULLs
+        # the points by a lambda, so that the expression doesn't grow with them
         at = lambda k: F.get(f"_{h}", k)
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(plan.points - 1)), lambda k: F.array(*(item(at(k)[c], F.col(f"{h}_evidence")) for c in "xyz"))))
+        return F.when(F.col(f"_{h}").isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(plan.points - 1)), lambda k: F.array(*(at(k)[c] for c in "xyz")))))
 
-    def tips(h: str) -> Column:
-        return F.transform(S.tip_distances(F.col(f"_{h}"), TIPS), lambda v: item(v, F.col(f"{h}_evidence")))
+    def seen(h: str) -> Column:
+        rel = [relative(p["x"], p["y"]) for p in (F.get(f"_i{h}", F.lit(0)), S.centroid(F.col(f"_i{h}"), PALM))]
+        return F.array(*(p[c] for p in rel for c in "xy"))
 
-    cuts: list[Column] = []  # for each position whether its difference stops
+    # values of a signal that go together: their number, whether they are observed, and where their differences stop
+    groups: dict[str, tuple[int, Column, Column]] = {}
+    values: dict[str, Column] = {}
     for h in HANDS if plan.local else ():
-        positions.append(local(h))
-        cuts.append(F.array_repeat(F.col(f"{h}_cut"), 3 * plan.points))
+        groups[h], values[h] = (3 * plan.points, sure(h), F.col(f"{h}_cut")), local(h)
     for h in HANDS if plan.body else ():
-        evidence = F.when((F.col(f"{h}_evidence") == "observed") & (F.col("body_evidence") == "observed"), "observed").otherwise("interpolated")
-        for p in (F.get(f"_i{h}", F.lit(0)), S.centroid(F.col(f"_i{h}"), PALM)):
-            rel = relative(p["x"], p["y"])
-            positions.append(F.array(item(rel["x"], evidence), item(rel["y"], evidence)))
-            cuts.append(F.array_repeat(F.col(f"{h}_cut") | F.col("body_cut"), 2))
+        groups[f"{h}_body"], values[f"{h}_body"] = (4, sure(h, "body"), F.col(f"{h}_cut") | F.col("body_cut")), seen(h)
+    more: list[tuple[int, Column, Column]] = []
     for h in HANDS if plan.angles else ():
         at = lambda k, h=h: F.get(f"_{h}", F.lit(k))
-        more.append(F.array(*(item(S.angle(at(a), at(b), at(c)), F.col(f"{h}_evidence")) for a, b, c in ANGLES)))
+        more.append((len(ANGLES), sure(h), F.array(*(S.angle(at(a), at(b), at(c)) for a, b, c in ANGLES))))
     for h in HANDS if plan.tips else ():
-        more.append(tips(h))
-    made = grid.withColumn("_d0", F.concat(*positions)).withColumn("_more", F.concat(*more) if more else F.slice("_d0", 1, 0))
+        more.append((len(TIPS), sure(h), S.tip_distances(F.col(f"_{h}"), TIPS)))
+    several = lambda arrays: F.concat(*arrays) if len(arrays) else F.array().cast("array<double>")
+    keep = ("rec", "t", *(F.col(h).isNotNull().alias(f"{h}_present") for h in HANDS), relative(F.lit(0.0), F.lit(0.0)).isNotNull().alias("body_available"))
+    made = grid.select(
+        *keep, several([v for _, _, v in more]).alias("_more"), F.flatten(F.array(*(F.array_repeat(o, n) for n, o, _ in more))).alias("_more_o") if more else F.array().cast("array<boolean>").alias("_more_o"),
+        *(values[g].alias(f"_v0_{g}") for g in groups), *(o.alias(f"_o0_{g}") for g, (_, o, _) in groups.items()), *(cut.alias(f"_cut_{g}") for g, (_, _, cut) in groups.items()),
+    )
     w = Window.partitionBy("rec").orderBy("t")
-    seconds = (F.col("t") - F.lag("t").over(w)) / 1e6
-    both = lambda a, b: item(F.when(F.col("_s") > 0, (a["v"] - b["v"]) / F.col("_s")), F.when((a["e"] == "observed") & (b["e"] == "observed"), "observed").otherwise("interpolated"))
-    none = F.array_repeat(F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("string").alias("e")), plan.positions)
+    made = made.withColumn("_s", (F.col("t") - F.lag("t").over(w)) / 1e6)
     for k in range(plan.differences):
-        made = made.withColumn("_s", seconds).withColumn("_last", F.lag(f"_d{k}").over(w)).withColumn(f"_d{k + 1}", F.when(F.col("_last").isNull(), none).otherwise(F.zip_with(F.zip_with(f"_d{k}", "_last", both), F.concat(*cuts), lambda d, c: item(F.when(~c, d["v"]), d["e"]))))
-    f = F.concat("_d0", "_more", *(f"_d{k + 1}" for k in range(plan.differences)))
-    return made.select("rec", "t", f.alias("f"), *(F.col(h).isNotNull().alias(f"{h}_present") for h in HANDS), relative(F.lit(0.0), F.lit(0.0)).isNotNull().alias("body_available"))
+        made = made.select("*", *(F.lag(f"_{x}{k}_{g}").over(w).alias(f"_last_{x}_{g}") for x in "vo" for g in groups))
+        step = lambda g: F.when((F.col("_s") > 0) & ~F.col(f"_cut_{g}"), F.zip_with(f"_v{k}_{g}", f"_last_v_{g}", lambda a, b: (a - b) / F.col("_s")))  # noqa: B023, E731
+        made = made.select("*", *(step(g).alias(f"_v{k + 1}_{g}") for g in groups), *((F.col(f"_o{k}_{g}") & F.col(f"_last_o_{g}")).alias(f"_o{k + 1}_{g}") for g in groups)).drop(*(f"_last_{x}_{g}" for x in "vo" for g in groups))
+    whole = lambda k, g: F.coalesce(F.col(f"_v{k}_{g}"), F.array_repeat(F.lit(None).cast("double"), groups[g][0]))
+    told = lambda k, g: F.array_repeat(F.coalesce(F.col(f"_o{k}_{g}"), F.lit(False)), groups[g][0])
+    ordered = lambda x, of: F.concat(*(of(0, g) for g in groups), F.col(x), *(of(k + 1, g) for k in range(plan.differences) for g in groups))
+    return made.select("rec", "t", ordered("_more", whole).alias("v"), ordered("_more_o", told).alias("o"), *(f"{h}_present" for h in HANDS), "body_available")
 
 
 def derive_features(frames: DataFrame, policy: GapPolicy, plan: FeaturePlan = FeaturePlan(), mirrored: Column | None = None, hands: dict[str, Hand] | None = None) -> DataFrame:
     """One row per recording: status (derived or refused) and reason, timestamps_us, values_q (frames x features, millionths), valid, observed and interpolated masks, hand_present, body_available and padding masks, source_grid_frame_count.
 
     Recordings with a timestamp discontinuity are refused: their row has that reason and nothing else. frames: rec, i, t, invalid, and the signals hand_0, hand_1 and
-    body as `resample` takes them; mirrored: whether the camera of a recording (rec) was mirrored; hands: see resample.
+    body as `resample` takes them; mirrored: whether the camera of a recording (rec) was mirrored; hands: see resample. Only the picked frames of a recording are brought together.
     """
-    bad = timestamp_discontinuities(frames, policy).select("rec").distinct()
+    bad = timestamp_discontinuities(frames.select("rec", "i", "t"), policy).select("rec").distinct()
     good = frames.join(bad, "rec", "left_anti")
     grid = resample(good, policy, plan.rate, hands=hands)
     made = frame_features(grid, plan, mirrored if mirrored is not None else F.lit(False))
-    seq = made.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("t", "f", F.array(*(f"{h}_present" for h in HANDS)).alias("hands"), "body_available"))).alias("s"))
-    picked = seq.withColumn("source_grid_frame_count", F.size("s").cast("bigint")).withColumn("s", F.transform(S.uniform_indices(F.size("s"), plan.frames), lambda i: F.get("s", i.cast("int"))))
-    per = lambda fn: F.transform("s", lambda x: F.transform(x["f"], fn))
+    every = Window.partitionBy("rec")
+    placed = made.withColumn("_k", (F.row_number().over(every.orderBy("t")) - 1).cast("bigint")).withColumn("_n", F.count("*").over(every))
+    picked = placed.where(F.array_contains(S.uniform_indices(F.col("_n"), plan.frames), F.col("_k")))
+    seq = picked.groupBy("rec").agg(F.max("_n").alias("source_grid_frame_count"), F.sort_array(F.collect_list(F.struct("t", "v", "o", F.array(*(f"{h}_present" for h in HANDS)).alias("hands"), "body_available"))).alias("s"))
+    per = lambda fn: F.transform("s", fn)
     zero = lambda v: F.array_repeat(v, plan.width)
     last = F.element_at("s", -1)["t"]
     late = F.transform(F.sequence(F.lit(1), F.lit(plan.frames)), lambda k: last + S.div(k.cast("bigint") * 2_000_000 + plan.rate, F.lit(2 * plan.rate)))
     times = F.transform("s", lambda x: x["t"])
     false = F.lit(False)
-    derived = picked.select(
+    derived = seq.select(
         "rec", F.lit("derived").alias("status"), F.lit(None).cast("string").alias("reason"), "source_grid_frame_count", F.slice(F.concat(times, late), 1, plan.frames).alias("timestamps_us"),
-        S.pad(per(lambda x: F.coalesce(S.quantize(x["v"]), F.lit(0).cast("bigint"))), plan.frames, zero(F.lit(0).cast("bigint"))).alias("values_q"),
-        S.pad(per(lambda x: x["v"].isNotNull()), plan.frames, zero(false)).alias("valid_mask"), S.pad(per(lambda x: F.coalesce(x["e"] == "observed", false)), plan.frames, zero(false)).alias("observed_mask"), S.pad(per(lambda x: F.coalesce(x["e"] == "interpolated", false)), plan.frames, zero(false)).alias("interpolated_mask"),
+        S.pad(per(lambda x: F.transform(x["v"], lambda v: F.coalesce(S.quantize(v), F.lit(0).cast("bigint")))), plan.frames, zero(F.lit(0).cast("bigint"))).alias("values_q"),
+        S.pad(per(lambda x: F.transform(x["v"], lambda v: v.isNotNull())), plan.frames, zero(false)).alias("valid_mask"),
+        S.pad(per(lambda x: F.zip_with(x["v"], x["o"], lambda v, o: v.isNotNull() & o)), plan.frames, zero(false)).alias("observed_mask"), S.pad(per(lambda x: F.zip_with(x["v"], x["o"], lambda v, o: v.isNotNull() & ~o)), plan.frames, zero(false)).alias("interpolated_mask"),
         S.pad(F.transform("s", lambda x: x["hands"]), plan.frames, F.array(false, false)).alias("hand_present_mask"), S.pad(F.transform("s", lambda x: x["body_available"]), plan.frames, false).alias("body_available_mask"),
         F.transform(F.sequence(F.lit(1), F.lit(plan.frames)), lambda k: k > F.size("s")).alias("padding_mask"),
     )

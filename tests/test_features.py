@@ -39,7 +39,7 @@ def test_hand_local_corrects_mirror_and_handedness(spark, left, mirrored):
 
 def test_a_hand_is_scaled_once_and_not_for_each_coordinate(spark):
     df = spark.createDataFrame([(hand()[0],)], f"p array<{POINT}>")
-    plan = df.select(S.hand_local(F.col("p"), F.lit(True), F.lit(False)))._jdf.queryExecution().optimizedPlan().toString()
+    plan = df.select(S.hand_local(F.col("p"), F.lit(True), F.lit(False)).alias("local"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("SQRT(") == 1
 
 
@@ -108,3 +108,12 @@ def test_body_needs_width_and_the_mirror_turns_it(spark):
     x, y = hand()[1][0]
     assert abs(got[0]["values_q"][0][0] - (x - 0.5) / 0.4 * 1e6) <= 0.51 and abs(got[0]["values_q"][0][1] - (y - 0.5) / 0.4 * 1e6) <= 0.51
     assert abs(got[3]["values_q"][0][0] + (x - 0.5) / 0.4 * 1e6) <= 0.51
+
+
+def test_features_of_a_long_recording_bring_only_picked_frames_together(spark):
+    rows = [(0, i, 33_333 * i, False, hand(0.1 * i), None, BODY) for i in range(200)]
+    df = X.derive_features(spark.createDataFrame(rows, SCHEMA), GapPolicy(), X.FeaturePlan("hand_local", differences=1))
+    row = df.first()
+    assert row["source_grid_frame_count"] == 200 and not any(row["padding_mask"])
+    assert [sum(v) for v in row["valid_mask"]] == [63] + [126] * 63
+    assert row["timestamps_us"][0] == 0 and row["timestamps_us"][-1] == 33_333 * 199
