@@ -104,11 +104,23 @@ def write_frames(df: DataFrame, path: str, interchange: bool = False, points: in
 
 
 def hash_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, size_bytes, sha256) of every file below a folder. Files are read whole, 2 GB at most each."""
+    """(path, size_bytes, sha256) of every file below a folder, without empty ones, which Spark's reader leaves out. Files are read whole, 2 GB at most each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def write_members(df: DataFrame, path: str, name: str, content: str, per_file: int = 10_000) -> None:
+    """Named contents (text or bytes) as members of archive files of at most per_file each: Parquet rows of (name, content), as no folder can hold a file for each of many small ones. Refuses an existing path."""
+    members = df.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    members.write.option("maxRecordsPerFile", per_file).option("parquet.block.size", 16 << 20).mode("errorifexists").parquet(path)
+
+
+def hash_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size_bytes, sha256) of every member of the archives that write_members made below a folder; a path is that of the archive with the member's name behind it."""
+    members = spark.read.schema("name string, content binary").option("recursiveFileLookup", "true").parquet(path)
+    return members.select(F.concat_ws("/", F.col("_metadata.file_path"), F.col("name")).alias("path"), F.octet_length("content").cast("bigint").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def verify_artifacts(declared: DataFrame, inventory: DataFrame, name: str = "name") -> DataFrame:
     """(name, status): declared (name, size_bytes, sha256) against files by base name: verified, missing, size_differs, digest_differs, undeclared."""
     found = inventory.select(F.element_at(F.split("path", "/"), -1).alias("_n"), F.col("size_bytes").alias("_s"), F.col("sha256").alias("_h"))
