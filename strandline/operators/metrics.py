@@ -153,9 +153,35 @@ def apply_temperature(df: DataFrame, temperature: float, probs: str = "p") -> Da
 
 
 def nearest_rank(df: DataFrame, column: str, percents: tuple[int, ...], *by: str) -> DataFrame:
-    """p50, p95, …: the element at ceil(p n) of the sorted values."""
-    aggs = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").alias(f"p{p}") for p in percents]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    """p50, p95, …: the element at ceil(p n / 100) of the sorted values of each group; nulls don't count, and a group of nulls only has NULLs.
+
+    Equal values are counted, and the counts dealt to ranges of (group, value). Sums of ranges tell which range holds a rank, and only
+    such ranges are walked in order, so neither a group nor its values need to fit a task.
+    """
+    keys = [F.col(c).alias(f"_b{k}") for k, c in enumerate(by)]
+    names = [f"_b{k}" for k in range(len(by))]
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = written(written(counted, "rank-counts").repartitionByRange(*names, "_v").withColumn("_range", F.spark_partition_id()), "rank-ranges")
+    sums = ranged.groupBy(*names, "_range").agg(F.sum("_c").alias("_n"))
+    w = Window.partitionBy(*names).orderBy("_range")
+    placed = sums.withColumn("_start", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*names)))
+    ranks = F.array(*(F.struct(F.lit(p).alias("p"), F.greatest(F.call_function("div", F.col("_all") * p + 99, F.lit(100)), F.lit(1)).alias("r")) for p in percents))
+    wanted = placed.withColumn("_ranks", F.filter(ranks, lambda x: (x["r"] > F.col("_start")) & (x["r"] <= F.col("_start") + F.col("_n")))).where(F.size("_ranks") > 0)
+    wanted = wanted.select("_range", "_start", "_ranks", *(F.col(c).alias(f"_w{c}") for c in names))
+    same = F.col("_range") == F.col("_wanted_range")
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{c}"))
+    held = ranged.join(F.broadcast(wanted.withColumnRenamed("_range", "_wanted_range")), same)
+    until = F.col("_start") + F.sum("_c").over(Window.partitionBy(*names, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = held.withColumn("_until", until).withColumn("_rank", F.explode("_ranks")).where((F.col("_rank.r") <= F.col("_until")) & (F.col("_rank.r") > F.col("_until") - F.col("_c")))
+    found = hit.groupBy(*names).agg(*(F.max(F.when(F.col("_rank.p") == p, F.col("_v"))).alias(f"p{p}") for p in percents))
+    if not by:
+        return found
+    groups = df.select(*keys).distinct().select(*(F.col(c).alias(f"_g{c}") for c in names))
+    match = F.lit(True)
+    for c in names:
+        match = match & F.col(c).eqNullSafe(F.col(f"_g{c}"))
+    return groups.join(found, match, "left").select(*(F.col(f"_g_b{k}").alias(c) for k, c in enumerate(by)), *(f"p{p}" for p in percents))
 
 
 def group_bootstrap(counts: DataFrame, group: str, hits: str, total: str, rounds: int, seed: int) -> DataFrame:

@@ -135,3 +135,19 @@ def test_differences_too_large_for_64_bits_are_null(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
     got = e8_differences(spark, str(tmp_path)).orderBy("i").select("velocity_q", "acceleration_q").collect()
     assert [tuple(r) for r in got] == [(None, None), (500_000_000_000_000, None), (-500_000_000_000_000, None), (None, None)]
+
+
+def test_nearest_ranks_by_counts_of_values_are_those_of_a_sort(spark):
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 20), ("c", 333)) for v in (7919 * k % 41 for k in range(n))]
+    values = {g: sorted(v for k, v in rows if k == g) for g in "abc"}
+    df = spark.createDataFrame([*rows, ("b", None), ("d", None), (None, 5.0)], "g string, v double").repartition(3)
+    got = {r["g"]: (r["p50"], r["p90"], r["p95"]) for r in M.nearest_rank(df, "v", (50, 90, 95), "g").collect()}
+    assert got == {g: tuple(v[-(-p * len(v) // 100) - 1] for p in (50, 90, 95)) for g, v in values.items()} | {"d": (None,) * 3, None: (5.0,) * 3}
+    assert [tuple(r) for r in M.nearest_rank(df.where("g = 'c'"), "v", (50, 95)).collect()] == [(values["c"][166], values["c"][316])]
+    assert [tuple(r) for r in M.nearest_rank(df.where("g = 'd'"), "v", (50, 95)).collect()] == [(None, None)]
+
+
+def test_nearest_ranks_hold_no_group_in_one_buffer(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = M.nearest_rank(df, "v", (50,), "g")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "percentile" not in plan and "collect" not in plan
