@@ -151,3 +151,12 @@ def test_nearest_ranks_hold_no_group_in_one_buffer(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
     plan = M.nearest_rank(df, "v", (50,), "g")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "percentile" not in plan and "collect" not in plan
+
+
+def test_sql_time_grid_joins_nothing(spark):
+    from strandline.functions.sql import register_time_grid
+
+    register_time_grid(spark)
+    df = spark.sql("SELECT s.rec, g.grid_us FROM {s} s, LATERAL time_grid(s.span, 30, 1) g", s=spark.createDataFrame([(1, 50_000), (2, 33_333), (3, None), (4, 50_000)], "rec int, span bigint"))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 0), (1, 33_333), (1, 50_000), (2, 0), (2, 33_333), (4, 0), (4, 33_333), (4, 50_000)]
