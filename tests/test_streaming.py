@@ -125,3 +125,28 @@ def test_ledger_reads_its_batch_only(spark):
     touched = [sum(o["numRowsUpdated"] for o in p["stateOperators"]) for p in progress]
     assert touched[0] == touched[1] == touched[2] and touched[3] < touched[0]  # state grows, what a batch changes doesn't
     assert all(len(p["sources"]) == 1 for p in progress)
+
+
+def test_a_batch_asks_the_state_once_a_cell_and_not_once_a_name():
+    import pandas as pd
+
+    from strandline.streaming.ledger import _FirstClaim
+
+    class Claims(dict):
+        asked = 0
+
+        def getValue(self, key):
+            self.asked += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    claim = _FirstClaim("k", "c", ["k", "c"], "key", 3)
+    claim.claims = Claims()
+    rows = pd.DataFrame({"k": [f"n{i}" for i in range(300)] * 2, "c": ["b"] * 300 + ["a"] * 300})
+    (got,) = claim.handleInputRows((0,), iter([rows[:100], rows[100:]]), None)
+    assert claim.claims.asked == 3
+    assert got["key_agrees"].tolist() == got["key_first"].tolist() == [False] * 300 + [True] * 300
+    (again,) = claim.handleInputRows((0,), iter([rows]), None)
+    assert claim.claims.asked == 6 and again["key_agrees"].tolist() == [False] * 300 + [True] * 300 and not again["key_first"].any()
