@@ -26,7 +26,8 @@ def select_corpus(frames: DataFrame, present: Column, policy: GapPolicy, judge:
 def corpus_features(chosen: DataFrame, landmarks: DataFrame, derive: Callable[[DataFrame], DataFrame], seq: Sequence = Sequence()) -> DataFrame:
     """The chosen entities with what derive makes of their windows' landmark frames, whose time begins at 0, and feature_digest, a hash of all of it. An entity that derive gives no row for has NULLs."""
     windows = chosen.select(seq.entity, "first_index", "last_index", F.lit(0).cast("bigint").alias("first_t"))
-    cut = slice_and_rebase(landmarks, windows, seq)
+    # entities that aren't chosen go before their landmarks are sorted or shuffled
+    cut = slice_and_rebase(landmarks.join(chosen.select(seq.entity), seq.entity, "left_semi"), windows, seq)
     made = derive(cut.withColumn(seq.t, F.col(seq.t) - F.min(seq.t).over(Window.partitionBy(seq.entity))))
     hashed = made.withColumn("feature_digest", F.sha2(row_text([c for c in made.columns if c != seq.entity]), 256))
     return chosen.drop("first_index", "last_index", "first_t").join(hashed, seq.entity, "left")

@@ -117,3 +117,14 @@ def test_features_of_a_long_recording_bring_only_picked_frames_together(spark):
     assert row["source_grid_frame_count"] == 200 and not any(row["padding_mask"])
     assert [sum(v) for v in row["valid_mask"]] == [63] + [126] * 63
     assert row["timestamps_us"][0] == 0 and row["timestamps_us"][-1] == 33_333 * 199
+
+
+def test_only_landmarks_of_the_chosen_are_sorted(spark):
+    from strandline.operators.corpus import corpus_features
+
+    chosen = spark.createDataFrame([(1, 0, 1)], "rec bigint, first_index bigint, last_index bigint").withColumn("first_t", F.lit(0).cast("bigint"))
+    marks = spark.createDataFrame([(r, i, 10 * i, 100 * r) for r in range(5) for i in range(4)], "rec bigint, i bigint, t bigint, x int")
+    seen = []
+    df = corpus_features(chosen, marks, lambda cut: seen.append(cut._jdf.queryExecution().optimizedPlan().toString()) or cut.groupBy("rec").agg(F.sum("x").alias("x")))
+    assert [(r["rec"], r["x"]) for r in df.collect()] == [(1, 200)]
+    assert "LeftSemi" in seen[0] and seen[0].rindex("LeftSemi") > seen[0].rindex("Window")
