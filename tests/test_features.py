@@ -128,3 +128,16 @@ def test_only_landmarks_of_the_chosen_are_sorted(spark):
     df = corpus_features(chosen, marks, lambda cut: seen.append(cut._jdf.queryExecution().optimizedPlan().toString()) or cut.groupBy("rec").agg(F.sum("x").alias("x")))
     assert [(r["rec"], r["x"]) for r in df.collect()] == [(1, 200)]
     assert "LeftSemi" in seen[0] and seen[0].rindex("LeftSemi") > seen[0].rindex("Window")
+
+
+def test_resampled_frames_are_shuffled_once_by_recording(spark):
+    import re
+
+    rows = [(0, i, 33_333 * i, False, hand(), None if i == 1 else hand(0.1, False), BODY) for i in range(4)]
+    df = X.resample(spark.createDataFrame(rows, SCHEMA), GapPolicy()).where("hand_0 IS NOT NULL")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)]
+    # frames for the gaps and frames with marks by recording, runs by signal, marks by first frame: none by grid time
+    assert sum(x.startswith("rec") and "," in x and "signal" not in x and "i#" not in x and not re.fullmatch(r"rec#\d+L, \d+", x) for x in wide) == 0 and len(wide) <= 6
+    got = {r["t"]: (r["hand_1_evidence"], r["hand_1_cut"], r["hand_0_evidence"]) for r in df.collect()}
+    assert got == {0: ("observed", False, "observed"), 33_333: ("interpolated", False, "observed"), 66_667: ("interpolated", False, "interpolated"), 99_999: ("observed", False, "observed")}
